@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: The modules that exist, in the order of the operators.
-MODULES = ("mixing", "fingerprints")
+MODULES = ("mixing", "packing", "wavelet", "fingerprints")
 
 
 def _modules():
