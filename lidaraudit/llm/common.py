@@ -75,15 +75,16 @@ class WordHasher:
         step[0] = back[0] = 1
         self.power, self.inverse = np.cumprod(step), np.cumprod(back)
 
-    def words(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all words, and how many words each text has.
+    def words(self, data: np.ndarray, ends: np.ndarray, stem: int | None = None) -> tuple[np.ndarray, ...]:
+        """Hashes of all words, how many words each text has, and hashes of the first `stem` bytes of each word.
 
         data: the bytes of the texts, one after the other; ends: where each text ends.
         """
         if len(data) >= len(self.power):
             self.room(len(data))
         if not len(data):
-            return np.zeros(0, np.uint64), np.zeros(len(ends), np.int64)
+            none = np.zeros(0, np.uint64)
+            return (none, np.zeros(len(ends), np.int64), none)[: 2 + (stem is not None)]
         inside = ~self.space[data]
         cut = np.zeros(len(data) + 1, bool)  # a text begins here
         cut[0] = True
@@ -95,9 +96,12 @@ class WordHasher:
         starts, stops = np.flatnonzero(first), np.flatnonzero(last) + 1
         total = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(self.values[data] * self.power[: len(data)], out=total[1:])
-        hashes = mix64((total[stops] - total[starts]) * self.inverse[starts])
         upto = np.searchsorted(starts, ends)
-        return hashes, np.diff(upto, prepend=0)
+        counts = np.diff(upto, prepend=0)
+        hashes = mix64((total[stops] - total[starts]) * self.inverse[starts])
+        if stem is None:
+            return hashes, counts
+        return hashes, counts, mix64((total[np.minimum(stops, starts + stem)] - total[starts]) * self.inverse[starts])
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
