@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: The modules that exist, in the order of the operators.
-MODULES = ("toxicity", "mixing", "packing", "licences", "media", "wavelet", "fingerprints")
+MODULES = ("toxicity", "mixing", "lm_scoring", "quality", "packing", "licences", "media", "wavelet", "fingerprints")
 
 
 def _modules():
