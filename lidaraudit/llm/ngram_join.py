@@ -294,6 +294,13 @@ def join(docs: DataFrame, measure: Measure = Measure()) -> DataFrame:  # noqa: B
     return whole.unionByName(info.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
+def one_of_each(docs: DataFrame, measure: Measure = Measure()) -> DataFrame:  # noqa: B008
+    """The rows of docs whose doc_id is the least of its component, once each; rows of null doc_id stay."""
+    found = join(docs, measure)
+    kept = docs.join(found.where("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id is null"))
+
+
 def op1_size_banded_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(read_documents(spark, sf_dir), Measure(3, 90, 100))
 

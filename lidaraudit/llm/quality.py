@@ -192,6 +192,12 @@ def score(docs: DataFrame, rules: Rules) -> DataFrame:
     return with_statistics(docs, "doc_id").select("doc_id", rules.column().alias("score"))
 
 
+def of_quality(docs: DataFrame, rules: Rules, least: float = 0.3) -> DataFrame:
+    """The rows of docs whose score is at least least, with all their columns; nothing is shuffled."""
+    rows = docs.select(F.struct(*docs.columns).alias("own_row"), "text")
+    return with_statistics(rows, "own_row").where(rules.column() >= least).select("own_row.*")
+
+
 def op5_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_documents(spark, sf_dir)
     rules = fit(docs, read_labels(spark, sf_dir))

@@ -200,6 +200,20 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_scored(shared), f"doc_id {kind}, " + ", ".join(f"{x} double" for x in (*TERMS, "score")))
 
 
+def without_toxic(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows of docs whose score is below least, with all their columns; nothing is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHasher(BETWEEN)
+        for batch in batches:
+            for a, b, data, ends in chunks(batch["text"]):
+                keep = shared.value.probability(shared.value.terms(data, ends, hasher)) < least
+                yield batch.slice(a, b - a).filter(pa.array(keep))
+
+    return docs.mapInArrow(work, docs.schema)
+
+
 def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", fit_docs: int = FIT_DOCS, calibrate_docs: int = CALIBRATE_DOCS) -> Model:
     """The model of at most fit_docs texts of each class and calibrate_docs more of any.
 
