@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lidaraudit.plans import rules
+from lidaraudit.plans import geometry, rules
 
-MODULES = (rules,)
+MODULES = (rules, geometry)
 
 
 def queries() -> dict:

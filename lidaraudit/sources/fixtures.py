@@ -99,7 +99,7 @@ def dimensions(spark: SparkSession) -> DataFrame:
 
 
 def _value(x: object) -> str:
-    return "NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x).upper() if isinstance(x, bool) else f"{x!r}e0" if isinstance(x, float) else str(x)
+    return "NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x).upper() if isinstance(x, bool) else (repr(x) if "e" in repr(x) else f"{x!r}e0") if isinstance(x, float) else str(x)
 
 
 def values_sql(rows: list[tuple], name: str, columns: str) -> str:
