@@ -8,7 +8,9 @@ documents of lowest rank are the sample. Here the sample has a fixed number of w
 document at which the target is reached is taken in part, all others whole.
 
 No source is ordered in one task: ranks are put into bins, words are summed by source and
-bin, and only the bin in which a source reaches its target is ordered.
+bin, and only the bin in which a source reaches its target is ordered. Tables with a row per
+source are written, counted, and broadcast if they have at most BROADCAST_SOURCES rows; so documents
+stay where they are, but for those few.
 
 Defined cases: null, empty and blank texts have size 0 and are never taken; a null source
 is a source of its own, last in order; ties of rank go by doc_id, and repeated rows count as
@@ -23,18 +25,21 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lidaraudit.llm.common import read_documents
+from lidaraudit.llm.common import read_documents, written
 
-WORD = r"[^\x20\x09-\x0D]+"
 #: Bins of ranks in a source; about one in so many of its documents is ordered.
 BINS = 4096
+#: Rows of a table of sources that may be broadcast; a longer one is joined by shuffles.
+BROADCAST_SOURCES = 100_000
 RESULTS = ("size", "source_size", "target", "taken")
 
 
 def words_in(text: Column) -> Column:
-    """Words of a text: each run of white space becomes one blank, then blanks are counted."""
-    blank = F.btrim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " "), F.lit(" "))
-    return F.when(blank == "", F.lit(0)).otherwise(F.length(blank) - F.length(F.replace(blank, F.lit(" "), F.lit(""))) + 1).cast("long")
+    """Words of a text: other white space becomes blanks, and the parts between blanks that aren't empty are counted."""
+    blank = F.coalesce(text, F.lit(""))
+    for c in "\t\n\x0b\f\r":
+        blank = F.replace(blank, F.lit(c), F.lit(" "))
+    return F.size(F.array_remove(F.split(blank, " "), "")).cast("long")
 
 
 def uniform(*parts: Column) -> Column:
@@ -68,13 +73,19 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), share:
     return level.select("source", "source_size", target.alias("target"))
 
 
+def _small(table: DataFrame, name: str) -> DataFrame:
+    """The table written, with a hint to broadcast it if it is short enough."""
+    table = written(table, name)
+    return F.broadcast(table) if table.count() <= BROADCAST_SOURCES else table
+
+
 def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
     """docs with size, source_size, target and taken (words that the mix takes, repeats counted)."""
     sized = docs.drop(*RESULTS).withColumn("size", words_in(F.col("text")))
     targets = source_targets(sized.select("source", "size"), weights, share, most)
     targets = targets.withColumn("copies", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
     targets = targets.withColumn("more", F.round(F.col("target") - F.col("copies") * F.col("source_size")).cast("long"))
-    targets = targets.withColumn("p", F.when(F.col("source_size") > 0, F.col("more") / F.col("source_size")).otherwise(0.0))
+    targets = _small(targets.withColumn("p", F.when(F.col("source_size") > 0, F.col("more") / F.col("source_size")).otherwise(0.0)), "targets")
 
     u = uniform(F.lit(seed), F.col("doc_id").cast("string"))
     # Ranks go from 0 to infinity; rank / (1 + rank) keeps the order and is below 1.
@@ -94,6 +105,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5,
         .agg(F.min_by(F.struct("bin", (F.col("upto") - F.col("words")).alias("before")), "bin").alias("cut"))
         .select(F.col("source").alias("cut_source"), F.col("cut.bin").alias("cut_bin"), F.col("cut.before").alias("before"))
     )
+    cuts = _small(cuts, "cuts")
     placed = ranked.join(cuts, F.col("source").eqNullSafe(F.col("cut_source")), "left").drop("cut_source")
     whole = placed.where("cut_bin is null or bin <> cut_bin").withColumn("part", F.when(F.col("bin") < F.col("cut_bin"), F.col("size")).otherwise(0))
     inside = Window.partitionBy("source").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
