@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lidaraudit.plans import geometry, rules
+from lidaraudit.plans import geometry, review, rules
 
-MODULES = (rules, geometry)
+MODULES = (rules, geometry, review)
 
 
 def queries() -> dict:
