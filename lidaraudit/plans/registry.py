@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lidaraudit.plans import geometry, review, rules
+from lidaraudit.plans import geometry, review, rules, temporal
 
-MODULES = (rules, geometry, review)
+MODULES = (rules, geometry, review, temporal)
 
 
 def queries() -> dict:
