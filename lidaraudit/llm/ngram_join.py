@@ -286,7 +286,8 @@ def join(docs: DataFrame, measure: Measure = Measure()) -> DataFrame:  # noqa: B
     members = reps.join(candidates, reps.high == candidates.node).select("rep", "high", "n_shingles", "component")
     tiles = written(_dealt(members, measure), "tiles")
     buckets = max(1, tiles.count() // BUCKET)
-    filled = tiles.join(docs, tiles.rep == docs.doc_id).select("tile", "side", "rep", "high", F.coalesce("text", F.lit("")).alias("text"), F.pmod(F.xxhash64("tile"), F.lit(buckets)).alias("bucket"))
+    # The hint keeps one plan at all sizes: texts move once, to the tasks that hold the tiles' ids.
+    filled = docs.join(tiles.hint("shuffle_hash"), tiles.rep == docs.doc_id).select("tile", "side", "rep", "high", F.coalesce("text", F.lit("")).alias("text"), F.pmod(F.xxhash64("tile"), F.lit(buckets)).alias("bucket"))
     links = filled.groupBy("bucket").applyInPandas(_tiles(measure), "a long, b long")
     linked = components(links)
     classes = reps.join(linked, reps.rep == linked.node, "left").select("high", "low", F.coalesce("component", "rep").alias("component_id"))
@@ -297,7 +298,8 @@ def join(docs: DataFrame, measure: Measure = Measure()) -> DataFrame:  # noqa: B
 def one_of_each(docs: DataFrame, measure: Measure = Measure()) -> DataFrame:  # noqa: B008
     """The rows of docs whose doc_id is the least of its component, once each; rows of null doc_id stay."""
     found = join(docs, measure)
-    kept = docs.join(found.where("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    first = found.where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(first.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where("doc_id is null"))
 
 

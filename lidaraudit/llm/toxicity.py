@@ -28,12 +28,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lidaraudit.llm.common import WordHasher, chunks, mix64, read_documents, runs
+from lidaraudit.llm.common import WordHasher, chunks, mix64, read_documents, runs, written
 from lidaraudit.llm.labelled import held_out, read_labels, sample
 from lidaraudit.llm.licences import BETWEEN
 
@@ -91,17 +90,6 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([column(before), column(word), column(stem), *map(pa.array, sums)], [x.split()[0] for x in COUNTS.split(", ")])
 
 
-def _level(counts: np.ndarray, number: np.ndarray, size: int, discount: float, back: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Of both classes: probabilities within contexts `number`, and what each context gives to `back`."""
-    own, given = [], []
-    for c, below in zip(counts.T, back, strict=True):
-        total, off = np.bincount(number, c, size), np.bincount(number, np.minimum(c, discount), size)
-        gamma = np.where(total > 0, off / np.maximum(total, 1), 1.0)
-        own.append(np.maximum(c - discount, 0) / np.maximum(total, 1)[number] + gamma[number] * below)
-        given.append(gamma)
-    return own, given
-
-
 def _ratio(x: list[np.ndarray]) -> np.ndarray:
     return (np.log(x[0]) - np.log(x[1])).astype(np.float32)
 
@@ -121,31 +109,44 @@ class Model:
     curve: tuple[float, ...] = (0.0, 0.0, 0.0, 0.0, -500.0)  # of TERMS, and of one
 
     @classmethod
-    def of(cls, words: np.ndarray, stem: np.ndarray, counts: np.ndarray, before: np.ndarray, after: np.ndarray, pair_counts: np.ndarray) -> Model:
-        """counts: texts with each distinct word, and with each distinct pair, in both classes."""
-        order = np.argsort(words)
-        words, stem, counts = words[order], stem[order], counts[order]
-        stems, s = np.unique(stem, return_inverse=True)
-        by_stem = np.column_stack([np.bincount(s, c, len(stems)) for c in counts.T])
-        shared = (by_stem > 0).sum(1) / max((by_stem > 0).sum(), 1)
-        of_stem, _ = _level(by_stem, np.zeros(len(stems), np.int64), 1, DISCOUNTS[2], [shared, shared])
-        kinds = np.bincount(s, minlength=len(stems)) + 1.0
-        of_word, gamma = _level(counts, np.zeros(len(words), np.int64), 1, DISCOUNTS[1], [p[s] / kinds[s] for p in of_stem])
-        contexts, h = np.unique(before, return_inverse=True)
-        at = np.searchsorted(words, after)
-        of_pair, given = _level(pair_counts, h, len(contexts), DISCOUNTS[0], [p[at] for p in of_word])
-        key = _key(before, after)
+    def of(cls, stems: pa.Table, words: pa.Table, contexts: pa.Table, pairs: pa.Table) -> Model:
+        """From counts of both classes; words, contexts and pairs that nothing is left of after discounts aren't there."""
+        at = lambda t, c: t[c].to_numpy().view(np.uint64)
+        both = lambda t, *c: [t[x].to_numpy().astype(float) for x in c]
+        order = np.argsort(at(stems, "stem"))
+        stem, kinds = at(stems, "stem")[order], stems["kinds"].to_numpy()[order] + 1.0
+        by_stem = [c[order] for c in both(stems, "toxic", "ordinary")]
+        classes = (by_stem[0] > 0).astype(float) + (by_stem[1] > 0)
+        shared = classes / max(classes.sum(), 1)
+        of_stem, gamma = [], []
+        for c, single in zip(by_stem, both(stems, "toxic_off", "ordinary_off"), strict=True):
+            total = max(c.sum(), 1)
+            off = np.minimum(c, DISCOUNTS[2])
+            of_stem.append(np.maximum(c - DISCOUNTS[2], 0) / total + off.sum() / total * shared)
+            gamma.append(single.sum() / total)
+        order = np.argsort(at(words, "word"))
+        word, s = at(words, "word")[order], np.searchsorted(stem, at(words, "stem")[order])
+        of_word = [np.maximum(c[order] - DISCOUNTS[1], 0) / max(t.sum(), 1) + g * p[s] / kinds[s] for c, t, g, p in zip(both(words, "toxic", "ordinary"), by_stem, gamma, of_stem, strict=True)]
+        order = np.argsort(at(contexts, "before"))
+        context = at(contexts, "before")[order]
+        totals = [c[order] for c in both(contexts, "toxic", "ordinary")]
+        given = [np.where(t > 0, c[order] / np.maximum(t, 1), 1.0) for t, c in zip(totals, both(contexts, "toxic_off", "ordinary_off"), strict=True)]
+        h, w = np.searchsorted(context, at(pairs, "before")), np.searchsorted(word, at(pairs, "word"))
+        of_pair = [np.maximum(c - DISCOUNTS[0], 0) / np.maximum(t, 1)[h] + g[h] * p[w] for c, t, g, p in zip(both(pairs, "toxic", "ordinary"), totals, given, of_word, strict=True)]
+        key = _key(at(pairs, "before"), at(pairs, "word"))
         order = np.argsort(key)
-        return cls(key[order], _ratio(of_pair)[order], contexts, _ratio(given), words, _ratio(of_word), stems, _ratio([p * g[0] for p, g in zip(of_stem, gamma, strict=True)]))
+        return cls(key[order], _ratio(of_pair)[order], context, _ratio(given), word, _ratio(of_word), stem, _ratio([p * g for p, g in zip(of_stem, gamma, strict=True)]))
 
     def terms(self, data: np.ndarray, ends: np.ndarray, hasher: WordHasher) -> np.ndarray:
         """TERMS of each text."""
         out = np.zeros((len(ends), 4))
         w = Words.of(data, ends, hasher)
-        if not len(w.word) or not len(self.pairs):
+        if not len(w.word):
             return out
 
         def found(table: np.ndarray, ratio: np.ndarray, own: np.ndarray, other: np.ndarray | float) -> np.ndarray:
+            if not len(table):
+                return np.broadcast_to(other, len(own))
             at = np.minimum(np.searchsorted(table, own), len(table) - 1)
             return np.where(table[at] == own, ratio[at], other)
 
@@ -214,6 +215,24 @@ def without_toxic(docs: DataFrame, model: Model, least: float = 0.5) -> DataFram
     return docs.mapInArrow(work, docs.schema)
 
 
+def _tables(counted: DataFrame) -> list[DataFrame]:
+    """Stems, and of words, contexts and pairs those that keep something after the discount: what isn't listed backs off whole.
+
+    So the driver gets a small part of the counts.
+    """
+    classes = ("toxic", "ordinary")
+    off = lambda d: [F.sum(F.least(c, F.lit(int(d)))).alias(f"{c}_off") for c in classes]
+    sums = [F.sum(c).alias(c) for c in classes]
+    over = lambda d: " or ".join(f"{c} > {int(d)}" for c in classes)
+    words, pairs = counted.where("before is null"), counted.where("before is not null")
+    return [
+        words.groupBy("stem").agg(F.count("word").alias("kinds"), *sums, *off(DISCOUNTS[1])),
+        words.where(over(DISCOUNTS[1])).select("word", "stem", *classes),
+        pairs.groupBy("before").agg(*sums, *off(DISCOUNTS[0])).where("toxic > toxic_off or ordinary > ordinary_off"),
+        pairs.where(over(DISCOUNTS[0])).select("before", "word", *classes),
+    ]
+
+
 def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", fit_docs: int = FIT_DOCS, calibrate_docs: int = CALIBRATE_DOCS) -> Model:
     """The model of at most fit_docs texts of each class and calibrate_docs more of any.
 
@@ -227,16 +246,11 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", fit_docs: int
     chosen = counted.unionByName(rest).drop("order")
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label", "use").persist()
     counted = texts.where("use = 'count'").mapInArrow(_count, COUNTS).groupBy("before", "word").agg(F.first("stem", True).alias("stem"), F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-    rows = counted.toArrow()
-    alone = rows.filter(pc.is_null(rows["before"]))
-    pairs = rows.filter(pc.is_valid(rows["before"]))
-    hashes = lambda x: x.to_numpy().view(np.uint64)
-    both = lambda x: np.column_stack([x["toxic"].to_numpy(), x["ordinary"].to_numpy()])
-    model = Model.of(hashes(alone["word"]), hashes(alone["stem"]), both(alone), hashes(pairs["before"]), hashes(pairs["word"]), both(pairs))
+    model = Model.of(*[t.toArrow() for t in _tables(written(counted, "toxicity-counts"))])
     curve = score(texts.where("use = 'curve'"), model).join(F.broadcast(chosen.where("use = 'curve'")), "doc_id").select(*TERMS, "label").toArrow()
     texts.unpersist()
     x, y = np.column_stack([curve[t].to_numpy() for t in TERMS]), curve["label"].to_numpy()
-    if len(model.pairs) and 0 < y.sum() < len(y):
+    if len(model.stems) and 0 < y.sum() < len(y):
         model.curve = _fit_curve(x, y.astype(float))
     return model
 
