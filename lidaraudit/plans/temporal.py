@@ -50,9 +50,9 @@ c AS (SELECT scene_id, frame_index, CAST(bbox_index AS VARCHAR) AS candidate_id,
 ORACLE = {
     "rigid_fits": BASE + """,
 one AS (SELECT scene_id, frame_index, target_key, min(x) AS x, min(y) AS y FROM c GROUP BY ALL),
-p AS (SELECT a.scene_id, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by FROM one a JOIN one b ON a.scene_id = b.scene_id AND a.target_key = b.target_key AND b.frame_index = a.frame_index + 1),
-m AS (SELECT scene_id, count(*) AS pairs, avg(ax) AS mx, avg(ay) AS my, avg(bx) AS nx, avg(by) AS ny FROM p GROUP BY scene_id),
-t AS (SELECT p.scene_id, atan2(sum((ax - mx) * (by - ny) - (ay - my) * (bx - nx)), sum((ax - mx) * (bx - nx) + (ay - my) * (by - ny))) AS angle FROM p JOIN m ON p.scene_id = m.scene_id GROUP BY p.scene_id)
+p AS (SELECT a.scene_id, a.x AS ax, a.y AS ay, b.x AS u, b.y AS v FROM one a JOIN one b ON a.scene_id = b.scene_id AND a.target_key = b.target_key AND b.frame_index = a.frame_index + 1),
+m AS (SELECT scene_id, count(*) AS pairs, avg(ax) AS mx, avg(ay) AS my, avg(u) AS nx, avg(v) AS ny FROM p GROUP BY scene_id),
+t AS (SELECT p.scene_id, atan2(sum((ax - mx) * (v - ny) - (ay - my) * (u - nx)), sum((ax - mx) * (u - nx) + (ay - my) * (v - ny))) AS angle FROM p JOIN m ON p.scene_id = m.scene_id GROUP BY p.scene_id)
 SELECT m.scene_id, pairs, round(angle, 5) AS angle, round(nx - cos(angle) * mx + sin(angle) * my, 5) AS shift_x, round(ny - sin(angle) * mx - cos(angle) * my, 5) AS shift_y FROM m JOIN t ON m.scene_id = t.scene_id""",
     "diverse_sample": BASE + """,
 g AS (
