@@ -12,12 +12,22 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that are hashed at a time; a longer text is hashed alone.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: `[^\x20\x09-\x0D]+` of the contracts: these bytes end a word.
 SPACES = bytes([32, *range(9, 14)])
 
 
+#: Bytes of rows that go to a Python worker at a time; long texts would fill hundreds of MB by count alone.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes, on the JVM's side as well as in the workers."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

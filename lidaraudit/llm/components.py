@@ -37,14 +37,16 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
-def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 40, shrink: bool = True) -> DataFrame:
     """node, component (its least node) for the nodes of edges a-b (longs).
 
     Rounds of large and small stars (Kiveris et al. 2014): each node's larger neighbours are
     linked to its least one, then its smaller ones to its least one, until nothing changes.
-    Tasks first shrink their edges to stars, so rounds move one row per node.
+    Tasks first shrink their edges to stars, so rounds move one row per node; where edges are
+    forests already, as those of tiles are, this is left out, and with it a second Python worker per task.
     """
-    now = written(edges.select("a", "b").where("a <> b").mapInArrow(_forest, "a long, b long"), "stars")
+    own = edges.select("a", "b").where("a <> b")
+    now = written(own.mapInArrow(_forest, "a long, b long") if shrink else own, "stars")
     seen = None
     for _ in range(most_rounds):
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))

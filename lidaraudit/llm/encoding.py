@@ -15,7 +15,7 @@ from itertools import repeat
 import numpy as np
 
 #: Parts whose ids one worker keeps; others are encoded again in each batch. A bound on memory, not on results.
-KEPT_PARTS = 1_200_000
+KEPT_PARTS = 200_000
 #: Bytes of new parts that are joined to be encoded at once.
 JOINED = 4096
 

@@ -289,7 +289,7 @@ def join(docs: DataFrame, measure: Measure = Measure()) -> DataFrame:  # noqa: B
     # The hint keeps one plan at all sizes: texts move once, to the tasks that hold the tiles' ids.
     filled = docs.join(tiles.hint("shuffle_hash"), tiles.rep == docs.doc_id).select("tile", "side", "rep", "high", F.coalesce("text", F.lit("")).alias("text"), F.pmod(F.xxhash64("tile"), F.lit(buckets)).alias("bucket"))
     links = filled.groupBy("bucket").applyInPandas(_tiles(measure), "a long, b long")
-    linked = components(links)
+    linked = components(links, shrink=False)
     classes = reps.join(linked, reps.rep == linked.node, "left").select("high", "low", F.coalesce("component", "rep").alias("component_id"))
     whole = info.where("n_shingles > 0").join(classes, ["high", "low"]).select("doc_id", "n_shingles", "component_id")
     return whole.unionByName(info.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
