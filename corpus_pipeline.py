@@ -9,11 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lidaraudit.llm import mixing, ngram_join, packing, quality, toxicity
-from lidaraudit.llm.common import read_documents, written
+from lidaraudit.llm.common import bound_batches, read_documents, written
 from lidaraudit.llm.labelled import read_labels
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return toxicity.without_toxic(docs, toxicity.fit(docs, read_labels(spark, sf_dir)))
 
 
