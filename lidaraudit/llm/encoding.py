@@ -9,13 +9,16 @@ nothing, white space before it can matter: such texts are encoded whole.
 
 from __future__ import annotations
 
+import re
 import zlib
 from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Parts whose ids one worker keeps; others are encoded again in each batch. A bound on memory, not on results.
-KEPT_PARTS = 200_000
+KEPT_PARTS = 500_000
 #: Bytes of new parts that are joined to be encoded at once.
 JOINED = 4096
 
@@ -26,6 +29,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.has_special = re.compile("|".join(map(re.escape, self.special)) or "(?!)").search
         self.width = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for token, i in self.tokenizer.get_vocab().items():
             self.width[i] = len(token)  # one character of a token stands for one byte
@@ -51,42 +55,43 @@ class Encoder:
         self.used += len(ids)
         self.known += len(parts)
 
-    def _odd(self, part: str) -> bool:
-        return not part or part[0].isspace() or any(x in part for x in self.special)
+    def _odd(self, parts: dict[str, None]) -> list[str]:
+        """Those whose ids depend on what stands before them. One search tells whether any holds a special token."""
+        odd = [w for w in parts if not w or w[0].isspace()]
+        return odd + [w for w in parts if self.has_special(w)] if self.has_special(" ".join(parts)) else odd
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint16)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, one after the other, and how many each has."""
+    def encode(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (null: empty), one after the other, and how many each has."""
         before = self.known, self.used
-        parts: list[str] = []
-        sizes = []
-        for text in texts:
-            own = text.split(" ")
-            parts += own
-            sizes.append(len(own))
-        sizes = np.array(sizes, np.int64)
+        column = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        if not len(column):
+            return np.zeros(0, np.uint16), np.zeros(0, np.int64)
+        split = pc.split_pattern(column, " ")
+        sizes = pc.list_value_length(split).to_numpy().astype(np.int64)
         begins = np.cumsum(sizes) - sizes
+        distinct = split.flatten().dictionary_encode()
+        parts, code = distinct.dictionary.to_numpy(zero_copy_only=False).tolist(), distinct.indices.to_numpy()
         number = self.number
-        k = np.fromiter(map(number.get, parts, repeat(-1)), np.int64, len(parts))
-        k[begins] = -2
-        new = dict.fromkeys(parts[i] for i in np.flatnonzero(k == -1).tolist())
-        odd = [w for w in new if self._odd(w)]
+        own_number = np.fromiter(map(number.get, parts, repeat(-1)), np.int64, len(parts))
+        late = np.flatnonzero(own_number == -1)
+        new = dict.fromkeys(map(parts.__getitem__, late.tolist()))
+        odd = self._odd(new)
         for w in odd:
             number[w] = -2
-            del new[w]
+            new.pop(w, None)
         if new:
             number.update(zip(new, range(self.known, self.known + len(new)), strict=True))
             self._learn([" " + w for w in new])
-        if new or odd:
-            for i in np.flatnonzero(k == -1).tolist():
-                k[i] = number[parts[i]]
+        own_number[late] = np.fromiter(map(number.__getitem__, map(parts.__getitem__, late.tolist())), np.int64, len(late))
+        k = own_number[code]
         # The first part of a text has no blank before it; whole() is exact for it and cheap.
-        for i in begins.tolist():
-            w = parts[i]
+        for i, c in zip(begins.tolist(), code[begins].tolist(), strict=True):
+            w = parts[c]
             if (own := self.first.get(w)) is None:
-                if any(x in w for x in self.special) or (w and w[-1].isspace() and w.isspace()):
+                if self.has_special(w) or (w and w[-1].isspace() and w.isspace()):
                     own = -2
                 else:
                     ids = self.whole(w)
@@ -102,15 +107,15 @@ class Encoder:
             k[i] = own
         bad = np.unique(np.searchsorted(begins, np.flatnonzero(k < 0), "right") - 1).tolist()
         k[k < 0] = 0
-        start, lengths = self.at[k], self.at[k + 1] - self.at[k]
-        upto = np.concatenate([[0], np.cumsum(lengths)])
-        ids = self.pool[np.arange(upto[-1]) + np.repeat(start - upto[:-1], lengths)]
-        n = np.diff(upto[np.concatenate([begins, [len(parts)]])])
+        kept = pa.LargeListArray.from_arrays(pa.array(self.at[: self.known + 1]), pa.array(self.pool[: self.used]))
+        ids = kept.take(pa.array(k)).flatten().to_numpy()
+        upto = np.concatenate([[0], np.cumsum(self.at[k + 1] - self.at[k])])
+        n = np.diff(upto[np.concatenate([begins, [len(code)]])])
         if bad:
-            split = np.split(ids, np.cumsum(n)[:-1])
+            pieces = np.split(ids, np.cumsum(n)[:-1])
             for i in bad:
-                split[i] = self.whole(texts[i])
-            ids, n = np.concatenate(split), np.array([len(x) for x in split], np.int64)
+                pieces[i] = self.whole(column[i].as_py())
+            ids, n = np.concatenate(pieces), np.array([len(x) for x in pieces], np.int64)
         if before[0] > KEPT_PARTS:  # forget what this batch has added
             for w in new:
                 del number[w]

@@ -48,8 +48,7 @@ def _cut(vocabulary: str, capacity: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 own = batch.slice(at, 500)
-                texts = ["" if x is None else x for x in own["text"].to_pylist()]
-                ids, counts = e.encode(texts)
+                ids, counts = e.encode(own["text"])
                 rows: list[tuple] = []
                 upto = 0
                 for doc_id, n in zip(own["doc_id"].to_pylist(), counts.tolist(), strict=True):

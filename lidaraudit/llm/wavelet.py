@@ -157,9 +157,9 @@ def _shards(vocabulary: str, shard_tokens: int):
             return row
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                own = batch.slice(at, 200)
-                got, n = e.encode(["" if x is None else x for x in own["text"].to_pylist()])
+            for at in range(0, batch.num_rows, 1000):
+                own = batch.slice(at, 1000)
+                got, n = e.encode(own["text"])
                 ids.append(np.insert(got, np.cumsum(n), END_ID))
                 lengths.append(n + 1)
                 doc_ids += own["doc_id"].to_pylist()
