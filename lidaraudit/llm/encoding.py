@@ -9,6 +9,7 @@ nothing, white space before it can matter: such texts are encoded whole.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from itertools import repeat
@@ -25,6 +26,7 @@ JOINED = 4096
 
 class Encoder:
     def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; threads would only wait for each other
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

@@ -45,13 +45,13 @@ class WaveletMatrix:
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
         bits, planes, now = max(1, int(ids.max(initial=0)).bit_length()), [], ids
         for level in range(bits - 1, -1, -1):
-            plane = (now >> ids.dtype.type(level)) & ids.dtype.type(1) == 1
+            plane = (now & ids.dtype.type(1 << level)) != 0
             packed = np.packbits(plane, bitorder="little")
             packed = np.concatenate([packed, np.zeros(-len(packed) % (BLOCK // 8), np.uint8)])
             ones = np.bitwise_count(packed).reshape(-1, BLOCK // 8).sum(1, dtype=np.uint32)
-            low = now[~plane]
+            low = np.flatnonzero(~plane)  # taking by places is faster than by a mask
             planes.append((len(low), np.concatenate([[0], np.cumsum(ones)]).astype("<u4"), packed))
-            now = np.concatenate([low, now[plane]])
+            now = now[np.concatenate([low, np.flatnonzero(plane)])]
         return cls(bits, len(ids), planes)
 
     def tokens(self) -> np.ndarray:
@@ -61,8 +61,8 @@ class WaveletMatrix:
         for level, (zeros, _, packed) in enumerate(reversed(self.planes)):
             plane = np.unpackbits(packed, count=self.size, bitorder="little").view(bool)
             up = np.empty(self.size, kind)
-            up[~plane] = now[:zeros]
-            up[plane] = now[zeros:] | kind(1 << level)
+            up[np.flatnonzero(~plane)] = now[:zeros]
+            up[np.flatnonzero(plane)] = now[zeros:] | kind(1 << level)
             now = up
         return now
 
