@@ -41,9 +41,9 @@ class Encoder:
         self.at = np.zeros(1 << 16, np.int64)  # where the ids of part k begin in pool
         self.known = self.used = 0
 
-    def _learn(self, parts: list[str]) -> None:
-        """Encodes parts: many joined in one text, whose ids are told apart by the bytes they stand for."""
-        upto = np.cumsum([len(w.encode()) for w in parts])
+    def _learn(self, parts: list[str], sizes: np.ndarray) -> None:
+        """Encodes parts of sizes bytes: many joined in one text, whose ids are told apart by the bytes they stand for."""
+        upto = np.cumsum(sizes, dtype=np.int64)
         cuts = [0, *np.unique(np.searchsorted(upto, np.arange(JOINED, upto[-1], JOINED)) + 1).tolist(), len(parts)]
         joined = ["".join(parts[a:b]) for a, b in zip(cuts, cuts[1:], strict=False) if a < b]
         ids = np.concatenate([np.array(e.ids, np.uint16) for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)])
@@ -57,10 +57,10 @@ class Encoder:
         self.used += len(ids)
         self.known += len(parts)
 
-    def _odd(self, parts: dict[str, None]) -> list[str]:
-        """Those whose ids depend on what stands before them. One search tells whether any holds a special token."""
-        odd = [w for w in parts if not w or w[0].isspace()]
-        return odd + [w for w in parts if self.has_special(w)] if self.has_special(" ".join(parts)) else odd
+    def _odd(self, parts: list[str]) -> np.ndarray:
+        """Which parts' ids depend on what stands before them. One search tells whether any holds a special token."""
+        odd = np.array([not w or w[0].isspace() for w in parts], bool)
+        return odd | np.array([bool(self.has_special(w)) for w in parts], bool) if self.has_special(" ".join(parts)) else odd
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint16)
@@ -79,15 +79,15 @@ class Encoder:
         number = self.number
         own_number = np.fromiter(map(number.get, parts, repeat(-1)), np.int64, len(parts))
         late = np.flatnonzero(own_number == -1)
-        new = dict.fromkeys(map(parts.__getitem__, late.tolist()))
-        odd = self._odd(new)
-        for w in odd:
-            number[w] = -2
-            new.pop(w, None)
+        words = list(map(parts.__getitem__, late.tolist()))
+        odd = self._odd(words)
+        plain = late[~odd]
+        own_number[late[odd]] = -2
+        own_number[plain] = self.known + np.arange(len(plain))
+        number.update(zip(words, own_number[late].tolist(), strict=True))
+        new = [w for w, x in zip(words, odd.tolist(), strict=True) if not x] if odd.any() else words
         if new:
-            number.update(zip(new, range(self.known, self.known + len(new)), strict=True))
-            self._learn([" " + w for w in new])
-        own_number[late] = np.fromiter(map(number.__getitem__, map(parts.__getitem__, late.tolist())), np.int64, len(late))
+            self._learn([" " + w for w in new], pc.binary_length(distinct.dictionary.take(pa.array(plain))).to_numpy() + 1)
         k = own_number[code]
         # The first part of a text has no blank before it; whole() is exact for it and cheap.
         for i, c in zip(begins.tolist(), code[begins].tolist(), strict=True):
@@ -119,7 +119,7 @@ class Encoder:
                 pieces[i] = self.whole(column[i].as_py())
             ids, n = np.concatenate(pieces), np.array([len(x) for x in pieces], np.int64)
         if before[0] > KEPT_PARTS:  # forget what this batch has added
-            for w in new:
+            for w in words:
                 del number[w]
             self.first = {w: i for w, i in self.first.items() if i < before[0]}
             self.known, self.used = before
