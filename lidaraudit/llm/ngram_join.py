@@ -15,15 +15,18 @@ Sets are hashed to sorted arrays of 64-bit shingles. The join is exact; it has f
 3. Tiles. A component's sets are dealt to tiles by bands of size: one tile if it has at most
    TILE sets, else one for each pair of blocks of the same or neighbouring bands.
    In a tile each set has a bitmap signature, each shingle flipping the bit of its hash; the bits in
-   which two signatures differ bound the overlap from above, and only pairs that the
-   bound lets pass, and that aren't tied yet, are decided by exact intersection of sorted arrays.
-4. Components of the links, over one document for each distinct set.
+   which two signatures differ bound the overlap from above, and all pairs that the bound lets
+   pass are decided by exact intersection. Where only components are asked for, pairs
+   whose sets are tied in the tile already are left out.
+4. Components of the links, over one document for each distinct set. A document's number of links
+   is the sum of the copies of the sets that its own is linked to, and its own further copies;
+   so it is summed in the tiles, without a row for each pair. `links` gives the pairs themselves.
 
 Defined cases: a null text or one without words has an empty set, no links and itself as
 component; a text of fewer words than a shingle has one shingle, the whole; equal sets are linked;
 repeated rows are linked to each other (doc_id is taken to name one document); rows of null doc_id
-get the component of equal sets, null if there are none, and link nothing; an empty table gives an empty
-result; other columns are ignored.
+get the component of equal sets, null if there are none, and link nothing, so they have 0 links and count for none;
+a repeated row counts as a link of its own; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -46,6 +49,8 @@ FAMILY = 1.5
 TILE = 2048
 #: Rows that are meant to be in a task's group of tiles.
 BUCKET = 2000
+#: Shingles that are intersected at a time.
+AT_ONCE = 1 << 22
 SALTS = [np.uint64(x) for x in (0x8CB92BA72F3D8DD7, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -198,42 +203,57 @@ def _ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
-def tile_links(ids: np.ndarray, values: np.ndarray, sizes: np.ndarray, side: np.ndarray, measure: Measure) -> list[tuple[int, int]]:
-    """Links that connect the sets of a tile; side 0 and 1 are the blocks, and only pairs across them count if both are there."""
-    order = np.lexsort((ids, sizes))
-    begin = np.cumsum(sizes) - sizes
-    sets = [values[begin[i] : begin[i] + sizes[i]] for i in order]
-    ids, sizes, side = ids[order], sizes[order], side[order]
-    across = side.min() != side.max()
+def tile_links(sizes: np.ndarray, values: np.ndarray, side: np.ndarray, measure: Measure, every: bool = False) -> Iterator[tuple[int, np.ndarray]]:
+    """Links of the sets of a tile: a set and those of its links that come after it by size.
+
+    Sides 1 and 2 are two blocks, and only pairs across them count; side 0 is a tile of one block.
+    Unless every link is asked for, pairs that links tie already are left out.
+    """
+    order = np.lexsort((values[np.cumsum(sizes) - sizes], sizes))
+    begin = (np.cumsum(sizes) - sizes)[order]
+    sizes, side = sizes[order], side[order]
+    across = side.max() > 0
     bits = 1 << max(6, min(16, int(2 * sizes.max()).bit_length()))
-    maps = np.zeros((len(sets), bits), bool)
-    for i, s in enumerate(sets):
-        maps[i] = np.bincount((mix64(s ^ SALTS[0]) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    maps = np.zeros((len(sizes), bits), bool)
+    for i, (a, n) in enumerate(zip(begin.tolist(), sizes.tolist(), strict=True)):
+        maps[i] = np.bincount((mix64(values[a : a + n] ^ SALTS[0]) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     maps = np.packbits(maps, axis=1).view(np.uint64)
-    group, links = np.arange(len(sets)), []
-    for i in range(len(sets) - 1):
+    kinds, number = np.unique(values, return_inverse=True)
+    number = number.astype(np.int32)
+    sets = [number[a : a + n] for a, n in zip(begin.tolist(), sizes.tolist(), strict=True)]
+    mine, group = np.zeros(len(kinds), np.uint8), np.arange(len(sizes))
+    for i in range(len(sizes) - 1):
         # 100 * |x and y| >= 90 * |x or y| needs 90 * |y| <= 100 * |x|.
         past = int(np.searchsorted(sizes, sizes[i] * measure.den // measure.num, "right"))
         j = np.arange(i + 1, past)
-        j = j[(group[j] != group[i]) & (~across | (side[j] != side[i]))]
+        j = j[(every | (group[j] != group[i])) & (~across | (side[j] != side[i]))]
         if not len(j):
             continue
         apart = np.bitwise_count(maps[j] ^ maps[i]).sum(1, dtype=np.int64)
         most = (sizes[i] + sizes[j] - apart) // 2
-        for k in j[most * (measure.num + measure.den) >= measure.num * (sizes[i] + sizes[j])].tolist():
-            if group[k] == group[i]:
-                continue
-            at = np.searchsorted(sets[k], sets[i])
-            both = int((sets[k][np.minimum(at, len(sets[k]) - 1)] == sets[i]).sum())
-            if both * (measure.num + measure.den) >= measure.num * (sizes[i] + sizes[k]):
-                links.append((int(ids[i]), int(ids[k])))
-                group[group == group[k]] = group[i]
-    return links
-
-
-def _tiles(measure: Measure):
+        j = j[most * (measure.num + measure.den) >= measure.num * (sizes[i] + sizes[j])]
+        if not len(j):
+            continue
+        mine[sets[i]] = 1
+        both = []
+        for part in np.array_split(j, min(len(j), 1 + int(sizes[j].sum()) // AT_ONCE)):
+            n = sizes[part]
+            both.append(np.add.reduceat(mine[np.concatenate([sets[k] for k in part.tolist()])], np.cumsum(n) - n, dtype=np.int64))
+        mine[sets[i]] = 0
+        j = j[np.concatenate(both) * (measure.num + measure.den) >= measure.num * (sizes[i] + sizes[j])]
+        if not every:  # one link to each group
+            j = j[np.unique(group[j], return_index=True)[1]]
+        if len(j):
+            group[np.isin(group, group[j])] = group[i]
+            yield int(order[i]), order[j]
+
+
+def _tiles(measure: Measure, want: str):
+    """Of the tiles' links, as `want` says: "ties", enough of them for the components (a, b, 0); "counts",
+    the same and the links of each set, weighed by copies (rep, high, number); "pairs", all (a, b, 0)."""
+
     def work(rows: pd.DataFrame) -> pd.DataFrame:
-        hasher, links = WordHasher(), []
+        hasher, out = WordHasher(), [np.zeros((0, 3), np.int64)]
         for _, own in rows.groupby("tile"):
             column, values, sizes = pa.array(own["text"]), [], []
             for _, _, data, ends in chunks(column):
@@ -243,16 +263,28 @@ def _tiles(measure: Measure):
             v, n = np.concatenate(values), np.concatenate(sizes)
             # Of rows that share a doc_id, the one whose set is meant.
             keep = (set_hashes(v, n)[0].view(np.int64) == own["high"].to_numpy()) & ~own.duplicated(["rep", "high"]).to_numpy()
-            links += tile_links(own["rep"].to_numpy()[keep], v[keep[runs(n)]], n[keep], own["side"].to_numpy()[keep], measure)
-        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+            rep, high, copies = (own[c].to_numpy()[keep] for c in ("rep", "high", "copies"))
+            counts, group = np.zeros(len(rep), np.int64), np.arange(len(rep))
+            for i, j in tile_links(n[keep], v[keep[runs(n)]], own["side"].to_numpy()[keep], measure, want != "ties") if len(rep) else ():
+                counts[i] += copies[j].sum()
+                counts[j] += copies[i]
+                if want == "counts":  # a forest for the components
+                    j = j[group[j] != group[i]]
+                    j = j[np.unique(group[j], return_index=True)[1]]
+                    group[np.isin(group, group[j])] = group[i]
+                out.append(np.column_stack([np.full(len(j), rep[i]), rep[j], np.zeros(len(j), np.int64)]))
+            if want == "counts":
+                some = counts > 0
+                out.append(np.column_stack([rep[some], high[some], counts[some]]))
+        return pd.DataFrame(np.concatenate(out), columns=["a", "b", "n"])
 
     return work
 
 
 def _dealt(members: DataFrame, measure: Measure) -> DataFrame:
-    """tile, side, rep, high: a row for each tile that a set is in.
+    """tile, side, rep, high, copies: a row for each tile that a set is in.
 
-    members: rep, high, n_shingles, component. Linked sizes are in the same or in neighbouring bands.
+    members: rep, high, copies, n_shingles, component. Linked sizes are in the same or in neighbouring bands.
     """
     band = F.floor(F.log(F.col("n_shingles").cast("double")) / math.log(measure.den / measure.num) + 1e-9).cast("int")
     members = members.withColumn("band", band)
@@ -267,32 +299,55 @@ def _dealt(members: DataFrame, measure: Measure) -> DataFrame:
     to = lambda n: F.when(n.isNull() | (n < 1), F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), n - 1))
     name = lambda band, x, over, y: F.xxhash64("component", band, x, over, y)
     cell = lambda tile, side: F.struct(tile.alias("tile"), F.lit(side).alias("side"))
-    inside = F.transform(to(F.col("blocks")), lambda k: F.struct(name(F.col("band"), F.least(k, F.col("block")), F.lit(0), F.greatest(k, F.col("block"))).alias("tile"), F.when(k < F.col("block"), 1).otherwise(0).alias("side")))
-    above = F.transform(to(F.col("above")), lambda k: cell(name(F.col("band"), F.col("block"), F.lit(1), k), 0))
-    below = F.transform(to(F.col("below")), lambda k: cell(name(F.col("band") - 1, k, F.lit(1), F.col("block")), 1))
+    inside = F.transform(to(F.col("blocks")), lambda k: F.struct(name(F.col("band"), F.least(k, F.col("block")), F.lit(0), F.greatest(k, F.col("block"))).alias("tile"), F.when(k == F.col("block"), 0).when(k < F.col("block"), 2).otherwise(1).alias("side")))
+    above = F.transform(to(F.col("above")), lambda k: cell(name(F.col("band"), F.col("block"), F.lit(1), k), 1))
+    below = F.transform(to(F.col("below")), lambda k: cell(name(F.col("band") - 1, k, F.lit(1), F.col("block")), 2))
     alone = F.array(cell(F.xxhash64("component"), 0))
     cells = F.when(F.col("blocks").isNull(), alone).otherwise(F.concat(inside, above, below))
-    return large.withColumn("block", block).select("rep", "high", F.explode(cells).alias("cell")).select("cell.*", "rep", "high")
+    return large.withColumn("block", block).select("rep", "high", "copies", F.explode(cells).alias("cell")).select("cell.*", "rep", "high", "copies")
 
 
-def join(docs: DataFrame, measure: Measure = Measure()) -> DataFrame:  # noqa: B008
-    """doc_id, n_shingles, component_id (least doc_id that links lead to)."""
+def _linked(docs: DataFrame, measure: Measure, want: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The sets of all rows, a representative and the copies of each distinct set, and what _tiles gives."""
     docs = docs.select("doc_id", "text")
     info = written(docs.mapInArrow(_info(measure), "doc_id long, n_shingles long, high long, low long"), "sets")
     keys = docs.mapInArrow(_keys(measure), "key long, high long")
     ties = written(keys.repartition("key").sortWithinPartitions("key", "high").mapInArrow(_ties, "a long, b long"), "ties")
     candidates = components(ties)
-    reps = written(info.where("n_shingles > 0").groupBy("high", "low").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles")), "reps")
-    members = reps.join(candidates, reps.high == candidates.node).select("rep", "high", "n_shingles", "component")
+    reps = written(info.where("n_shingles > 0").groupBy("high", "low").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.count("doc_id").alias("copies")), "reps")
+    members = reps.join(candidates, reps.high == candidates.node).select("rep", "high", "copies", "n_shingles", "component")
     tiles = written(_dealt(members, measure), "tiles")
     buckets = max(1, tiles.count() // BUCKET)
     # The hint keeps one plan at all sizes: texts move once, to the tasks that hold the tiles' ids.
-    filled = docs.join(tiles.hint("shuffle_hash"), tiles.rep == docs.doc_id).select("tile", "side", "rep", "high", F.coalesce("text", F.lit("")).alias("text"), F.pmod(F.xxhash64("tile"), F.lit(buckets)).alias("bucket"))
-    links = filled.groupBy("bucket").applyInPandas(_tiles(measure), "a long, b long")
-    linked = components(links, shrink=False)
-    classes = reps.join(linked, reps.rep == linked.node, "left").select("high", "low", F.coalesce("component", "rep").alias("component_id"))
-    whole = info.where("n_shingles > 0").join(classes, ["high", "low"]).select("doc_id", "n_shingles", "component_id")
-    return whole.unionByName(info.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    filled = docs.join(tiles.hint("shuffle_hash"), tiles.rep == docs.doc_id).select("tile", "side", "rep", "high", "copies", F.coalesce("text", F.lit("")).alias("text"), F.pmod(F.xxhash64("tile"), F.lit(buckets)).alias("bucket"))
+    return info, reps, filled.groupBy("bucket").applyInPandas(_tiles(measure, want), "a long, b long, n long")
+
+
+def join(docs: DataFrame, measure: Measure = Measure(), count: bool = False) -> DataFrame:  # noqa: B008
+    """doc_id, n_shingles, component_id (least doc_id that links lead to); with count n_links, the number of other rows that are linked to the row."""
+    info, reps, found = _linked(docs, measure, "counts" if count else "ties")
+    if count:
+        found = written(found, "links")
+        sums = found.where("n > 0").groupBy(F.col("a").alias("rep"), F.col("b").alias("high")).agg(F.sum("n").alias("others"))
+        reps = reps.join(sums, ["rep", "high"], "left")
+    linked = components(found.where("n = 0"), shrink=False)
+    links = [(F.col("copies") + F.coalesce("others", F.lit(0))).alias("n_links")] if count else []
+    classes = reps.join(linked, reps.rep == linked.node, "left").select("high", "low", F.coalesce("component", "rep").alias("component_id"), *links)
+    kept = ["doc_id", "n_shingles", "component_id"]
+    own = [F.when(F.col("doc_id").isNull(), 0).otherwise(F.col("n_links") - 1).cast("long").alias("n_links")] if count else []
+    whole = info.where("n_shingles > 0").join(classes, ["high", "low"]).select(*kept, *own)
+    none = [F.lit(0).cast("long").alias("n_links")] if count else []
+    return whole.unionByName(info.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), *none))
+
+
+def links(docs: DataFrame, measure: Measure = Measure()) -> tuple[DataFrame, DataFrame]:  # noqa: B008
+    """All pairs a-b of linked representatives, once each, and doc_id, rep: whom each document with words is represented by.
+
+    Documents are linked if they have one representative or if theirs are linked.
+    """
+    info, reps, found = _linked(docs, measure, "pairs")
+    pairs = found.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return pairs, info.where("n_shingles > 0").join(reps.select("high", "low", "rep"), ["high", "low"]).select("doc_id", "rep")
 
 
 def one_of_each(docs: DataFrame, measure: Measure = Measure()) -> DataFrame:  # noqa: B008
@@ -304,7 +359,7 @@ def one_of_each(docs: DataFrame, measure: Measure = Measure()) -> DataFrame:  #
 
 
 def op1_size_banded_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(read_documents(spark, sf_dir), Measure(3, 90, 100))
+    return join(read_documents(spark, sf_dir), Measure(3, 90, 100), count=True)
 
 
 QUERIES = {"op1_size_banded_tiles": op1_size_banded_tiles}

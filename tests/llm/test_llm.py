@@ -88,6 +88,35 @@ def test_join_is_exact(spark, monkeypatch, width, num, den, tile):
     assert got == plain_components([(r["doc_id"], r["text"]) for r in df.collect()], width, num, den)
 
 
+@pytest.mark.parametrize(("width", "num", "den", "tile"), [(3, 90, 100, 2048), (5, 80, 100, 2048), (2, 50, 100, 3)])
+def test_all_links_are_counted(spark, monkeypatch, width, num, den, tile):
+    monkeypatch.setattr(ngram_join, "TILE", tile)
+    monkeypatch.setattr(ngram_join, "AT_ONCE", 300)
+    rng = random.Random(width)
+    base = [rng.choice(WORDS) + str(rng.randrange(9)) for _ in range(90)]
+    own = [" ".join(base[:k] + ["x%d" % rng.randrange(3)] + base[k + 1 :]) for k in range(0, 60, 2)] + [" ".join(base[: 60 + k]) for k in range(30)]
+    own += [*own[:3], *own[:2], None, "", "one", "one"]
+    df = table(spark, own)
+    m = ngram_join.Measure(width, num, den)
+    w = [words(t) for t in own]
+    sets = [{tuple(x[i : i + width]) for i in range(len(x) - width + 1)} or ({tuple(x)} if x else set()) for x in w]
+    near = lambda x, y: bool(x and y) and den * len(x & y) >= num * len(x | y)
+    want = {(a, b) for a in range(len(own)) for b in range(a + 1, len(own)) if near(sets[a], sets[b])}
+    counts = collections.Counter(d for pair in want for d in pair)
+    got = ngram_join.join(df, m, count=True).collect()
+    assert {r["doc_id"]: r["n_links"] for r in got} == {d: counts[d] for d in range(len(own))} and len(got) == len(own)
+    assert sorted(r[:3] for r in got) == plain_components(list(enumerate(own)), width, num, den)
+    pairs, members = ngram_join.links(df, m)
+    pairs, rep = sorted(map(tuple, pairs.collect())), dict(map(tuple, members.collect()))
+    assert len(set(pairs)) == len(pairs)
+    assert {(a, b) for a in rep for b in rep if a < b and (rep[a] == rep[b] or (min(rep[a], rep[b]), max(rep[a], rep[b])) in pairs)} == want
+
+
+def test_links_of_repeated_rows(spark):
+    df = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (2, "a b c d"), (None, "a b c d"), (None, "x y z")], "doc_id long, text string")
+    assert sorted((r["doc_id"] or 0, r["n_links"]) for r in ngram_join.join(df, ngram_join.Measure(3, 90, 100), count=True).collect()) == [(0, 0), (0, 0), (1, 2), (1, 2), (2, 2)]
+
+
 def test_join_cases(spark, docs, empty):
     m = ngram_join.Measure(3, 90, 100)
     assert ngram_join.join(docs, m).count() == docs.count()
