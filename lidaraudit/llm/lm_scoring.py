@@ -10,8 +10,8 @@ spark.sql.shuffle.partitions, so a shard fits a task's memory.
 
 Model. P(w|h) = (c(hw) - D(c)) / c(h) + g(h) * P(w), P(w) from continuation counts,
 discounted alike and interpolated with a uniform share for words not seen. D is Chen and
-Goodman's, for counts 1, 2 and above. Pairs seen once take part in all counts but have no
-entry of their own; g(h) is what the entries leave, so probabilities still sum to 1.
+Goodman's, for counts 1, 2 and above. Every pair has an entry, those seen once too; g(h) is
+what the entries leave, so probabilities sum to 1.
 
 Files. The task of a shard writes sorted arrays of word hashes with counts, and of pair hashes
 with counts; a second shuffle brings together what the pairs of each first word take from it.
@@ -120,12 +120,10 @@ def _shard(files: Files, bits: int):
         words, n = _distinct(_column(table, "words", "<u8"), _column(table, "n_words", "<u4").astype(np.int64))
         pairs, m = _distinct(_column(table, "pairs", "<u8"), _column(table, "n_pairs", "<u4").astype(np.int64))
         high, follow = np.unique(pairs & ~LOW32, return_counts=True)
-        kept = m > 1
-        files.put(f"words-{key[0].as_py()}", {"words": words, "n": n, "high": high, "follow": follow.astype(np.uint32), "pairs": pairs[kept], "m": m[kept].astype(np.uint32)})
-        # Of each first word: the sum of its kept pairs' counts, and how many are 2 and above.
-        first, number = np.unique((pairs[kept] & LOW32).astype(np.uint32), return_inverse=True)
-        two = m[kept] == 2
-        taken = np.column_stack([np.bincount(number, x, len(first)).astype(np.uint32) for x in (m[kept], two, ~two)])
+        files.put(f"words-{key[0].as_py()}", {"words": words, "n": n, "high": high, "follow": follow.astype(np.uint32), "pairs": pairs, "m": m.astype(np.uint32)})
+        # Of each first word: the sum of its pairs' counts, and how many are 1, 2 and above.
+        first, number = np.unique((pairs & LOW32).astype(np.uint32), return_inverse=True)
+        taken = np.column_stack([np.bincount(number, x, len(first)).astype(np.uint32) for x in (m, m == 1, m == 2, m > 2)])
         at = [0, *np.searchsorted(first, (np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(32 - bits)).astype(np.uint32)).tolist(), len(first)]
         spans = [(k, a, b) for k, (a, b) in enumerate(zip(at, at[1:], strict=False)) if a < b]
         totals = [int(n.sum()), len(words), len(pairs), *[int((m == k).sum()) for k in (1, 2, 3, 4)], *[int((follow == k).sum()) for k in (1, 2, 3, 4)], int((follow >= 3).sum())]
@@ -143,10 +141,10 @@ def _contexts(files: Files):
     """A function for applyInArrow: sums what is taken from the first words of a shard and writes its file."""
 
     def merge(key: tuple, table: pa.Table) -> pa.Table:
-        first, taken = _column(table, "contexts", "<u4"), _column(table, "taken", "<u4").reshape(-1, 3)
+        first, taken = _column(table, "contexts", "<u4"), _column(table, "taken", "<u4").reshape(-1, 4)
         contexts, number = np.unique(first, return_inverse=True)
-        sums = [np.bincount(number, taken[:, k], len(contexts)).astype(np.int64) for k in range(3)]
-        files.put(f"contexts-{key[0].as_py()}", {"contexts": contexts, "total": sums[0], "twos": sums[1], "more": sums[2]})
+        sums = [np.bincount(number, taken[:, k], len(contexts)).astype(np.int64) for k in range(4)]
+        files.put(f"contexts-{key[0].as_py()}", {"contexts": contexts, "total": sums[0], "ones": sums[1], "twos": sums[2], "more": sums[3]})
         return pa.table({"n": pa.array([len(contexts)], pa.int64())})
 
     return merge
@@ -301,12 +299,12 @@ class Lookup:
         contexts, back = np.unique((words >> np.uint64(32)).astype(np.uint32), return_inverse=True)
         begin = np.array([BEGIN >> np.uint64(32)], np.uint32)
 
-        def left(total: np.ndarray, twos: np.ndarray, more: np.ndarray, n: np.ndarray) -> np.ndarray:
+        def left(total: np.ndarray, ones: np.ndarray, twos: np.ndarray, more: np.ndarray, n: np.ndarray) -> np.ndarray:
             """g(h): what the pairs of h leave."""
-            taken = total - t.of_pairs[1] * twos - t.of_pairs[2] * more
+            taken = total - t.of_pairs[0] * ones - t.of_pairs[1] * twos - t.of_pairs[2] * more
             return np.where(n > 0, np.clip(1 - taken / np.maximum(n, 1), 1e-4, 1), 1.0)
 
-        names = ("total", "twos", "more")
+        names = ("total", "ones", "twos", "more")
         gamma = left(*(x[back] for x in self._find("contexts", "contexts", names, contexts, 32)), n)
         gamma_begin = left(*self._find("contexts", "contexts", names, begin, 32), np.array([self.texts]))
         starts = np.cumsum(counts) - counts

@@ -264,6 +264,46 @@ def test_lm_sums_to_one(spark):
     assert total == 0 and len(first) == 5 and len(two) == 5 and len(ends) == 4 and all(x < 0 for x in first.values())
 
 
+def plain_kneser_ney(own):
+    """P(w | h) with entries for all pairs; h and w are words, None the end, "begin" the beginning."""
+    pairs = collections.Counter(p for t in own for p in zip(["begin", *t], [*t, None], strict=True))
+    before = collections.Counter(h for t in own for h in ["begin", *t])
+    follow = collections.Counter(w for _, w in pairs)
+    by = lambda c: lm_scoring.discounts([sum(x == k for x in c.values()) for k in (1, 2, 3, 4)])
+    off = lambda x, d: d[min(x, 3) - 1] if x else 0.0
+    of_pairs, of_words = by(pairs), by(follow)
+    uniform = sum(off(x, of_words) for x in follow.values()) / len(pairs)
+
+    def p(w, h):
+        word = (follow[w] - off(follow[w], of_words)) / len(pairs) + uniform / (len(follow) + 1)
+        if not before[h]:
+            return word
+        spare = sum(off(x, of_pairs) for (a, _), x in pairs.items() if a == h) / before[h]
+        return (pairs[h, w] - off(pairs[h, w], of_pairs)) / before[h] + spare * word
+
+    return p, [*follow, "unseen"]
+
+
+@pytest.fixture(scope="module")
+def lm_texts():
+    rng = random.Random(11)
+    return [" ".join(rng.choice(WORDS[: rng.randrange(1, 16)]) for _ in range(rng.randrange(12))) for _ in range(12)]
+
+
+def test_lm_is_a_plain_kneser_ney(spark, lm_texts):
+    own = [t.split() for t in lm_texts]
+    once = [p for p, x in collections.Counter(p for t in own for p in zip(["begin", *t], [*t, None], strict=True)).items() if x == 1]
+    p, vocabulary = plain_kneser_ney(own)
+    assert len(once) > 20 and all(math.isclose(sum(p(w, h) for w in vocabulary), 1) for h in ["begin", *filter(None, vocabulary)])
+    # Every pair is asked for, and the plain probabilities of what may follow each word sum to one.
+    asked = [*lm_texts, "pi pi unseen alpha", "other", "", *(f"{h} {w}" for h in vocabulary if h for w in vocabulary if w)]
+    model = lm_scoring.train(table(spark, lm_texts))
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.score(table(spark, asked), model).collect()}
+    for d, t in enumerate(asked):
+        t = t.split()
+        assert math.isclose(got[d], sum(math.log10(p(w, h)) for h, w in zip(["begin", *t], [*t, None], strict=True)), abs_tol=1e-9)
+
+
 def test_discounts():
     d = lm_scoring.discounts([100, 40, 20, 12])
     y = 100 / 180
