@@ -2,7 +2,7 @@
 
 Counting. Each task hashes the words of its training texts and counts distinct words and pairs
 run by run; the sorted hashes and counts of a run go out as one packed value for each shard (the
-high bits of a word's hash; a pair goes with its last word), which the shuffle groups. So all
+high bits of a word's hash; a pair goes with its last word, as the one before it), which the shuffle groups. So all
 pairs that end in one word meet in one task, which learns the exact count of each word and
 pair, the number of different words before each word (continuation counts), and how many pairs
 are seen 1, 2, 3 and 4 times (from which the discounts come). Shards grow in number with
@@ -19,8 +19,8 @@ Workers map the files into memory and look up the distinct words and pairs of a
 sorted order. Files go to spark.checkpoint.dir; where that isn't a path, workers fetch
 a shard to a temporary file, and drop it when they end.
 
-Hashes: 64 bits for words; 32 bits each of the word and of the one before it for pairs, so about
-one pair in some ten thousand shares its entry with another.
+Hashes: 64 bits for words, and so for contexts and continuation counts; for pairs 64 bits of both
+words' hashes. Of n distinct ones a share of about n / 2**64 has its entry in common with another.
 
 Defined cases: a null text is an empty one, which has one token, its end; a null doc_id is in the
 training part; repeated rows count each; without training texts counts are 0 and all words
@@ -41,7 +41,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lidaraudit.llm.common import WordHasher, chunks, read_documents, runs, work_folder, written
+from lidaraudit.llm.common import WordHasher, chunks, mix64, read_documents, runs, work_folder, written
 from lidaraudit.llm.labelled import held_out
 
 #: Tokens of a run that is counted at once.
@@ -49,6 +49,8 @@ RUN_TOKENS = 4 << 20
 #: Hashes of the end of a text, and of what stands before its first word.
 END, BEGIN = np.uint64(0x6A09E667F3BCC909), np.uint64(0xBB67AE8584CAA73B)
 LOW32 = np.uint64(0xFFFFFFFF)
+#: Multiplies the hash of a pair's last word before the other is added.
+SALT = np.uint64(0x9E3779B97F4A7C15)
 
 
 def tokens(data: np.ndarray, ends: np.ndarray, hasher: WordHasher) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -61,9 +63,10 @@ def tokens(data: np.ndarray, ends: np.ndarray, hasher: WordHasher) -> tuple[np.n
     return before, own, counts
 
 
-def pair_hash(before: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """High half from the word, so that its pairs sort together; low half from the one before it."""
-    return (own & ~LOW32) | (before >> np.uint64(32))
+def pair_hash(before: np.ndarray, own: np.ndarray, bits: int) -> np.ndarray:
+    """The shard, which is the word's, in the high bits; below it a hash of both words."""
+    low = np.uint64((1 << (64 - bits)) - 1)
+    return (own & ~low) | (mix64(own * SALT + before) & low)
 
 
 def _distinct(hashes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,34 +80,44 @@ def _distinct(hashes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def _count(bits: int):
     """A function for mapInArrow: packed words and pairs of each shard."""
 
-    def packed(own: list[np.ndarray], pairs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def packed(own: list[np.ndarray], firsts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
-        split = []
-        for parts in (own, pairs):
-            hashes, n = np.unique(np.concatenate(parts), return_counts=True)
-            at = [0, *np.searchsorted(hashes, edges).tolist(), len(hashes)]
-            split.append([(hashes[a:b].astype("<u8").tobytes(), n[a:b].astype("<u4").tobytes()) for a, b in zip(at, at[1:], strict=False)])
-        rows = [(k, *w, *p) for k, (w, p) in enumerate(zip(*split, strict=True)) if w[0]]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32(), *[pa.binary()] * 4], strict=True)], ["shard", "words", "n_words", "pairs", "n_pairs"])
+        words, number, n = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+        number = number.astype(np.uint64)
+        # Pairs as numbers of words in the run, the beginning after all words.
+        before = np.concatenate([number[:1], number[:-1]])
+        before[np.concatenate(firsts)] = len(words)
+        pairs, m = np.unique(number << np.uint64(32) | before, return_counts=True)
+        last, before = (pairs >> np.uint64(32)).astype(np.int64), np.append(words, BEGIN)[(pairs & LOW32).astype(np.int64)]
+        at = [0, *np.searchsorted(words, edges).tolist(), len(words)]
+        kinds = np.bincount(last, minlength=len(words))
+        upto = np.concatenate([[0], np.cumsum(kinds)])
+        rows = []
+        for k, (a, b) in enumerate(zip(at, at[1:], strict=False)):
+            if a < b:
+                c, d = upto[a], upto[b]
+                rows.append((k, words[a:b].astype("<u8").tobytes(), n[a:b].astype("<u4").tobytes(), kinds[a:b].astype("<u4").tobytes(), before[c:d].astype("<u8").tobytes(), m[c:d].astype("<u4").tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32(), *[pa.binary()] * 5], strict=True)], ["shard", "words", "n_words", "kinds", "before", "n_pairs"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, words, pairs, size = WordHasher(), [], [], 0
+        hasher, words, firsts, size = WordHasher(), [], [], 0
         for batch in batches:
             for _, _, data, ends in chunks(batch["text"]):
-                before, own, _ = tokens(data, ends, hasher)
+                _, own, counts = tokens(data, ends, hasher)
                 words.append(own)
-                pairs.append(pair_hash(before, own))
+                firsts.append(size + np.cumsum(counts) - counts)
                 size += len(own)
                 if size >= RUN_TOKENS:
-                    yield from packed(words, pairs)
-                    words, pairs, size = [], [], 0
+                    yield from packed(words, firsts)
+                    words, firsts, size = [], [], 0
         if size:
-            yield from packed(words, pairs)
+            yield from packed(words, firsts)
 
     return count
 
 
-PACKED = "shard int, words binary, n_words binary, pairs binary, n_pairs binary"
+#: kinds: how many of the pairs end in each word.
+PACKED = "shard int, words binary, n_words binary, kinds binary, before binary, n_pairs binary"
 #: shard -1: totals of a shard in `totals`; else what pairs take from their first words.
 TAKEN = "shard int, contexts binary, taken binary, totals array<long>"
 
@@ -117,14 +130,22 @@ def _shard(files: Files, bits: int):
     """A function for applyInArrow: merges a shard's words and pairs and writes its file."""
 
     def merge(key: tuple, table: pa.Table) -> pa.Table:
-        words, n = _distinct(_column(table, "words", "<u8"), _column(table, "n_words", "<u4").astype(np.int64))
-        pairs, m = _distinct(_column(table, "pairs", "<u8"), _column(table, "n_pairs", "<u4").astype(np.int64))
-        high, follow = np.unique(pairs & ~LOW32, return_counts=True)
-        files.put(f"words-{key[0].as_py()}", {"words": words, "n": n, "high": high, "follow": follow.astype(np.uint32), "pairs": pairs, "m": m.astype(np.uint32)})
+        own, m = _column(table, "words", "<u8"), _column(table, "n_pairs", "<u4").astype(np.int64)
+        words, n = _distinct(own, _column(table, "n_words", "<u4").astype(np.int64))
+        last = np.repeat(np.searchsorted(words, own).astype(np.int32), _column(table, "kinds", "<u4"))
+        before = _column(table, "before", "<u8")
+        pairs = pair_hash(before, words[last], bits)
+        order = np.argsort(pairs, kind="stable")
+        pairs = pairs[order]
+        new = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
+        pairs, m = pairs[new], np.add.reduceat(m[order], new)
+        last, before = last[order[new]], before[order[new]]
+        follow = np.bincount(last, minlength=len(words))
+        files.put(f"words-{key[0].as_py()}", {"words": words, "n": n, "follow": follow.astype(np.uint32), "pairs": pairs, "m": m.astype(np.uint32)})
         # Of each first word: the sum of its pairs' counts, and how many are 1, 2 and above.
-        first, number = np.unique((pairs & LOW32).astype(np.uint32), return_inverse=True)
+        first, number = np.unique(before, return_inverse=True)
         taken = np.column_stack([np.bincount(number, x, len(first)).astype(np.uint32) for x in (m, m == 1, m == 2, m > 2)])
-        at = [0, *np.searchsorted(first, (np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(32 - bits)).astype(np.uint32)).tolist(), len(first)]
+        at = [0, *np.searchsorted(first, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).tolist(), len(first)]
         spans = [(k, a, b) for k, (a, b) in enumerate(zip(at, at[1:], strict=False)) if a < b]
         totals = [int(n.sum()), len(words), len(pairs), *[int((m == k).sum()) for k in (1, 2, 3, 4)], *[int((follow == k).sum()) for k in (1, 2, 3, 4)], int((follow >= 3).sum())]
         return pa.table({
@@ -141,7 +162,7 @@ def _contexts(files: Files):
     """A function for applyInArrow: sums what is taken from the first words of a shard and writes its file."""
 
     def merge(key: tuple, table: pa.Table) -> pa.Table:
-        first, taken = _column(table, "contexts", "<u4"), _column(table, "taken", "<u4").reshape(-1, 4)
+        first, taken = _column(table, "contexts", "<u8"), _column(table, "taken", "<u4").reshape(-1, 4)
         contexts, number = np.unique(first, return_inverse=True)
         sums = [np.bincount(number, taken[:, k], len(contexts)).astype(np.int64) for k in range(4)]
         files.put(f"contexts-{key[0].as_py()}", {"contexts": contexts, "total": sums[0], "ones": sums[1], "twos": sums[2], "more": sums[3]})
@@ -261,7 +282,7 @@ class Lookup:
 
     def __init__(self, model: Model) -> None:
         self.model, self.open = model, {}
-        n = self.count(np.array([END]))
+        n = self._find("words", "words", ("n",), np.array([END]))[0]
         self.texts = int(n[0])
 
     def _file(self, name: str) -> dict[str, np.ndarray] | None:
@@ -269,10 +290,10 @@ class Lookup:
             self.open[name] = self.model.files.map(name)
         return self.open[name]
 
-    def _find(self, kind: str, keys: str, values: tuple[str, ...], wanted: np.ndarray, width: int) -> list[np.ndarray]:
+    def _find(self, kind: str, keys: str, values: tuple[str, ...], wanted: np.ndarray) -> list[np.ndarray]:
         """Values of wanted, which are sorted; 0 where a key isn't there."""
         out = [np.zeros(len(wanted), np.int64) for _ in values]
-        edges = (np.arange(1, 1 << self.model.bits, dtype=np.uint64) << np.uint64(width - self.model.bits)).astype(wanted.dtype)
+        edges = np.arange(1, 1 << self.model.bits, dtype=np.uint64) << np.uint64(64 - self.model.bits)
         at = [0, *np.searchsorted(wanted, edges).tolist(), len(wanted)]
         for k, (a, b) in enumerate(zip(at, at[1:], strict=False)):
             if a < b and (file := self._file(f"{kind}-{k}")) is not None and len(file[keys]):
@@ -283,21 +304,14 @@ class Lookup:
                     x[a:b][there] = file[v][i[there]]
         return out
 
-    def count(self, words: np.ndarray) -> np.ndarray:
-        return self._find("words", "words", ("n",), words, 64)[0]
-
     def scores(self, data: np.ndarray, ends: np.ndarray, hasher: WordHasher) -> list[np.ndarray]:
         """Of each text: n_tokens, n_known, base_score, score."""
         t = self.model.totals
         before, own, counts = tokens(data, ends, hasher)
         doc = runs(counts)
         words, w = np.unique(own, return_inverse=True)
-        n = self.count(words)
-        high, back = np.unique(words & ~LOW32, return_inverse=True)
-        follow = self._find("words", "high", ("follow",), high, 64)[0][back]
+        n, follow = self._find("words", "words", ("n", "follow"), words)
         p_word = _discounted(follow, t.of_words) / max(t.pairs, 1) + t.uniform / (t.kinds + 1)
-        contexts, back = np.unique((words >> np.uint64(32)).astype(np.uint32), return_inverse=True)
-        begin = np.array([BEGIN >> np.uint64(32)], np.uint32)
 
         def left(total: np.ndarray, ones: np.ndarray, twos: np.ndarray, more: np.ndarray, n: np.ndarray) -> np.ndarray:
             """g(h): what the pairs of h leave."""
@@ -305,14 +319,14 @@ class Lookup:
             return np.where(n > 0, np.clip(1 - taken / np.maximum(n, 1), 1e-4, 1), 1.0)
 
         names = ("total", "ones", "twos", "more")
-        gamma = left(*(x[back] for x in self._find("contexts", "contexts", names, contexts, 32)), n)
-        gamma_begin = left(*self._find("contexts", "contexts", names, begin, 32), np.array([self.texts]))
+        gamma = left(*self._find("contexts", "contexts", names, words), n)
+        gamma_begin = left(*self._find("contexts", "contexts", names, np.array([BEGIN])), np.array([self.texts]))
         starts = np.cumsum(counts) - counts
         h = np.concatenate([[0], w[:-1]])
         n_before, g = n[h].astype(float), gamma[h]
         n_before[starts], g[starts] = self.texts, gamma_begin[0]
-        pairs, k = np.unique(pair_hash(before, own), return_inverse=True)
-        direct = _discounted(self._find("words", "pairs", ("m",), pairs, 64)[0], t.of_pairs)[k]
+        pairs, k = np.unique(pair_hash(before, own, self.model.bits), return_inverse=True)
+        direct = _discounted(self._find("words", "pairs", ("m",), pairs)[0], t.of_pairs)[k]
         p = direct / np.maximum(n_before, 1) * (n_before > 0) + g * p_word[w]
         base = np.log10((n + 0.1) / (t.tokens + 0.1 * (t.kinds + 1)))
         size = len(ends)

@@ -8,6 +8,8 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -304,6 +306,34 @@ def test_lm_is_a_plain_kneser_ney(spark, lm_texts):
         assert math.isclose(got[d], sum(math.log10(p(w, h)) for h, w in zip(["begin", *t], [*t, None], strict=True)), abs_tol=1e-9)
 
 
+def test_lm_keeps_words_apart_that_share_half_a_hash(lm_texts, monkeypatch, tmp_path):
+    """All in this process, as workers would not see the changed hashes."""
+    own = [t.split() for t in lm_texts]
+    p, _ = plain_kneser_ney(own)
+    words_of = lm_scoring.WordHasher.words
+
+    def close(self, data, ends):
+        hashes, counts = words_of(self, data, ends)
+        return (hashes & lm_scoring.LOW32) | np.uint64(0x1234567800000000), counts
+
+    monkeypatch.setattr(lm_scoring.WordHasher, "words", close)
+    files, bits = lm_scoring.Files(str(tmp_path)), 4
+    batch = pa.RecordBatch.from_arrays([pa.array(lm_texts)], ["text"])
+    counted = pa.Table.from_batches(list(lm_scoring._count(bits)([batch])))
+    taken = [lm_scoring._shard(files, bits)((k,), counted.filter(pc.equal(counted["shard"], k))) for k in pc.unique(counted["shard"])]
+    t = np.sum([x["totals"][0].as_py() for x in taken], axis=0).tolist()
+    rest = pa.concat_tables([x.slice(1) for x in taken])
+    for k in pc.unique(rest["shard"]):
+        lm_scoring._contexts(files)((k,), rest.filter(pc.equal(rest["shard"], k)))
+    totals = lm_scoring.Totals(t[0], t[1], t[2], lm_scoring.discounts(t[3:7]), lm_scoring.discounts(t[7:11]))
+    totals.uniform = float(np.dot(totals.of_words, [t[7], t[8], t[11]])) / totals.pairs
+    lookup = lm_scoring.Lookup(lm_scoring.Model(files, bits, totals))
+    data = "".join(lm_texts).encode()
+    got = lookup.scores(np.frombuffer(data, np.uint8), np.cumsum([len(x.encode()) for x in lm_texts]), lm_scoring.WordHasher())[3]
+    want = [sum(math.log10(p(w, h)) for h, w in zip(["begin", *x], [*x, None], strict=True)) for x in own]
+    assert np.allclose(got, want, rtol=0, atol=1e-9)
+
+
 def test_discounts():
     d = lm_scoring.discounts([100, 40, 20, 12])
     y = 100 / 180
