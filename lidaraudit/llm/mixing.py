@@ -4,7 +4,8 @@ Each source gets a target of words. A document of a source whose target is r tim
 source's size is taken floor(r) times for certain; the rest of the target is filled with a
 sample in which each document has inclusion probability p = r - floor(r). In Pareto order
 sampling a document with uniform u gets the rank (u / (1 - u)) / (p / (1 - p)), and the
-documents of lowest rank are the sample. Here the sample has a fixed number of words: the
+documents of lowest rank are the sample. p is the same for all documents of a source, so within
+one the order is that of u. A rest that rounds to the whole source is one more certain copy. Here the sample has a fixed number of words: the
 document at which the target is reached is taken in part, all others whole.
 
 No source is ordered in one task: ranks are put into bins, words are summed by source and
@@ -85,6 +86,8 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5,
     targets = source_targets(sized.select("source", "size"), weights, share, most)
     targets = targets.withColumn("copies", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
     targets = targets.withColumn("more", F.round(F.col("target") - F.col("copies") * F.col("source_size")).cast("long"))
+    full = (F.col("more") > 0) & (F.col("more") >= F.col("source_size"))
+    targets = targets.select("source", "source_size", "target", (F.col("copies") + F.when(full, 1).otherwise(0)).alias("copies"), F.when(full, 0).otherwise(F.col("more")).cast("long").alias("more"))
     targets = _small(targets.withColumn("p", F.when(F.col("source_size") > 0, F.col("more") / F.col("source_size")).otherwise(0.0)), "targets")
 
     u = uniform(F.lit(seed), F.col("doc_id").cast("string"))

@@ -222,6 +222,12 @@ def test_targets_stop_at_the_limit(spark):
     assert got["a"] == 20 and got[None] == 80 and math.isclose(got["b"], 275 * 2 / 3) and math.isclose(got["c"], 275 / 3)
 
 
+def test_mix_of_one_word(spark):
+    for own in (["word"], ["word", "", None]):
+        rows = mixing.mix(spark.createDataFrame([(i, t, "s") for i, t in enumerate(own)], "doc_id long, text string, source string")).collect()
+        assert sorted((r["doc_id"], r["size"], r["source_size"], r["target"], r["taken"]) for r in rows) == [(i, int(t == "word"), 1, 1.5, 2 * int(t == "word")) for i, t in enumerate(own)]
+
+
 def test_sampled_rows_are_documents(docs):
     out = mixing.sampled(docs)
     assert out.columns == docs.columns and out.groupBy("doc_id").count().where("count > 4").count() == 0
