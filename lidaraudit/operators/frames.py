@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lidaraudit.functions import columns as C
@@ -17,7 +17,7 @@ def _of_frames(frames: DataFrame, rule: str) -> DataFrame:
 
 
 def empty_frame(boxes: DataFrame, expected: DataFrame | None) -> DataFrame:
-    """Frames that were expected and have no box; without expected frames there are none to miss."""
+    """Frames that were expected and have no box; without expected frames, or with an empty list of them, there are none to miss."""
     if expected is None:
         expected = boxes.select("scene_id", "frame_index").distinct()
     return _of_frames(frames_without_boxes(boxes, expected), "EmptyFrame")
@@ -28,9 +28,22 @@ def empty_frame_readable(boxes: DataFrame, expected: DataFrame) -> DataFrame:
     return empty_frame(boxes, expected.where("read_ok"))
 
 
+def failed_frames(expected: DataFrame) -> DataFrame:
+    """scene_id, frame_index, reason: one row for each frame whose boxes couldn't be read, with the first reason (column seq, else by name)."""
+    reason = F.col("reason") if "reason" in expected.columns else F.lit(None).cast("string")
+    order = F.col("seq") if "seq" in expected.columns else reason
+    return expected.where("not read_ok").groupBy("scene_id", "frame_index").agg(F.min_by(reason, order).alias("reason"))
+
+
 def missing_bbox(expected: DataFrame) -> DataFrame:
     """One finding for each frame whose boxes couldn't be read, whatever the number of reasons."""
-    return _of_frames(expected.where("not read_ok").select("scene_id", "frame_index").distinct(), "MissingBBox")
+    return _of_frames(failed_frames(expected), "MissingBBox")
+
+
+def ordinals(boxes: DataFrame, order: str = "bbox_index") -> DataFrame:
+    """Boxes with bbox_index as their place in the frame, from 0, in the given order."""
+    place = F.row_number().over(Window.partitionBy("scene_id", "frame_index").orderBy(order)) - 1
+    return boxes.withColumn("bbox_index", place.cast("long"))
 
 
 def inspected(expected: DataFrame, skip_first: bool = True) -> DataFrame:

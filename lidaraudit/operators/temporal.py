@@ -1,12 +1,13 @@
 """The same thing seen in several frames: ego motion from tracked boxes, stationary clusters, spatial groups.
 
 Each scene is one group of a grouped map: later frames depend on the matches of earlier ones. A
-scene's candidates and landmarks are a few rows per frame; its points are not carried along.
+scene's candidates and landmarks are a few rows per frame; its points are not carried along. Within a
+scene the work is done on arrays: a table of where each track is in each frame, all hypotheses of
+a fit at once, all candidates of a frame against all that have been seen.
 """
 
 from __future__ import annotations
 
-import itertools
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,13 +35,22 @@ class Matching:
     min_observations: int = 3
 
 
-def rigid_xy(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rotation and shift in plan that take points a nearest to b: the angle follows from summed cross and dot products."""
-    ca, cb = a.mean(0), b.mean(0)
-    p, q = a - ca, b - cb
-    angle = np.arctan2((p[:, 0] * q[:, 1] - p[:, 1] * q[:, 0]).sum(), (p * q).sum())
-    r = np.array([[np.cos(angle), -np.sin(angle)], [np.sin(angle), np.cos(angle)]])
-    return r, cb - r @ ca
+#: What ranks the members of a group, as far as the candidates have it; then the earlier frame wins.
+RANKS = ("good_views", "good_points", "largest", "points", "confidence")
+
+
+def turned(angle: float, p: np.ndarray) -> np.ndarray:
+    """Points (x, y, ...) turned about z."""
+    c, s = np.cos(angle), np.sin(angle)
+    return np.stack([c * p[..., 0] - s * p[..., 1], s * p[..., 0] + c * p[..., 1]], -1)
+
+
+def rigid_xy(a: np.ndarray, b: np.ndarray) -> tuple[float, np.ndarray]:
+    """Angle and shift in plan that take points a nearest to b: the angle follows from summed cross and dot products."""
+    ca, cb = a[:, :2].mean(0), b[:, :2].mean(0)
+    p, q = a[:, :2] - ca, b[:, :2] - cb
+    angle = float(np.arctan2((p[:, 0] * q[:, 1] - p[:, 1] * q[:, 0]).sum(), (p * q).sum()))
+    return angle, cb - turned(angle, ca)
 
 
 def rigid_fits(pairs: DataFrame, by: list[str]) -> DataFrame:
@@ -54,138 +64,198 @@ def rigid_fits(pairs: DataFrame, by: list[str]) -> DataFrame:
     return fits.select(*by, "pairs", "angle", (F.col("bx") - c * F.col("ax") + d * F.col("ay")).alias("shift_x"), (F.col("by") - d * F.col("ax") - c * F.col("ay")).alias("shift_y"))
 
 
-def _pair_transform(a: dict, b: dict, c: Registration) -> tuple | None:
-    """Takes frame a to frame b from shared tracks: the best of the two-point hypotheses, fitted again to its inliers."""
-    keys = sorted(set(a) & set(b))
-    if len(keys) < c.min_tracks:
-        return None
-    p, q = np.array([a[k] for k in keys]), np.array([b[k] for k in keys])
-    far = lambda x, i, j: np.hypot(*(x[i, :2] - x[j, :2])) >= 1.0
-    tries = [(i, j) for i, j in itertools.combinations(range(len(keys)), 2) if far(p, i, j) and far(q, i, j)]
-    if len(tries) > c.max_hypotheses:
-        step = len(tries) / c.max_hypotheses
-        tries = [tries[int(i * step)] for i in range(c.max_hypotheses)]
-    best, best_score = None, None
-    for i, j in tries:
-        r, t = rigid_xy(p[[i, j], :2], q[[i, j], :2])
-        off = np.hypot(*(p[:, :2] @ r.T + t - q[:, :2]).T)
-        inside = off <= c.max_residual
-        if inside.any() and (best_score is None or (int(inside.sum()), -float(np.median(off[inside]))) > best_score):
-            best, best_score = inside, (int(inside.sum()), -float(np.median(off[inside])))
-    enough = lambda x: x is not None and x.sum() >= c.min_inliers and x.mean() >= c.min_ratio
-    if not enough(best):
-        return None
-    r, t = rigid_xy(p[best, :2], q[best, :2])
-    inside = np.hypot(*(p[:, :2] @ r.T + t - q[:, :2]).T) <= c.max_residual
-    if not enough(inside):
+@dataclass(frozen=True)
+class Motion:
+    """A turn about z, then a shift."""
+
+    angle: float = 0.0
+    shift: tuple[float, float, float] = (0.0, 0.0, 0.0)
+
+    def of(self, p: np.ndarray) -> np.ndarray:
+        return np.concatenate([turned(self.angle, p), p[..., 2:]], -1) + np.array(self.shift)
+
+    def then(self, other: Motion) -> Motion:
+        return Motion(self.angle + other.angle, tuple(other.of(np.array(self.shift)).tolist()))
+
+
+def motion_between(p: np.ndarray, q: np.ndarray, c: Registration) -> Motion | None:
+    """The motion from places p to places q (rows x, y, z of the same tracks) that most tracks agree with, or None.
+
+    Two tracks at least 1 m apart in both frames make a hypothesis: the turn between their connecting lines,
+    with the first of the two kept in place. If there are too many they are thinned evenly. All
+    are scored at once by their inliers, then by the median distance of these; the first best one is
+    fitted to its inliers and once more to the inliers of that.
+    """
+    i, j = np.triu_indices(len(p), 1)
+    lines = p[j, :2] - p[i, :2], q[j, :2] - q[i, :2]
+    usable = (np.hypot(*lines[0].T) >= 1.0) & (np.hypot(*lines[1].T) >= 1.0)
+    pick = np.flatnonzero(usable)
+    if len(pick) > c.max_hypotheses:
+        pick = pick[(np.arange(c.max_hypotheses) * (len(pick) / c.max_hypotheses)).astype(np.int64)]
+    if len(p) < c.min_tracks or not len(pick):
         return None
-    r, t = rigid_xy(p[inside, :2], q[inside, :2])
-    return r, t, float(np.median(q[inside, 2] - p[inside, 2]))
-
-
-def frame_transforms(landmarks: dict[int, dict], c: Registration) -> dict[int, tuple]:
-    """Each frame's way into the first one's coordinates, over whatever registered frame shares most tracks with it."""
-    frames = sorted(f for f, own in landmarks.items() if own)
-    if not frames:
-        return {}
-    done = {frames[0]: (np.eye(2), np.zeros(2), 0.0)}
-    moved = True
-    while moved:
-        moved = False
-        for f in [f for f in frames if f not in done]:
-            anchors = sorted(done, key=lambda g: -len(set(landmarks[g]) & set(landmarks[f])))
-            for g in anchors:
-                if (own := _pair_transform(landmarks[f], landmarks[g], c)) is not None:
-                    (r, t, z), (r2, t2, z2) = own, done[g]
-                    done[f] = (r2 @ r, r2 @ t + t2, z + z2)
-                    moved = True
-                    break
-    return done
-
-
-def _ratio(a: np.ndarray, b: np.ndarray) -> float:
-    x, y = np.maximum(np.sort(a), 1e-6), np.maximum(np.sort(b), 1e-6)
-    return float(np.maximum(x / y, y / x).max())
+    angle = np.arctan2(lines[1][pick, 1], lines[1][pick, 0]) - np.arctan2(lines[0][pick, 1], lines[0][pick, 0])
+    cos, sin = np.cos(angle)[:, None], np.sin(angle)[:, None]
+    from_first = p[None, :, :2] - p[i[pick], None, :2]
+    to_first = q[None, :, :2] - q[i[pick], None, :2]
+    off = np.hypot(cos * from_first[..., 0] - sin * from_first[..., 1] - to_first[..., 0], sin * from_first[..., 0] + cos * from_first[..., 1] - to_first[..., 1])
+    inside = off <= c.max_residual
+    many = inside.sum(1)
+    median = np.nanmedian(np.where(inside, off, np.nan), 1)  # the first point of a hypothesis is always inside
+    chosen = inside[np.lexsort((np.arange(len(pick)), median, -many))[0]]
+    for again in (True, False):
+        if chosen.sum() < c.min_inliers or chosen.mean() < c.min_ratio:
+            return None
+        angle, shift = rigid_xy(p[chosen], q[chosen])
+        if again:
+            chosen = np.hypot(*(turned(angle, p) + shift - q[:, :2]).T) <= c.max_residual
+    return Motion(angle, (float(shift[0]), float(shift[1]), float(np.median(q[chosen, 2] - p[chosen, 2]))))
+
+
+class Scene:
+    """Where each track is in each frame of a scene: places[frame, track], NaN where it isn't seen."""
+
+    def __init__(self, landmarks: pd.DataFrame) -> None:
+        marks = landmarks[landmarks["track_id"].notna() & (landmarks["track_id"] != "") & landmarks[["x", "y", "z"]].notna().all(axis=1)]
+        self.frames, f = np.unique(marks["frame_index"].to_numpy(np.int64), return_inverse=True)
+        _, t = np.unique(marks["track_id"].to_numpy(str), return_inverse=True)
+        self.places = np.full((len(self.frames), t.max(initial=-1) + 1, 3), np.nan)
+        self.places[f, t] = marks[["x", "y", "z"]].to_numpy(float)  # a later row of the same frame and track counts
+
+    def motions(self, c: Registration) -> dict[int, Motion]:
+        """Each frame's way into the first frame's coordinates, by way of the frame reached before that shares most tracks with it.
+
+        Frames that can't be reached are tried again as long as others are.
+        """
+        if not len(self.frames):
+            return {}
+        seen = ~np.isnan(self.places[..., 0])
+        shared = seen.astype(np.int64) @ seen.T
+        ways, open_frames = {0: Motion()}, list(range(1, len(self.frames)))
+        while True:
+            left = []
+            for f in open_frames:
+                reached = np.array(list(ways))
+                near = reached[np.argsort(-shared[f, reached], kind="stable")]
+                for g in near[shared[f, near] >= c.min_tracks].tolist():
+                    both = seen[f] & seen[g]
+                    if (own := motion_between(self.places[f, both], self.places[g, both], c)) is not None:
+                        ways[f] = own.then(ways[g])
+                        break
+                else:
+                    left.append(f)
+            if len(left) == len(open_frames):
+                return {int(self.frames[f]): way for f, way in ways.items()}
+            open_frames = left
+
+
+def size_ratios(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Largest quotient of the sorted sides of boxes, either way round; NaN sides make it NaN."""
+    x, y = np.maximum(np.sort(a, -1), 1e-6), np.maximum(np.sort(b, -1), 1e-6)
+    return np.maximum(x / y, y / x).max(-1)
 
 
 def match_scene(candidates: pd.DataFrame, landmarks: pd.DataFrame, registration: Registration, m: Matching) -> pd.DataFrame:
-    """candidates with group (None: seen once, too seldom, or in a frame that can't be registered)."""
-    marks: dict[int, dict] = {}
-    for r in landmarks.itertuples():
-        marks.setdefault(int(r.frame_index), {})[r.track_id] = (r.x, r.y, r.z)
-    ways = frame_transforms(marks, registration)
+    """candidates with registered (their frame is), and group (None: seen once or too seldom, or in a frame that can't be registered).
+
+    A candidate without a position is kept at the origin; one without a size matches nothing.
+    """
+    ways = Scene(landmarks).motions(registration)
     rows = candidates.sort_values(["frame_index", "candidate_id"], ignore_index=True)
-    tracks: list[list[tuple]] = []  # frame, row, position in the first frame's coordinates, size, features
-    for frame, own in rows.groupby("frame_index"):
+    frame_of = rows["frame_index"].to_numpy(np.int64)
+    raw, size, shape = (rows[list(c)].to_numpy(float) for c in (("x", "y", "z"), ("size_x", "size_y", "size_z"), ("f1", "f2", "f3")))
+    nowhere = np.isnan(raw).any(1)
+    place, registered = np.zeros_like(raw), np.zeros(len(rows), bool)
+    members: list[list[int]] = []  # rows of each track, in the order in which tracks began
+    for frame in np.unique(frame_of).tolist():
         if frame not in ways:
             continue
-        r, t, z = ways[frame]
-        seen = [(frame, i, np.array([*(r @ np.array([x.x, x.y]) + t), x.z + z]), np.array([x.size_x, x.size_y, x.size_z]), np.array([x.f1, x.f2, x.f3])) for i, x in zip(own.index, own.itertuples(), strict=True)]
-        proposals = []
-        for a, o in enumerate(seen):
-            for b, track in enumerate(tracks):
-                last = track[-1]
-                step = float(np.hypot(*(o[2][:2] - last[2][:2])))
-                ratio, apart = _ratio(o[3], last[3]), float(np.linalg.norm(o[4] - last[4]))
-                wide = max(float(np.hypot(*(o[2][:2] - x[2][:2]))) for x in track)
-                high = max(abs(float(o[2][2] - x[2][2])) for x in track)
-                if step <= m.max_step and wide <= m.max_diameter and high <= m.max_z and ratio <= m.max_size_ratio and apart <= m.max_pca:
-                    proposals.append((step, ratio, apart, a, b))
-        used_a, used_b = set(), set()
-        for _, _, _, a, b in sorted(proposals):
-            if a not in used_a and b not in used_b:
-                tracks[b].append(seen[a])
-                used_a.add(a)
-                used_b.add(b)
-        tracks += [[o] for a, o in enumerate(seen) if a not in used_a]
+        own = np.flatnonzero(frame_of == frame)
+        registered[own] = True
+        here = own[~nowhere[own]]
+        place[here] = ways[frame].of(raw[here])
+        last = np.array([t[-1] for t in members], np.int64)
+        step = np.hypot(*np.moveaxis(place[here][:, None, :2] - place[last][None, :, :2], -1, 0))
+        a, b = np.nonzero(step <= m.max_step)
+        ratio, apart = size_ratios(size[here[a]], size[last[b]]), np.linalg.norm(shape[here[a]] - shape[last[b]], axis=-1)
+        fits = (ratio <= m.max_size_ratio) & (apart <= m.max_pca)
+        offers = []
+        for x, y, r, d in zip(a[fits].tolist(), b[fits].tolist(), ratio[fits].tolist(), apart[fits].tolist(), strict=True):
+            away = np.abs(place[members[y]] - place[here[x]])
+            if np.hypot(away[:, 0], away[:, 1]).max() <= m.max_diameter and away[:, 2].max() <= m.max_z:
+                offers.append((float(step[x, y]), r, d, x, y))
+        taken: set[int] = set()
+        grown: set[int] = set()
+        for *_, x, y in sorted(offers):
+            if x not in taken and y not in grown:
+                members[y].append(int(here[x]))
+                taken.add(x)
+                grown.add(y)
+        members += [[int(r)] for x, r in enumerate(here.tolist()) if x not in taken] + [[int(r)] for r in own[nowhere[own]].tolist()]
     group: list[int | None] = [None] * len(rows)
-    for k, track in enumerate(t for t in tracks if len(t) >= max(2, m.min_observations)):
-        for _, i, *_ in track:
-            group[i] = k
-    return rows.assign(group=pd.array(group, "Int64"))
+    for k, track in enumerate(t for t in members if len(t) >= max(2, m.min_observations)):
+        for r in track:
+            group[r] = k
+    return rows.assign(group=pd.array(group, "Int64"), registered=registered)
 
 
 def stationary_clusters(candidates: DataFrame, landmarks: DataFrame, registration: Registration = Registration(), matching: Matching = Matching()) -> DataFrame:  # noqa: B008
-    """One row per candidate (scene_id, frame_index, candidate_id) with its group and whether it represents it.
+    """One row per candidate (scene_id, frame_index, candidate_id, RANKS) with its group, whether its frame is registered, and whether it represents its group.
 
-    candidates: scene_id, frame_index, candidate_id, x, y, z, size_x, size_y, size_z, f1, f2, f3 (shape features), points.
-    landmarks: scene_id, frame_index, track_id, x, y, z. A group is represented by its member of most points, the earlier one on ties.
+    candidates: scene_id, frame_index, candidate_id (may recur in other frames), x, y, z, size_x, size_y, size_z, f1, f2, f3 (shape
+    features) and any of RANKS. landmarks: scene_id, frame_index, track_id, x, y, z. One member represents a group:
+    that of the greatest RANKS, the earlier one on ties. Candidates without a group represent themselves.
     """
-    schema = "scene_id string, frame_index int, candidate_id string, points long, group long"
+    ranks = [c for c in RANKS if c in candidates.columns]
+    kept = ["scene_id", "frame_index", "candidate_id", *ranks]
+    kinds = dict(candidates.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in kept) + ", group long, registered boolean"
 
     def work(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return match_scene(left, right, registration, matching)[["scene_id", "frame_index", "candidate_id", "points", "group"]]
+        return match_scene(left, right, registration, matching)[[*kept, "group", "registered"]]
 
     grouped = candidates.groupBy("scene_id").cogroup(landmarks.groupBy("scene_id")).applyInPandas(work, schema)
-    best = grouped.where("group is not null").groupBy("scene_id", "group").agg(F.max_by("candidate_id", F.struct(F.col("points"), -F.col("frame_index"))).alias("best"), F.count("group").alias("observations"))
-    return grouped.join(best, ["scene_id", "group"], "left").withColumn("represents", F.col("group").isNull() | (F.col("candidate_id") == F.col("best"))).drop("best")
+    order = F.struct(*[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ranks], (-F.col("frame_index")).alias("earlier"))
+    best = grouped.where("group is not null").groupBy("scene_id", "group").agg(F.max_by(F.struct("frame_index", "candidate_id"), order).alias("best"), F.count("group").alias("observations"))
+    own = F.struct("frame_index", "candidate_id") == F.col("best")
+    return grouped.join(best, ["scene_id", "group"], "left").withColumn("represents", F.col("group").isNull() | own).drop("best")
+
+
+def registered_frames(landmarks: DataFrame, registration: Registration = Registration()) -> DataFrame:  # noqa: B008
+    """scene_id, frame_index, angle, shift_x, shift_y, shift_z of each frame that can be brought into its scene's first frame."""
+
+    def work(rows: pd.DataFrame) -> pd.DataFrame:
+        ways = Scene(rows).motions(registration)
+        return pd.DataFrame([(rows["scene_id"].iloc[0], f, w.angle, *w.shift) for f, w in ways.items()], columns=["scene_id", "frame_index", "angle", "shift_x", "shift_y", "shift_z"])
+
+    return landmarks.groupBy("scene_id").applyInPandas(work, "scene_id string, frame_index int, angle double, shift_x double, shift_y double, shift_z double")
+
+
+def dedup_statistics(matched: DataFrame) -> DataFrame:
+    """One row per scene: candidates before and after, groups, their observations, saved calls, frames that couldn't be registered."""
+    return matched.groupBy("scene_id").agg(
+        F.count("candidate_id").alias("raw_candidates"), F.count_if("represents").alias("candidates"),
+        F.count_if(F.col("represents") & F.col("group").isNotNull()).alias("duplicate_groups"), F.count("group").alias("duplicate_observations"),
+        F.countDistinct(F.when(~F.col("registered"), F.col("frame_index"))).alias("unregistered_frames"),
+    ).withColumn("saved_calls", F.col("duplicate_observations") - F.col("duplicate_groups"))
 
 
 def nearest_groups(rows: pd.DataFrame, distance: float) -> pd.DataFrame:
     """Greedy groups in order of frame: each observation joins the nearest running mean within distance, one of a frame per group."""
-    rows = rows.sort_values(["frame_index", "candidate_id"], ignore_index=True)
-    means: list[np.ndarray] = []
-    sizes: list[int] = []
-    last: list[int] = []
-    group = []
-    for r in rows.itertuples():
-        p = np.array([r.x, r.y, r.z], float)
-        best, at = None, None
-        if distance > 0 and not np.isnan(p).any():
-            for k, mean in enumerate(means):
-                d = float(np.linalg.norm(p - mean))
-                if last[k] != r.frame_index and d <= distance and (best is None or d < best):
-                    best, at = d, k
-        if at is None:
-            means.append(p)
-            sizes.append(1)
-            last.append(r.frame_index)
-            at = len(means) - 1
-        else:
-            means[at] = (means[at] * sizes[at] + p) / (sizes[at] + 1)
-            sizes[at] += 1
-            last[at] = r.frame_index
-        group.append(at)
+    order = ["frame_index", *(c for c in ("candidate_no",) if c in rows), "candidate_id"]
+    rows = rows.sort_values(order, ignore_index=True)
+    places, frames = rows[["x", "y", "z"]].to_numpy(float), rows["frame_index"].to_numpy()
+    sums, sizes, last = np.zeros((len(rows), 3)), np.zeros(len(rows)), np.zeros(len(rows), frames.dtype)
+    group, n = np.zeros(len(rows), np.int64), 0
+    for k, (p, frame) in enumerate(zip(places, frames, strict=True)):
+        far = np.linalg.norm(p - sums[:n] / sizes[:n, None], axis=1)
+        far[(last[:n] == frame) | ~(far <= distance)] = np.inf
+        at = int(far.argmin()) if distance > 0 and n and np.isfinite(far).any() else n
+        n = max(n, at + 1)
+        sums[at] += p
+        sizes[at] += 1
+        last[at] = frame
+        group[k] = at
     return rows.assign(group=group)
 
 

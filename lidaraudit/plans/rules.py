@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,41 +18,51 @@ def _shown(found: DataFrame) -> DataFrame:
     return tracks.persistent(found).withColumn("value", F.round("value", ROUND))
 
 
-def _history(spark: SparkSession, d: str) -> DataFrame:
-    return tracks.history(X.boxes(spark, d))
+#: Rules by name, which are those of the findings; callers pick some.
+RULES = ("label_consistency", "position_jump", "rotation_jump", "size_consistency", "broken_track", "empty_frame", "size_outlier", "dimension_mismatch")
+
+
+def box_rules(boxes: DataFrame, expected: DataFrame, dimensions: DataFrame, enabled: tuple[str, ...] = RULES) -> DataFrame:
+    """Unmerged findings of the enabled rules that judge boxes: one pass, with one window if a rule looks back.
+
+    Rules that aren't known are named in a warning and skipped; a rule that is named twice runs once.
+    """
+    if unknown := [r for r in enabled if r not in RULES]:
+        warnings.warn(f"unknown rules are skipped: {', '.join(unknown)}", stacklevel=2)
+    back = [r for r in tracks.ENTRIES if r in enabled]
+    rows = tracks.history(boxes, expected if "broken_track" in back else None) if back else sizes.sized(boxes)
+    entries = [e for r in back for e in tracks.ENTRIES[r]()]
+    if "size_outlier" in enabled:
+        entries += sizes.outlier_entries()
+    if "dimension_mismatch" in enabled:
+        rows = sizes.with_references(rows, dimensions)
+        entries += sizes.mismatch_entries()
+    return tracks.findings(rows, entries or [tracks.entry("", F.lit(False))])
 
 
-def raw_rules(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    """Unmerged findings of each rule."""
+def _rule(spark: SparkSession, d: str, name: str) -> DataFrame:
     boxes, expected = X.boxes(spark, d), X.expected_frames(spark, d)
-    rows = tracks.history(boxes)
-    return {
-        "label_consistency": tracks.label_consistency(rows),
-        "position_jump": tracks.position_jump(rows),
-        "rotation_jump": tracks.rotation_jump(rows),
-        "size_consistency": tracks.size_consistency(rows),
-        "broken_track": tracks.broken_track(rows, tracks.frames_without_boxes(boxes, expected)),
-        "empty_frame": frames.empty_frame(boxes, expected),
-        "size_outlier": sizes.size_outlier(boxes),
-        "dimension_mismatch": sizes.dimension_mismatch(boxes, X.dimensions(spark)),
-    }
-
-
-#: Rules by name, for callers that pick some; unknown names are skipped.
-RULES = ("label_consistency", "position_jump", "rotation_jump", "size_consistency", "broken_track", "empty_frame", "size_outlier", "dimension_mismatch")
+    return frames.empty_frame(boxes, expected) if name == "empty_frame" else box_rules(boxes, expected, X.dimensions(spark), (name,))
 
 
 def run_rules(spark: SparkSession, d: str, enabled: tuple[str, ...] = RULES, split_failed: bool = True) -> DataFrame:
     """Merged findings of the enabled rules, then a finding for each failed frame, as the whole inspection gives them."""
-    found = raw_rules(spark, d)
-    if split_failed:
-        found["empty_frame"] = frames.empty_frame_readable(X.boxes(spark, d), X.expected_frames(spark, d))
-    merged = tracks.persistent(tracks.union([found[r] for r in enabled if r in found]))
-    failed = frames.missing_bbox(X.expected_frames(spark, d))
+    boxes, expected = X.boxes(spark, d), X.expected_frames(spark, d)
+    found = box_rules(boxes, expected, X.dimensions(spark), enabled)
+    if "empty_frame" in enabled:
+        found = found.unionByName(frames.empty_frame_readable(boxes, expected) if split_failed else frames.empty_frame(boxes, expected))
+    merged = tracks.persistent(found)
+    failed = frames.missing_bbox(expected)
     one = failed.select("*", F.col("frame_index").alias("first_frame"), F.col("frame_index").alias("last_frame"), F.lit(1).cast("long").alias("occurrence_count")).drop("part")
     return merged.unionByName(one).withColumn("value", F.round("value", ROUND))
 
 
+def _broken_by_ordinals(spark: SparkSession, d: str) -> DataFrame:
+    """The broken tracks of boxes whose bbox_index repeats from frame to frame."""
+    boxes = frames.ordinals(X.boxes(spark, d).withColumn("event_id", F.col("bbox_index")), "event_id")
+    return tracks.broken_track(tracks.history(boxes, X.expected_frames(spark, d))).select("scene_id", "track_id", "frame_index", "bbox_index", "value")
+
+
 COLUMNS = "scene_id, frame_index, target_key AS track_id, CAST(bbox_index AS VARCHAR) AS bbox_index, label_of AS label"
 SEQ = "seq AS (SELECT *, row_number() OVER (PARTITION BY scene_id, target_key ORDER BY frame_index, bbox_index) AS rn FROM keyed)"
 
@@ -122,8 +134,10 @@ def _typed(spark: SparkSession, d: str) -> DataFrame:
     return X.table(spark, d, "events").select("event_id", C.number(raw).alias("number"))
 
 
-QUERIES = {name: (lambda s, d, n=name: _shown(raw_rules(s, d)[n])) for name in RULES} | {
+QUERIES = {name: (lambda s, d, n=name: _shown(_rule(s, d, n))) for name in RULES} | {
     "empty_frame_readable": lambda s, d: _shown(frames.empty_frame_readable(X.boxes(s, d), X.expected_frames(s, d))),
+    "broken_track_ordinals": _broken_by_ordinals,
+    "best_variant": lambda s, d: sizes.best_variant(sizes.with_references(sizes.sized(X.boxes(s, d)), X.dimensions(s))).where("variant is not null").select("bbox_index", "variant"),
     "missing_bbox": lambda s, d: frames.missing_bbox(X.expected_frames(s, d)).select("scene_id", "frame_index", "rule_id"),
     "all_findings": run_rules,
     "findings_by_rule": lambda s, d: summary.by_rule(run_rules(s, d)),
@@ -140,6 +154,18 @@ QUERIES = {name: (lambda s, d, n=name: _shown(raw_rules(s, d)[n])) for name in R
 }
 ORACLE = {name: _persistent(FOUND[name]) + " SELECT * FROM merged" for name in RULES} | {
     "empty_frame_readable": _persistent(FOUND_READABLE) + " SELECT * FROM merged",
+    "broken_track_ordinals": f"""WITH {X.BOXES_SQL.replace('keyed AS', 'keyed0 AS')},
+keyed AS (SELECT * EXCLUDE (target_key, bbox_index), row_number() OVER (PARTITION BY scene_id, frame_index ORDER BY bbox_index) - 1 AS bbox_index,
+  coalesce(nullif(track_id, ''), nullif(uuid, ''), CAST(row_number() OVER (PARTITION BY scene_id, frame_index ORDER BY bbox_index) - 1 AS VARCHAR)) AS target_key FROM keyed0),
+{X.FRAMES_SQL}, {SEQ}, broken AS ({FOUND['broken_track']})
+SELECT scene_id, track_id, frame_index, bbox_index, value FROM broken""",
+    "best_variant": f"""WITH {BASE}, judged AS (
+  SELECT k.bbox_index, class_name AS variant, class_order, class_name = k.label_of AS exact,
+    scale_x BETWEEN ref_length * (1 - tolerance) AND ref_length * (1 + tolerance) AND scale_y BETWEEN ref_width * (1 - tolerance) AND ref_width * (1 + tolerance)
+      AND scale_z BETWEEN ref_height * (1 - tolerance) AND ref_height * (1 + tolerance) AS passes,
+    greatest(abs(scale_x - ref_length) / ref_length, abs(scale_y - ref_width) / ref_width, abs(scale_z - ref_height) / ref_height) AS deviation
+  FROM sized k JOIN dims ON (class_name = k.label_of OR starts_with(class_name, k.label_of || '_')) AND ref_length IS NOT NULL)
+SELECT bbox_index, variant FROM (SELECT *, row_number() OVER (PARTITION BY bbox_index ORDER BY passes DESC, CASE WHEN passes THEN 0 ELSE deviation END, exact DESC, class_order) AS n FROM judged) WHERE n = 1""",
     "missing_bbox": f"WITH {BASE} SELECT scene_id, frame_index, 'MissingBBox' AS rule_id FROM expected WHERE NOT read_ok",
     "all_findings": ALL_SQL + " SELECT * FROM report",
     "findings_by_rule": ALL_SQL + " SELECT rule_id, count(*) AS findings, count(*) FILTER (severity = 'Warning') AS warnings FROM report GROUP BY rule_id",

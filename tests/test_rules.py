@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lidaraudit.functions import columns as C
 from lidaraudit.operators import frames, sizes, summary, tracks
+from lidaraudit.plans import rules
 
 FIELDS = "scene_id string, frame_index int, bbox_index long, track_id string, target_id string, uuid string, object_id string, label string, className string, position_x double, position_y double, position_z double, rotation_z double, scale_x double, scale_y double, scale_z double"
 
@@ -54,11 +55,35 @@ def test_size_change_by_axis_and_zero_before(spark):
 
 def test_broken_track_ignores_gaps_over_empty_frames(spark):
     b = boxes(spark, [{"frame": 1}, {"frame": 3}, {"frame": 5}, {"frame": 10}, *({"frame": f, "track": "o"} for f in (1, 2, 3, 5, 6, 7, 8, 9, 10))])
-    rows = tracks.history(b)
-    out = found(tracks.broken_track(rows, tracks.frames_without_boxes(b, expected(spark, 10))).where("track_id = 't'"))
+    out = found(tracks.broken_track(tracks.history(b, expected(spark, 10))).where("track_id = 't'"))
     assert out == [(3, 0, 1.0)]  # frame 4 is empty, and 6 to 9 are too many
 
 
+def test_broken_track_with_ordinals_that_repeat_by_frame(spark):
+    """Frame 2 is empty and frame 5 is not; the object has ordinal 0 throughout."""
+    b = boxes(spark, [{"frame": f} for f in (1, 3, 4, 6)] + [{"frame": 5, "track": "o"}]).withColumn("bbox_index", F.lit(0).cast("long"))
+    assert found(tracks.broken_track(tracks.history(b, expected(spark, 6))).where("track_id = 't'")) == [(6, 0, 1.0)]
+
+
+def test_rules_share_one_window(spark):
+    """One scan of the boxes, one exchange by object, one sort by its rows."""
+    b, e = boxes(spark, [{"frame": 1}]), expected(spark, 2)
+    dims = spark.createDataFrame([("car", 0, 1.0, 1.0, 1.0, 0.5)], DIMS)
+    names = tuple(r for r in rules.RULES if r not in ("broken_track", "empty_frame"))
+    plan = rules.box_rules(b, e, dims, names)._jdf.queryExecution().sparkPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert plan.count("scale_x") > 0 and len(windows) <= 2 and plan.count("Generate explode") == 2, plan
+    assert len({line.split("], [")[-1] for line in windows}) == 1  # same partition and order: one exchange and one sort
+    with pytest.warns(UserWarning, match="no_such_rule"):
+        assert rules.box_rules(b, e, dims, ("no_such_rule",)).count() == 0
+
+
+def test_a_reference_of_zero_and_equal_boxes(spark):
+    dims = spark.createDataFrame([("car", 0, 0.0, 1.0, 1.0, 0.5)], DIMS)
+    b = boxes(spark, [{"frame": 1}]).withColumn("bbox_index", F.lit(0).cast("long"))
+    assert found(sizes.dimension_mismatch(b.unionAll(b), dims)) == [(1, 0, math.inf)] * 2
+
+
 def test_runs_of_frames_merge(spark):
     b = boxes(spark, [{"frame": f, "size": (50.0, 50.0, 50.0)} for f in (4, 5, 6, 9)])
     out = tracks.persistent(sizes.size_outlier(b)).orderBy("first_frame").collect()

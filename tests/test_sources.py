@@ -1,6 +1,7 @@
 import struct
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,7 +110,35 @@ def test_rigid_fit_finds_the_motion():
     a = rng.normal(size=(8, 2)) * 10
     r = np.array([[np.cos(0.3), -np.sin(0.3)], [np.sin(0.3), np.cos(0.3)]])
     got, shift = temporal.rigid_xy(a, a @ r.T + [2, -1])
-    assert np.allclose(got, r) and np.allclose(shift, [2, -1])
+    assert np.isclose(got, 0.3) and np.allclose(shift, [2, -1])
+
+
+def test_motion_against_wrong_tracks():
+    """Most tracks move together, some go their own way; too few in common give none."""
+    rng = np.random.default_rng(3)
+    p = np.column_stack([rng.normal(size=(12, 2)) * 20, np.zeros(12)])
+    q = temporal.Motion(0.4, (3.0, -1.0, 0.25)).of(p)
+    q[9:] += rng.normal(size=(3, 3)) * 30
+    way = temporal.motion_between(p, q, temporal.Registration())
+    assert np.isclose(way.angle, 0.4) and np.allclose(way.shift, (3.0, -1.0, 0.25))
+    assert temporal.motion_between(p[:5], q[:5], temporal.Registration()) is None
+    assert temporal.motion_between(p, rng.normal(size=(12, 3)) * 20, temporal.Registration()) is None
+    assert np.allclose(way.then(temporal.Motion(-0.1, (1.0, 2.0, 3.0))).of(p), temporal.Motion(-0.1, (1.0, 2.0, 3.0)).of(way.of(p)))
+
+
+def test_nearest_groups_against_a_plain_version():
+    rng = np.random.default_rng(5)
+    rows = pd.DataFrame({"frame_index": np.sort(rng.integers(1, 9, 60)), "candidate_id": [f"c{i:02}" for i in range(60)], "x": rng.integers(0, 6, 60) * 1.0, "y": rng.random(60), "z": np.where(np.arange(60) % 17, 0.0, np.nan)})
+    groups, want = [], []
+    for r in rows.itertuples():
+        open_groups = [(np.linalg.norm(np.mean([[m.x, m.y, m.z] for m in g], 0) - [r.x, r.y, r.z]), k) for k, g in enumerate(groups) if g[-1].frame_index != r.frame_index]
+        near = [x for x in open_groups if x[0] <= 1.0]
+        k = min(near)[1] if near else len(groups)
+        if k == len(groups):
+            groups.append([])
+        groups[k].append(r)
+        want.append(k)
+    assert temporal.nearest_groups(rows, 1.0)["group"].tolist() == want and temporal.nearest_groups(rows, 0.0)["group"].tolist() == list(range(60))
 
 
 def test_stationary_cluster_seen_from_a_moving_car(spark):
@@ -124,6 +153,10 @@ def test_stationary_cluster_seen_from_a_moving_car(spark):
     out = temporal.stationary_clusters(c, m).collect()
     assert {r["candidate_id"] for r in out if r["group"] is not None} == {"a"} and sum(r["group"] is not None for r in out) == 4
     assert all(r["group"] is None for r in out if r["candidate_id"] == "b")
+    # The candidate has one name in all frames; the member of most points stands for the group.
+    assert [(r["frame_index"], r["candidate_id"]) for r in out if r["group"] is not None and r["represents"]] == [(4, "a")]
+    assert temporal.dedup_statistics(temporal.stationary_clusters(c, m)).first().asDict() == {
+        "scene_id": "s", "raw_candidates": 8, "candidates": 5, "duplicate_groups": 1, "duplicate_observations": 4, "unregistered_frames": 0, "saved_calls": 3}
 
 
 def test_stream_equals_batch(spark, small, tmp_path):
