@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,7 +52,7 @@ def _gates(s: SparkSession, d: str) -> DataFrame:
 
 
 def _regions(s: SparkSession, d: str) -> DataFrame:
-    return projection.regions(projection.box_edge_points(X.boxes(s, d)), projection.with_inverse(projection.usable_cameras(X.cameras(s))))
+    return projection.regions(projection.box_spans(X.boxes(s, d), projection.with_inverse(projection.usable_cameras(X.cameras(s)))))
 
 
 def _best(s: SparkSession, d: str) -> DataFrame:
@@ -130,7 +129,6 @@ SELECT w.scene_id, w.frame_index, 'cluster_' || w."group" || CASE WHEN n > 1 THE
     WHEN volume < 0.001e0 THEN 'volume_low' WHEN volume > {GATES['max_volume']} THEN 'volume_high' WHEN flatness < {GATES['min_flatness']}e0 THEN 'flatness' ELSE '' END AS reject_reason
 FROM whole w JOIN (SELECT frame_index, "group", count(*) AS n FROM groups GROUP BY ALL) c ON c.frame_index = w.frame_index AND c."group" = w."group" """
 
-STEPS = np.linspace(-0.5, 0.5, projection.EDGE_SAMPLES)
 EDGE_SQL = f"""
 steps AS (SELECT i, -0.5e0 + i * {1 / (projection.EDGE_SAMPLES - 1)!r}e0 AS s FROM range(0, {projection.EDGE_SAMPLES}) t(i)),
 corners AS (SELECT * FROM (VALUES (0, -0.5e0), (1, 0.5e0)) t(k, c)),

@@ -93,9 +93,35 @@ def test_edge_points_and_region():
 def test_projection_of_a_unit_box(spark):
     box = spark.createDataFrame([("s", 1, 0, 10.0, 0.0, 1.5, 0.0, 0.0, 0.0, 1.0, 1.0, 1.0)], "scene_id string, frame_index int, bbox_index long, position_x double, position_y double, position_z double, rotation_x double, rotation_y double, rotation_z double, scale_x double, scale_y double, scale_z double")
     cams = projection.with_inverse(fixtures.cameras(spark).where("camera_id = 'cam_back_1' or camera_id = 'cam_front_1'"))
-    out = projection.regions(projection.box_edge_points(box), cams).collect()
+    out = projection.regions(projection.box_spans(box, cams)).collect()
     assert [(r["camera_id"], r["visible_points"], r["total_points"]) for r in out] == [("cam_front_1", 108, 108)]
     assert (out[0]["x1"] + out[0]["x2"], out[0]["y1"] + out[0]["y2"]) == (1920, 1080)
+    # The same points as a cluster's, and a picture of half the size.
+    points = projection.box_edge_points(box).groupBy("scene_id", "frame_index").agg(F.lit("c").alias("candidate_id"), F.collect_list(F.array("x", "y", "z")).alias("members"))
+    spans = projection.cluster_spans(points, cams.withColumn("scene_id", F.lit("s")))
+    assert [tuple(r[4:8]) for r in projection.regions(spans).collect()] == [tuple(r[4:8]) for r in out]
+    half = projection.regions(spans.withColumns({"image_width": F.lit(960), "image_height": F.lit(540)}), padding=4).first()
+    assert (half["x1"] + half["x2"], half["y1"] + half["y2"], half["width"]) == (960, 540, 960)
+    assert projection.cluster_spans(points, cams.withColumn("scene_id", F.lit("other"))).count() == 0
+
+
+def test_inverse_matrices(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(4):
+        q = np.linalg.qr(rng.normal(size=(3, 3)))[0]
+        rows.append((f"c{k}", np.vstack([np.column_stack([q, rng.normal(size=3)]), [0, 0, 0, 1]]).reshape(-1).tolist()))
+    rows += [("flat", [0.0] * 16), ("none", None)]
+    cams = spark.createDataFrame([(n, 10, 10, 1.0, 1.0, 0.0, 0.0, m) for n, m in rows], "camera_id string, width int, height int, fx double, fy double, cx double, cy double, extrinsic array<double>")
+    got = {r["camera_id"]: r["to_camera"] for r in projection.with_inverse(cams).collect()}
+    assert set(got) == {"c0", "c1", "c2", "c3"}
+    for n, m in rows[:4]:
+        assert np.allclose(got[n], np.linalg.inv(np.array(m).reshape(4, 4))[:3].reshape(-1))
+
+
+def test_pictures_meet_cameras(spark):
+    images = spark.createDataFrame([("s", 1, "CAM_front", "b.jpg", 5, 6), ("s", 1, "cam_front", "a.jpg", 7, 8), ("s", 1, "cam_roof", "r.jpg", 1, 1)], "scene_id string, frame_index int, asset_name string, path string, width int, height int")
+    assert [(r["camera_id"], r["path"], r["image_width"]) for r in projection.cameras_of_images(images, fixtures.cameras(spark)).collect()] == [("cam_front_1", "a.jpg", 7)]
 
 
 def test_dbscan_borders_and_noise(spark):
