@@ -3,36 +3,61 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lidaraudit.functions import columns as C
-from lidaraudit.operators.cloud import FRAME, shapes
+from lidaraudit.operators import hierarchy
+from lidaraudit.operators.cloud import FRAME, residual, shapes
+from lidaraudit.operators.temporal import spatial_groups
 
 
-def least_nodes(edges: pd.DataFrame) -> pd.DataFrame:
-    """Nodes of a frame's edges a-b, with the least node of their component."""
-    nodes, number = np.unique(edges[["a", "b"]].to_numpy(), return_inverse=True)
-    number = number.reshape(-1, 2)
+def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of edges a-b, and the least node of the component of each."""
+    nodes, number = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = number[: len(a)], number[len(a) :]
     root = np.arange(len(nodes))
     while True:
-        low = np.minimum(root[number[:, 0]], root[number[:, 1]])
+        low = np.minimum(root[x], root[y])
         new = root.copy()
-        np.minimum.at(new, root[number[:, 0]], low)
-        np.minimum.at(new, root[number[:, 1]], low)
+        np.minimum.at(new, root[x], low)
+        np.minimum.at(new, root[y], low)
         new = new[new]
         if (new == root).all():
-            break
+            return nodes, nodes[root]
         root = new
-    return pd.DataFrame({"scene_id": edges["scene_id"].iloc[0], "frame_index": edges["frame_index"].iloc[0], "node": nodes, "root": nodes[root]})
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges of a batch as stars, one row per node: frames are told apart by ranges of node numbers."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        frame = pa.StructArray.from_arrays([batch["scene_id"], batch["frame_index"]], ["s", "f"])
+        _, code = np.unique(np.array([f"{x['f']}/{x['s']}" for x in frame.to_pylist()]), return_inverse=True)
+        nodes, number = np.unique(np.column_stack([np.tile(code, 2), np.concatenate([batch["a"].to_numpy(), batch["b"].to_numpy()])]), axis=0, return_inverse=True)
+        at, root = roots(*number.reshape(2, -1))
+        _, first = np.unique(code, return_index=True)
+        row = pa.array(first[nodes[at, 0]])
+        yield pa.RecordBatch.from_arrays([batch["scene_id"].take(row), batch["frame_index"].take(row), pa.array(nodes[at, 1]), pa.array(nodes[root, 1])], ["scene_id", "frame_index", "a", "b"])
+
+
+def least_nodes(edges: pd.DataFrame) -> pd.DataFrame:
+    """Nodes of a frame's edges a-b, with the least node of their component."""
+    nodes, root = roots(edges["a"].to_numpy(), edges["b"].to_numpy())
+    return pd.DataFrame({"scene_id": edges["scene_id"].iloc[0], "frame_index": edges["frame_index"].iloc[0], "node": nodes, "root": root})
 
 
 def frame_components(edges: DataFrame) -> DataFrame:
-    """Components never leave a frame, so each frame's edges are one task's work."""
-    return edges.groupBy(*FRAME).applyInPandas(least_nodes, "scene_id string, frame_index int, node long, root long")
+    """Components never leave a frame; edges are shrunk to stars where they arise, then a frame's stars are one task's work."""
+    kinds = ", ".join(f"{c} {edges.schema[c].dataType.simpleString()}" for c in FRAME)
+    stars = edges.select(*FRAME, F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).mapInArrow(_stars, f"{kinds}, a long, b long")
+    return stars.groupBy(*FRAME).applyInPandas(least_nodes, "scene_id string, frame_index int, node long, root long")
 
 
 def neighbours(points: DataFrame, eps: float) -> DataFrame:
@@ -68,6 +93,32 @@ def dbscan(points: DataFrame, eps: float = 0.4, min_points: int = 5) -> DataFram
     return labelled.join(core, [*FRAME, "point_idx"], "left").select(*FRAME, "point_idx", F.coalesce("label", F.lit(-1)).alias("label"), F.coalesce("is_core", F.lit(False)).alias("core"))
 
 
+def hdbscan(points: DataFrame, min_cluster_size: int = 12, min_samples: int = 4, selection: str = "leaf") -> DataFrame:
+    """scene_id, frame_index, point_idx, label (-1: noise), confidence; each frame is one task's work.
+
+    Clusters are numbered by their least point. A frame with fewer points than min_samples is noise.
+    """
+    if selection not in ("leaf", "eom"):
+        raise ValueError(f"selection has to be leaf or eom, not {selection}")
+
+    def work(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("point_idx", ignore_index=True)
+        label, confidence = hierarchy.hdbscan(rows[list(C.AXES)].to_numpy(float), max(2, min_cluster_size), max(1, min_samples), selection)
+        return rows[[*FRAME, "point_idx"]].assign(label=label, confidence=confidence)
+
+    kinds = ", ".join(f"{c} {points.schema[c].dataType.simpleString()}" for c in (*FRAME, "point_idx"))
+    return points.select(*FRAME, "point_idx", *C.AXES).groupBy(*FRAME).applyInPandas(work, f"{kinds}, label int, confidence double")
+
+
+def clustered(points: DataFrame, method: str = "dbscan", eps: float = 0.4, min_points: int = 5, **options) -> DataFrame:
+    """scene_id, frame_index, point_idx, label, confidence by the method of that name (options: those of hdbscan)."""
+    if method == "hdbscan":
+        return hdbscan(points, **options)
+    if method != "dbscan":
+        raise ValueError(f"method has to be dbscan or hdbscan, not {method}")
+    return dbscan(points, eps, max(1, min_points)).select(*FRAME, "point_idx", "label", F.lit(1.0).alias("confidence"))
+
+
 def fragments(points: DataFrame, labels: DataFrame) -> DataFrame:
     """Bounds and shape of each cluster; noise is left out."""
     return shapes(points.join(labels.where("label >= 0"), [*FRAME, "point_idx"]), [*FRAME, "label"])
@@ -92,9 +143,29 @@ def merged_fragments(found: DataFrame, gaps: DataFrame) -> DataFrame:
     return found.select(*FRAME, F.col("label").cast("long").alias("label")).join(groups, [*FRAME, "label"], "left").withColumn("group", F.coalesce("group", "label"))
 
 
+def weak_groups(found: DataFrame, groups: DataFrame, most: float = 0.3, min_overlap: float = 0.05, min_points: int = 15, min_flatness: float = 0.25, min_thickness: float = 0.0) -> DataFrame:
+    """scene_id, frame_index, group: merged groups that fall apart without the gaps next to a weak fragment.
+
+    A fragment is weak if it has few points or is too flat or thin; a gap next to one is kept only if
+    the two overlap in plan. found: fragments(), groups: merged_fragments(). Pairs are those within a merged group.
+    """
+    own = found.join(groups, [*FRAME, "label"]).withColumn("weak", (F.col("points") < min_points) | (F.col("flatness") < min_flatness) | (F.col("thickness") < min_thickness))
+    columns = ["label", "weak", *[f"{m}_{x}" for m in ("min", "max") for x in "xy"]]
+    side = lambda p: own.select(*FRAME, "group", *[F.col(c).alias(f"{p}_{c}") for c in columns])
+    gap = lambda x: F.greatest(F.lit(0.0), F.col(f"a_min_{x}") - F.col(f"b_max_{x}"), F.col(f"b_min_{x}") - F.col(f"a_max_{x}"))
+    overlap = lambda x: F.least(F.col(f"a_max_{x}"), F.col(f"b_max_{x}")) - F.greatest(F.col(f"a_min_{x}"), F.col(f"b_min_{x}"))
+    least = max(0.0, min_overlap)
+    near = F.sqrt(gap("x") * gap("x") + gap("y") * gap("y")) <= most
+    reliable = ~(F.col("a_weak") | F.col("b_weak")) | ((overlap("x") >= least) & (overlap("y") >= least))
+    pairs = side("a").join(side("b"), [*FRAME, "group"]).where((F.col("a_label") < F.col("b_label")) & near & reliable)
+    parts = frame_components(pairs.select(*FRAME, F.col("a_label").alias("a"), F.col("b_label").alias("b"))).select(*FRAME, F.col("node").alias("label"), "root")
+    whole = groups.join(parts, [*FRAME, "label"], "left").withColumn("root", F.coalesce("root", "label"))
+    return whole.groupBy(*FRAME, "group").agg(F.countDistinct("root").alias("parts")).where("parts > 1").select(*FRAME, "group")
+
+
 def reject_reason(
     min_points: int = 15, max_base: float | None = 15.0, max_extent: float = 30.0, min_vertical: float = 0.3, max_aspect: float | None = 20.0,
-    low_height: float = 1.0, max_low_area: float | None = 12.0, min_volume: float = 0.001, max_volume: float = 200.0, min_flatness: float = 0.0, min_thickness: float = 0.0,
+    low_height: float = 1.0, max_low_area: float | None = 12.0, min_volume: float = 0.001, max_volume: float = 200.0, min_flatness: float = 0.0, min_thickness: float = 0.0, min_confidence: float = 0.0,
 ) -> Column:
     """The first gate that a candidate with the columns of shapes() fails, or null."""
     size = [F.col(f"max_{a}") - F.col(f"min_{a}") for a in C.AXES]
@@ -111,6 +182,7 @@ def reject_reason(
         (F.col("volume") > max_volume, "volume_high"),
         (F.col("flatness") < min_flatness, "flatness"),
         (F.col("thickness") < min_thickness, "thickness"),
+        (F.col("confidence") < min_confidence, "confidence"),
     ]
     reason = F.when(*(gates[0][0], F.lit(gates[0][1])))
     for failed, name in gates[1:]:
@@ -118,10 +190,78 @@ def reject_reason(
     return reason
 
 
-def candidates(points: DataFrame, labels: DataFrame, groups: DataFrame, **gates) -> DataFrame:
-    """Each merged group with its shape, name and reject_reason."""
-    members = points.join(labels.where("label >= 0").withColumn("label", F.col("label").cast("long")), [*FRAME, "point_idx"]).join(groups, [*FRAME, "label"])
-    counts = groups.groupBy(*FRAME, "group").agg(F.count("label").alias("fragments"))
+def candidates(points: DataFrame, labels: DataFrame, groups: DataFrame, high_confidence: float = 0.8, **gates) -> DataFrame:
+    """Each merged group with its shape, name, confidence (mean over its points), status and reject_reason."""
+    sure = labels if "confidence" in labels.columns else labels.withColumn("confidence", F.lit(1.0))
+    inside = sure.where("label >= 0").select(*FRAME, "point_idx", F.col("label").cast("long").alias("label"), "confidence")
+    members = points.select(*FRAME, "point_idx", *C.AXES).join(inside, [*FRAME, "point_idx"]).join(groups, [*FRAME, "label"])
+    counts = members.groupBy(*FRAME, "group").agg(F.countDistinct("label").alias("fragments"), F.avg("confidence").alias("confidence"))
     whole = shapes(members, [*FRAME, "group"]).join(counts, [*FRAME, "group"])
     name = F.when(F.col("fragments") == 1, F.concat(F.lit("cluster_"), "group")).otherwise(F.concat(F.lit("cluster_"), "group", F.lit("_m"), "fragments"))
-    return whole.withColumns({"cluster_id": name, "reject_reason": reject_reason(**gates)})
+    status = F.when(F.col("confidence") >= high_confidence, "Possible Missing Annotation").otherwise("Suspicious Residual Cluster")
+    return whole.withColumns({"cluster_id": name, "status": status, "reject_reason": reject_reason(**gates)})
+
+
+#: Reasons for which a rejected group may be judged by its fragments.
+TOO_LARGE = ("extent", "volume_high")
+
+
+def merged_candidates(
+    points: DataFrame, labels: DataFrame, merge: dict | None = None, weak: dict | None = None, keep_fragments: bool = False, **gates,
+) -> DataFrame:
+    """Clusters merged to candidates and judged: candidates(), without groups that depend on weak gaps.
+
+    merge: arguments of fragment_gaps; weak: those of weak_groups, None to keep all groups; keep_fragments: the
+    fragments of merged groups that are too large are judged apart, and those that pass stay.
+    """
+    merge = {} if merge is None else merge
+    found = fragments(points, labels).withColumn("label", F.col("label").cast("long"))
+    groups = merged_fragments(found, fragment_gaps(found, **merge))
+    if weak is not None:
+        groups = groups.join(weak_groups(found, groups, **{"most": merge.get("most", 0.3)} | weak), [*FRAME, "group"], "left_anti").select(*FRAME, "label", "group")
+    judged = candidates(points, labels, groups, **gates)
+    if not keep_fragments:
+        return judged
+    large = judged.where(F.col("reject_reason").isin(*TOO_LARGE) & (F.col("fragments") > 1)).select(*FRAME, "group")
+    alone = groups.join(large, [*FRAME, "group"], "left_semi").select(*FRAME, "label", F.col("label").alias("group"))
+    return judged.unionByName(candidates(points, labels, alone, **gates).where("reject_reason is null"))
+
+
+def numbered_voxels(means: DataFrame) -> DataFrame:
+    """Voxels with point_idx, their place in the frame in order of x, y and z: what clusters are numbered by."""
+    return means.withColumn("point_idx", F.row_number().over(Window.partitionBy(*FRAME).orderBy("vx", "vy", "vz")).cast("long") - 1)
+
+
+def detect_clusters(points: DataFrame, boxes: DataFrame, clouds: dict | None = None, clusters: dict | None = None, **rest) -> DataFrame:
+    """Candidates for boxes that are missing: what no box explains, as voxels, clustered, merged and judged.
+
+    clouds: arguments of cloud.residual, clusters: those of clustered(), rest: those of merged_candidates. Only candidates
+    that pass all gates are given, with candidate_no, their place in the frame by number of their first cluster.
+    """
+    voxels = numbered_voxels(residual(points, boxes, **({} if clouds is None else clouds)))
+    labels = clustered(voxels, **({"method": "hdbscan"} if clusters is None else clusters))
+    passed = merged_candidates(voxels, labels, **rest).where("reject_reason is null")
+    place = F.row_number().over(Window.partitionBy(*FRAME).orderBy("group", "fragments")) - 1
+    return passed.withColumn("candidate_no", place).drop("reject_reason")
+
+
+def members_of(points: DataFrame, labels: DataFrame, groups: DataFrame) -> DataFrame:
+    """scene_id, frame_index, group, members: the points of each group as an array of arrays x, y, z, for projection.cluster_spans."""
+    inside = labels.where("label >= 0").select(*FRAME, "point_idx", F.col("label").cast("long").alias("label"))
+    return points.join(inside, [*FRAME, "point_idx"]).join(groups, [*FRAME, "label"]).groupBy(*FRAME, "group").agg(F.collect_list(F.array(*C.AXES)).alias("members"))
+
+
+def possible_missing(found: DataFrame, distance: float = 1.0) -> DataFrame:
+    """Findings on clusters of detect_clusters: those near one another in different frames are one, told by its first."""
+    rows = found.select("*", F.col("cluster_id").alias("candidate_id"), *[F.col(f"mean_{a}").alias(a) for a in C.AXES])
+    grouped = spatial_groups(rows.select("scene_id", "frame_index", "candidate_id", "candidate_no", *C.AXES), distance).withColumnRenamed("group", "group_no")
+    order = F.struct("frame_index", "candidate_no")
+    first = lambda c: F.min_by(c, order).alias(c)
+    one = rows.join(grouped, ["scene_id", "frame_index", "candidate_id"]).groupBy("scene_id", F.col("group_no")).agg(
+        F.min("frame_index").alias("first_frame"), F.max("frame_index").alias("last_frame"), F.count("candidate_id").alias("occurrence_count"),
+        F.sort_array(F.collect_list("frame_index")).alias("frames"), *[first(c) for c in ("candidate_no", "status", "points", "volume", "confidence", "thickness", "fragments", *C.AXES)])
+    text = F.format_string("points=%d, center=(%.2f, %.2f, %.2f), confidence=%.4f, thickness=%.4f, fragments=%d, frames=%s", "points", *C.AXES, "confidence", "thickness", "fragments", F.array_join(F.col("frames").cast("array<string>"), ","))
+    return one.select(
+        "scene_id", F.col("first_frame").alias("frame_index"), F.format_string("residual_cluster_%d_%d", "first_frame", "candidate_no").alias("track_id"),
+        F.format_string("cluster_%d", "candidate_no").alias("bbox_index"), F.lit("").alias("label"), F.lit("PossibleMissingAnnotation").alias("rule_id"), F.lit("Warning").alias("severity"),
+        "first_frame", "last_frame", "occurrence_count", F.col("confidence").alias("value"), F.col("status").alias("message"), text.alias("evidence"))

@@ -41,6 +41,7 @@ def _fragments(s: SparkSession, d: str) -> DataFrame:
 
 
 MERGE = {"most": 6.0, "max_z_gap": 4.0, "min_overlap": 0.5}
+WEAK_POINTS = 10
 GATES = {"min_points": 6, "max_aspect": 4.0, "max_volume": 3000.0, "min_flatness": 0.2, "low_height": 5.0}
 
 
@@ -173,7 +174,32 @@ best AS (
   FROM ranked r JOIN keyed k ON CAST(k.bbox_index AS VARCHAR) = candidate_id)
 SELECT scene_id, track_id, frame_index, candidate_id, good_views, CAST(good_points AS BIGINT) AS good_points, CAST(all_points AS BIGINT) AS all_points FROM best WHERE n = 1"""
 
+WEAK = f"""{GROUPS}, marked AS (
+  SELECT s.frame_index, g."group", CAST(s.label AS BIGINT) AS label, min_x, min_y, max_x, max_y, points < {WEAK_POINTS} OR flatness < 0.25e0 AS weak FROM shapes s JOIN groups g ON g.frame_index = s.frame_index AND g.label = s.label),
+firm AS (
+  SELECT a.frame_index, a.label AS a, b.label AS b FROM marked a JOIN marked b ON a.frame_index = b.frame_index AND a."group" = b."group" AND a.label <> b.label
+  WHERE sqrt(greatest(0, a.min_x - b.max_x, b.min_x - a.max_x)**2 + greatest(0, a.min_y - b.max_y, b.min_y - a.max_y)**2) <= {MERGE['most']}
+    AND (NOT (a.weak OR b.weak) OR (least(a.max_x, b.max_x) - greatest(a.min_x, b.min_x) >= 0.05e0 AND least(a.max_y, b.max_y) - greatest(a.min_y, b.min_y) >= 0.05e0))),
+held AS (SELECT frame_index, a, b FROM firm UNION SELECT h.frame_index, h.a, f.b FROM held h JOIN firm f ON h.frame_index = f.frame_index AND h.b = f.a),
+parts AS (SELECT m.frame_index, m."group", least(m.label, coalesce(min(h.b), m.label)) AS root FROM marked m LEFT JOIN held h ON h.frame_index = m.frame_index AND h.a = m.label GROUP BY m.frame_index, m."group", m.label)
+SELECT '0' AS scene_id, frame_index, "group" FROM parts GROUP BY frame_index, "group" HAVING count(DISTINCT root) > 1"""
+
+
+def _weak(s: SparkSession, d: str) -> DataFrame:
+    found = _fragments(s, d).withColumn("label", F.col("label").cast("long"))
+    return cluster.weak_groups(found, cluster.merged_fragments(found, cluster.fragment_gaps(found, **MERGE)), MERGE["most"], min_points=WEAK_POINTS)
+
+
+def _detected(s: SparkSession, d: str) -> DataFrame:
+    """Candidates of the production method on voxels of the test points."""
+    return cluster.detect_clusters(X.points(s, d), _boxes(s, d), {"side": SIDE}, {"method": "hdbscan", "min_cluster_size": 6, "min_samples": 3}, merge={"most": 1.0}, weak={"min_points": 6, "min_flatness": 0.05}, min_points=6, max_low_area=None, max_volume=1e9, max_extent=200.0)
+
+
 QUERIES = {
+    "weak_groups": _weak,
+    "hdbscan_labels": lambda s, d: cluster.hdbscan(X.dense_points(s, d), 6, 3, "eom"),
+    "detect_clusters": _detected,
+    "possible_missing_annotation": lambda s, d: cluster.possible_missing(_detected(s, d), 5.0),
     "residual_points": lambda s, d: _outside(s, d).select("scene_id", "frame_index", "point_idx"),
     "voxel_means": lambda s, d: _rounded(_means(s, d), "x", "y", "z", digits=8),
     "above_ground_means": lambda s, d: cloud.above_ground(_means(s, d), 0.3).groupBy("scene_id", "frame_index").agg(F.count("x").alias("voxels"), F.sum("points").alias("points")),
@@ -191,6 +217,7 @@ QUERIES = {
     "best_view_of_track": lambda s, d: _best(s, d).select("scene_id", "track_id", "frame_index", "candidate_id", "good_views", "good_points", "all_points"),
 }
 ORACLE = {
+    "weak_groups": WEAK,
     "residual_points": f"{OUTSIDE} SELECT scene_id, frame_index, point_idx FROM outside",
     "voxel_means": f"{MEANS} SELECT scene_id, frame_index, vx, vy, vz, points, round(x, 8) AS x, round(y, 8) AS y, round(z, 8) AS z FROM means",
     "above_ground_means": f"{MEANS} SELECT scene_id, frame_index, count(*) AS voxels, CAST(sum(points) AS BIGINT) AS points FROM means WHERE z > 0.3e0 GROUP BY ALL",
