@@ -37,12 +37,14 @@ def with_status(found: DataFrame, pcds: int = 1, jpgs: int = JPGS) -> DataFrame:
 
 
 def slots(assets: DataFrame, found: DataFrame, jpgs: int = JPGS) -> DataFrame:
-    """The address of the first cloud and of the first pictures of each frame, in order of arrival and address."""
+    """The addresses of each frame's clouds, joined by `;` so that none is lost, and of its first pictures, in order of arrival and address; with counts and status."""
+    clouds = F.transform(F.sort_array(F.collect_list(F.when(F.col("kind") == "pcd", F.struct("arrival_ts", "url")))), lambda x: x["url"])
     order = Window.partitionBy("scene_id", "group_key", "kind").orderBy("arrival_ts", "url")
-    numbered = assets.withColumn("n", F.row_number().over(order)).where(F.col("n") <= jpgs)
-    pick = lambda kind, k: F.max(F.when((F.col("kind") == kind) & (F.col("n") == k), F.col("url")))
-    wide = numbered.groupBy("scene_id", "group_key").agg(pick("pcd", 1).alias("pcd_url"), *[pick("jpg", k).alias(f"jpg_url_{k}") for k in range(1, jpgs + 1)])
-    return found.select("scene_id", "group_key", "frame_index").join(wide, ["scene_id", "group_key"])
+    numbered = assets.withColumn("n", F.row_number().over(order)).where((F.col("kind") == "pcd") | (F.col("n") <= jpgs))
+    pick = lambda k: F.max(F.when((F.col("kind") == "jpg") & (F.col("n") == k), F.col("url")))
+    wide = numbered.groupBy("scene_id", "group_key").agg(F.array_join(clouds, ";").alias("pcd_url"), *[pick(k).alias(f"jpg_url_{k}") for k in range(1, jpgs + 1)])
+    told = with_status(found, jpgs=jpgs).select("scene_id", "group_key", "frame_index", "pcd_count", "jpg_count", "status", "warning")
+    return told.join(wide, ["scene_id", "group_key"])
 
 
 def late(assets: DataFrame, found: DataFrame, settle: str = "30 minutes") -> DataFrame:

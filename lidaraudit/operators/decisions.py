@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -133,12 +134,12 @@ def wrong_votes(parsed: DataFrame, aliases: dict[str, str], least: float = WRONG
 
 
 def consensus(votes: DataFrame, min_votes: int = MIN_VOTES, min_share: float = MIN_SHARE) -> DataFrame:
-    """One finding for each object whose answers agree often enough; ties go to the greater rule and category."""
+    """One row for each object whose answers agree often enough, with its surest answer; ties go to the greater rule and category."""
     track = ["scene_id", "track_id"]
     # Answers without a vote fall out by their count: a filter on the rule would be pushed down and repeat the parsing.
     counted = votes.groupBy(*track, "vote_rule", "vote_category").agg(
-        F.count("vote_rule").alias("n"), F.max_by("candidate_id", F.struct(F.col("confidence"), -F.col("frame_index"))).alias("candidate_id")).where("n > 0")
-    won = counted.groupBy(*track).agg(F.max(F.struct("n", "vote_rule", "vote_category", "candidate_id")).alias("w"))
+        F.count("vote_rule").alias("n"), F.max_by(F.struct("candidate_id", "frame_index"), F.struct(F.col("confidence"), -F.col("frame_index"))).alias("best")).where("n > 0")
+    won = counted.groupBy(*track).agg(F.max(F.struct("n", "vote_rule", "vote_category", F.col("best.candidate_id").alias("candidate_id"), F.col("best.frame_index").alias("candidate_frame"))).alias("w"))
     all_votes = votes.groupBy(*track).agg(F.count("candidate_id").alias("observations"))
     joined = won.join(all_votes, track).select(*track, "w.*", "observations").withColumn("share", F.col("n") / F.col("observations"))
     return joined.where((F.col("n") >= min_votes) & (F.col("share") >= min_share))
@@ -162,6 +163,16 @@ def size_gate(candidates: DataFrame, categories: DataFrame, dimensions: DataFram
     return joined.withColumn("gate_reason", reason).withColumn("gate_accepts", F.col("gate_reason").isin("no_fixed_reference", "within_reference_multiplier")).drop("name", "refs")
 
 
+def public_metadata(metadata: Column) -> Column:
+    """The entries that a model is shown: names that begin with `_` are for the library alone."""
+    return F.map_filter(metadata, lambda k, v: ~k.startswith("_"))
+
+
+def answer_status(parsed: DataFrame) -> DataFrame:
+    """verified or error for each parsed answer; skipped where no answer was asked for (response is null)."""
+    return parsed.withColumn("status", F.when(F.col("response").isNull(), "skipped").when(F.col("error").isNull(), "verified").otherwise("error"))
+
+
 def missing_outcome(gated: DataFrame, least: float = MISSING_CONFIDENCE) -> DataFrame:
     """outcome of each parsed answer on a missing box: the first test that it fails, or accepted."""
     outcome = (
@@ -176,6 +187,19 @@ def cache_key(*parts: Column) -> Column:
     return F.sha2(F.to_json(F.struct(*parts)), 256)
 
 
+def request_keys(requests: DataFrame, pictures: DataFrame, **settings: str) -> DataFrame:
+    """requests (scene_id, frame_index, candidate_id, metadata as text) with the key of their answer.
+
+    It covers the settings (model, provider, address, hashes of the prompt and of the categories, aliases), the metadata, and names
+    and contents of all pictures: scene_id, frame_index, candidate_id, name, content.
+    """
+    own = ["scene_id", "frame_index", "candidate_id"]
+    seen = pictures.groupBy(*own).agg(F.sort_array(F.collect_list(F.struct("name", F.sha2("content", 256).alias("sha256")))).alias("pictures"))
+    fixed = [F.lit(v).alias(k) for k, v in sorted(settings.items())]
+    joined = requests.join(seen, own, "left").withColumn("key", cache_key(*fixed, F.col("metadata"), F.coalesce("pictures", F.array()).alias("pictures")))
+    return joined.drop("pictures")
+
+
 def cached(requests: DataFrame, cache: DataFrame) -> DataFrame:
     """Requests with the stored answer of the same key, if it was verified; hit tells which need no call."""
     newest = cache.where("status = 'verified'").groupBy("key").agg(F.max_by("response", "stored_at").alias("cached_response"))
@@ -183,13 +207,34 @@ def cached(requests: DataFrame, cache: DataFrame) -> DataFrame:
 
 
 def diverse_sample(candidates: DataFrame, groups: dict[str, Column], limit: int) -> DataFrame:
-    """At most limit candidates of a scene, taken in turn from overlapping groups, each candidate once.
+    """At most limit candidates of a scene, taken in turn from overlapping groups, each candidate once: with group_no and turn, from 1.
 
-    A candidate counts for the first group, in order, that lists it; ranks within groups are what turns go by.
+    In each round every group, in order, gives its next candidate (by frame and id) that hasn't been taken yet. A group
+    passes over at most limit candidates that others took, so its first 2 * limit are all that matters: they
+    are one task's work for each scene. Without a limit, or where there are no more candidates, all are taken, in order.
     """
+    ordered = candidates.withColumn("place", F.row_number().over(Window.partitionBy("scene_id").orderBy("frame_index", "candidate_id")))
+    if limit <= 0:
+        return ordered.withColumns({"group_no": F.lit(None).cast("int"), "turn": F.col("place")}).drop("place")
+    ordered = ordered.withColumn("many", F.count("place").over(Window.partitionBy("scene_id")))
     member = F.array_compact(F.array(*[F.when(test, F.lit(k)) for k, test in enumerate(groups.values())]))
-    listed = candidates.withColumn("group_no", F.try_element_at(member, F.lit(1))).where("group_no is not null")
-    rank = F.row_number().over(Window.partitionBy("scene_id", "group_no").orderBy("frame_index", "candidate_id"))
-    turn = F.row_number().over(Window.partitionBy("scene_id").orderBy("rank", "group_no"))
-    ranked = listed.withColumn("rank", rank).withColumn("turn", turn)
-    return ranked if limit <= 0 else ranked.where(F.col("turn") <= limit)
+    listed = ordered.where(F.col("many") > limit).select("scene_id", "place", F.explode(member).alias("group_no"))
+    rank = F.row_number().over(Window.partitionBy("scene_id", "group_no").orderBy("place"))
+    short = listed.withColumn("rank", rank).where(F.col("rank") <= 2 * limit).drop("rank")
+    turns = short.groupBy("scene_id").applyInPandas(lambda rows: in_turn(rows, limit), "scene_id string, place int, group_no int, turn int")
+    few = ordered.where(F.col("many") <= limit).select("scene_id", "place", F.lit(None).cast("int").alias("group_no"), F.col("place").alias("turn"))
+    return ordered.drop("many").join(turns.unionByName(few), ["scene_id", "place"]).drop("place")
+
+
+def in_turn(rows: pd.DataFrame, limit: int) -> pd.DataFrame:
+    """Round robin over the groups of one scene: place, group_no to group_no, turn of those taken."""
+    queues = {g: iter(sorted(own["place"])) for g, own in sorted(rows.groupby("group_no"))}
+    taken: dict[int, int] = {}
+    while queues and len(taken) < limit:
+        for g in list(queues):
+            place = next((p for p in queues[g] if p not in taken), None)
+            if place is None:
+                del queues[g]
+            elif len(taken) < limit:
+                taken[place] = g
+    return pd.DataFrame({"scene_id": rows["scene_id"].iloc[0], "place": list(taken), "group_no": list(taken.values()), "turn": range(1, len(taken) + 1)})

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lidaraudit.operators import assets, decisions
+from lidaraudit.operators import assets, decisions, verdicts
 from lidaraudit.operators.tracks import keyed
+from lidaraudit.plans import rules
 from lidaraudit.sources import fixtures as X
+from lidaraudit.sources import tables
 
 ALLOWED = ["view", "click", "purchase", "signup"]
 ALIASES = {"error": "purchase", "signup": "sign up"}
@@ -116,6 +118,27 @@ def _assets(s: SparkSession, d: str) -> DataFrame:
     return assets.classified(asset_events(s, d))
 
 
+def _calls(s: SparkSession, d: str) -> DataFrame:
+    """Made-up calls: every other box a cluster, every fourth from the cache, some tried more than once."""
+    n = F.col("n")
+    told = answers(s, d).withColumn("n", F.substring("candidate_id", 2, 20).cast("long"))
+    return told.select(
+        "scene_id", F.when(n % 2 == 0, "existing_bbox").otherwise("residual_cluster").alias("candidate_type"),
+        F.when(n % 10 == 3, "error").when(n % 10 == 7, "skipped").otherwise("verified").alias("status"), (n % 4 == 0).alias("cache_hit"),
+        F.when(n % 10 == 7, 0).otherwise(1 + n % 3).alias("attempts"), (n % 7 / 2).alias("seconds"), F.lit(1.5).alias("cached_seconds"))
+
+
+def _counters(s: SparkSession, d: str) -> DataFrame:
+    out = verdicts.review_counters(_calls(s, d), _gated(s, d), _votes(s, d), mode="track_consensus", min_votes=2, min_share=0.05)
+    return out.select("scene_id", *COUNTERS)
+
+
+COUNTERS = (
+    "total_test_clusters", "total_wrong_annotation_candidates", "api_failures", "api_skipped", "vision_cache_hits", "missing_cache_hits", "wrong_cache_hits", "missing_api_requests", "wrong_api_requests",
+    "api_attempts", "api_retries", "api_elapsed_seconds", "estimated_cache_saved_seconds", "uncertain", "ai_out_of_scope", "ai_real_objects", "ai_background_or_noise", "category_size_rejected",
+    "wrong_inconsistent_rejected", "wrong_unknown", "wrong_consensus_rejected", "wrong_label_mismatches", "wrong_bbox_mismatches", "wrong_report_findings", "report_findings", "api_requests")
+
+
 def _slots(s: SparkSession, d: str) -> DataFrame:
     a = _assets(s, d)
     return assets.slots(a, assets.groups(a))
@@ -126,13 +149,24 @@ def _late(s: SparkSession, d: str) -> DataFrame:
     return assets.late(a, assets.groups(a)).select("scene_id", "frame_index", "url")
 
 
+def _full_report(s: SparkSession, d: str) -> DataFrame:
+    """Rules, then failed frames, then what the model found, as the report has them: nothing is merged or sorted again."""
+    judged = verdicts.with_messages(rules.run_rules(s, d))
+    return tables.report_rows(judged).unionByName(tables.report_rows(verdicts.vision_findings(_votes(s, d), _gated(s, d)))).select(
+        "scene_id", F.col("frame_index").cast("int").alias("frame_index"), "track_id", "bbox_index", "label", "rule_id", F.col("occurrence_count").cast("long").alias("occurrence_count"))
+
+
 QUERIES = {
     "parse_wrong_answer": lambda s, d: decisions.parse_wrong(answers(s, d), ALLOWED).select("candidate_id", F.coalesce("error", F.lit("")).alias("error"), "label_match", "bbox_match", "suggested_category", "confidence", "in_scope"),
     "parse_missing_answer": lambda s, d: decisions.parse_missing(answers(s, d), ALLOWED).select("candidate_id", F.coalesce("error", F.lit("")).alias("error"), "contains_real_object", "missing_annotation_suspected", "possible_category", "confidence"),
     "wrong_votes": lambda s, d: _votes(s, d).select("candidate_id", "vote_reason", F.coalesce("vote_rule", F.lit("")).alias("vote_rule"), F.coalesce("vote_category", F.lit("")).alias("vote_category")),
-    "wrong_consensus": lambda s, d: decisions.consensus(_votes(s, d), 2, 0.05).drop("candidate_id").withColumn("share", F.round("share", 6)),
+    "wrong_consensus": lambda s, d: decisions.consensus(_votes(s, d), 2, 0.05).drop("candidate_id", "candidate_frame").withColumn("share", F.round("share", 6)),
     "category_size_gate": lambda s, d: _gated(s, d).where("error is null").select("candidate_id", "gate_reason"),
     "missing_outcomes": lambda s, d: _gated(s, d).select("candidate_id", "outcome"),
+    "vision_findings": lambda s, d: verdicts.vision_findings(_votes(s, d), _gated(s, d)).select("scene_id", "frame_index", "track_id", "bbox_index", "label", "rule_id", "message", "possible_category", "ai_confidence", "occurrence_count"),
+    "consensus_findings": lambda s, d: verdicts.wrong_findings(_votes(s, d), "track_consensus", 2, 0.05).select("scene_id", "track_id", "frame_index", "bbox_index", "rule_id", "ai_confidence"),
+    "review_counters": _counters,
+    "full_report": _full_report,
     "review_statistics": lambda s, d: _gated(s, d).groupBy("scene_id").pivot("outcome", ["error", "out_of_scope", "background", "not_suspected", "low_confidence", "size_rejected", "accepted"]).count().na.fill(0),
     "cache_keys": lambda s, d: answers(s, d).select("candidate_id", decisions.cache_key(F.lit("model").alias("model"), F.col("candidate_id"), F.col("label")).alias("key")),
     "asset_groups": lambda s, d: assets.with_status(assets.groups(_assets(s, d))).select("scene_id", "frame_index", "group_key", "pcd_count", "jpg_count", "status", "warning"),
@@ -140,7 +174,39 @@ QUERIES = {
     "late_assets": _late,
     "quiet_periods": lambda s, d: assets.quiet_periods(_assets(s, d)).groupBy("scene_id").agg(F.count("assets").alias("periods"), F.max("assets").alias("longest"), F.sum("assets").alias("assets")),
 }
+FOUND_SQL = BASE + """, told AS (
+  SELECT scene_id, frame_index, track_id, candidate_id AS bbox_index, label, vote_rule AS rule_id, category AS possible_category, conf,
+    CASE vote_rule WHEN 'VisionBBoxMismatch' THEN 'AI-confirmed BBox does not cover the labelled target' ELSE 'AI-confirmed annotation label mismatch' END AS message FROM ruled WHERE vote_rule IS NOT NULL
+  UNION ALL SELECT scene_id, frame_index, 'vision_cluster_' || frame_index || '_' || candidate_id, candidate_id, category, 'PossibleMissingAnnotation', category, conf, 'AI-confirmed possible missing annotation' FROM outcomes WHERE outcome = 'accepted')"""
+CALLS_SQL = """, calls AS (
+  SELECT scene_id, n % 2 = 0 AS box, CASE n % 10 WHEN 3 THEN 'error' WHEN 7 THEN 'skipped' ELSE 'verified' END AS status, n % 4 = 0 AS hit, CASE n % 10 WHEN 7 THEN 0 ELSE 1 + n % 3 END AS attempts, (n % 7) / 2e0 AS seconds FROM raw),
+asked AS (SELECT *, NOT hit AND attempts > 0 AS asked FROM calls),
+c AS (
+  SELECT scene_id, count(*) FILTER (NOT box) AS total_test_clusters, count(*) FILTER (box) AS total_wrong_annotation_candidates, count(*) FILTER (status = 'error') AS api_failures, count(*) FILTER (status = 'skipped') AS api_skipped,
+    count(*) FILTER (hit) AS vision_cache_hits, count(*) FILTER (hit AND NOT box) AS missing_cache_hits, count(*) FILTER (hit AND box) AS wrong_cache_hits, count(*) FILTER (asked AND NOT box) AS missing_api_requests, count(*) FILTER (asked AND box) AS wrong_api_requests,
+    CAST(coalesce(sum(attempts) FILTER (asked), 0) AS BIGINT) AS api_attempts, CAST(coalesce(sum(attempts - 1) FILTER (asked), 0) AS BIGINT) AS api_retries, coalesce(sum(seconds) FILTER (asked), 0) AS api_elapsed_seconds, 1.5e0 * count(*) FILTER (hit) AS estimated_cache_saved_seconds
+  FROM asked GROUP BY scene_id),
+unsure AS (SELECT *, error IS NULL AND (category = 'unknown' OR conf < 0.92e0) AS vague FROM outcomes),
+m AS (
+  SELECT scene_id, count(*) FILTER (vague) AS uncertain, count(*) FILTER (error IS NULL AND NOT vague AND NOT scope) AS ai_out_of_scope, count(*) FILTER (error IS NULL AND NOT vague AND scope AND object) AS ai_real_objects,
+    count(*) FILTER (error IS NULL AND NOT vague AND (NOT scope OR NOT object)) AS ai_background_or_noise, count(*) FILTER (outcome = 'size_rejected') AS category_size_rejected, count(*) FILTER (outcome = 'accepted') AS accepted
+  FROM unsure GROUP BY scene_id),
+per AS (SELECT scene_id, track_id, count(*) AS observations, count(vote_rule) AS voted, count(*) FILTER (vote_reason = 'model_response_internally_inconsistent') AS odd FROM ruled GROUP BY ALL),
+counted AS (SELECT scene_id, track_id, vote_rule, vote_category, count(*) AS n FROM ruled WHERE vote_rule IS NOT NULL GROUP BY ALL),
+won AS (SELECT * FROM counted QUALIFY row_number() OVER (PARTITION BY scene_id, track_id ORDER BY n DESC, vote_rule DESC, vote_category DESC) = 1),
+per2 AS (SELECT p.*, CASE WHEN w.n >= 2 AND w.n / p.observations >= 0.05e0 THEN w.vote_rule END AS rule FROM per p LEFT JOIN won w ON w.scene_id = p.scene_id AND w.track_id = p.track_id),
+w AS (
+  SELECT scene_id, CAST(sum(odd) AS BIGINT) AS wrong_inconsistent_rejected, count(*) FILTER (rule IS NULL AND voted = 0) AS wrong_unknown, count(*) FILTER (rule IS NULL AND voted > 0) AS wrong_consensus_rejected,
+    count(*) FILTER (rule = 'VisionLabelMismatch') AS wrong_label_mismatches, count(*) FILTER (rule = 'VisionBBoxMismatch') AS wrong_bbox_mismatches, count(rule) AS wrong_report_findings
+  FROM per2 GROUP BY scene_id)
+SELECT c.*, m.* EXCLUDE (scene_id, accepted), w.* EXCLUDE (scene_id), accepted + wrong_report_findings AS report_findings, missing_api_requests + wrong_api_requests AS api_requests
+FROM c JOIN m ON m.scene_id = c.scene_id JOIN w ON w.scene_id = c.scene_id"""
+FULL = "scene_id, frame_index, track_id, bbox_index, label, rule_id, occurrence_count"
 ORACLE = {
+    "vision_findings": FOUND_SQL + " SELECT * EXCLUDE (conf), printf('%.4f', conf) AS ai_confidence, 1::BIGINT AS occurrence_count FROM told",
+    "consensus_findings": BASE + COUNTED.replace("SELECT w.scene_id, w.track_id, vote_rule, vote_category, w.n, o.observations, round(w.n / o.observations, 6) AS share", "SELECT w.scene_id, w.track_id, r.frame_index, r.candidate_id AS bbox_index, w.vote_rule AS rule_id, printf('%.4f', r.conf) AS ai_confidence").replace("WHERE place = 1", "JOIN ruled r ON r.candidate_id = w.candidate_id WHERE place = 1"),
+    "review_counters": BASE + CALLS_SQL,
+    "full_report": f"SELECT {FULL} FROM ({rules.ALL_SQL} SELECT {FULL} FROM report) UNION ALL SELECT {FULL} FROM ({FOUND_SQL} SELECT *, 1 AS occurrence_count FROM told)",
     "parse_wrong_answer": BASE + " SELECT candidate_id, coalesce(error, '') AS error, CASE WHEN error IS NULL THEN lm END AS label_match, CASE WHEN error IS NULL THEN bm END AS bbox_match, CASE WHEN error IS NULL THEN category END AS suggested_category, CASE WHEN error IS NULL THEN conf END AS confidence, CASE WHEN error IS NULL THEN scope END AS in_scope FROM wrong",
     "parse_missing_answer": BASE + " SELECT candidate_id, coalesce(error, '') AS error, CASE WHEN error IS NULL THEN object END AS contains_real_object, CASE WHEN error IS NULL THEN suspected AND scope END AS missing_annotation_suspected, CASE WHEN error IS NULL THEN category END AS possible_category, CASE WHEN error IS NULL THEN conf END AS confidence FROM missing",
     "wrong_votes": BASE + " SELECT candidate_id, vote_reason, coalesce(vote_rule, '') AS vote_rule, coalesce(vote_category, '') AS vote_category FROM ruled",
@@ -152,7 +218,9 @@ ORACLE = {
     "asset_groups": ASSETS + """ SELECT scene_id, frame_index, group_key, pcd_count, jpg_count, CASE WHEN pcd_count = 1 AND jpg_count = 5 THEN 'ok' ELSE 'warning' END AS status,
   concat_ws('; ', CASE WHEN pcd_count <> 1 THEN 'pcd ' || pcd_count || '/1' END, CASE WHEN jpg_count <> 5 THEN 'jpg ' || jpg_count || '/5' END) AS warning FROM claimed""",
     "asset_slots": ASSETS + """, numbered AS (SELECT *, row_number() OVER (PARTITION BY scene_id, group_key, kind ORDER BY arrival_ts, url) AS n FROM addressed)
-SELECT c.scene_id, c.group_key, c.frame_index, min(url) FILTER (kind = 'pcd') AS pcd_url, """ + ", ".join(f"min(url) FILTER (kind = 'jpg' AND n = {k}) AS jpg_url_{k}" for k in range(1, 6)) + " FROM claimed c JOIN numbered n ON n.scene_id = c.scene_id AND n.group_key = c.group_key GROUP BY ALL",
+SELECT c.scene_id, c.group_key, c.frame_index, c.pcd_count, c.jpg_count, CASE WHEN pcd_count = 1 AND jpg_count = 5 THEN 'ok' ELSE 'warning' END AS status,
+  concat_ws('; ', CASE WHEN pcd_count <> 1 THEN 'pcd ' || pcd_count || '/1' END, CASE WHEN jpg_count <> 5 THEN 'jpg ' || jpg_count || '/5' END) AS warning,
+  string_agg(url, ';' ORDER BY arrival_ts, url) FILTER (kind = 'pcd') AS pcd_url, """ + ", ".join(f"min(url) FILTER (kind = 'jpg' AND n = {k}) AS jpg_url_{k}" for k in range(1, 6)) + " FROM claimed c JOIN numbered n ON n.scene_id = c.scene_id AND n.group_key = c.group_key GROUP BY ALL",
     "late_assets": ASSETS + " SELECT a.scene_id, frame_index, url FROM addressed a JOIN claimed c ON a.scene_id = c.scene_id AND a.group_key = c.group_key WHERE kind = 'jpg' AND arrival_ts > pcd_ts + INTERVAL 30 MINUTE",
     "quiet_periods": ASSETS + """, steps AS (SELECT *, coalesce(arrival_ts - lag(arrival_ts) OVER (PARTITION BY scene_id ORDER BY arrival_ts) >= INTERVAL 10 MINUTE, true) AS starts FROM addressed),
 numbered AS (SELECT scene_id, sum(CAST(starts AS INTEGER)) OVER (PARTITION BY scene_id ORDER BY arrival_ts) AS k FROM steps),

@@ -43,6 +43,7 @@ QUERIES = {
     "rigid_fits": _fits,
     "diverse_sample": _sample,
     "stationary_clusters": lambda s, d: temporal.stationary_clusters(_candidates(s, d).drop("target_key"), _landmarks(s, d)),
+    "dedup_statistics": lambda s, d: temporal.dedup_statistics(temporal.stationary_clusters(_candidates(s, d).drop("target_key"), _landmarks(s, d))),
     "spatial_groups": lambda s, d: temporal.spatial_groups(_candidates(s, d), 1.0),
 }
 BASE = f"""WITH {X.BOXES_SQL},
@@ -54,10 +55,4 @@ p AS (SELECT a.scene_id, a.x AS ax, a.y AS ay, b.x AS u, b.y AS v FROM one a JOI
 m AS (SELECT scene_id, count(*) AS pairs, avg(ax) AS mx, avg(ay) AS my, avg(u) AS nx, avg(v) AS ny FROM p GROUP BY scene_id),
 t AS (SELECT p.scene_id, atan2(sum((ax - mx) * (v - ny) - (ay - my) * (u - nx)), sum((ax - mx) * (u - nx) + (ay - my) * (v - ny))) AS angle FROM p JOIN m ON p.scene_id = m.scene_id GROUP BY p.scene_id)
 SELECT m.scene_id, pairs, round(angle, 5) AS angle, round(nx - cos(angle) * mx + sin(angle) * my, 5) AS shift_x, round(ny - sin(angle) * mx - cos(angle) * my, 5) AS shift_y FROM m JOIN t ON m.scene_id = t.scene_id""",
-    "diverse_sample": BASE + """,
-g AS (
-  SELECT *, CASE WHEN sqrt(x * x + y * y) <= 30 THEN 0 WHEN sqrt(x * x + y * y) >= 60 THEN 1 WHEN greatest(scale_x, scale_y, scale_z) >= 8 THEN 2 WHEN least(scale_x, scale_y, scale_z) <= 0.1e0 THEN 3 END AS group_no FROM c),
-r AS (SELECT *, row_number() OVER (PARTITION BY scene_id, group_no ORDER BY frame_index, candidate_id) AS k FROM g WHERE group_no IS NOT NULL),
-n AS (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY k, group_no) AS turn FROM r)
-SELECT scene_id, candidate_id, CAST(group_no AS INTEGER) AS group_no, CAST(turn AS INTEGER) AS turn FROM n WHERE turn <= 40""",
 }

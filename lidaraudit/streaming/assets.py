@@ -13,11 +13,16 @@ def arrivals(events: DataFrame, late_by: str = "1 hour") -> DataFrame:
     return classified(events).withWatermark("arrival_ts", late_by)
 
 
-def grouped(assets: DataFrame, window: str = "1 hour") -> DataFrame:
-    """Counts of each scene and stamp, given out when no more of them can come."""
-    return assets.groupBy("scene_id", "group_key", F.window("arrival_ts", window).alias("w")).agg(
-        F.count_if(F.col("kind") == "pcd").alias("pcd_count"), F.count_if(F.col("kind") == "jpg").alias("jpg_count"),
-    ).select("scene_id", "group_key", "pcd_count", "jpg_count", F.when((F.col("pcd_count") == 1) & (F.col("jpg_count") == JPGS), "ok").otherwise("warning").alias("status"))
+def grouped(assets: DataFrame, settle: str = "1 hour") -> DataFrame:
+    """Counts of each scene and stamp, given out when nothing of it has come for as long as settle, and no more can come.
+
+    A session per stamp, so a group isn't cut at the hour; its state goes when the watermark has passed it. A stamp
+    without a cloud is unclaimed, and so is what comes after its group was given out.
+    """
+    counted = assets.groupBy("scene_id", "group_key", F.session_window("arrival_ts", settle).alias("w")).agg(
+        F.count_if(F.col("kind") == "pcd").alias("pcd_count"), F.count_if(F.col("kind") == "jpg").alias("jpg_count"))
+    whole = (F.col("pcd_count") == 1) & (F.col("jpg_count") == JPGS)
+    return counted.select("scene_id", "group_key", "pcd_count", "jpg_count", F.when(F.col("pcd_count") == 0, "unclaimed").when(whole, "ok").otherwise("warning").alias("status"))
 
 
 def quiet(assets: DataFrame, gap: str = "10 minutes") -> DataFrame:
