@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -53,6 +55,38 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Returns memory that this worker has freed to the system, as workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(trim := ctypes.CDLL(None), "malloc_trim"):
+        trim.malloc_trim(0)
+
+
+def mapped(df: DataFrame, work, schema) -> DataFrame:
+    """df.mapInArrow(work, schema), whose tasks give memory back when they end."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(whole, schema)
+
+
+def grouped(work):
+    """work for applyInPandas or applyInArrow, which gives memory back after each group."""
+
+    @functools.wraps(work)  # Spark reads the annotations
+    def whole(key, rows):
+        try:
+            return work(key, rows)
+        finally:
+            give_back()
+
+    return whole
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64, which spreads every bit over the word."""
     x = x ^ (x >> np.uint64(30))

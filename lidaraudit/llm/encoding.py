@@ -15,7 +15,6 @@ Only vocabularies of this kind are taken; `Encoder` refuses others.
 
 from __future__ import annotations
 
-import json
 import os
 import re
 import zlib
@@ -31,6 +30,8 @@ KEPT_ATOMS = 500_000
 #: Bytes of new atoms that are joined to be encoded at once.
 JOINED = 4096
 
+#: A text, and how GPT-2's pattern cuts it (a blank becomes U+0120, a line end U+010A).
+PATTERN_TEST, PATTERN_PIECES = "It's 42é ok,x.\n  y", ["It", "'s", "\u012042", "\u00c3\u00a9", "\u0120ok", ",", "x", ".", "\u010a\u0120", "\u0120y"]
 #: Bytes of parts that may be cut: visible ASCII, the line end, a first blank, and letters U+00C0 to U+00FF (lead byte C3).
 _PLAIN = np.zeros(256, bool)
 _PLAIN[[10, 32, *range(33, 127), *range(0x80, 0xC0), 0xC3]] = True
@@ -58,8 +59,8 @@ def _cuts(data: np.ndarray, borders: np.ndarray) -> np.ndarray:
     n = len(borders) - 1
     if not len(data):
         return borders[:-1]
-    at = np.arange(len(data))
-    unit = np.repeat(np.arange(n), np.diff(borders))
+    at = np.arange(len(data), dtype=np.int32)
+    unit = np.repeat(np.arange(n, dtype=np.int32), np.diff(borders))
     line = data == 10
     edge = np.zeros(len(data) + 1, bool)
     edge[borders] = True
@@ -76,7 +77,7 @@ def _cuts(data: np.ndarray, borders: np.ndarray) -> np.ndarray:
     # Ends of pieces: what stands before a beginning or the end; from each back over its marks.
     starts = np.flatnonzero(begin)
     ends = np.append(starts[1:], len(data))
-    last = np.maximum.accumulate(np.where(_MARKS[data], -1, at))[ends - 1]
+    last = np.maximum.accumulate(np.where(_MARKS[data], np.int32(-1), at))[ends - 1]
     fine = (last >= starts) & (last < ends - 1) & plain[unit[starts]]
     last = last[fine]
     letter = _ALNUM[data[last]] | ((last > 0) & (data[last - 1] == 0xC3) & (data[last] >= 0x80) & (data[last] != 0x97) & (data[last] != 0xB7))
@@ -90,27 +91,27 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.is_byte_level(json.loads(self.tokenizer.to_str()), path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.is_byte_level(vocabulary, path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.has_special = re.compile("|".join(map(re.escape, self.special)) or "(?!)").search
-        self.width = np.zeros(1 + max(self.tokenizer.get_vocab().values()), np.int64)
-        for token, i in self.tokenizer.get_vocab().items():
+        self.width = np.zeros(1 + max(vocabulary.values()), np.int64)
+        for token, i in vocabulary.items():
             self.width[i] = len(token)  # one character of a token stands for one byte
         # Known atoms: sorted hashes, the atom of each, and the bytes of all atoms.
         self.hashes, self.atom = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.text, self.text_at = np.zeros(1 << 20, np.uint8), np.zeros(1 << 16, np.int32)
         self.byte_value = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-        self._room(1 << 20)
+        self.power = np.ones(1, np.uint64)
         self.pool = np.zeros(1 << 20, np.uint16)
         self.at = np.zeros(1 << 16, np.int64)  # where the ids of atom k begin in pool
         self.known = self.used = 0
 
-    def is_byte_level(self, description: dict, path: str) -> None:
+    def is_byte_level(self, vocabulary: dict[str, int], path: str) -> None:
         """An error for vocabularies on which cutting at blanks, byte widths or 16-bit ids would be wrong."""
-        before, model = description.get("pre_tokenizer") or {}, description.get("model") or {}
-        right = (
-            before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
-            and model.get("type") == "BPE" and not description.get("normalizer") and max(self.tokenizer.get_vocab().values()) < 1 << 16)
+        t = self.tokenizer
+        pieces = [p for p, _ in t.pre_tokenizer.pre_tokenize_str(PATTERN_TEST)] if t.pre_tokenizer is not None else []
+        right = type(t.model).__name__ == "BPE" and t.normalizer is None and pieces == PATTERN_PIECES and max(vocabulary.values()) < 1 << 16
         if not right:
             raise ValueError(f"{path} isn't a byte-level BPE vocabulary of at most 65,536 ids with GPT-2's pattern and no normaliser")
 
@@ -140,18 +141,14 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint16)
 
     def _hashes(self, data: np.ndarray, borders: np.ndarray) -> np.ndarray:
-        """64 bits of each atom; what they find is compared byte by byte."""
-        if len(data) >= len(self.power):
-            self._room(2 * len(data))
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(self.byte_value[data] * self.power[: len(data)], out=total[1:])
-        return mix64((total[borders[1:]] - total[borders[:-1]]) * self.inverse[borders[:-1]])
-
-    def _room(self, n: int) -> None:
-        base = WordHasher.BASE
-        step, back = np.full(n + 1, base, np.uint64), np.full(n + 1, pow(base, -1, 1 << 64), np.uint64)
-        step[0] = back[0] = 1
-        self.power, self.inverse = np.cumprod(step), np.cumprod(back)
+        """64 bits of each atom, a sum over its bytes; what they find is compared byte by byte."""
+        if not len(data):
+            return np.zeros(len(borders) - 1, np.uint64)
+        size = np.diff(borders)
+        while len(self.power) < size.max():
+            self.power = np.cumprod(np.append(np.uint64(1), np.full(2 * len(self.power), WordHasher.BASE, np.uint64)))
+        place = np.arange(len(data), dtype=np.int32) - np.repeat(borders[:-1].astype(np.int32), size)
+        return mix64(np.add.reduceat(self.byte_value[data] * self.power[place], borders[:-1]))
 
     def _atoms(self, atoms: pa.Array) -> np.ndarray:
         """Numbers of distinct atoms; those not known are encoded."""

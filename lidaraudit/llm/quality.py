@@ -26,7 +26,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lidaraudit.llm.common import WordHasher, chunks, mix64, read_documents, runs
+from lidaraudit.llm.common import WordHasher, chunks, mapped, mix64, read_documents, runs
 from lidaraudit.llm.labelled import held_out, read_labels, sample
 
 FIT_ROWS = 20_000
@@ -125,7 +125,7 @@ def with_statistics(docs: DataFrame, *kept: str) -> DataFrame:
             values = np.concatenate(parts) if parts else np.zeros((0, len(STATISTICS)))
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), *map(pa.array, values.T)], [*kept, *STATISTICS])
 
-    return docs.select(*kept, "text").mapInArrow(work, ", ".join([schema, *(f"{s} double" for s in STATISTICS)]))
+    return docs.select(*kept, "text").transform(mapped, work, ", ".join([schema, *(f"{s} double" for s in STATISTICS)]))
 
 
 #: A condition: statistic, whether it must be at most (or else above) the threshold, threshold.

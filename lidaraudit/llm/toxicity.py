@@ -32,7 +32,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lidaraudit.llm.common import WordHasher, chunks, mix64, read_documents, runs, written
+from lidaraudit.llm.common import WordHasher, chunks, mapped, mix64, read_documents, runs, written
 from lidaraudit.llm.labelled import held_out, read_labels, sample
 from lidaraudit.llm.licences import BETWEEN
 
@@ -198,7 +198,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, TERMS, score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_scored(shared), f"doc_id {kind}, " + ", ".join(f"{x} double" for x in (*TERMS, "score")))
+    return docs.select("doc_id", "text").transform(mapped, _scored(shared), f"doc_id {kind}, " + ", ".join(f"{x} double" for x in (*TERMS, "score")))
 
 
 def without_toxic(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
@@ -212,7 +212,7 @@ def without_toxic(docs: DataFrame, model: Model, least: float = 0.5) -> DataFram
                 keep = shared.value.probability(shared.value.terms(data, ends, hasher)) < least
                 yield batch.slice(a, b - a).filter(pa.array(keep))
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.transform(mapped, work, docs.schema)
 
 
 def _tables(counted: DataFrame) -> list[DataFrame]:
@@ -245,7 +245,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", fit_docs: int
     rest = sample(labels.where(for_curve), column, calibrate_docs, False).withColumn("use", F.lit("curve"))
     chosen = counted.unionByName(rest).drop("order")
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label", "use").persist()
-    counted = texts.where("use = 'count'").mapInArrow(_count, COUNTS).groupBy("before", "word").agg(F.first("stem", True).alias("stem"), F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    counted = texts.where("use = 'count'").transform(mapped, _count, COUNTS).groupBy("before", "word").agg(F.first("stem", True).alias("stem"), F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
     model = Model.of(*[t.toArrow() for t in _tables(written(counted, "toxicity-counts"))])
     curve = score(texts.where("use = 'curve'"), model).join(F.broadcast(chosen.where("use = 'curve'")), "doc_id").select(*TERMS, "label").toArrow()
     texts.unpersist()
