@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lidaraudit.llm.common import written
+from lidaraudit.llm.common import mapped, written
 
 
 def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -46,11 +46,12 @@ def components(edges: DataFrame, most_rounds: int = 40, shrink: bool = True) ->
     forests already, as those of tiles are, this is left out, and with it a second Python worker per task.
     """
     own = edges.select("a", "b").where("a <> b")
-    now = written(own.mapInArrow(_forest, "a long, b long") if shrink else own, "stars")
+    now = written(own.transform(mapped, _forest, "a long, b long") if shrink else own, "stars")
     seen = None
     for _ in range(most_rounds):
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        # Written, so that the join is one of two shuffles, which Spark splits where a node has very many edges.
+        least = written(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "least")
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         low = down.groupBy("a").agg(F.min("b").alias("m"))

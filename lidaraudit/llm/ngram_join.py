@@ -9,13 +9,15 @@ Sets are hashed to sorted arrays of 64-bit shingles. The join is exact; it has f
    that as well. Parts are some more than d, so that linked sets agree in a part that isn't
    empty; a set with too many empty parts emits the keys of those, too. A passage that many
    documents share makes no common key, as their parts hold other shingles besides.
-2. Candidates. Sorted by key, all sets of a key are tied to its first one; connected
-   components of the ties hold every pair of linked sets. Nothing grows with the square of a
-   group of copies.
+2. Candidates. Sets that share a key are a group; groups of the same sets are one. Each set has a bitmap
+   signature, about one or two bits for a shingle, each shingle flipping the bit of its hash: the bits in
+   which two signatures differ bound the overlap from above. Within each group the pairs that the bound lets pass
+   tie their sets; a group gives a tree of ties, never all its pairs, and a group of more than BLOCK sets is
+   dealt to tiles as below. So sets that only share a passage part before anything is closed:
+   connected components are taken of ties that passed.
 3. Tiles. A component's sets are dealt to tiles by bands of size: one tile if it has at most
-   TILE sets, else one for each pair of blocks of the same or neighbouring bands.
-   In a tile each set has a bitmap signature, each shingle flipping the bit of its hash; the bits in
-   which two signatures differ bound the overlap from above, and all pairs that the bound lets
+   TILE sets and TILE_SHINGLES shingles, else one for each pair of blocks of the same or neighbouring bands.
+   In a tile the bound of the signatures is taken again, with more bits, and all pairs that it lets
    pass are decided by exact intersection. Where only components are asked for, pairs
    whose sets are tied in the tile already are left out.
 4. Components of the links, over one document for each distinct set. A document's number of links
@@ -41,14 +43,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lidaraudit.llm.common import WordHasher, chunks, mix64, read_documents, runs, written
-from lidaraudit.llm.components import components
+from lidaraudit.llm.common import WordHasher, chunks, grouped, mapped, mix64, read_documents, runs, written
+from lidaraudit.llm.components import components, roots
 
 FAMILY = 1.5
-#: Sets of a block; a tile has one or two.
-TILE = 2048
-#: Rows that are meant to be in a task's group of tiles.
-BUCKET = 2000
+#: Sets, and shingles, of a block of whole sets; a tile has one or two.
+TILE, TILE_SHINGLES = 2048, 1 << 21
+#: Sets of a block of signatures.
+BLOCK = 4096
+#: Groups of at most so many sets are compared many at once.
+FEW = 24
+#: Shingles that are meant to be in a task's group of tiles.
+BUCKET = 1 << 20
 #: Shingles that are intersected at a time.
 AT_ONCE = 1 << 22
 SALTS = [np.uint64(x) for x in (0x8CB92BA72F3D8DD7, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -131,13 +137,14 @@ def part_keys(values: np.ndarray, sizes: np.ndarray, measure: Measure) -> list[t
     first, parts = measure.families(int(sizes.max(initial=1)))
     family = np.searchsorted(first, sizes, "right") - 1
     set_of, mixed = runs(sizes), mix64(values ^ SALTS[2])
-    out = []
-    for below in (0, 1):
+    out, below = [], 0
+    while True:
         f = family - below
         # Below: the largest set of that family can be linked to one of this size.
-        use = (sizes > 0) & (f >= 0) & ((below == 0) | (sizes * measure.num <= (first[np.maximum(family, 0)] - 1) * measure.den))
+        use = (sizes > 0) & (f >= 0) & ((below == 0) | (sizes * measure.num <= (first[np.minimum(np.maximum(f, 0) + 1, len(first) - 1)] - 1) * measure.den))
         if not use.any():
-            continue
+            return out
+        below += 1
         m, spare = parts[np.maximum(f, 0)].T
         m = np.where(use, m, 0)
         begin = np.cumsum(m) - m
@@ -150,7 +157,22 @@ def part_keys(values: np.ndarray, sizes: np.ndarray, measure: Measure) -> list[t
         empty = np.bincount(owner, count == 0, len(sizes))
         keep = (count > 0) | (empty > spare)[owner]
         out.append((owner[keep], key[keep]))
-    return out
+
+
+def signatures(values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures of all sets as bytes, one after the other, and the bytes of each: a power of two, 8 at least."""
+    bits = np.int64(1) << np.clip(np.ceil(np.log2(sizes + 1.0)).astype(np.int64), 6, 16)
+    begin = np.cumsum(bits) - bits
+    place = (mix64(values ^ SALTS[0]) & (np.repeat(bits, sizes) - 1).astype(np.uint64)).astype(np.int64) + np.repeat(begin, sizes)
+    return np.packbits(np.bincount(place, minlength=int(bits.sum())) & 1, bitorder="little"), bits // 8
+
+
+def folded(maps: np.ndarray, words: int) -> np.ndarray:
+    """Signatures (rows of 64-bit words) with fewer bits: a shingle's bit is the low end of its hash, so halves are added."""
+    while maps.shape[1] > words:
+        half = maps.shape[1] // 2
+        maps = maps[:, :half] ^ maps[:, half:]
+    return maps
 
 
 def _info(measure: Measure):
@@ -160,7 +182,9 @@ def _info(measure: Measure):
             for a, b, data, ends in chunks(batch["text"]):
                 values, sizes = shingle_sets(data, ends, measure.width, hasher)
                 high, low = set_hashes(values, sizes)
-                yield pa.RecordBatch.from_arrays([batch["doc_id"][a:b], pa.array(sizes), pa.array(high.view(np.int64)), pa.array(low.view(np.int64))], ["doc_id", "n_shingles", "high", "low"])
+                maps, n = signatures(values, sizes)
+                map_of = pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.py_buffer(maps)])
+                yield pa.RecordBatch.from_arrays([batch["doc_id"][a:b], pa.array(sizes), pa.array(high.view(np.int64)), pa.array(low.view(np.int64)), map_of], ["doc_id", "n_shingles", "high", "low", "map"])
 
     return work
 
@@ -186,21 +210,153 @@ def _keys(measure: Measure):
     return work
 
 
-def _ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key: each set tied to the first one of its key, a run may go on over batches."""
-    last: tuple[int, int] | None = None
-    for batch in batches:
-        key, high = batch["key"].to_numpy(), batch["high"].to_numpy()
-        if last is not None:
-            key, high = np.concatenate([[last[0]], key]), np.concatenate([[last[1]], high])
-        if not len(key):
+def _groups(block: int):
+    """A function for mapInArrow: of rows sorted by key and set: those of keys that several sets share.
+
+    A group is named by a hash of its sets, so equal groups have one name; a large one, which is
+    handed on while it is read, by its key.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = lambda group, high, large: pa.RecordBatch.from_arrays([pa.array(group), pa.array(high), pa.array(np.full(len(high), large))], ["group", "high", "large"])
+        held_key, held, large = np.zeros(0, np.int64), np.zeros(0, np.int64), False
+        for batch in batches:
+            key, high = np.concatenate([held_key, batch["key"].to_numpy()]), np.concatenate([held, batch["high"].to_numpy()])
+            if not len(key):
+                continue
+            new = np.concatenate([[True], (key[1:] != key[:-1]) | (high[1:] != high[:-1])])
+            key, high = key[new], high[new]
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            if large:  # the first run goes on with one that was handed on in part
+                end = int(first[1]) if len(first) > 1 else len(key)
+                yield rows(key[1:end], high[1:end], True)  # its first row is the last one handed on
+                if len(first) == 1:
+                    held_key, held = key[-1:], high[-1:]
+                    continue
+                key, high, first, large = key[end:], high[end:], first[1:] - end, False
+            last = int(first[-1])
+            yield from _small_groups(key[:last], high[:last], first[:-1], rows)
+            held_key, held = key[last:], high[last:]
+            if len(held) > block:
+                yield rows(held_key, held, True)
+                held_key, held, large = held_key[-1:], held[-1:], True
+        if not large:
+            yield from _small_groups(held_key, held, np.zeros(min(1, len(held)), np.int64), rows)
+
+    return work
+
+
+def _small_groups(key: np.ndarray, high: np.ndarray, first: np.ndarray, rows) -> Iterator[pa.RecordBatch]:
+    n = np.diff(np.append(first, len(key)))
+    name = mix64(_sums(mix64(high.view(np.uint64) ^ SALTS[2]), n) + n.astype(np.uint64))
+    keep = np.zeros(len(n), bool)
+    keep[np.unique(name, return_index=True)[1]] = True
+    keep &= n > 1
+    if keep.any():
+        mine = np.repeat(keep, n)
+        yield rows(np.repeat(name[keep], n[keep]).view(np.int64), high[mine], False)
+
+
+def _pass(measure: Measure, x: np.ndarray, y: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """Whether sets of sizes x and y can be linked when their signatures differ in `apart` bits."""
+    return (x + y - apart) // 2 * (measure.num + measure.den) >= measure.num * (x + y)
+
+
+def _few(tile: np.ndarray, side: np.ndarray, sizes: np.ndarray, at: np.ndarray, words: np.ndarray, maps: np.ndarray, measure: Measure) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows that pass, of tiles of at most FEW rows each; all tiles together."""
+    first = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]]))
+    n = np.diff(np.append(first, len(tile)))
+    left, right = [], []
+    for m in np.unique(n[n > 1]).tolist():
+        i, j = np.triu_indices(m, 1)
+        left.append((first[n == m][:, None] + i).ravel())
+        right.append((first[n == m][:, None] + j).ravel())
+    if not left:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    a, b = np.concatenate(left), np.concatenate(right)
+    # The set with the smaller signature first.
+    swap = words[a] > words[b]
+    a, b = np.where(swap, b, a), np.where(swap, a, b)
+    near = (np.minimum(sizes[a], sizes[b]) * measure.den >= np.maximum(sizes[a], sizes[b]) * measure.num) & ((side[a] == 0) | (side[a] != side[b]))
+    a, b = a[near], b[near]
+    apart, kind = np.zeros(len(a), np.int64), words[a] * 4096 + words[b]
+    for k in np.unique(kind).tolist():
+        own, x, y = np.flatnonzero(kind == k), k // 4096, k % 4096
+        for part in np.array_split(own, 1 + len(own) * y // AT_ONCE):
+            small = maps[at[a[part]][:, None] + np.arange(x)]
+            apart[part] = np.bitwise_count(small ^ folded(maps[at[b[part]][:, None] + np.arange(y)], x)).sum(1, dtype=np.int64)
+    keep = _pass(measure, sizes[a], sizes[b], apart)
+    return a[keep], b[keep]
+
+
+def _many(side: np.ndarray, sizes: np.ndarray, at: np.ndarray, words: np.ndarray, maps: np.ndarray, measure: Measure) -> tuple[np.ndarray, np.ndarray]:
+    """A tree of the pairs of rows that pass, of one tile: sets that are tied already aren't compared again."""
+    order = np.argsort(sizes, kind="stable")
+    sizes, side, least = sizes[order], side[order], int(words.min())
+    across = side.max() > 0
+    own = np.empty((len(order), least), np.uint64)
+    for i, k in enumerate(order.tolist()):
+        own[i] = folded(maps[None, at[k] : at[k] + words[k]], least)[0]
+    group, left, right = np.arange(len(order)), [], []
+    for i in range(len(order) - 1):
+        j = np.arange(i + 1, int(np.searchsorted(sizes, sizes[i] * measure.den // measure.num, "right")))
+        j = j[(group[j] != group[i]) & (~across | (side[j] != side[i]))]
+        if not len(j):
             continue
-        first = np.concatenate([[True], key[1:] != key[:-1]])
-        hub = high[np.flatnonzero(first)][np.cumsum(first) - 1]
-        last = int(key[-1]), int(hub[-1])
-        tied = hub != high
-        pairs = np.unique(np.column_stack([hub[tied], high[tied]]), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+        j = j[_pass(measure, sizes[i], sizes[j], np.bitwise_count(own[j] ^ own[i]).sum(1, dtype=np.int64))]
+        j = j[np.unique(group[j], return_index=True)[1]]
+        if len(j):
+            group[np.isin(group, group[j])] = group[i]
+            left.append(np.full(len(j), i))
+            right.append(j)
+    if not left:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return order[np.concatenate(left)], order[np.concatenate(right)]
+
+
+def _near(measure: Measure, few_sets: int):
+    """A function for mapInArrow: of signatures sorted by tile, ties of sets whose pair passes, a tree for each tile."""
+
+    def ties(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        table = table.combine_chunks()
+        tile, side, sizes, high = (table[c].to_numpy() for c in ("tile", "side", "n_shingles", "high"))
+        column = table["map"].combine_chunks()
+        _, offsets, data = column.buffers()
+        borders = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+        maps = np.frombuffer(data, np.uint8)[borders[0] : borders[-1]].copy().view(np.uint64)
+        at, words = (borders[:-1] - borders[0]) // 8, np.diff(borders) // 8
+        first = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]]))
+        n = np.diff(np.append(first, len(tile)))
+        few = np.flatnonzero(np.repeat(n <= few_sets, n))
+        a, b = _few(tile[few], side[few], sizes[few], at[few], words[few], maps, measure)
+        left, right = [few[a]], [few[b]]
+        for k in np.flatnonzero(n > few_sets).tolist():
+            rows = np.arange(first[k], first[k] + n[k])
+            a, b = _many(side[rows], sizes[rows], at[rows], words[rows], maps, measure)
+            left.append(rows[a])
+            right.append(rows[b])
+        nodes, root = roots(np.concatenate(left), np.concatenate(right))
+        pairs = np.unique(np.column_stack([high[root], high[nodes]])[root != nodes], axis=0)
+        if len(pairs):
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            tile = batch["tile"].to_numpy()
+            last = int(np.flatnonzero(tile != tile[-1])[-1]) + 1 if tile[0] != tile[-1] else 0
+            if held and (last or tile[0] != held[-1]["tile"][-1].as_py()):
+                yield from ties(pa.Table.from_batches([*held, batch.slice(0, last)]))
+                held = []
+            elif last:
+                yield from ties(pa.Table.from_batches([batch.slice(0, last)]))
+            held.append(batch.slice(last))
+        if held:
+            yield from ties(pa.Table.from_batches(held))
+
+    return work
 
 
 def tile_links(sizes: np.ndarray, values: np.ndarray, side: np.ndarray, measure: Measure, every: bool = False) -> Iterator[tuple[int, np.ndarray]]:
@@ -214,10 +370,10 @@ def tile_links(sizes: np.ndarray, values: np.ndarray, side: np.ndarray, measure:
     sizes, side = sizes[order], side[order]
     across = side.max() > 0
     bits = 1 << max(6, min(16, int(2 * sizes.max()).bit_length()))
-    maps = np.zeros((len(sizes), bits), bool)
+    maps = np.zeros((len(sizes), bits // 8), np.uint8)
     for i, (a, n) in enumerate(zip(begin.tolist(), sizes.tolist(), strict=True)):
-        maps[i] = np.bincount((mix64(values[a : a + n] ^ SALTS[0]) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
-    maps = np.packbits(maps, axis=1).view(np.uint64)
+        maps[i] = np.packbits(np.bincount((mix64(values[a : a + n] ^ SALTS[0]) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1)
+    maps = maps.view(np.uint64)
     kinds, number = np.unique(values, return_inverse=True)
     number = number.astype(np.int32)
     sets = [number[a : a + n] for a, n in zip(begin.tolist(), sizes.tolist(), strict=True)]
@@ -229,9 +385,7 @@ def tile_links(sizes: np.ndarray, values: np.ndarray, side: np.ndarray, measure:
         j = j[(every | (group[j] != group[i])) & (~across | (side[j] != side[i]))]
         if not len(j):
             continue
-        apart = np.bitwise_count(maps[j] ^ maps[i]).sum(1, dtype=np.int64)
-        most = (sizes[i] + sizes[j] - apart) // 2
-        j = j[most * (measure.num + measure.den) >= measure.num * (sizes[i] + sizes[j])]
+        j = j[_pass(measure, sizes[i], sizes[j], np.bitwise_count(maps[j] ^ maps[i]).sum(1, dtype=np.int64))]
         if not len(j):
             continue
         mine[sets[i]] = 1
@@ -252,7 +406,7 @@ def _tiles(measure: Measure, want: str):
     """Of the tiles' links, as `want` says: "ties", enough of them for the components (a, b, 0); "counts",
     the same and the links of each set, weighed by copies (rep, high, number); "pairs", all (a, b, 0)."""
 
-    def work(rows: pd.DataFrame) -> pd.DataFrame:
+    def work(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         hasher, out = WordHasher(), [np.zeros((0, 3), np.int64)]
         for _, own in rows.groupby("tile"):
             column, values, sizes = pa.array(own["text"]), [], []
@@ -281,21 +435,23 @@ def _tiles(measure: Measure, want: str):
     return work
 
 
-def _dealt(members: DataFrame, measure: Measure) -> DataFrame:
-    """tile, side, rep, high, copies: a row for each tile that a set is in.
+def _dealt(members: DataFrame, measure: Measure, sets: int, shingles: int) -> DataFrame:
+    """tile, side and the columns of members, but for its component: a row for each tile that a set is in.
 
-    members: rep, high, copies, n_shingles, component. Linked sizes are in the same or in neighbouring bands.
+    members: high, n_shingles, component and more. Linked sizes are in the same or in neighbouring bands.
+    A component of at most so many sets and shingles is one tile; in others blocks have about as many.
     """
+    kept = [c for c in members.columns if c != "component"]
     band = F.floor(F.log(F.col("n_shingles").cast("double")) / math.log(measure.den / measure.num) + 1e-9).cast("int")
     members = members.withColumn("band", band)
-    per_band = members.groupBy("component", "band").agg(F.count("rep").alias("n"))
+    per_band = members.groupBy("component", "band").agg((F.greatest(F.count("high") / sets, F.sum("n_shingles") / shingles)).alias("n"))
     whole = per_band.groupBy("component").agg(F.sum("n").alias("all"))
-    blocks = per_band.join(whole, "component").where(F.col("all") > TILE).select("component", "band", F.ceil(F.col("n") / TILE).cast("int").alias("blocks"))
+    blocks = per_band.join(whole, "component").where("all > 1").select("component", "band", F.ceil("n").cast("int").alias("blocks"))
     up = blocks.select("component", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above"))
     down = blocks.select("component", (F.col("band") + 1).alias("band"), F.col("blocks").alias("below"))
     blocks = written(blocks.join(up, ["component", "band"], "left").join(down, ["component", "band"], "left"), "blocks")
     large = members.join(blocks, ["component", "band"], "left")
-    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    block = F.pmod(F.xxhash64("high"), F.col("blocks")).cast("int")
     to = lambda n: F.when(n.isNull() | (n < 1), F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), n - 1))
     name = lambda band, x, over, y: F.xxhash64("component", band, x, over, y)
     cell = lambda tile, side: F.struct(tile.alias("tile"), F.lit(side).alias("side"))
@@ -304,23 +460,39 @@ def _dealt(members: DataFrame, measure: Measure) -> DataFrame:
     below = F.transform(to(F.col("below")), lambda k: cell(name(F.col("band") - 1, k, F.lit(1), F.col("block")), 2))
     alone = F.array(cell(F.xxhash64("component"), 0))
     cells = F.when(F.col("blocks").isNull(), alone).otherwise(F.concat(inside, above, below))
-    return large.withColumn("block", block).select("rep", "high", "copies", F.explode(cells).alias("cell")).select("cell.*", "rep", "high", "copies")
+    return large.withColumn("block", block).select(*kept, F.explode(cells).alias("cell")).select("cell.*", *kept)
+
+
+def _candidates(docs: DataFrame, sets: DataFrame, measure: Measure) -> DataFrame:
+    """node (high), component: sets that ties connect which the bound of signatures lets pass."""
+    keys = docs.transform(mapped, _keys(measure), "key long, high long")
+    groups = written(keys.repartition("key").sortWithinPartitions("key", "high").transform(mapped, _groups(BLOCK), "group long, high long, large boolean"), "groups")
+    shared = groups.where("not large").select(F.col("group").alias("tile"), F.lit(0).alias("side"), "high").distinct()
+    large = groups.where("large").select(F.col("group").alias("component"), "high").distinct()
+    signed = sets.select("high", "n_shingles", "map")
+    if large.head(1):
+        # Large groups of the same sets are compared once.
+        name = large.groupBy("component").agg(F.count("high").alias("n"), F.bit_xor(F.xxhash64("high")).alias("x"))
+        once = name.groupBy("n", "x").agg(F.min("component").alias("component")).select("component")
+        dealt = _dealt(large.join(once, "component", "left_semi").join(signed.drop("map"), "high"), measure, BLOCK, BLOCK << 12)
+        shared = shared.unionByName(dealt.select("tile", "side", "high"))
+    tiles = shared.join(signed, "high").repartition("tile").sortWithinPartitions("tile")
+    return components(tiles.transform(mapped, _near(measure, FEW), "a long, b long"))
 
 
 def _linked(docs: DataFrame, measure: Measure, want: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The sets of all rows, a representative and the copies of each distinct set, and what _tiles gives."""
     docs = docs.select("doc_id", "text")
-    info = written(docs.mapInArrow(_info(measure), "doc_id long, n_shingles long, high long, low long"), "sets")
-    keys = docs.mapInArrow(_keys(measure), "key long, high long")
-    ties = written(keys.repartition("key").sortWithinPartitions("key", "high").mapInArrow(_ties, "a long, b long"), "ties")
-    candidates = components(ties)
-    reps = written(info.where("n_shingles > 0").groupBy("high", "low").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.count("doc_id").alias("copies")), "reps")
-    members = reps.join(candidates, reps.high == candidates.node).select("rep", "high", "copies", "n_shingles", "component")
-    tiles = written(_dealt(members, measure), "tiles")
-    buckets = max(1, tiles.count() // BUCKET)
+    info = written(docs.transform(mapped, _info(measure), "doc_id long, n_shingles long, high long, low long, map binary"), "sets")
+    firsts = [F.first(c).alias(c) for c in ("n_shingles", "map")]
+    reps = written(info.where("n_shingles > 0").groupBy("high", "low").agg(F.min("doc_id").alias("rep"), *firsts, F.count("doc_id").alias("copies")), "reps")
+    candidates = _candidates(docs, reps, measure)
+    members = reps.select("rep", "high", "copies", "n_shingles").join(candidates, reps.high == candidates.node).drop("node")
+    tiles = written(_dealt(members, measure, TILE, TILE_SHINGLES), "tiles")
+    buckets = max(1, (tiles.agg(F.sum("n_shingles")).first()[0] or 0) // BUCKET)
     # The hint keeps one plan at all sizes: texts move once, to the tasks that hold the tiles' ids.
     filled = docs.join(tiles.hint("shuffle_hash"), tiles.rep == docs.doc_id).select("tile", "side", "rep", "high", "copies", F.coalesce("text", F.lit("")).alias("text"), F.pmod(F.xxhash64("tile"), F.lit(buckets)).alias("bucket"))
-    return info, reps, filled.groupBy("bucket").applyInPandas(_tiles(measure, want), "a long, b long, n long")
+    return info, reps, filled.groupBy("bucket").applyInPandas(grouped(_tiles(measure, want)), "a long, b long, n long")
 
 
 def join(docs: DataFrame, measure: Measure = Measure(), count: bool = False) -> DataFrame:  # noqa: B008
