@@ -1,16 +1,16 @@
 """Document fingerprints: a homomorphic multiset hash of paragraphs; DataFrame functions only.
 
-A text is the multiset of its paragraphs: the pieces of its lines, a line of more than
-PIECE_WORDS words being cut after each PIECE_WORDS words. Each piece is hashed to a wide
-vector of 128 lanes of -1 or 1 (the bits of two 64-bit hashes), and the fingerprint is the sum
-of the vectors, each lane modulo a power of two, with the number of pieces. So the order
+A text is the multiset of the pieces of its paragraphs: each line is cut after each sentence, and
+after PIECE_WORDS words where none ends. Each piece is hashed to a wide vector by four hashes of
+different seeds: 128 lanes of one bit and 4 lanes of 32 bits. The fingerprint is the number of pieces
+and the sum of the vectors, every lane modulo 2**30 (the counts of bits) or 2**32 (the wide ones). So the order
 of pieces doesn't matter, equal multisets have equal fingerprints, and a piece that is
 inserted or deleted is added or subtracted (`merged`, `without`) without the rest of the text.
-As the vectors of different pieces are nearly orthogonal, the cosine of two sums is about the
+Read as -1 and 1, the bits of different pieces are nearly orthogonal, so the cosine of two sums is about the
 share of pieces that two texts have in common: `likeness`.
 
-State: array<long>; first the number of pieces, then 32 words of four lanes. A lane counts
-the pieces whose bit is 1, modulo 2**14, in 16 bits, so that no carry reaches the next lane.
+State: array<long>; the number of pieces, 64 words of two counts (32 bits apart, so that no carry reaches
+the next one, for fewer than 2**30 pieces), then 4 wide lanes.
 
 Defined cases: a null text is an empty one; an empty text has the fingerprint of the empty
 multiset, which is like itself (1.0) and unlike any other (0.0); the next document goes by
@@ -26,13 +26,17 @@ from pyspark.sql import functions as F
 
 from lidaraudit.llm.common import read_documents
 
-PIECE_WORDS = 8
-#: Words of one line, without going back into what has matched.
-PIECE = rf"\S++(?:[^\S\n]++\S++){{0,{PIECE_WORDS - 1}}}+"
-WORDS = 32
-ONES, LOW = 0x0001000100010001, 0x3FFF3FFF3FFF3FFF
-#: Ranges of doc_id in which documents are put in order; their first documents are broadcast, so this bounds the broadcast.
-MOST_RANGES = 2047
+PIECE_WORDS = 16
+#: Words of one line up to the end of a sentence, without going back into what has matched.
+PIECE = rf"\S++(?:(?<![.!?])[^\S\n]++\S++){{0,{PIECE_WORDS - 1}}}+"
+#: Words of counts, of two counts each, and wide lanes.
+WORDS, WIDE = 64, 4
+ONES, LOW = 0x0000000100000001, 0x3FFFFFFF3FFFFFFF
+LIMIT = 0x4000000040000000
+#: Documents of a range of doc_id, within which they are put in order.
+RANGE_ROWS = 1024
+#: Ranges: quantiles of doc_id, cut evenly further; the first ids of all ranges are broadcast, 24 bytes each, so this bounds the broadcast.
+MOST_BOUNDS, MOST_RANGES = 2047, 1 << 20
 
 
 def once(value: Column, use) -> Column:
@@ -40,40 +44,55 @@ def once(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _lanes(hashes: Column) -> Column:
-    bits = F.sequence(F.lit(0), F.lit(15))
+def _counts(hashes: Column) -> Column:
+    """For each of 32 places: how many hashes have the bit there, and how many 32 places above."""
     return F.transform(
-        bits,
+        F.sequence(F.lit(0), F.lit(31)),
         lambda i: F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: (a + F.call_function("shiftright", h, i).bitwiseAND(F.lit(ONES))).bitwiseAND(F.lit(LOW))),
     )
 
 
+def _halves(hashes: Column) -> Column:
+    """Sums of the low and of the high 32 bits, modulo 2**32."""
+
+    def total(shift: int) -> Column:
+        half = lambda h: F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(0xFFFFFFFF))
+        return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: (a + half(h)).bitwiseAND(F.lit(0xFFFFFFFF)))
+
+    return F.array(total(0), total(32))
+
+
 def state_of(text: Column) -> Column:
     """The fingerprint of a text as numbers."""
     pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PIECE), F.lit(0))
+    # The number of the hash comes first and so is its seed: pieces that are alike in one differ in another.
+    seeded = lambda p, k: F.transform(p, lambda x: F.xxhash64(F.lit(k), x))
 
     def all_lanes(p: Column) -> Column:
-        first = once(F.transform(p, lambda x: F.xxhash64(x)), _lanes)
-        second = once(F.transform(p, lambda x: F.xxhash64(x, F.lit(1))), _lanes)
-        return F.concat(F.array(F.size(p).cast("long")), first, second)
+        counts = [once(seeded(p, k), _counts) for k in (0, 1)]
+        return F.concat(F.array(F.size(p).cast("long")), *counts, *[once(seeded(p, k), _halves) for k in (2, 3)])
 
     return once(pieces, all_lanes)
 
 
-def merged(a: Column, b: Column) -> Column:
-    """The state of two texts' pieces together; each lane modulo 2**14."""
+def _lanewise(a: Column, b: Column, counts, wide) -> Column:
+    """Both states' counts and wide lanes, word by word."""
     return F.concat(
-        F.array(F.element_at(a, 1) + F.element_at(b, 1)),
-        F.zip_with(F.slice(a, 2, WORDS), F.slice(b, 2, WORDS), lambda x, y: (x + y).bitwiseAND(F.lit(LOW))),
+        F.zip_with(F.slice(a, 2, WORDS), F.slice(b, 2, WORDS), lambda x, y: counts(x, y).bitwiseAND(F.lit(LOW))),
+        F.zip_with(F.slice(a, 2 + WORDS, WIDE), F.slice(b, 2 + WORDS, WIDE), lambda x, y: wide(x, y).bitwiseAND(F.lit(0xFFFFFFFF))),
     )
 
 
+def merged(a: Column, b: Column) -> Column:
+    """The state of two texts' pieces together."""
+    return F.concat(F.array(F.element_at(a, 1) + F.element_at(b, 1)), _lanewise(a, b, lambda x, y: x + y, lambda x, y: x + y))
+
+
 def without(a: Column, b: Column) -> Column:
-    """The state after the pieces of b are deleted from those of a: 2**14 is added to each lane first."""
+    """The state after the pieces of b are deleted from those of a: the modulus is added to each lane first."""
     return F.concat(
         F.array(F.element_at(a, 1) - F.element_at(b, 1)),
-        F.zip_with(F.slice(a, 2, WORDS), F.slice(b, 2, WORDS), lambda x, y: (x + F.lit(0x4000400040004000) - y).bitwiseAND(F.lit(LOW))),
-    )
+        _lanewise(a, b, lambda x, y: x + F.lit(LIMIT) - y, lambda x, y: x + F.lit(1 << 32) - y))
 
 
 def fingerprint(state: Column) -> Column:
@@ -82,10 +101,10 @@ def fingerprint(state: Column) -> Column:
 
 
 def _sums(state: Column) -> Column:
-    """Each lane as the sum of -1 and 1: twice its count less the number of pieces, modulo 2**15."""
+    """Each bit's lane as the sum of -1 and 1: twice its count less the number of pieces."""
     n = F.element_at(state, 1)
-    lanes = F.flatten(F.transform(F.slice(state, 2, WORDS), lambda w: F.transform(F.array(*[F.lit(s) for s in (0, 16, 32, 48)]), lambda s: F.call_function("shiftright", w, s).bitwiseAND(F.lit(0x3FFF)))))
-    return once(n, lambda m: F.transform(lanes, lambda c: (F.pmod(2 * c - m + 16384, F.lit(32768)) - 16384).cast("double")))
+    lanes = F.flatten(F.transform(F.slice(state, 2, WORDS), lambda w: F.array(w.bitwiseAND(F.lit(0x3FFFFFFF)), F.shiftrightunsigned(w, 32))))
+    return once(n, lambda m: F.transform(lanes, lambda c: (2 * c - m).cast("double")))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -100,45 +119,55 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).otherwise(F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0)))
 
 
-def _range_of(doc_id: Column, bounds: list[int]) -> Column:
-    """How many bounds are at most doc_id, by binary search."""
-    if not bounds:
-        return F.lit(0)
+def _range_of(doc_id: Column, bounds: list[int], fine: int) -> tuple[Column, Column]:
+    """Number of the quantile, for a column `coarse`, and of the range of doc_id, both ascending; null ids are in the first. bounds: the least id, quantiles, the largest id.
+
+    The quantile is found by binary search; between two of them ids are cut evenly into `fine` ranges.
+    """
     table = F.array(*[F.lit(b) for b in bounds])
-    step = lambda s, _: F.when(s["lo"] >= s["hi"], s).when(F.element_at(table, F.shiftright(s["lo"] + s["hi"], 1) + 1) <= doc_id, F.struct((F.shiftright(s["lo"] + s["hi"], 1) + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), F.shiftright(s["lo"] + s["hi"], 1).alias("hi")))
-    start = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
-    steps = F.sequence(F.lit(1), F.lit(len(bounds).bit_length() + 1))
-    return F.coalesce(F.aggregate(steps, start, step)["lo"], F.lit(0))
+    at = lambda i: F.element_at(table, i + 1)
+    middle = lambda s: F.shiftright(s["lo"] + s["hi"] + 1, 1)
+    step = lambda s, _: F.when(s["lo"] >= s["hi"], s).when(at(middle(s)) <= doc_id, F.struct(middle(s).alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), (middle(s) - 1).alias("hi")))
+    last = max(0, len(bounds) - 2)
+    start = F.struct(F.lit(0).alias("lo"), F.lit(last).alias("hi"))
+    coarse = F.aggregate(F.sequence(F.lit(1), F.lit(last.bit_length() + 1)), start, step)["lo"]
+    # Doubles keep order and don't overflow; ids that they can't tell apart fall into one range.
+    low, high = at(F.col("coarse")).cast("double"), at(F.col("coarse") + 1).cast("double")
+    share = F.coalesce(F.try_divide(doc_id.cast("double") - low, high - low), F.lit(0.0))
+    part = F.col("coarse") * F.lit(fine) + F.floor(F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0 - 1e-9)) * fine)
+    return coarse, F.when(doc_id.isNull(), F.lit(0)).otherwise(part).cast("long")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text, state and the next document's next_text and next_state.
 
-    Documents are put in order within ranges of doc_id, one shuffle of the text; the first
-    document of each range, which follows the last of the range above, comes by a broadcast
-    of at most MOST_RANGES + 1 rows.
+    Documents are put in order within ranges of doc_id, in one shuffle of the texts. A range's first
+    document is the next one of the last document of the range above: it goes to that range as well, as
+    one more row. Which documents are first is told by a broadcast table of ids, at most MOST_RANGES rows.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = docs.count()
-    ranges = min(MOST_RANGES, rows // 64)
-    bounds = sorted(set(docs.agg(F.percentile_approx("doc_id", [i / (ranges + 1) for i in range(1, ranges + 1)])).first()[0] or [])) if ranges else []
-    docs = docs.withColumn("part", _range_of(F.col("doc_id"), bounds)).withColumn("tie", F.xxhash64("text"))
-
-    firsts = docs.groupBy("part").agg(F.max("doc_id").alias("doc_id"))
-    down = Window.orderBy(F.desc("part"))
-    follows = firsts.select("part", F.coalesce(F.lead("doc_id").over(down), F.first("doc_id").over(down)).alias("follow_id"))
-    heads = docs.join(F.broadcast(firsts.select("doc_id")), "doc_id").groupBy("doc_id").agg(F.min_by("text", "tie").alias("follow_text"))
-    follows = follows.join(heads, follows.follow_id == heads.doc_id, "left").select("part", "follow_text").withColumn("follow_state", state_of(F.col("follow_text")))
-
-    order = Window.partitionBy("part").orderBy(F.desc_nulls_last("doc_id"), "tie")
-    seen = docs.withColumn("state", state_of(F.col("text"))).select(
-        "*", F.lead(F.struct("text", "state")).over(order).alias("following"))
-    joined = seen.join(F.broadcast(follows), "part", "left")
-    return joined.select(
-        "doc_id", "text", "state",
-        F.coalesce("following.text", "follow_text").alias("next_text"),
-        F.coalesce("following.state", "follow_state").alias("next_state"),
-    )
+    rows, least, largest = docs.agg(F.count(F.lit(1)), F.min("doc_id"), F.max("doc_id")).first()
+    ranges = min(MOST_RANGES, max(1, rows // RANGE_ROWS))
+    quantiles = min(MOST_BOUNDS, ranges)
+    inner = docs.agg(F.percentile_approx("doc_id", [i / quantiles for i in range(1, quantiles)])).first()[0] if quantiles > 1 and least is not None else []
+    bounds = [least or 0, *sorted({b for b in inner or [] if least < b < largest}), largest or 0]
+    coarse, part = _range_of(F.col("doc_id"), bounds, -(-ranges // quantiles))
+    docs = docs.withColumn("coarse", coarse).withColumn("part", part).withColumn("tie", F.xxhash64("text")).drop("coarse")
+
+    first = F.max(F.struct("doc_id", F.bitwise_not("tie").alias("tie")))
+    down = Window.orderBy(F.desc("part"))  # a row for each range, 24 bytes
+    firsts = docs.groupBy("part").agg(first.alias("first"))
+    heads = firsts.select(F.col("first.doc_id").alias("head_id"), F.bitwise_not("first.tie").alias("head_tie"), F.coalesce(F.lag("part").over(down), F.min("part").over(Window.partitionBy())).alias("above"))
+    known = docs.join(F.broadcast(heads), F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("tie") == F.col("head_tie")), "left")
+    places = F.when(F.col("above").isNull(), F.array(F.struct("part", F.lit(0).alias("guest")))).otherwise(
+        F.array(F.struct("part", F.lit(0).alias("guest")), F.struct(F.col("above").alias("part"), F.lit(1).alias("guest"))))
+    placed = known.withColumn("place", F.explode(places)).select("doc_id", "text", "tie", "place.part", "place.guest")
+
+    order = Window.partitionBy("part").orderBy("guest", F.desc_nulls_last("doc_id"), "tie")
+    # Column by column: a struct of both would go through the shuffle beside them.
+    seen = placed.withColumn("state", state_of(F.col("text"))).select(
+        "*", F.lead("text").over(order).alias("next_text"), F.lead("state").over(order).alias("next_state"))
+    return seen.where("guest = 0").select("doc_id", "text", "state", "next_text", "next_state")
 
 
 def edited(text: Column, following: Column) -> Column:
