@@ -5,10 +5,11 @@ into whole sequences, the first piece taking what is left over. Whole sequences
 packing. The other pieces are dealt to groups of about GROUP_PIECES by a hash, and each group
 is packed by best-fit decreasing. Dual feasible functions give a lower bound of a group's
 bins: a function f with sum f(x) <= 1 for all pieces x that fit one bin turns sizes into a
-bound, the sum of f over all pieces. A group that meets its bound is certified; whatever
-its bound, bins with a gap of more than GAP tokens are given up to the next round, where such bins of
-several groups meet in new groups, and are packed again. A new packing is kept when it has
-fewer bins than came in. Rounds end when one group holds all that is left.
+bound, the sum of f over all pieces. A group that meets its bound is certified: no other packing of it has
+fewer bins, so it is closed but for its emptiest bin. Of a group that doesn't, all bins with a gap of more
+than GAP tokens stay open. Open bins of several groups meet in new groups, exchange their documents and are packed
+again; a new packing is kept when it has fewer bins than came in. Rounds end when the bins of all are as few as the bound
+of all pieces together says, when one group holds all that is open, or when a round saves nothing.
 
 Defined cases: a null text is an empty one; an empty text is the single id 0; rows that share
 doc_id are separate documents; equal sizes go by doc_id, piece, start and checksum, so
@@ -26,14 +27,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lidaraudit.llm.common import read_documents, written
+from lidaraudit.llm.common import mapped, read_documents, written
 from lidaraudit.llm.encoding import default_vocabulary, encoder, ids_crc32
 
 CAPACITY = 2048
 GROUP_PIECES = 8192
 #: A bin with a gap of more tokens is repacked.
 GAP = 16
-MOST_ROUNDS = 6
 END_ID = 0
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, uid long"
@@ -65,9 +65,19 @@ def _cut(vocabulary: str, capacity: int):
 
 def lower_bound(sizes: np.ndarray, capacity: int) -> int:
     """Bins that any packing needs, the largest bound of two families of dual feasible functions."""
-    if not len(sizes):
+    return _bound(np.bincount(sizes, minlength=capacity + 1).astype(np.int64), capacity)
+
+
+def lower_bound_of(numbers: dict[int, int], capacity: int) -> int:
+    """The same, given how many pieces there are of each size."""
+    have = np.zeros(capacity + 1, np.int64)
+    have[list(numbers)] = list(numbers.values())
+    return _bound(have, capacity)
+
+
+def _bound(have: np.ndarray, capacity: int) -> int:
+    if not have.any():
         return 0
-    have = np.bincount(sizes, minlength=capacity + 1).astype(np.int64)
     x = np.arange(capacity + 1)
     best = -(-int((have * x).sum()) // capacity)
     # Sizes under e count nothing, those over capacity - e a whole bin.
@@ -106,7 +116,7 @@ def best_fit_decreasing(sizes: list[int], capacity: int) -> tuple[list[int], lis
     return bins, offsets, rooms
 
 
-def _pack(capacity: int, turn: int, last: bool):
+def _pack(capacity: int, turn: int):
     """A function for applyInPandas: one group of pieces to their places."""
 
     def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -115,12 +125,16 @@ def _pack(capacity: int, turn: int, last: bool):
         bins, offsets, rooms = best_fit_decreasing(sizes.tolist(), capacity)
         bound = lower_bound(sizes, capacity)
         had = rows["sequence_id"].nunique() if turn else len(rows) + 1
+        certified = min(len(rooms), had) == bound
         if len(rooms) < had:
             rows["sequence_id"] = ((turn << 56) + (int(key[0]) << 32) + np.array(bins, np.int64)) * 2 + 1
             rows["offset"] = offsets
-            rows["open"] = (np.array(rooms) > GAP)[bins] & (not last)
+            room = np.array(rooms)[bins]
         else:
-            rows["open"] = (rows.groupby("sequence_id")["length"].transform("sum") < capacity - GAP) & (not last)
+            room = capacity - rows.groupby("sequence_id")["length"].transform("sum").to_numpy()
+        rows["open"] = room > GAP
+        if certified and room.max() > GAP:
+            rows["open"] = rows["sequence_id"] == rows["sequence_id"].iloc[int(room.argmax())]
         rows["bin_bound"], rows["group_bins"] = bound, min(len(rooms), had)
         return rows.drop(columns="group")
 
@@ -129,24 +143,28 @@ def _pack(capacity: int, turn: int, last: bool):
 
 def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, bin_bound, group_bins."""
-    cut = docs.select("doc_id", "text").mapInArrow(_cut(vocabulary or default_vocabulary(), capacity), PIECES)
+    cut = docs.select("doc_id", "text").transform(mapped, _cut(vocabulary or default_vocabulary(), capacity), PIECES)
     pieces = written(cut, "pieces")
     whole = pieces.where(F.col("length") == capacity).select(
         *pieces.columns, (F.col("uid") * 2).alias("sequence_id"), F.lit(0).cast("long").alias("offset"),
         F.lit(1).cast("long").alias("bin_bound"), F.lit(1).cast("long").alias("group_bins"))
+    sizes = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # a row per length, at most capacity
+    bins, bound = sizes.get(capacity, 0), lower_bound_of(sizes, capacity)
     done, left = [whole], pieces.where(F.col("length") < capacity).select(
         *pieces.columns, F.lit(None).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.col("uid").alias("moves_with"))
-    for turn in range(MOST_ROUNDS):
-        groups = -(-left.count() // GROUP_PIECES)
-        if not groups:
-            break
-        last = groups == 1 or turn == MOST_ROUNDS - 1
+    n, before, turn = sum(sizes.values()) - bins, None, 0
+    while n:
+        groups = -(-n // GROUP_PIECES)
         dealt = left.withColumn("group", F.pmod(F.xxhash64("moves_with", F.lit(turn)), F.lit(groups))).drop("moves_with")
-        packed = written(dealt.groupBy("group").applyInPandas(_pack(capacity, turn, last), PACKED), "packed")
-        done.append(packed.where("not open").select(*whole.columns))
-        if last:
+        packed = written(dealt.groupBy("group").applyInPandas(_pack(capacity, turn), PACKED), "packed")
+        first = F.col("offset") == 0  # one piece of each bin
+        after, still, n = packed.agg(F.count_if(first), F.count_if(first & F.col("open")), F.count_if("open")).first()
+        if bins + after <= bound or groups == 1 or after == before:
+            done.append(packed.select(*whole.columns))
             break
+        done.append(packed.where("not open").select(*whole.columns))
         left = packed.where("open").select(*pieces.columns, "sequence_id", "offset", F.col("sequence_id").alias("moves_with"))
+        bins, before, turn = bins + after - still, still, turn + 1
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
