@@ -4,7 +4,9 @@ The words of all notices make one automaton. A text is streamed through it: for
 longest run of words ending there that occurs in a notice (matching statistics). Runs that
 can't be made longer are matches; matches of one notice that follow one another in the
 text and in the notice, with at most MOST_GAP other words between, are chained to a span, and
-a span that covers SHARE of its notice gives the notice's label. Only stretches of words whose
+a span that covers SHARE of its notice gives the notice's label. Words that tell licences apart (a version,
+Lesser, Affero, NonCommercial) are marked in the notices: a span without one of them gives no label, nor does one
+with other words where a notice's words have to stand together. Only stretches of words whose
 pairs of neighbours occur in a notice are streamed; no other word can be in a match of two.
 
 The base phrases are notices as well; where their words stand consecutively is counted apart.
@@ -23,25 +25,41 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from lidaraudit.llm.common import WordHasher, chunks, read_documents, runs
+from lidaraudit.llm.common import WordHasher, chunks, mapped, read_documents, runs
 
 #: The contract's phrases.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Notices of well-known public licences, in their usual wording.
+#: Notices of well-known public licences, in their usual wording. A word after `*` has to be there; words joined by `~` have to stand together.
 NOTICES = {
-    "apache-2.0": ["Licensed under the Apache License, Version 2.0", "you may not use this file except in compliance with the License", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND"],
-    "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Released under the BSD License"],
-    "cc-by-4.0": ["Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"],
-    "cc-by-nc-4.0": ["Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
-    "cc-by-sa-4.0": ["Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
-    "gpl-2.0": ["licensed under the GNU General Public License, version 2"],
-    "gpl-3.0": ["licensed under the GNU General Public License, version 3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"],
-    "lgpl": ["licensed under the GNU Lesser General Public License"],
-    "mit": ["Released under the MIT License", "Licensed under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"],
-    "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
+    "agpl-3.0": ["under the terms of the GNU~*Affero~General Public License as published by the Free Software Foundation, either version~*3 of the License", "licensed under the GNU~*Affero~General Public License"],
+    "apache-2.0": [
+        "Licensed under the *Apache License, Version~*2~0", "Licensed under the *Apache License, Version~*2~0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied"],
+    "bsd-2-clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Released under the *BSD License", "Licensed under the *BSD License"],
+    "bsd-3-clause": ["*Neither the name of the copyright holder nor the names of its contributors may be used to *endorse or *promote products derived from this software without specific prior written permission"],
+    "bsd": [
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED"],
+    "cc0-1.0": ["To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this software to the *public *domain worldwide", "licensed under *CC0 1.0 Universal"],
+    "cc-by-4.0": ["Licensed under CC~BY~*4~0", "This work is licensed under a Creative Commons *Attribution~4~0 International License"],
+    "cc-by-nc-4.0": ["Licensed under CC~BY~*NC 4.0", "This work is licensed under a Creative Commons Attribution *NonCommercial 4.0 International License"],
+    "cc-by-sa-4.0": ["Licensed under CC~BY~*SA 4.0", "This work is licensed under a Creative Commons Attribution *ShareAlike 4.0 International License"],
+    "epl-2.0": ["This program and the accompanying materials are made available under the terms of the *Eclipse Public License 2.0"],
+    "gpl-2.0": ["licensed under the GNU~General Public License, version~*2", "under the terms of the GNU~General Public License as published by the Free Software Foundation; either version~*2 of the License"],
+    "gpl-3.0": ["licensed under the GNU~General Public License, version~*3", "under the terms of the GNU~General Public License as published by the Free Software Foundation, either version~*3 of the License"],
+    "isc": ["Permission to use, copy, modify, and or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"],
+    "lgpl": ["licensed under the GNU~*Lesser~General Public License", "under the terms of the GNU~*Lesser~General Public License as published by the Free Software Foundation"],
+    "mit": [
+        "Released under the *MIT License", "Licensed under the *MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+        "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions",
+        "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT"],
+    "mpl-2.0": ["This Source Code Form is subject to the terms of the *Mozilla Public License, v. *2~0", "If a copy of the *MPL was not distributed with this file, You can obtain one at"],
+    "unlicense": ["This is free and *unencumbered software released into the public domain"],
 }
 #: Bytes between words: the contract's class, before A-Z are lower-cased.
 BETWEEN = bytes([*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
+#: Characters of words of the notices.
+WORD = "0-9A-Za-z"
 MOST_GAP = 8
 SHARE = 0.8
 
@@ -52,6 +70,15 @@ def words_of(text: str) -> list[bytes]:
     return re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.encode().lower())
 
 
+def marks_of(notice: str) -> tuple[int, int]:
+    """Which words of a notice have to be there, and which have to stand together with the next one, as bits."""
+    needed = together = 0
+    for i, (before, _) in enumerate(re.findall(rf"([^{WORD}]*)([{WORD}]+)", notice)):
+        needed |= ("*" in before) << i
+        together |= ("~" in before) << i >> 1
+    return needed, together
+
+
 class SuffixAutomaton:
     """Of several sequences; ends[v] has (sequence, place) of each occurrence of the runs of state v."""
 
@@ -121,6 +148,7 @@ class Scanner:
         vocabulary = sorted({w for _, x in texts for w in words_of(x)})
         number = {w: i for i, w in enumerate(vocabulary)}
         self.notices = [[number[w] for w in words_of(x)] for _, x in texts]
+        self.marks = [marks_of(x) for _, x in texts]
         self.automaton = SuffixAutomaton(self.notices)
         self.phrases = [([number[w] for w in words_of(x)], label) for x, label in phrases.items()]
         self.hasher = WordHasher(BETWEEN)
@@ -138,29 +166,29 @@ class Scanner:
 
     def spans(self, stretches: list[tuple[int, list[int]]]) -> list[tuple[str, int, int, float]]:
         """Chains of one text: label, first and last word, share of the notice that is covered."""
-        chains: dict[int, list[int]] = {}  # notice: first word, last word, end in the notice, words covered
+        chains: dict[int, list[int]] = {}  # notice: first word, last word, end in the notice, words covered, pairs of neighbours covered
         found = []
 
         def close(s: int) -> None:
-            first, last, _, covered = chains.pop(s)
-            if covered >= 2:
-                found.append((self.labels[s], first, last, min(1.0, covered / len(self.notices[s]))))
+            first, last, _, covered, pairs = chains.pop(s)
+            needed, together = self.marks[s]
+            if covered.bit_count() >= 2 and covered & needed == needed and pairs & together == together:
+                found.append((self.labels[s], first, last, covered.bit_count() / len(self.notices[s])))
 
         for begin, tokens in stretches:
             for i, n, state in self.automaton.matches(tokens):
                 last = begin + i
                 for s, end in sorted(self.automaton.ends[state]):
-                    c = chains.get(s)
+                    c, covered, pairs = chains.get(s), ((1 << n) - 1) << end - n + 1, ((1 << n - 1) - 1) << end - n + 1
                     if c and (last - n - c[1] > self.gap or end <= c[2]):
-                        if end <= c[2] and last - n - c[1] <= self.gap and c[3] >= n:
+                        if end <= c[2] and last - n - c[1] <= self.gap and c[3].bit_count() >= n:
                             continue  # the chain is further on in the notice already
                         close(s)
                         c = None
                     if c:
-                        c[3] += min(n, end - c[2])
-                        c[1], c[2] = last, end
+                        c[1:] = last, end, c[3] | covered, c[4] | pairs
                     else:
-                        chains[s] = [last - n + 1, last, end, n]
+                        chains[s] = [last - n + 1, last, end, covered, pairs]
         for s in list(chains):
             close(s)
         return sorted(found, key=lambda x: (x[1], -x[3], x[0]))
@@ -210,7 +238,7 @@ def scan(docs: DataFrame, notices: dict[str, list[str]] = NOTICES, phrases: dict
                 rows = list(zip(*_rows(scanner, batch["doc_id"].to_pylist(), batch["text"]), strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], names)
 
-    return docs.select("doc_id", "text").mapInArrow(work, COLUMNS)
+    return docs.select("doc_id", "text").transform(mapped, work, COLUMNS)
 
 
 def op7_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
