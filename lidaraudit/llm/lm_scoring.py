@@ -41,7 +41,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lidaraudit.llm.common import WordHasher, chunks, mix64, read_documents, runs, work_folder, written
+from lidaraudit.llm.common import WordHasher, chunks, grouped, mapped, mix64, read_documents, runs, work_folder, written
 from lidaraudit.llm.labelled import held_out
 
 #: Tokens of a run that is counted at once.
@@ -265,8 +265,8 @@ def train(docs: DataFrame) -> Model:
     spark = docs.sparkSession
     bits = max(4, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
     files = Files(work_folder(spark, "lm"))
-    counts = docs.select("text").mapInArrow(_count(bits), PACKED)
-    taken = written(counts.groupBy("shard").applyInArrow(_shard(files, bits), TAKEN), "lm-taken")
+    counts = docs.select("text").transform(mapped, _count(bits), PACKED)
+    taken = written(counts.groupBy("shard").applyInArrow(grouped(_shard(files, bits)), TAKEN), "lm-taken")
     sums = [F.sum(F.col("totals")[k]).alias(f"t{k}") for k in range(12)]
     t = [x or 0 for x in taken.where("shard = -1").agg(*sums).first()]
     taken.where("shard >= 0").groupBy("shard").applyInArrow(_contexts(files), "n long").agg(F.sum("n")).collect()  # one number
@@ -348,7 +348,7 @@ def _scored(model: Model):
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score (log10), perplexity of each text."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = docs.select("doc_id", "text").mapInArrow(_scored(model), f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
+    found = docs.select("doc_id", "text").transform(mapped, _scored(model), f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
     return found.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
 
 

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lidaraudit.llm.common import read_documents, written
+from lidaraudit.llm.common import mapped, read_documents, written
 
 ROW = 192
 PNG = b"\x89PNG\r\n\x1a\n"
@@ -102,27 +102,28 @@ def parsed(html: str | None) -> list[dict]:
     return [{"position": i, **e} for i, e in enumerate(page.elements)]
 
 
-def sequences(pages: DataFrame, key: str) -> DataFrame:
-    """key, elements: the texts and media references of column html in order."""
-    kind = pages.schema[key].dataType.simpleString()
+def sequences(pages: DataFrame, key: str, *kept: str) -> DataFrame:
+    """key, kept columns, elements: the texts and media references of column html in order."""
+    columns = [key, *kept]
+    kinds = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in columns)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch[0], pa.array([parsed(x) for x in batch[1].to_pylist()], ELEMENTS)], [key, "elements"])
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in columns), pa.array([parsed(x) for x in batch["html"].to_pylist()], ELEMENTS)], [*columns, "elements"])
 
-    return pages.select(key, "html").mapInArrow(work, f"`{key}` {kind}, elements {ELEMENTS_SQL}")
+    return pages.select(*columns, "html").transform(mapped, work, f"{kinds}, elements {ELEMENTS_SQL}")
 
 
-def resolved(found: DataFrame, features: DataFrame, key: str) -> DataFrame:
-    """key, elements: each element of found with a struct `media` of the columns of features for its digest.
+def resolved(found: DataFrame, features: DataFrame, key: str, *kept: str) -> DataFrame:
+    """key, kept columns, elements: each element of found with a struct `media` of the columns of features for its digest.
 
     features: one row per digest. key must tell the rows of found apart.
     """
     columns = [c for c in features.columns if c != "digest"]
-    each = found.select(F.col(key), F.explode_outer("elements").alias("e")).withColumn("digest", F.col("e.digest"))
+    each = found.select(F.col(key), *kept, F.explode_outer("elements").alias("e")).withColumn("digest", F.col("e.digest"))
     joined = each.join(features.select("digest", F.struct(*columns).alias("media")), "digest", "left")
     element = F.struct(*[F.col(f"e.{c}").alias(c) for c in ("position", "kind", "text", "digest", "caption")], "media")
-    return joined.groupBy(key).agg(F.sort_array(F.collect_list(F.when(F.col("e").isNotNull(), element))).alias("elements"))
+    return joined.groupBy(key).agg(*[F.first(c).alias(c) for c in kept], F.sort_array(F.collect_list(F.when(F.col("e").isNotNull(), element))).alias("elements"))
 
 
 def padded(data: bytes) -> bytes:
@@ -187,7 +188,7 @@ def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def store(docs: DataFrame) -> DataFrame:
     """Written: row, doc_id, n_bytes, html, digest, stored (null where the task had stored the digest before)."""
-    return written(docs.select("doc_id", "text").mapInArrow(_stored, "row long, doc_id long, n_bytes long, html string, digest string, stored binary"), "media")
+    return written(docs.select("doc_id", "text").transform(mapped, _stored, "row long, doc_id long, n_bytes long, html string, digest string, stored binary"), "media")
 
 
 FEATURES = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -208,16 +209,15 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def features(media: DataFrame) -> DataFrame:
     """One row per digest, of what the stored bytes hold when they are read back."""
-    each = media.where("stored is not null").select("digest", "stored").mapInArrow(_features, FEATURES)
+    each = media.where("stored is not null").select("digest", "stored").transform(mapped, _features, FEATURES)
     return written(each.groupBy("digest").agg(*[F.first(c).alias(c) for c in each.columns if c != "digest"]), "media-features")
 
 
 def op8_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = store(read_documents(spark, sf_dir))
-    pages = resolved(sequences(media, "row"), features(media), "row")
+    pages = resolved(sequences(media, "row", "doc_id", "n_bytes"), features(media), "row", "doc_id", "n_bytes")
     first = F.filter("elements", lambda e: e["kind"] == "image")[0]
-    found = pages.select("row", first.alias("e"))
-    return media.select("row", "doc_id", "n_bytes").join(found, "row").select("doc_id", "n_bytes", "e.media.*", F.col("e.position").alias("position"), F.col("e.caption").alias("caption"))
+    return pages.select("doc_id", "n_bytes", first.alias("e")).select("doc_id", "n_bytes", "e.media.*", F.col("e.position").alias("position"), F.col("e.caption").alias("caption"))
 
 
 QUERIES = {"op8_interleaved_media": op8_interleaved_media}

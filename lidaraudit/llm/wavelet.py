@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lidaraudit.llm.common import read_documents, written
+from lidaraudit.llm.common import mapped, read_documents, written
 from lidaraudit.llm.encoding import default_vocabulary, encoder, ids_crc32
 
 SHARD_TOKENS = 1 << 20
@@ -171,10 +171,17 @@ def _shards(vocabulary: str, shard_tokens: int):
     return write
 
 
-def write_shards(docs: DataFrame, vocabulary: str | None = None, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """The written shards: part (range of doc_id), part_start (ids of the part before the shard), n_tokens, shard."""
+def write_shards(docs: DataFrame, vocabulary: str | None = None, shard_tokens: int = SHARD_TOKENS, path: str | None = None) -> DataFrame:
+    """The written shards: part (range of doc_id), part_start (ids of the part before the shard), n_tokens, shard.
+
+    They are a Parquet folder at path, which must be new, or one in spark.checkpoint.dir.
+    """
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    return written(ordered.mapInArrow(_shards(vocabulary or default_vocabulary(), shard_tokens), "part long, part_start long, n_tokens long, shard binary"), "shards")
+    shards = ordered.transform(mapped, _shards(vocabulary or default_vocabulary(), shard_tokens), "part long, part_start long, n_tokens long, shard binary")
+    if path is None:
+        return written(shards, "shards")
+    shards.write.parquet(path)
+    return docs.sparkSession.read.schema(shards.schema).parquet(path)
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +195,7 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_shards(shards: DataFrame) -> DataFrame:
     """One row per document, read from the shards: doc_id, start, n_tokens, ids_crc32."""
-    docs = shards.select("part", "part_start", "shard").mapInArrow(_documents, "part long, doc_id long, start long, n_tokens long, ids_crc32 long")
+    docs = shards.select("part", "part_start", "shard").transform(mapped, _documents, "part long, doc_id long, start long, n_tokens long, ids_crc32 long")
     parts = shards.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # as many rows as ranges
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
