@@ -44,7 +44,7 @@ STAGES = [
     ("best-fit packing", pack_sequences),
 ]
 
-#: The models and the packing aren't expressed in SQL; tests hold each stage against a plain version.
+#: The models and the packing aren't expressed in SQL; test_pipeline_against_plain_stages holds run()'s rows against plain versions.
 ORACLE_SQL = None
 
 
