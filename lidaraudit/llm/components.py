@@ -42,11 +42,18 @@ def components(edges: DataFrame, most_rounds: int = 40, shrink: bool = True) ->
 
     Rounds of large and small stars (Kiveris et al. 2014): each node's larger neighbours are
     linked to its least one, then its smaller ones to its least one, until nothing changes.
-    Tasks first shrink their edges to stars, so rounds move one row per node; where edges are
-    forests already, as those of tiles are, this is left out, and with it a second Python worker per task.
+    Tasks first shrink their edges to stars, and the stars of a node meet once, so rounds move about one row per
+    node however many edges there were; where edges are forests already, as those of tiles are, this is left
+    out, and with it a second Python worker per task.
     """
     own = edges.select("a", "b").where("a <> b")
-    now = written(own.transform(mapped, _forest, "a long, b long") if shrink else own, "stars")
+    if shrink:
+        stars = own.transform(mapped, _forest, "a long, b long")
+        # A node has a root in each task that knew it, at most as many as tasks: it keeps the least, to which the others are linked.
+        roots_of = stars.groupBy("b").agg(F.collect_set("a").alias("roots")).withColumn("least", F.array_min("roots"))
+        each = F.transform("roots", lambda r: F.struct(F.col("least").alias("a"), F.when(r == F.col("least"), F.col("b")).otherwise(r).alias("b")))
+        own = roots_of.select(F.explode(each).alias("e")).select("e.*").distinct()
+    now = written(own, "stars")
     seen = None
     for _ in range(most_rounds):
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -199,6 +199,21 @@ def test_components_of_a_chain(spark):
     assert components.components(edges.limit(0)).count() == 0
 
 
+def test_components_of_many_overlapping_groups(spark):
+    """Every task sees most of one large group, and a few groups of its own: as the keys of near copies do."""
+    rng = random.Random(13)
+    edges = []
+    for _ in range(12):
+        own = [x for x in range(300) if rng.random() < 0.95]
+        edges += [(own[0], x) for x in own[1:]] + [(1000 + rng.randrange(40), 1000 + rng.randrange(40)) for _ in range(3)]
+    root = {x: x for e in edges for x in e}
+    for _ in range(60):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    out = dict(map(tuple, components.components(spark.createDataFrame(edges, "a long, b long").repartition(12)).collect()))
+    assert out == {x: r for x, r in root.items() if any(x in e and e[0] != e[1] for e in edges)}
+
+
 # classifiers
 
 
