@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: The modules that exist, in the order of the operators.
-MODULES = ("ngram_join", "toxicity", "mixing", "lm_scoring", "quality", "packing", "licences", "media", "wavelet", "fingerprints")
+MODULES = ("ngram_join", "toxicity", "mixing", "lm_scoring", "quality", "packing", "licences", "media", "wavelet", "fingerprints", "prefix_trie", "language_id", "search")
 
 
 def _modules():
