@@ -50,10 +50,10 @@ SEPARATOR = 32
 CALIBRATION = 10
 KEPT, SLACK, LEAST_SCORE = 0.999, 0.5, 0.5
 #: Bytes of text of a run.
-RUN_BYTES = 4 << 20
+RUN_BYTES = 1 << 20
 #: Rows of a shard that the number of shards aims at, and the least number as a power of two.
 SHARD_ROWS, LEAST_BITS = 2 << 20, 6
-#: Cells of windows by languages that are worked out at a time.
+#: Cells of windows by languages that are worked out at a time, and that a worker remembers before it begins anew.
 CELLS = 4 << 20
 #: Multipliers of the places of a window, and what is added for its length.
 PLACES = mix64(np.arange(1, ORDER + 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -145,6 +145,18 @@ def windows(s: Stream) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return total[wanted], wanted, s.text[wanted]
 
 
+def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A place of each distinct hash, their counts, and which of them each hash is."""
+    order = hashes.argsort()
+    new = np.empty(len(hashes), bool)
+    new[:1] = True
+    new[1:] = hashes[order[1:]] != hashes[order[:-1]]
+    first = np.flatnonzero(new)
+    back = np.empty(len(hashes), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return order[first], np.diff(first, append=len(hashes)), back
+
+
 def codes_at(s: Stream, at: np.ndarray) -> np.ndarray:
     """The windows that end at these indexes, oldest character first."""
     out = np.full((len(at), ORDER), SEPARATOR, np.int32)
@@ -186,7 +198,7 @@ def _counted(run_bytes: int):
                 hashes, at, text = windows(s)
                 if not len(at):
                     continue
-                _, first, n = np.unique(hashes + salt[number[text]], return_index=True, return_counts=True)
+                first, n, _ = distinct(hashes + salt[number[text]])
                 codes = codes_at(s, at[first])
                 yield pa.RecordBatch.from_arrays([names.take(pa.array(number[text[first]])), *(pa.array(np.ascontiguousarray(codes[:, k])) for k in range(ORDER)), pa.array(n.astype(np.int64))], ["lang", *NAMES, "n"])
 
@@ -281,6 +293,35 @@ class Lookup:
 
     def __init__(self, model: Model) -> None:
         self.model, self.open = model, {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Windows seen lately, by hash: many that are sorted, and a few more that are, too."""
+        none = np.zeros(0, np.uint64), np.zeros((0, len(self.model.langs)))
+        self.many, self.few = none, none
+
+    def remembered(self, hashes: np.ndarray, codes) -> np.ndarray:
+        """bits() of distinct windows: hashes, and codes(places) that gives those at some places."""
+        out = np.empty((len(hashes), len(self.model.langs)))
+        left = np.ones(len(hashes), bool)
+        for known, costs in (self.many, self.few):
+            if len(known):
+                at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                there = known[at] == hashes
+                out[there] = costs[at[there]]
+                left &= ~there
+        new = np.flatnonzero(left)
+        out[new] = self.bits(codes(new))
+        few = [np.concatenate(x) for x in zip(self.few, (hashes[new], out[new]), strict=True)]
+        order = few[0].argsort()
+        self.few = few[0][order], few[1][order]
+        if 4 * len(self.few[0]) > len(self.many[0]):
+            both = [np.concatenate(x) for x in zip(self.many, self.few, strict=True)]
+            order = both[0].argsort()
+            self.forget()
+            if both[1].size <= self.model.cells:
+                self.many = both[0][order], both[1][order]
+        return out
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """n and types of each key and language; 0 where there is none."""
@@ -340,10 +381,11 @@ def _scored(model: Model):
                 counted += np.bincount(text, minlength=size)
                 letters += np.bincount(text, code_points()[1][s.code[at]], size).astype(np.int64)
                 if langs:
-                    _, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-                    costs = lookup.bits(codes_at(s, at[first]))
+                    first, _, back = distinct(hashes)
+                    costs = lookup.remembered(hashes[first], lambda new: codes_at(s, at[first[new]]))  # noqa: B023  called at once
+                    costs = np.ascontiguousarray(costs.T)
                     for k in range(langs):
-                        bits[:, k] += np.bincount(text, costs[back, k], size)
+                        bits[:, k] += np.bincount(text, costs[k][back], size)
             if langs:
                 best = bits.argmin(axis=1)
                 least = bits[np.arange(size), best]
