@@ -299,6 +299,7 @@ def search(docs: DataFrame, items: DataFrame, block_items: int = BLOCK_ITEMS, ru
     found = tops[0]
     for more in tops[1:]:
         found = found.unionByName(more)
+    found = written(found, "search-best")  # ranges are sampled before they are dealt, which would score twice
     return found.repartitionByRange("item_id").sortWithinPartitions("item_id").transform(mapped, _selected, RANKED)
 
 
