@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lidaraudit.plans import geometry, review, rules, temporal
+from lidaraudit.plans import geometry, review, rules, streams, temporal
 
-MODULES = (rules, geometry, review, temporal)
+MODULES = (rules, geometry, review, temporal, streams)
 
 
 def queries() -> dict:
