@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KEY_FIELDS = ("track_id", "target_id", "uuid", "object_id")
@@ -38,6 +38,16 @@ def key_value() -> Column:
     return F.coalesce(*[filled(c) for c in KEY_FIELDS], F.col("bbox_index").cast("string"))
 
 
+def target_key(boxes: DataFrame) -> Column:
+    """The stored key of an object, as far as boxes have that column: a row without one is told by its number in the frame.
+
+    Boxes without the column have the key that would be stored.
+    """
+    if "resolved_target_key" not in boxes.columns:
+        return key_value()
+    return F.coalesce(filled("resolved_target_key"), F.concat(F.lit("bbox_index:"), F.coalesce(F.col("bbox_index").cast("string"), F.lit(""))))
+
+
 def key_field() -> Column:
     picked = F.when(filled(KEY_FIELDS[0]).isNotNull(), KEY_FIELDS[0])
     for c in KEY_FIELDS[1:]:

@@ -92,14 +92,17 @@ def parse_missing(answers: DataFrame, allowed: list[str]) -> DataFrame:
 
 
 def _parsed(answers: DataFrame, fields: Callable[[Answer], dict[str, Column]], category: str, allowed: list[str]) -> DataFrame:
-    """The text is parsed and tested once; a lambda keeps the optimiser from repeating that for each field."""
+    """The text is parsed and tested once: a lambda keeps the optimiser from repeating that for each field, and a test that
+    always holds, of a number that it can't know, from moving a filter on a field below the parsing.
+    """
+    text = F.when(F.monotonically_increasing_id() >= 0, unfenced(F.col("response")))
 
     def build(json: Column) -> Column:
         a = Answer(json)
         values = fields(a)
         return F.struct(a.error().alias("error"), *[v.alias(k) for k, v in values.items()])
 
-    out = answers.withColumn("answer", F.element_at(F.transform(F.array(F.try_parse_json(unfenced(F.col("response")))), build), 1))
+    out = answers.withColumn("answer", F.element_at(F.transform(F.array(F.try_parse_json(text)), build), 1))
     names = out.schema["answer"].dataType.names
     ok = F.col("answer.error").isNull()
     values = [F.when(ok, F.col(f"answer.{n}")).alias(n) for n in names if n != "error"]
@@ -133,13 +136,19 @@ def wrong_votes(parsed: DataFrame, aliases: dict[str, str], least: float = WRONG
     return judged.select(*parsed.columns, *[F.col(f"vote.{c}").alias(f"vote_{c}") for c in ("reason", "rule", "category")])
 
 
+def object_of() -> Column:
+    """What an answer's object is told by over frames: its track, or where it has none the candidate itself."""
+    return F.coalesce(F.nullif(F.col("track_id"), F.lit("")), F.col("candidate_id"))
+
+
 def consensus(votes: DataFrame, min_votes: int = MIN_VOTES, min_share: float = MIN_SHARE) -> DataFrame:
-    """One row for each object whose answers agree often enough, with its surest answer; ties go to the greater rule and category."""
-    track = ["scene_id", "track_id"]
+    """One row for each object (see object_of) whose answers agree often enough, with its surest answer; ties go to the greater rule and category."""
+    track = ["scene_id", "object_key"]
+    votes = votes.withColumn("object_key", object_of())
     # Answers without a vote fall out by their count: a filter on the rule would be pushed down and repeat the parsing.
     counted = votes.groupBy(*track, "vote_rule", "vote_category").agg(
-        F.count("vote_rule").alias("n"), F.max_by(F.struct("candidate_id", "frame_index"), F.struct(F.col("confidence"), -F.col("frame_index"))).alias("best")).where("n > 0")
-    won = counted.groupBy(*track).agg(F.max(F.struct("n", "vote_rule", "vote_category", F.col("best.candidate_id").alias("candidate_id"), F.col("best.frame_index").alias("candidate_frame"))).alias("w"))
+        F.count("vote_rule").alias("n"), F.max_by(F.struct("candidate_id", "frame_index", "track_id"), F.struct(F.col("confidence"), -F.col("frame_index"))).alias("best")).where("n > 0")
+    won = counted.groupBy(*track).agg(F.max(F.struct("n", "vote_rule", "vote_category", F.col("best.candidate_id").alias("candidate_id"), F.col("best.frame_index").alias("candidate_frame"), F.col("best.track_id").alias("track_id"))).alias("w"))
     all_votes = votes.groupBy(*track).agg(F.count("candidate_id").alias("observations"))
     joined = won.join(all_votes, track).select(*track, "w.*", "observations").withColumn("share", F.col("n") / F.col("observations"))
     return joined.where((F.col("n") >= min_votes) & (F.col("share") >= min_share))

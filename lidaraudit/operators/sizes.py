@@ -39,10 +39,15 @@ def with_variants(dimensions: DataFrame) -> DataFrame:
 
 
 def class_references(dimensions: DataFrame) -> DataFrame:
-    """One row per class: how many candidates it has, and those with all references, the class itself first, then in order."""
-    usable = F.expr("ref_length is not null and ref_width is not null and ref_height is not null and tolerance is not null")
-    one = F.struct((~F.col("exact")).alias("other"), "class_order", "variant", *[f"ref_{s}" for s, _ in SIDES], "tolerance")
-    return with_variants(dimensions).groupBy("class").agg(F.count("variant").alias("candidates"), F.sort_array(F.collect_list(F.when(usable, one))).alias("references"))
+    """One row per class: how many candidates it has, and those with all references and tolerances, the class itself first, then in order.
+
+    A side's tolerance is tol_<side>, or the one tolerance of all sides where there is no such column.
+    """
+    whole = dimensions.withColumns({f"tol_{s}": F.col(f"tol_{s}" if f"tol_{s}" in dimensions.columns else "tolerance") for s, _ in SIDES})
+    given = [f"{kind}_{s}" for kind in ("ref", "tol") for s, _ in SIDES]
+    usable = F.expr(" and ".join(f"{c} is not null" for c in given))
+    one = F.struct((~F.col("exact")).alias("other"), "class_order", "variant", *given)
+    return with_variants(whole).groupBy("class").agg(F.count("variant").alias("candidates"), F.sort_array(F.collect_list(F.when(usable, one))).alias("references"))
 
 
 def with_references(rows: DataFrame, dimensions: DataFrame) -> DataFrame:
@@ -59,7 +64,7 @@ def mismatch_entries(strategy: str = "any_variant") -> list[Column]:
     0 is infinitely far from any other size. Rows: sized() and with_references().
     """
     side = {s: F.col(f"scale.{a}") for s, a in SIDES}
-    near = lambda r, s: side[s].between(r[f"ref_{s}"] * (1 - r["tolerance"]), r[f"ref_{s}"] * (1 + r["tolerance"]))
+    near = lambda r, s: side[s].between(r[f"ref_{s}"] * (1 - r[f"tol_{s}"]), r[f"ref_{s}"] * (1 + r[f"tol_{s}"]))
     off = lambda r, s: F.when(r[f"ref_{s}"] == 0, F.lit(float("inf"))).otherwise(F.try_divide(F.abs(side[s] - r[f"ref_{s}"]), r[f"ref_{s}"]))
     passes = F.exists("references", lambda r: near(r, "length") & near(r, "width") & near(r, "height"))
     deviation = F.array_min(F.transform("references", lambda r: F.greatest(*[off(r, s) for s, _ in SIDES])))
@@ -72,7 +77,7 @@ def mismatch_entries(strategy: str = "any_variant") -> list[Column]:
 def best_variant(rows: DataFrame) -> DataFrame:
     """rows with the variant that they are judged by: the first that fits, else the one of the least largest deviation."""
     side = {s: F.col(f"scale.{a}") for s, a in SIDES}
-    near = lambda r: F.forall(F.array(*[side[s].between(r[f"ref_{s}"] * (1 - r["tolerance"]), r[f"ref_{s}"] * (1 + r["tolerance"])) for s, _ in SIDES]), lambda x: x)
+    near = lambda r: F.forall(F.array(*[side[s].between(r[f"ref_{s}"] * (1 - r[f"tol_{s}"]), r[f"ref_{s}"] * (1 + r[f"tol_{s}"])) for s, _ in SIDES]), lambda x: x)
     off = lambda r: F.greatest(*[F.when(r[f"ref_{s}"] == 0, F.lit(float("inf"))).otherwise(F.try_divide(F.abs(side[s] - r[f"ref_{s}"]), r[f"ref_{s}"])) for s, _ in SIDES])
     judged = F.transform("references", lambda r, i: F.struct(F.when(near(r), F.lit(-1.0)).otherwise(off(r)).alias("deviation"), i.alias("place"), r["variant"].alias("variant")))
     return rows.withColumn("variant", F.when(F.col("scale").isNotNull(), F.array_min(judged)["variant"]))

@@ -231,13 +231,19 @@ def registered_frames(landmarks: DataFrame, registration: Registration = Registr
     return landmarks.groupBy("scene_id").applyInPandas(work, "scene_id string, frame_index int, angle double, shift_x double, shift_y double, shift_z double")
 
 
-def dedup_statistics(matched: DataFrame) -> DataFrame:
-    """One row per scene: candidates before and after, groups, their observations, saved calls, frames that couldn't be registered."""
+def dedup_statistics(matched: DataFrame, landmarks: DataFrame, registered: DataFrame) -> DataFrame:
+    """One row per scene with candidates: how many before and after, groups, their observations, saved calls, frames that could be registered and that couldn't.
+
+    matched: stationary_clusters(); landmarks: those it was given; registered: registered_frames(). Frames are those of
+    candidates and of landmarks.
+    """
+    one = ["scene_id", "frame_index"]
+    frames = matched.select(*one).unionByName(landmarks.select(*one)).distinct().join(registered.select(*one, F.lit(True).alias("way")), one, "left")
+    counted = frames.groupBy("scene_id").agg(F.count("way").alias("registered_frames"), F.count_if(F.col("way").isNull()).alias("unregistered_frames"))
     return matched.groupBy("scene_id").agg(
         F.count("candidate_id").alias("raw_candidates"), F.count_if("represents").alias("candidates"),
         F.count_if(F.col("represents") & F.col("group").isNotNull()).alias("duplicate_groups"), F.count("group").alias("duplicate_observations"),
-        F.countDistinct(F.when(~F.col("registered"), F.col("frame_index"))).alias("unregistered_frames"),
-    ).withColumn("saved_calls", F.col("duplicate_observations") - F.col("duplicate_groups"))
+    ).join(counted, "scene_id").withColumn("saved_calls", F.col("duplicate_observations") - F.col("duplicate_groups"))
 
 
 def nearest_groups(rows: pd.DataFrame, distance: float) -> pd.DataFrame:

@@ -36,7 +36,7 @@ def findings(rows: DataFrame, entries: list[Column]) -> DataFrame:
 
 
 def keyed(boxes: DataFrame) -> DataFrame:
-    return boxes.withColumns({"target_key": C.key_value(), "label_of": C.label()})
+    return boxes.withColumns({"target_key": C.target_key(boxes), "label_of": C.label()})
 
 
 def frames_without_boxes(boxes: DataFrame, expected: DataFrame) -> DataFrame:

@@ -39,8 +39,8 @@ def wrong_findings(votes: DataFrame, mode: str = "per_frame", min_votes: int = d
         raise ValueError(f"mode has to be per_frame or track_consensus, not {mode}")
     told = votes.where("vote_rule is not null")
     if mode == "track_consensus":
-        won = decisions.consensus(votes, min_votes, min_share).select("scene_id", "track_id", "candidate_id", F.col("candidate_frame").alias("frame_index"))
-        told = told.join(won, ["scene_id", "track_id", "candidate_id", "frame_index"], "left_semi")
+        won = decisions.consensus(votes, min_votes, min_share).select("scene_id", "candidate_id", F.col("candidate_frame").alias("frame_index"))
+        told = told.join(won, ["scene_id", "candidate_id", "frame_index"], "left_semi")
     texts = F.create_map(*[F.lit(x) for pair in MESSAGES.items() for x in pair])
     evidence = F.format_string("current_label=%s, size=%s, label_match=%s, bbox_match=%s", "label", _size(), F.col("label_match").cast("string"), F.col("bbox_match").cast("string"))
     return _shaped(told, bbox_index=F.col("candidate_id"), rule_id=F.col("vote_rule"), message=texts[F.col("vote_rule")], evidence=evidence, cluster_id=F.lit(""), possible_category=F.col("suggested_category"))
@@ -95,8 +95,8 @@ def wrong_counters(votes: DataFrame, mode: str = "per_frame", min_votes: int = d
     by_rule = lambda c: [F.count_if(F.col(c) == "VisionLabelMismatch").alias("wrong_label_mismatches"), F.count_if(F.col(c) == "VisionBBoxMismatch").alias("wrong_bbox_mismatches"), F.count(c).alias("wrong_report_findings")]
     if mode == "per_frame":
         return votes.groupBy("scene_id").agg(inconsistent, F.count_if(F.col("vote_reason").isin(*UNKNOWN_REASONS)).alias("wrong_unknown"), F.lit(0).cast("long").alias("wrong_consensus_rejected"), *by_rule("vote_rule"))
-    track = ["scene_id", "track_id"]
-    objects = votes.groupBy(*track).agg(F.count("vote_rule").alias("voted"), F.count_if(F.col("vote_reason") == "model_response_internally_inconsistent").alias("odd"))
+    track = ["scene_id", "object_key"]
+    objects = votes.withColumn("object_key", decisions.object_of()).groupBy(*track).agg(F.count("vote_rule").alias("voted"), F.count_if(F.col("vote_reason") == "model_response_internally_inconsistent").alias("odd"))
     won = decisions.consensus(votes, min_votes, min_share).select(*track, "vote_rule")
     return objects.join(won, track, "left").groupBy("scene_id").agg(
         F.sum("odd").alias("wrong_inconsistent_rejected"), F.count_if(F.col("vote_rule").isNull() & (F.col("voted") == 0)).alias("wrong_unknown"),

@@ -85,6 +85,12 @@ def _votes(s: SparkSession, d: str) -> DataFrame:
     return decisions.wrong_votes(decisions.parse_wrong(answers(s, d), ALLOWED), ALIASES)
 
 
+def _untracked(s: SparkSession, d: str) -> DataFrame:
+    """Votes, those of every third box on an object that no track names, of another third on one whose track is empty."""
+    n = F.substring("candidate_id", 2, 20).cast("long") % 3
+    return _votes(s, d).withColumn("track_id", F.when(n == 0, "").when(n == 2, F.col("track_id")))
+
+
 def _categories(s: SparkSession) -> DataFrame:
     return s.createDataFrame([("view", ["view_low", "view_high"]), ("click", ["click"]), ("purchase", ["purchase"])], "name string, dimension_keys array<string>")
 
@@ -160,7 +166,9 @@ QUERIES = {
     "parse_wrong_answer": lambda s, d: decisions.parse_wrong(answers(s, d), ALLOWED).select("candidate_id", F.coalesce("error", F.lit("")).alias("error"), "label_match", "bbox_match", "suggested_category", "confidence", "in_scope"),
     "parse_missing_answer": lambda s, d: decisions.parse_missing(answers(s, d), ALLOWED).select("candidate_id", F.coalesce("error", F.lit("")).alias("error"), "contains_real_object", "missing_annotation_suspected", "possible_category", "confidence"),
     "wrong_votes": lambda s, d: _votes(s, d).select("candidate_id", "vote_reason", F.coalesce("vote_rule", F.lit("")).alias("vote_rule"), F.coalesce("vote_category", F.lit("")).alias("vote_category")),
-    "wrong_consensus": lambda s, d: decisions.consensus(_votes(s, d), 2, 0.05).drop("candidate_id", "candidate_frame").withColumn("share", F.round("share", 6)),
+    "wrong_consensus": lambda s, d: decisions.consensus(_votes(s, d), 2, 0.05).drop("candidate_id", "candidate_frame", "object_key").withColumn("share", F.round("share", 6)),
+    "untracked_consensus": lambda s, d: decisions.consensus(_untracked(s, d), 1, 0.05).select("scene_id", "object_key", "vote_rule", "vote_category", "n", "observations", F.round("share", 6).alias("share")),
+    "untracked_findings": lambda s, d: verdicts.wrong_findings(_untracked(s, d), "track_consensus", 1, 0.05).select("scene_id", F.coalesce("track_id", F.lit("")).alias("track_id"), "frame_index", "bbox_index", "rule_id", "ai_confidence"),
     "category_size_gate": lambda s, d: _gated(s, d).where("error is null").select("candidate_id", "gate_reason"),
     "missing_outcomes": lambda s, d: _gated(s, d).select("candidate_id", "outcome"),
     "vision_findings": lambda s, d: verdicts.vision_findings(_votes(s, d), _gated(s, d)).select("scene_id", "frame_index", "track_id", "bbox_index", "label", "rule_id", "message", "possible_category", "ai_confidence", "occurrence_count"),
@@ -201,11 +209,21 @@ w AS (
   FROM per2 GROUP BY scene_id)
 SELECT c.*, m.* EXCLUDE (scene_id, accepted), w.* EXCLUDE (scene_id), accepted + wrong_report_findings AS report_findings, missing_api_requests + wrong_api_requests AS api_requests
 FROM c JOIN m ON m.scene_id = c.scene_id JOIN w ON w.scene_id = c.scene_id"""
+UNTRACKED = BASE.replace("target_key AS track_id,", "CASE bbox_index % 3 WHEN 0 THEN '' WHEN 2 THEN target_key END AS track_id,") + """,
+objects AS (SELECT *, coalesce(nullif(track_id, ''), candidate_id) AS object_key FROM ruled),
+counted AS (
+  SELECT scene_id, object_key, vote_rule, vote_category, count(*) AS n, arg_max(candidate_id, (conf, -frame_index)) AS candidate_id FROM objects WHERE vote_rule IS NOT NULL GROUP BY ALL),
+won AS (
+  SELECT c.*, o.observations, c.n / o.observations AS share, row_number() OVER (PARTITION BY c.scene_id, c.object_key ORDER BY c.n DESC, vote_rule DESC, vote_category DESC) AS place
+  FROM counted c JOIN (SELECT scene_id, object_key, count(*) AS observations FROM objects GROUP BY ALL) o ON o.scene_id = c.scene_id AND o.object_key = c.object_key),
+sure AS (SELECT * FROM won WHERE place = 1 AND share >= 0.05e0)"""
 FULL = "scene_id, frame_index, track_id, bbox_index, label, rule_id, occurrence_count"
 ORACLE = {
     "vision_findings": FOUND_SQL + " SELECT * EXCLUDE (conf), printf('%.4f', conf) AS ai_confidence, 1::BIGINT AS occurrence_count FROM told",
     "consensus_findings": BASE + COUNTED.replace("SELECT w.scene_id, w.track_id, vote_rule, vote_category, w.n, o.observations, round(w.n / o.observations, 6) AS share", "SELECT w.scene_id, w.track_id, r.frame_index, r.candidate_id AS bbox_index, w.vote_rule AS rule_id, printf('%.4f', r.conf) AS ai_confidence").replace("WHERE place = 1", "JOIN ruled r ON r.candidate_id = w.candidate_id WHERE place = 1"),
     "review_counters": BASE + CALLS_SQL,
+    "untracked_consensus": UNTRACKED + " SELECT scene_id, object_key, vote_rule, vote_category, n, observations, round(share, 6) AS share FROM sure",
+    "untracked_findings": UNTRACKED + " SELECT r.scene_id, coalesce(r.track_id, '') AS track_id, r.frame_index, r.candidate_id AS bbox_index, s.vote_rule AS rule_id, printf('%.4f', r.conf) AS ai_confidence FROM sure s JOIN ruled r ON r.candidate_id = s.candidate_id",
     "full_report": f"SELECT {FULL} FROM ({rules.ALL_SQL} SELECT {FULL} FROM report) UNION ALL SELECT {FULL} FROM ({FOUND_SQL} SELECT *, 1 AS occurrence_count FROM told)",
     "parse_wrong_answer": BASE + " SELECT candidate_id, coalesce(error, '') AS error, CASE WHEN error IS NULL THEN lm END AS label_match, CASE WHEN error IS NULL THEN bm END AS bbox_match, CASE WHEN error IS NULL THEN category END AS suggested_category, CASE WHEN error IS NULL THEN conf END AS confidence, CASE WHEN error IS NULL THEN scope END AS in_scope FROM wrong",
     "parse_missing_answer": BASE + " SELECT candidate_id, coalesce(error, '') AS error, CASE WHEN error IS NULL THEN object END AS contains_real_object, CASE WHEN error IS NULL THEN suspected AND scope END AS missing_annotation_suspected, CASE WHEN error IS NULL THEN category END AS possible_category, CASE WHEN error IS NULL THEN conf END AS confidence FROM missing",

@@ -134,7 +134,25 @@ def _typed(spark: SparkSession, d: str) -> DataFrame:
     return X.table(spark, d, "events").select("event_id", C.number(raw).alias("number"))
 
 
+#: Fixed values of the tests: tolerance of length, width and height of each class of the dictionary (null: none).
+SIDE_TOLERANCES = {"click": (0.5, 0.25, 0.75), "view_low": (0.75, 0.5, 0.5), "view_high": (0.25, 0.5, 0.75), "purchase": (0.5, 0.5, 0.5), "refund": (0.5, None, 0.5)}
+
+
+def _by_side(spark: SparkSession) -> DataFrame:
+    rows = [(name, order, *refs, *SIDE_TOLERANCES[name]) for name, order, *refs, _ in X.DIMENSIONS]
+    return spark.createDataFrame(rows, "class_name string, class_order int, ref_length double, ref_width double, ref_height double, tol_length double, tol_width double, tol_height double")
+
+
+def _stored(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes with a stored key: some have one, some none; they are told by it or by their number."""
+    n = F.col("bbox_index")
+    return X.boxes(spark, d).withColumn("resolved_target_key", F.when(n % 11 == 0, "").when(n % 13 != 0, F.concat(F.lit("K"), F.col("track_id"), F.lit("/"), n % 2)))
+
+
 QUERIES = {name: (lambda s, d, n=name: _shown(_rule(s, d, n))) for name in RULES} | {
+    "dimension_mismatch_by_side": lambda s, d: _shown(box_rules(X.boxes(s, d), X.expected_frames(s, d), _by_side(s), ("dimension_mismatch",))),
+    "stored_target_key": lambda s, d: tracks.keyed(_stored(s, d)).select("bbox_index", "target_key"),
+    "stored_key_findings": lambda s, d: _shown(box_rules(_stored(s, d), X.expected_frames(s, d), X.dimensions(s), ("label_consistency", "size_consistency"))),
     "empty_frame_readable": lambda s, d: _shown(frames.empty_frame_readable(X.boxes(s, d), X.expected_frames(s, d))),
     "broken_track_ordinals": _broken_by_ordinals,
     "best_variant": lambda s, d: sizes.best_variant(sizes.with_references(sizes.sized(X.boxes(s, d)), X.dimensions(s))).where("variant is not null").select("bbox_index", "variant"),
@@ -152,7 +170,29 @@ QUERIES = {name: (lambda s, d, n=name: _shown(_rule(s, d, n))) for name in RULES
     "key_usage": lambda s, d: summary.key_usage(X.boxes(s, d)),
     "reference_sizes": lambda s, d: sizes.reference_sizes(X.boxes(s, d)).select("class_name", "objects", *[F.round(f"ref_{x}", ROUND).alias(f"ref_{x}") for x, _ in sizes.SIDES]),
 }
+def _sided(sql: str) -> str:
+    """The same with a dictionary that has a tolerance for each side."""
+    rows = [(name, order, *refs, *SIDE_TOLERANCES[name]) for name, order, *refs, _ in X.DIMENSIONS if None not in SIDE_TOLERANCES[name]]
+    sql = sql.replace(X.DIMENSIONS_SQL, X.values_sql(rows, "dims", "class_name, class_order, ref_length, ref_width, ref_height, tol_length, tol_width, tol_height"))
+    for side, _ in sizes.SIDES:
+        for sign in "-+":
+            sql = sql.replace(f"ref_{side} * (1 {sign} tolerance)", f"ref_{side} * (1 {sign} tol_{side})")
+    return sql
+
+
+KEYS_SQL = "coalesce(nullif(track_id, ''), nullif(target_id, ''), nullif(uuid, ''), nullif(object_id, ''), CAST(bbox_index AS VARCHAR)) AS target_key"
+STORED_SQL = "CASE WHEN bbox_index % 11 <> 0 AND bbox_index % 13 <> 0 THEN 'K' || track_id || '/' || bbox_index % 2 ELSE 'bbox_index:' || bbox_index END AS target_key"
+
+
+def _with_stored_keys(sql: str) -> str:
+    assert KEYS_SQL in sql
+    return sql.replace(KEYS_SQL, STORED_SQL)
+
+
 ORACLE = {name: _persistent(FOUND[name]) + " SELECT * FROM merged" for name in RULES} | {
+    "dimension_mismatch_by_side": _sided(_persistent(FOUND["dimension_mismatch"]) + " SELECT * FROM merged"),
+    "stored_target_key": _with_stored_keys(f"WITH {X.BOXES_SQL} SELECT bbox_index, target_key FROM keyed"),
+    "stored_key_findings": _with_stored_keys(_persistent(FOUND["label_consistency"] + " UNION ALL " + FOUND["size_consistency"]) + " SELECT * FROM merged"),
     "empty_frame_readable": _persistent(FOUND_READABLE) + " SELECT * FROM merged",
     "broken_track_ordinals": f"""WITH {X.BOXES_SQL.replace('keyed AS', 'keyed0 AS')},
 keyed AS (SELECT * EXCLUDE (target_key, bbox_index), row_number() OVER (PARTITION BY scene_id, frame_index ORDER BY bbox_index) - 1 AS bbox_index,

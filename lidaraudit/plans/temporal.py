@@ -43,7 +43,7 @@ QUERIES = {
     "rigid_fits": _fits,
     "diverse_sample": _sample,
     "stationary_clusters": lambda s, d: temporal.stationary_clusters(_candidates(s, d).drop("target_key"), _landmarks(s, d)),
-    "dedup_statistics": lambda s, d: temporal.dedup_statistics(temporal.stationary_clusters(_candidates(s, d).drop("target_key"), _landmarks(s, d))),
+    "dedup_statistics": lambda s, d: temporal.dedup_statistics(temporal.stationary_clusters(_candidates(s, d).drop("target_key"), _landmarks(s, d)), _landmarks(s, d), temporal.registered_frames(_landmarks(s, d))),
     "spatial_groups": lambda s, d: temporal.spatial_groups(_candidates(s, d), 1.0),
 }
 BASE = f"""WITH {X.BOXES_SQL},

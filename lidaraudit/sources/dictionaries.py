@@ -17,7 +17,7 @@ DIMENSIONS = (
 def dimensions(spark: SparkSession, document: Mapping[str, Any]) -> DataFrame:
     """One row per class of `classes`, in order; references or tolerances that aren't given are null.
 
-    tolerance is that of all sides, null where they differ or one is missing.
+    The rules judge each side by its own tolerance; `tolerance` is that of all sides, null where they differ or one is missing.
     """
     rows = []
     for i, (name, raw) in enumerate((document.get("classes") or {}).items()):

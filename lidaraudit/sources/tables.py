@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lidaraudit.functions.columns import key_field, key_value, number
+from lidaraudit.functions.columns import filled, key_field, key_value, number
 
 #: The columns of the files, in order.
 BOXES = (
@@ -49,9 +49,11 @@ def read_boxes(spark: SparkSession, path: str, multiline: bool = False) -> DataF
 
 
 def write_boxes(boxes: DataFrame, path: str) -> None:
-    """Boxes as CSV with a header; the field that names the object, and its value, are worked out."""
+    """Boxes as CSV with a header; the field that names the object, and its value, are worked out where no key is stored."""
     have = set(boxes.columns)
-    resolved = {"resolved_target_field": key_field(), "resolved_target_key": key_value()}
+    stored = filled("resolved_target_key").isNotNull() if "resolved_target_key" in have else F.lit(False)
+    kept = {c: F.when(stored, F.col(c)) if c in have else F.lit(None) for c in ("resolved_target_field", "resolved_target_key")}
+    resolved = {"resolved_target_field": F.coalesce(kept["resolved_target_field"], F.when(~stored, key_field())), "resolved_target_key": F.coalesce(kept["resolved_target_key"], key_value())}
     boxes.select(*[resolved.get(c, F.col(c) if c in have else F.lit(None)).cast("string").alias(c) for c in BOXES]).write.mode("overwrite").csv(path, header=True, escape="\"")
 
 

@@ -7,7 +7,8 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from lidaraudit.operators import assets, decisions, summary, verdicts
+from lidaraudit.operators import assets, decisions, sizes, summary, tracks, verdicts
+from lidaraudit.plans import registry
 from lidaraudit.sources import calibration, dictionaries, images, tables
 from lidaraudit.streaming import assets as stream
 
@@ -163,3 +164,36 @@ def test_missing_findings_have_their_frames(spark):
     assert (r["track_id"], r["first_frame"], r["last_frame"], r["occurrence_count"], r["ai_confidence"]) == ("vision_cluster_4_c1", 2, 9, 3, "0.9500")
     with pytest.raises(ValueError):
         verdicts.wrong_findings(rows, "majority")
+
+
+def test_answers_are_parsed_once_for_each_use(spark, small):
+    """Filters on parsed fields stay above the parsing: one parse of each kind of answer for the two branches of the findings."""
+    plan = registry.queries()["vision_findings"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parse_json") + plan.count("ParseJson") + plan.count("parseJson") <= 2 and len(plan) < 60_000
+
+
+def test_objects_without_a_track_stay_apart(spark):
+    """Two boxes with an empty track in different frames are no object of two votes; one without any track is kept."""
+    rows = [("s", 1, "a", ""), ("s", 5, "b", ""), ("s", 1, "c", None), ("s", 1, "d", "t"), ("s", 2, "e", "t")]
+    votes = spark.createDataFrame([(*r, "VisionLabelMismatch", "view", "label_mismatch_vote", 0.95) for r in rows], "scene_id string, frame_index int, candidate_id string, track_id string, vote_rule string, vote_category string, vote_reason string, confidence double")
+    told = lambda n: sorted((r["object_key"], r["n"], r["observations"]) for r in decisions.consensus(votes, n, 0.5).collect())
+    assert told(2) == [("t", 2, 2)] and told(1) == [("a", 1, 1), ("b", 1, 1), ("c", 1, 1), ("t", 2, 2)]
+    counted = verdicts.wrong_counters(votes, "track_consensus", 2, 0.5).first()
+    assert (counted["wrong_report_findings"], counted["wrong_consensus_rejected"]) == (1, 3)
+
+
+def test_each_side_has_its_tolerance(spark):
+    dims = dictionaries.dimensions(spark, {"classes": {"car": {"reference_size": {"length": 4, "width": 2, "height": 1.5}, "tolerance": {"length": 0.5, "width": 0.5, "height": 0.4}}, "van": {"reference_size": {"length": 4, "width": 2, "height": 1.5}, "tolerance": {"length": 0.5, "width": 0.5}}}})
+    boxes = spark.createDataFrame([(i, "car" if i < 9 else "van", *map(float, s)) for i, s in enumerate([(40, 20, 15), (4, 2, 2.05), (4, 2, 2.2), (6, 3, 0.9), (2, 1, 2.0)])], "bbox_index long, label string, scale_x double, scale_y double, scale_z double")
+    boxes = boxes.selectExpr("'s' as scene_id", "1 as frame_index", "'t' as track_id", "'' as target_id", "'' as uuid", "'' as object_id", "'' as className", "*")
+    assert sorted(r["bbox_index"] for r in sizes.dimension_mismatch(boxes, dims).collect()) == ["0", "2"]
+    assert sizes.dimension_mismatch(boxes.withColumn("label", F.lit("van")), dims).count() == 0  # no tolerance of its height
+
+
+def test_stored_keys(spark, tmp_path):
+    boxes = spark.createDataFrame([(1, "K", "t1"), (2, "", "t2"), (3, None, "")], "bbox_index long, resolved_target_key string, track_id string").selectExpr("'s' as scene_id", "1 as frame_index", "'' as target_id", "'' as uuid", "'' as object_id", "'' as className", "'' as label", "*")
+    assert [r["target_key"] for r in tracks.keyed(boxes).orderBy("bbox_index").collect()] == ["K", "bbox_index:2", "bbox_index:3"]
+    assert [r["target_key"] for r in tracks.keyed(boxes.drop("resolved_target_key")).orderBy("bbox_index").collect()] == ["t1", "t2", "3"]
+    tables.write_boxes(boxes, str(tmp_path / "b"))
+    again = tables.read_boxes(spark, str(tmp_path / "b")).orderBy("bbox_index").collect()
+    assert [(r["resolved_target_field"], r["resolved_target_key"]) for r in again] == [("", "K"), ("track_id", "t2"), ("bbox_index", "3")]

@@ -181,8 +181,9 @@ def test_stationary_cluster_seen_from_a_moving_car(spark):
     assert all(r["group"] is None for r in out if r["candidate_id"] == "b")
     # The candidate has one name in all frames; the member of most points stands for the group.
     assert [(r["frame_index"], r["candidate_id"]) for r in out if r["group"] is not None and r["represents"]] == [(4, "a")]
-    assert temporal.dedup_statistics(temporal.stationary_clusters(c, m)).first().asDict() == {
-        "scene_id": "s", "raw_candidates": 8, "candidates": 5, "duplicate_groups": 1, "duplicate_observations": 4, "unregistered_frames": 0, "saved_calls": 3}
+    m = m.unionByName(spark.createDataFrame([("s", 9, "t1", 1.0, 2.0, 3.0)], m.schema))  # a frame of one track and no candidates
+    assert temporal.dedup_statistics(temporal.stationary_clusters(c, m), m, temporal.registered_frames(m)).first().asDict() == {
+        "scene_id": "s", "raw_candidates": 8, "candidates": 5, "duplicate_groups": 1, "duplicate_observations": 4, "registered_frames": 4, "unregistered_frames": 1, "saved_calls": 3}
 
 
 def test_stream_equals_batch(spark, small, tmp_path):
