@@ -12,11 +12,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lidaraudit.functions import columns as C
-from lidaraudit.operators import hierarchy
+from lidaraudit.functions.storage import stored
+from lidaraudit.operators import blocks, hierarchy, spanning
 from lidaraudit.operators.cloud import FRAME, residual, shapes
 from lidaraudit.operators.temporal import spatial_groups
 
 
+#: Points of a frame up to which its density clusters are one task's work.
+FRAME_POINTS = 20_000
+
+
 def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The nodes of edges a-b, and the least node of the component of each."""
     nodes, number = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -93,9 +98,10 @@ def dbscan(points: DataFrame, eps: float = 0.4, min_points: int = 5) -> DataFram
     return labelled.join(core, [*FRAME, "point_idx"], "left").select(*FRAME, "point_idx", F.coalesce("label", F.lit(-1)).alias("label"), F.coalesce("is_core", F.lit(False)).alias("core"))
 
 
-def hdbscan(points: DataFrame, min_cluster_size: int = 12, min_samples: int = 4, selection: str = "leaf") -> DataFrame:
-    """scene_id, frame_index, point_idx, label (-1: noise), confidence; each frame is one task's work.
+def hdbscan(points: DataFrame, min_cluster_size: int = 12, min_samples: int = 4, selection: str = "leaf", frame_points: int = FRAME_POINTS, block_points: int = spanning.BLOCK_POINTS) -> DataFrame:
+    """scene_id, frame_index, point_idx, label (-1: noise), confidence.
 
+    A frame of at most frame_points points is one task's work, larger ones are dealt out in blocks; both find the same.
     Clusters are numbered by their least point. A frame with fewer points than min_samples is noise.
     """
     if selection not in ("leaf", "eom"):
@@ -107,7 +113,14 @@ def hdbscan(points: DataFrame, min_cluster_size: int = 12, min_samples: int = 4,
         return rows[[*FRAME, "point_idx"]].assign(label=label, confidence=confidence)
 
     kinds = ", ".join(f"{c} {points.schema[c].dataType.simpleString()}" for c in (*FRAME, "point_idx"))
-    return points.select(*FRAME, "point_idx", *C.AXES).groupBy(*FRAME).applyInPandas(work, f"{kinds}, label int, confidence double")
+    shape = f"{kinds}, label int, confidence double"
+    points = stored(points.select(*FRAME, "point_idx", *C.AXES), "frames")
+    large = points.groupBy(*FRAME).count().where(F.col("count") > max(frame_points, min_samples, 2)).select(*FRAME)
+    if large.isEmpty():
+        return points.groupBy(*FRAME).applyInPandas(work, shape)
+    small = points.join(large, FRAME, "left_anti").groupBy(*FRAME).applyInPandas(work, shape)
+    found = blocks.hdbscan(points.join(large, FRAME, "left_semi"), max(2, min_cluster_size), max(1, min_samples), selection, block_points)
+    return small.unionByName(found.select(*[F.col(c).cast(points.schema[c].dataType) for c in (*FRAME, "point_idx")], "label", "confidence"))
 
 
 def clustered(points: DataFrame, method: str = "dbscan", eps: float = 0.4, min_points: int = 5, **options) -> DataFrame:

@@ -1,7 +1,7 @@
 """Density clusters of one frame's points at all densities (HDBSCAN), on arrays.
 
 Two points are as far apart as the largest of their distance and their core distances, the
-distance to the min_samples-th point, itself included. A minimum spanning tree of these distances gives the
+distance to the min_samples-th point, itself included. The minimum spanning tree of these distances (see spanning) gives the
 hierarchy; splits that leave at least min_cluster_size points on both sides make clusters, other points fall out.
 Either the leaves of the tree of clusters are taken, or those of greatest excess of mass.
 (Campello, Moulavi and Sander 2013; McInnes and Healy 2017.)
@@ -11,35 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Distances that are held at a time.
-AT_ONCE = 1 << 22
-
-
-def core_distances(points: np.ndarray, k: int) -> np.ndarray:
-    out = np.empty(len(points))
-    step = max(1, AT_ONCE // max(1, len(points)))
-    for a in range(0, len(points), step):
-        part = points[a : a + step]
-        d2 = sum((part[:, None, i] - points[None, :, i]) ** 2 for i in range(points.shape[1]))
-        out[a : a + step] = np.sqrt(np.partition(d2, k - 1, axis=1)[:, k - 1])
-    return out
-
-
-def spanning_tree(points: np.ndarray, core: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Edges of a minimum spanning tree of the mutual reachability, from point 0 on: from, to, distance."""
-    n = len(points)
-    outside, best, via = np.ones(n, bool), np.full(n, np.inf), np.zeros(n, np.int64)
-    start, stop, length, now = np.zeros(n - 1, np.int64), np.zeros(n - 1, np.int64), np.zeros(n - 1), 0
-    for i in range(n - 1):
-        outside[now] = False
-        d = np.sqrt(((points - points[now]) ** 2).sum(1))
-        d = np.maximum(np.maximum(d, core), core[now])
-        nearer = outside & (d < best)
-        best[nearer], via[nearer] = d[nearer], now
-        now = int(np.where(outside, best, np.inf).argmin())
-        start[i], stop[i], length[i] = via[now], now, best[now]
-    return start, stop, length
-
+from lidaraudit.operators import spanning
 
 def merges(start: np.ndarray, stop: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The tree bottom up: row i joins two nodes to node n + i; left and right node, distance, in order of distance."""
@@ -65,7 +37,13 @@ def hdbscan(points: np.ndarray, min_cluster_size: int, min_samples: int, selecti
     n = len(points)
     if n < max(min_samples, 2):
         return np.full(n, -1), np.zeros(n)
-    left, right, length = merges(*spanning_tree(points, core_distances(points, min_samples)))
+    return labels(*spanning.tree(points, spanning.core_distances(points, min_samples)), min_cluster_size, selection)
+
+
+def labels(start: np.ndarray, stop: np.ndarray, length: np.ndarray, min_cluster_size: int, selection: str = "leaf") -> tuple[np.ndarray, np.ndarray]:
+    """hdbscan() from the edges of the spanning tree, in order."""
+    n = len(length) + 1
+    left, right, length = merges(start, stop, length)
     size = np.ones(2 * n - 1, np.int64)
     for i in range(n - 1):
         size[n + i] = size[left[i]] + size[right[i]]
