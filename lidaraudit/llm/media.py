@@ -20,6 +20,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
 import numpy as np
@@ -40,15 +41,27 @@ MEDIA_TAGS = {"img": "image", "video": "video", "audio": "audio"}
 BLOCKS = {"p", "div", "li", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "td", "th", "figure", "figcaption", "section", "article", "ul", "ol", "table", "br", "body", "html", "head", "title", "pre", "blockquote", "header", "footer", "nav", "main", "aside"}
 
 
+@dataclass
+class _Figure:
+    """An open figure: places of its media among the elements, and its captions."""
+
+    media: list[int] = field(default_factory=list)
+    captions: list[str] = field(default_factory=list)
+
+
 class _Page(HTMLParser):
-    """Collects text blocks and media references in the order of the page."""
+    """Collects text blocks and media references in the order of the page.
+
+    A caption belongs to all media of its figure, whether it stands before or after them; it ends with its tag,
+    with its figure, with the next caption or figure, or with the page. Without media it is a text. No text is lost.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.elements: list[dict] = []
         self.text: list[str] = []
         self.skip = 0  # inside script or style
-        self.figure: list[int] | None = None  # media of the figure that is open
+        self.figures: list[_Figure] = []
         self.caption: list[str] | None = None
 
     def flush(self) -> None:
@@ -57,35 +70,57 @@ class _Page(HTMLParser):
         if text:
             self.elements.append({"kind": "text", "text": text})
 
+    def end_caption(self) -> None:
+        if self.caption is not None:
+            text, self.caption = " ".join("".join(self.caption).split()), None
+            if text and self.figures:
+                self.figures[-1].captions.append(text)
+            elif text:
+                self.elements.append({"kind": "text", "text": text})
+
+    def end_figure(self) -> None:
+        self.end_caption()
+        self.flush()
+        if self.figures:
+            figure = self.figures.pop()
+            if figure.media and figure.captions:
+                for i in figure.media:
+                    self.elements[i]["caption"] = " ".join(figure.captions)
+            else:
+                self.elements += [{"kind": "text", "text": t} for t in figure.captions]
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in ("script", "style"):
             self.skip += 1
         elif tag in MEDIA_TAGS:
             self.flush()
             own = dict(attrs)
-            if self.figure is not None:
-                self.figure.append(len(self.elements))
+            if self.figures:
+                self.figures[-1].media.append(len(self.elements))
             self.elements.append({"kind": MEDIA_TAGS[tag], "digest": (own.get("src") or "").removeprefix(SCHEME), "caption": own.get("alt") or None})
-        elif tag in BLOCKS:
+        elif tag in ("figure", "figcaption"):
+            self.end_caption()
             self.flush()
             if tag == "figure":
-                self.figure = []
-            elif tag == "figcaption":
+                self.figures.append(_Figure())
+            else:
                 self.caption = []
+        elif tag in BLOCKS and self.caption is not None:
+            self.caption.append(" ")
+        elif tag in BLOCKS:
+            self.flush()
 
     def handle_endtag(self, tag: str) -> None:
         if tag in ("script", "style"):
             self.skip = max(0, self.skip - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            caption, self.caption = " ".join("".join(self.caption).split()), None
-            for i in self.figure or []:
-                self.elements[i]["caption"] = caption
-            if not self.figure and caption:
-                self.elements.append({"kind": "text", "text": caption})
+        elif tag == "figcaption":
+            self.end_caption()
+        elif tag == "figure":
+            self.end_figure()
+        elif tag in BLOCKS and self.caption is not None:
+            self.caption.append(" ")
         elif tag in BLOCKS:
             self.flush()
-            if tag == "figure":
-                self.figure = None
 
     def handle_data(self, data: str) -> None:
         if not self.skip:
@@ -96,9 +131,9 @@ def parsed(html: str | None) -> list[dict]:
     page = _Page()
     page.feed(html or "")
     page.close()
-    if page.caption is not None:
-        page.handle_endtag("figcaption")
-    page.flush()
+    page.end_figure()
+    while page.figures:
+        page.end_figure()
     return [{"position": i, **e} for i, e in enumerate(page.elements)]
 
 
