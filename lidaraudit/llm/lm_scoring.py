@@ -6,7 +6,10 @@ high bits of a word's hash; a pair goes with its last word, as the one before it
 pairs that end in one word meet in one task, which learns the exact count of each word and
 pair, the number of different words before each word (continuation counts), and how many pairs
 are seen 1, 2, 3 and 4 times (from which the discounts come). Shards grow in number with
-spark.sql.shuffle.partitions, so a shard fits a task's memory.
+the bytes of the texts (SHARD_BYTES each), so a shard fits a task's memory.
+
+Counts are kept whole at any size: a run's own fit 32 bits, sums are 64 bits wide; a file holds
+32 bits of each pair's count, and those that need more beside them.
 
 Model. P(w|h) = (c(hw) - D(c)) / c(h) + g(h) * P(w), P(w) from continuation counts,
 discounted alike and interpolated with a uniform share for words not seen. D is Chen and
@@ -46,9 +49,13 @@ from lidaraudit.llm.labelled import held_out
 
 #: Tokens of a run that is counted at once.
 RUN_TOKENS = 4 << 20
+#: Bytes of text for each shard, and the least number of shards as a power of two.
+SHARD_BYTES, LEAST_BITS = 16 << 20, 5
 #: Hashes of the end of a text, and of what stands before its first word.
 END, BEGIN = np.uint64(0x6A09E667F3BCC909), np.uint64(0xBB67AE8584CAA73B)
 LOW32 = np.uint64(0xFFFFFFFF)
+#: Counts from here on are stored apart.
+LARGE = 0xFFFFFFFF
 #: Multiplies the hash of a pair's last word before the other is added.
 SALT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -119,13 +126,28 @@ def _count(bits: int):
 #: kinds: how many of the pairs end in each word.
 PACKED = "shard int, words binary, n_words binary, kinds binary, before binary, n_pairs binary"
 #: shard -1: totals of a shard in `totals`; else what pairs take from their first words.
-TAKEN = "shard int, contexts binary, taken binary, totals array<long>"
+TAKEN = "shard int, contexts binary, sums binary, taken binary, totals array<long>"
 
 
 def _column(table: pa.Table, name: str, kind: str) -> np.ndarray:
     return np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table[name] if x.is_valid] or [np.zeros(0, kind)])
 
 
+def narrowed(m: np.ndarray) -> dict[str, np.ndarray]:
+    """Counts as 32 bits each, and places and counts of those that need more."""
+    large = np.flatnonzero(m >= LARGE)
+    return {"m": np.minimum(m, LARGE).astype(np.uint32), "large_at": large, "large": m[large]}
+
+
+def widened(file: dict[str, np.ndarray], at: np.ndarray) -> np.ndarray:
+    """The counts at some places of what narrowed() made."""
+    m = file["m"][at].astype(np.int64)
+    if len(file["large_at"]):
+        over = np.flatnonzero(m == LARGE)
+        m[over] = file["large"][np.searchsorted(file["large_at"], at[over])]
+    return m
+
+
 def _shard(files: Files, bits: int):
     """A function for applyInArrow: merges a shard's words and pairs and writes its file."""
 
@@ -141,17 +163,20 @@ def _shard(files: Files, bits: int):
         pairs, m = pairs[new], np.add.reduceat(m[order], new)
         last, before = last[order[new]], before[order[new]]
         follow = np.bincount(last, minlength=len(words))
-        files.put(f"words-{key[0].as_py()}", {"words": words, "n": n, "follow": follow.astype(np.uint32), "pairs": pairs, "m": m.astype(np.uint32)})
+        files.put(f"words-{key[0].as_py()}", {"words": words, "n": n, "follow": follow.astype(np.int64), "pairs": pairs, **narrowed(m)})
         # Of each first word: the sum of its pairs' counts, and how many are 1, 2 and above.
         first, number = np.unique(before, return_inverse=True)
-        taken = np.column_stack([np.bincount(number, x, len(first)).astype(np.uint32) for x in (m, m == 1, m == 2, m > 2)])
+        sums = np.zeros(len(first), np.int64)
+        np.add.at(sums, number, m)
+        taken = np.column_stack([np.bincount(number, x, len(first)).astype(np.uint32) for x in (m == 1, m == 2, m > 2)])
         at = [0, *np.searchsorted(first, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).tolist(), len(first)]
         spans = [(k, a, b) for k, (a, b) in enumerate(zip(at, at[1:], strict=False)) if a < b]
         totals = [int(n.sum()), len(words), len(pairs), *[int((m == k).sum()) for k in (1, 2, 3, 4)], *[int((follow == k).sum()) for k in (1, 2, 3, 4)], int((follow >= 3).sum())]
         return pa.table({
             "shard": pa.array([-1, *(k for k, _, _ in spans)], pa.int32()),
             "contexts": pa.array([None, *(first[a:b].tobytes() for _, a, b in spans)], pa.binary()),
-            "taken": pa.array([None, *(taken[a:b].tobytes() for _, a, b in spans)], pa.binary()),
+            "sums": pa.array([None, *(sums[a:b].astype("<i8").tobytes() for _, a, b in spans)], pa.binary()),
+            "taken": pa.array([None, *(taken[a:b].astype("<u4").tobytes() for _, a, b in spans)], pa.binary()),
             "totals": pa.array([totals, *(None for _ in spans)], pa.list_(pa.int64())),
         })
 
@@ -162,10 +187,13 @@ def _contexts(files: Files):
     """A function for applyInArrow: sums what is taken from the first words of a shard and writes its file."""
 
     def merge(key: tuple, table: pa.Table) -> pa.Table:
-        first, taken = _column(table, "contexts", "<u8"), _column(table, "taken", "<u4").reshape(-1, 4)
+        first, taken = _column(table, "contexts", "<u8"), _column(table, "taken", "<u4").reshape(-1, 3)
         contexts, number = np.unique(first, return_inverse=True)
-        sums = [np.bincount(number, taken[:, k], len(contexts)).astype(np.int64) for k in range(4)]
-        files.put(f"contexts-{key[0].as_py()}", {"contexts": contexts, "total": sums[0], "ones": sums[1], "twos": sums[2], "more": sums[3]})
+        total, kinds = np.zeros(len(contexts), np.int64), np.zeros((3, len(contexts)), np.int64)
+        np.add.at(total, number, _column(table, "sums", "<i8"))
+        for k in range(3):
+            np.add.at(kinds[k], number, taken[:, k].astype(np.int64))
+        files.put(f"contexts-{key[0].as_py()}", {"contexts": contexts, "total": total, "ones": kinds[0], "twos": kinds[1], "more": kinds[2]})
         return pa.table({"n": pa.array([len(contexts)], pa.int64())})
 
     return merge
@@ -263,7 +291,8 @@ class Model:
 def train(docs: DataFrame) -> Model:
     """Counts the texts of docs and writes the model's files."""
     spark = docs.sparkSession
-    bits = max(4, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    bits = max(LEAST_BITS, (size // SHARD_BYTES).bit_length())
     files = Files(work_folder(spark, "lm"))
     counts = docs.select("text").transform(mapped, _count(bits), PACKED)
     taken = written(counts.groupBy("shard").applyInArrow(grouped(_shard(files, bits)), TAKEN), "lm-taken")
@@ -301,7 +330,7 @@ class Lookup:
                 i = np.minimum(np.searchsorted(table, wanted[a:b]), len(table) - 1)
                 there = table[i] == wanted[a:b]
                 for x, v in zip(out, values, strict=True):
-                    x[a:b][there] = file[v][i[there]]
+                    x[a:b][there] = widened(file, i[there]) if v == "m" else file[v][i[there]]
         return out
 
     def scores(self, data: np.ndarray, ends: np.ndarray, hasher: WordHasher) -> list[np.ndarray]:

@@ -6,6 +6,7 @@ import math
 import random
 import re
 import zlib
+from html import unescape
 
 import numpy as np
 import pyarrow as pa
@@ -523,6 +524,18 @@ def test_lm_keeps_words_apart_that_share_half_a_hash(lm_texts, monkeypatch, tmp_
     assert np.allclose(got, want, rtol=0, atol=1e-9)
 
 
+def test_lm_counts_past_32_bits(tmp_path):
+    """Many runs with large counts of one pair and word: nothing wraps, in the file and in the sums of its first word."""
+    files, word, other = lm_scoring.Files(str(tmp_path)), 5 << 40, 7 << 40
+    pack = lambda kind, *v: np.array(v, kind).tobytes()
+    row = {"shard": 0, "words": pack("<u8", word), "n_words": pack("<u4", 4_000_000_001), "kinds": pack("<u4", 2), "before": pack("<u8", word, other), "n_pairs": pack("<u4", 4_000_000_000, 1)}
+    out = lm_scoring._shard(files, 1)((pa.scalar(0),), pa.Table.from_pylist([row, row, row]))
+    lm_scoring._contexts(files)((pa.scalar(0),), out.slice(1))
+    found, contexts = files.map("words-0"), files.map("contexts-0")
+    assert found["n"].tolist() == [12_000_000_003] and sorted(lm_scoring.widened(found, np.arange(2)).tolist()) == [3, 12_000_000_000]
+    assert dict(zip(contexts["contexts"].tolist(), contexts["total"].tolist(), strict=True)) == {word: 12_000_000_000, other: 3}
+
+
 def test_discounts():
     d = lm_scoring.discounts([100, 40, 20, 12])
     y = 100 / 180
@@ -743,6 +756,48 @@ def test_pages_keep_order_and_captions(spark):
     assert out[2] == []
 
 
+def shown(html):
+    """Visible text without its spaces, by plain replacements."""
+    html = re.sub(r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->|<!doctype[^>]*>", "", html)
+    return "".join(unescape(re.sub(r"(?s)<[^>]*>", "", html)).split())
+
+
+def told(elements):
+    return "".join("".join(((e.get("text") or "") + (e.get("caption") or "")).split()) for e in elements)
+
+
+def test_captions_stand_with_their_media():
+    names = lambda html: [(e["kind"], e.get("digest") or e.get("text"), e.get("caption")) for e in media.parsed(html)]
+    assert names("<figure><figcaption>before</figcaption><img src=a><img src=b></figure>x") == [("image", "a", "before"), ("image", "b", "before"), ("text", "x", None)]
+    assert names("<figure><img src=a><figcaption>one<p>two</figure><p>later text<figure><img src=b></figure>") == [("image", "a", "one two"), ("text", "later text", None), ("image", "b", None)]
+    assert names("<figure><img src=a><figcaption>one<figure><img src=b><figcaption>two</figcaption></figure>rest") == [("image", "a", "one"), ("image", "b", "two"), ("text", "rest", None)]
+    assert names("<figure><figcaption>alone</figcaption></figure><figcaption>outside") == [("text", "alone", None), ("text", "outside", None)]
+    assert names("<figure><figcaption>one</figcaption><img src=a><figcaption>two</figcaption>") == [("image", "a", "one two")]
+    assert names("<figure><img src=a alt=own></figure>") == [("image", "a", "own")]
+
+
+def test_pages_lose_no_text(spark, small):
+    """All pages as they are, then with several figures each, captions before or after their media, closed or not."""
+    pages = [r["html"] for r in spark.read.parquet(f"{small}/pages.parquet").select("html").collect()]
+    for html in pages:
+        assert "".join("".join((e.get("text") or "").split()) for e in media.parsed(html)) == shown(html)
+    for k, html in enumerate(pages):
+        blocks, want, parts = re.findall(r"(?s)<p>(?:(?!<p>).)*?</p>", html), [], []
+        for n, block in enumerate(blocks):
+            text, image, caption = re.sub("</?p>", "", block), f"<img src='sha256:{n}'>", None
+            if (n + k) % 3 == 0:
+                caption = text
+                inside = [image, f"<figcaption>{text}" + "</figcaption>" * (n % 2)]
+                block = "<figure>" + "".join(inside[:: -1 if n % 2 and n % 4 == 1 else 1]) + "</figure>"
+                want.append((str(n), shown(caption)))
+            parts.append(block)
+        page = "<body>" + "<p>between</p>".join(parts) + "</body>"
+        found = media.parsed(page)
+        assert sorted(told(found)) == sorted(shown(page))
+        assert [(e["digest"], "".join((e["caption"] or "").split())) for e in found if e["kind"] == "image"] == want
+        assert [e["position"] for e in found] == list(range(len(found)))
+
+
 # fingerprints
 
 
