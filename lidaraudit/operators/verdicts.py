@@ -103,13 +103,18 @@ def wrong_counters(votes: DataFrame, mode: str = "per_frame", min_votes: int = d
         F.count_if(F.col("vote_rule").isNull() & (F.col("voted") > 0)).alias("wrong_consensus_rejected"), *by_rule("vote_rule"))
 
 
-def review_counters(calls: DataFrame, outcomes: DataFrame, votes: DataFrame, matched: DataFrame | None = None, low_quality: DataFrame | None = None, mode: str = "per_frame", workers: int = 2, wall_seconds: float = 0.0, **consensus) -> DataFrame:
+def review_counters(calls: DataFrame, outcomes: DataFrame, votes: DataFrame, matched: DataFrame | None = None, low_quality: DataFrame | None = None, mode: str = "per_frame", workers: int = 2, wall_seconds: float = 0.0, selected: DataFrame | None = None, **consensus) -> DataFrame:
     """One row per scene with all counters of a review.
 
-    calls, outcomes, votes as above; matched: dedup_statistics; low_quality: scene_id, projection_low_quality, input_failures. What isn't given counts 0.
+    calls, outcomes, votes as above; matched: dedup_statistics; low_quality: scene_id, projection_low_quality, input_failures;
+    selected: all candidates, if some were never asked about. What isn't given counts 0.
     """
     out = calls.groupBy("scene_id").agg(*call_counters(calls))
     out = out.join(outcomes.groupBy("scene_id").agg(*missing_counters()), "scene_id", "left").join(wrong_counters(votes, mode, **consensus), "scene_id", "left")
+    if selected is not None:
+        box = F.col("candidate_type") == "existing_bbox"
+        totals = selected.groupBy("scene_id").agg(F.count_if(~box).alias("total_test_clusters"), F.count_if(box).alias("total_wrong_annotation_candidates"))
+        out = totals.join(out.drop("total_test_clusters", "total_wrong_annotation_candidates"), "scene_id", "left")
     names = {
         "raw_candidates": "raw_cluster_candidates", "duplicate_groups": "temporal_dedup_groups", "duplicate_observations": "temporal_dedup_observations",
         "saved_calls": "temporal_dedup_saved_calls", "registered_frames": "temporal_registered_frames", "unregistered_frames": "temporal_unregistered_frames",

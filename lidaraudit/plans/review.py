@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lidaraudit.operators import assets, decisions, verdicts
+from lidaraudit.operators import assets, calls, decisions, verdicts
 from lidaraudit.operators.tracks import keyed
 from lidaraudit.plans import rules
 from lidaraudit.sources import fixtures as X
@@ -134,6 +134,37 @@ def _calls(s: SparkSession, d: str) -> DataFrame:
         F.when(n % 10 == 7, 0).otherwise(1 + n % 3).alias("attempts"), (n % 7 / 2).alias("seconds"), F.lit(1.5).alias("cached_seconds"))
 
 
+def prepared_answer(request: dict) -> str:
+    """Stands for a model: the answer is a column of the request; some fail always, some once."""
+    n = request["n"]
+    if n % 10 == 3 or (n % 7 == 1 and request["attempt"] == 1):
+        raise ConnectionError("down")
+    return request["prepared"]
+
+
+def _review(s: SparkSession, d: str) -> dict[str, DataFrame]:
+    """A whole review: every other box, the others as clusters; every fourth has been answered before."""
+    n = F.col("n")
+    told = answers(s, d).withColumnRenamed("response", "prepared").withColumn("n", F.substring("candidate_id", 2, 20).cast("long"))
+    candidates = told.withColumns({
+        "candidate_type": F.when(n % 2 == 0, calls.BOX).otherwise(calls.CLUSTER), "quality": F.when(n % 31 == 30, None).when(n % 9 == 5, "low").otherwise("good"),
+        "key": decisions.cache_key(F.lit("model").alias("model"), F.col("candidate_id"), F.col("label"))})
+    cache = candidates.where(n % 4 == 0).select("key", "candidate_type", F.col("prepared").alias("response"), F.lit(1.5).alias("seconds"))
+    return calls.review(candidates, prepared_answer, ALLOWED, ALIASES, _categories(s), X.dimensions(s), cache, delay_seconds=0.0)
+
+
+def _vision_run(s: SparkSession, d: str) -> DataFrame:
+    found = _review(s, d)
+    out = verdicts.review_counters(found["calls"], found["outcomes"], found["votes"], low_quality=found["low_quality"], selected=found["candidates"])
+    return out.select("scene_id", *RUN_COUNTERS)
+
+
+def _sections(s: SparkSession, d: str) -> DataFrame:
+    told = _review(s, d)["sections"]
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    return told.select("scene_id", "frame_index", "candidate_id", text("vision.status").alias("status"), text("vision.error").alias("error"), F.coalesce("vision.attempts", F.lit(0)).alias("attempts"), text("vision_cache.hit").alias("hit"), text("vision_decision.accepted").alias("accepted"), text("vision_decision.reason").alias("reason"))
+
+
 def _counters(s: SparkSession, d: str) -> DataFrame:
     out = verdicts.review_counters(_calls(s, d), _gated(s, d), _votes(s, d), mode="track_consensus", min_votes=2, min_share=0.05)
     return out.select("scene_id", *COUNTERS)
@@ -145,6 +176,12 @@ COUNTERS = (
     "wrong_inconsistent_rejected", "wrong_unknown", "wrong_consensus_rejected", "wrong_label_mismatches", "wrong_bbox_mismatches", "wrong_report_findings", "report_findings", "api_requests")
 
 
+RUN_COUNTERS = (
+    "total_test_clusters", "total_wrong_annotation_candidates", "api_failures", "api_skipped", "vision_cache_hits", "missing_cache_hits", "wrong_cache_hits", "missing_api_requests", "wrong_api_requests",
+    "api_attempts", "api_retries", "estimated_cache_saved_seconds", "uncertain", "ai_out_of_scope", "ai_real_objects", "ai_background_or_noise", "category_size_rejected", "wrong_inconsistent_rejected",
+    "wrong_unknown", "wrong_label_mismatches", "wrong_bbox_mismatches", "wrong_report_findings", "report_findings", "api_requests", "projection_low_quality", "input_failures")
+
+
 def _slots(s: SparkSession, d: str) -> DataFrame:
     a = _assets(s, d)
     return assets.slots(a, assets.groups(a))
@@ -174,6 +211,8 @@ QUERIES = {
     "vision_findings": lambda s, d: verdicts.vision_findings(_votes(s, d), _gated(s, d)).select("scene_id", "frame_index", "track_id", "bbox_index", "label", "rule_id", "message", "possible_category", "ai_confidence", "occurrence_count"),
     "consensus_findings": lambda s, d: verdicts.wrong_findings(_votes(s, d), "track_consensus", 2, 0.05).select("scene_id", "track_id", "frame_index", "bbox_index", "rule_id", "ai_confidence"),
     "review_counters": _counters,
+    "vision_run": _vision_run,
+    "review_sections": _sections,
     "full_report": _full_report,
     "review_statistics": lambda s, d: _gated(s, d).groupBy("scene_id").pivot("outcome", ["error", "out_of_scope", "background", "not_suspected", "low_confidence", "size_rejected", "accepted"]).count().na.fill(0),
     "cache_keys": lambda s, d: answers(s, d).select("candidate_id", decisions.cache_key(F.lit("model").alias("model"), F.col("candidate_id"), F.col("label")).alias("key")),
@@ -217,11 +256,47 @@ won AS (
   SELECT c.*, o.observations, c.n / o.observations AS share, row_number() OVER (PARTITION BY c.scene_id, c.object_key ORDER BY c.n DESC, vote_rule DESC, vote_category DESC) AS place
   FROM counted c JOIN (SELECT scene_id, object_key, count(*) AS observations FROM objects GROUP BY ALL) o ON o.scene_id = c.scene_id AND o.object_key = c.object_key),
 sure AS (SELECT * FROM won WHERE place = 1 AND share >= 0.05e0)"""
+RUN = BASE + f""",
+asked AS (
+  SELECT w.n, w.scene_id, w.frame_index, w.candidate_id, w.n % 2 = 0 AS box, CASE WHEN w.n % 31 = 30 THEN NULL WHEN w.n % 9 = 5 THEN 'low' ELSE 'good' END AS quality,
+    CASE WHEN w.n % 2 = 0 THEN w.error ELSE m.error END AS bad FROM wrong w JOIN missing m ON m.n = w.n),
+calls AS (
+  SELECT *, hit IS NOT TRUE AND attempts > 0 AS asking FROM (
+    SELECT *, n % 4 = 0 AND bad IS NULL AS hit, CASE WHEN n % 4 = 0 AND bad IS NULL THEN NULL WHEN n % 10 = 3 THEN 'down' ELSE bad END AS error,
+      CASE WHEN n % 4 = 0 AND bad IS NULL THEN 0 WHEN n % 10 = 3 OR bad IS NOT NULL THEN 3 WHEN n % 7 = 1 THEN 2 ELSE 1 END AS attempts FROM asked WHERE quality = 'good')),
+seen AS (SELECT r.*, c.box FROM ruled r JOIN calls c ON c.n = r.n WHERE c.box AND c.error IS NULL),
+ends AS (SELECT o.* FROM outcomes o JOIN calls c ON c.n = o.n WHERE NOT c.box AND c.error IS NULL)"""
 FULL = "scene_id, frame_index, track_id, bbox_index, label, rule_id, occurrence_count"
 ORACLE = {
     "vision_findings": FOUND_SQL + " SELECT * EXCLUDE (conf), printf('%.4f', conf) AS ai_confidence, 1::BIGINT AS occurrence_count FROM told",
     "consensus_findings": BASE + COUNTED.replace("SELECT w.scene_id, w.track_id, vote_rule, vote_category, w.n, o.observations, round(w.n / o.observations, 6) AS share", "SELECT w.scene_id, w.track_id, r.frame_index, r.candidate_id AS bbox_index, w.vote_rule AS rule_id, printf('%.4f', r.conf) AS ai_confidence").replace("WHERE place = 1", "JOIN ruled r ON r.candidate_id = w.candidate_id WHERE place = 1"),
     "review_counters": BASE + CALLS_SQL,
+    "vision_run": RUN + """,
+c AS (
+  SELECT scene_id, count(*) FILTER (error IS NOT NULL) AS api_failures, 0::BIGINT AS api_skipped,
+    count(*) FILTER (hit) AS vision_cache_hits, count(*) FILTER (hit AND NOT box) AS missing_cache_hits, count(*) FILTER (hit AND box) AS wrong_cache_hits,
+    count(*) FILTER (asking AND NOT box) AS missing_api_requests, count(*) FILTER (asking AND box) AS wrong_api_requests, CAST(sum(attempts) AS BIGINT) AS api_attempts,
+    CAST(sum(attempts - 1) FILTER (asking) AS BIGINT) AS api_retries, 1.5e0 * count(*) FILTER (hit) AS estimated_cache_saved_seconds FROM calls GROUP BY scene_id),
+vague AS (SELECT *, category = 'unknown' OR conf < 0.92e0 AS unsure FROM ends),
+m AS (
+  SELECT scene_id, count(*) FILTER (unsure) AS uncertain, count(*) FILTER (NOT unsure AND NOT scope) AS ai_out_of_scope, count(*) FILTER (NOT unsure AND scope AND object) AS ai_real_objects,
+    count(*) FILTER (NOT unsure AND (NOT scope OR NOT object)) AS ai_background_or_noise, count(*) FILTER (outcome = 'size_rejected') AS category_size_rejected, count(*) FILTER (outcome = 'accepted') AS accepted
+  FROM vague GROUP BY scene_id),
+w AS (
+  SELECT scene_id, count(*) FILTER (vote_reason = 'model_response_internally_inconsistent') AS wrong_inconsistent_rejected,
+    count(*) FILTER (vote_reason IN ('confidence_below_report_threshold', 'model_returned_unknown', 'label_mismatch_without_valid_suggestion')) AS wrong_unknown,
+    count(*) FILTER (vote_rule = 'VisionLabelMismatch') AS wrong_label_mismatches, count(*) FILTER (vote_rule = 'VisionBBoxMismatch') AS wrong_bbox_mismatches, count(vote_rule) AS wrong_report_findings
+  FROM seen GROUP BY scene_id),
+q AS (SELECT scene_id, count(*) FILTER (NOT box) AS total_test_clusters, count(*) FILTER (box) AS total_wrong_annotation_candidates, count(*) FILTER (quality = 'low') AS projection_low_quality, count(*) FILTER (quality IS NULL) AS input_failures FROM asked GROUP BY scene_id)
+SELECT c.*, m.* EXCLUDE (scene_id, accepted), w.* EXCLUDE (scene_id), accepted + wrong_report_findings AS report_findings, missing_api_requests + wrong_api_requests AS api_requests, q.* EXCLUDE (scene_id)
+FROM c JOIN m ON m.scene_id = c.scene_id JOIN w ON w.scene_id = c.scene_id JOIN q ON q.scene_id = c.scene_id""",
+    "review_sections": RUN + """
+SELECT a.scene_id, a.frame_index, a.candidate_id,
+  CASE WHEN a.quality IS NULL THEN '' WHEN a.quality <> 'good' THEN 'skipped' WHEN c.error IS NULL THEN 'verified' ELSE 'error' END AS status,
+  CASE WHEN a.quality <> 'good' THEN 'projection_low_quality' ELSE coalesce(c.error, '') END AS error, coalesce(c.attempts, 0) AS attempts, coalesce(CAST(c.hit AS VARCHAR), '') AS hit,
+  CASE WHEN s.n IS NOT NULL THEN CAST(s.vote_rule IS NOT NULL AS VARCHAR) WHEN e.outcome IN ('low_confidence', 'size_rejected', 'accepted') THEN CAST(e.outcome = 'accepted' AS VARCHAR) ELSE '' END AS accepted,
+  CASE WHEN s.n IS NOT NULL THEN s.vote_reason WHEN e.outcome = 'low_confidence' THEN 'confidence_below_report_threshold' WHEN e.outcome = 'size_rejected' THEN e.gate_reason WHEN e.outcome = 'accepted' THEN 'accepted' ELSE '' END AS reason
+FROM asked a LEFT JOIN calls c ON c.n = a.n LEFT JOIN seen s ON s.n = a.n LEFT JOIN ends e ON e.n = a.n""",
     "untracked_consensus": UNTRACKED + " SELECT scene_id, object_key, vote_rule, vote_category, n, observations, round(share, 6) AS share FROM sure",
     "untracked_findings": UNTRACKED + " SELECT r.scene_id, coalesce(r.track_id, '') AS track_id, r.frame_index, r.candidate_id AS bbox_index, s.vote_rule AS rule_id, printf('%.4f', r.conf) AS ai_confidence FROM sure s JOIN ruled r ON r.candidate_id = s.candidate_id",
     "full_report": f"SELECT {FULL} FROM ({rules.ALL_SQL} SELECT {FULL} FROM report) UNION ALL SELECT {FULL} FROM ({FOUND_SQL} SELECT *, 1 AS occurrence_count FROM told)",

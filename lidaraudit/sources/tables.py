@@ -131,17 +131,3 @@ def write_manifest(views: DataFrame, path: str) -> None:
     own = [c for c in SECTIONS if c in views.columns]
     rows = views.select("scene_id", "frame_index", F.to_json(F.struct("candidate_id", "views", *own)).alias("manifest"))
     rows.write.mode("overwrite").partitionBy("scene_id", "frame_index").text(path)
-
-
-def append_cache(answers: DataFrame, path: str) -> None:
-    """Adds verified answers (key, response, status, stored_at) whose key isn't in the cache yet."""
-    spark = answers.sparkSession
-    new = answers.where("status = 'verified'").dropDuplicates(["key"])
-    try:
-        known = spark.read.parquet(path).select("key")
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    else:
-        new = new.join(known, "key", "left_anti")
-    new.write.mode("append").parquet(path)

@@ -58,13 +58,6 @@ def test_report_without_findings_has_a_header(spark, tmp_path):
     assert any(p.read_text().startswith("scene_id,frame_index") for p in (tmp_path / "r").glob("*.csv"))
 
 
-def test_cache_keeps_first_verified_answers(spark, tmp_path):
-    kind = "key string, response string, status string, stored_at int"
-    tables.append_cache(spark.createDataFrame([("a", "1", "verified", 1), ("b", "2", "error", 1)], kind), str(tmp_path / "c"))
-    tables.append_cache(spark.createDataFrame([("a", "9", "verified", 2), ("c", "3", "verified", 2)], kind), str(tmp_path / "c"))
-    assert sorted(tuple(r)[:2] for r in spark.read.parquet(str(tmp_path / "c")).collect()) == [("a", "1"), ("c", "3")]
-
-
 def test_points_on_a_face_are_inside(spark):
     box = spark.createDataFrame([("s", 1, 0.0, 0.0, 0.0, 0.0, 0.0, np.pi / 2, 4.0, 2.0, 2.0)], "scene_id string, frame_index int, position_x double, position_y double, position_z double, rotation_x double, rotation_y double, rotation_z double, scale_x double, scale_y double, scale_z double")
     p = spark.createDataFrame([("s", 1, i, *v) for i, v in enumerate([(0.0, 1.999, 0.0), (1.0, 0.0, 0.0), (1.5, 0.0, 0.0), (0.0, 2.5, 0.0), (0.0, 0.0, float("nan"))])], "scene_id string, frame_index int, point_idx long, x double, y double, z double")
