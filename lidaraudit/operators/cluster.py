@@ -15,6 +15,7 @@ from lidaraudit.functions import columns as C
 from lidaraudit.functions.storage import stored
 from lidaraudit.operators import blocks, hierarchy, spanning
 from lidaraudit.operators.cloud import FRAME, residual, shapes
+from lidaraudit.operators.components import roots
 from lidaraudit.operators.temporal import spatial_groups
 
 
@@ -22,22 +23,6 @@ from lidaraudit.operators.temporal import spatial_groups
 FRAME_POINTS = 20_000
 
 
-def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The nodes of edges a-b, and the least node of the component of each."""
-    nodes, number = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = number[: len(a)], number[len(a) :]
-    root = np.arange(len(nodes))
-    while True:
-        low = np.minimum(root[x], root[y])
-        new = root.copy()
-        np.minimum.at(new, root[x], low)
-        np.minimum.at(new, root[y], low)
-        new = new[new]
-        if (new == root).all():
-            return nodes, nodes[root]
-        root = new
-
-
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Edges of a batch as stars, one row per node: frames are told apart by ranges of node numbers."""
     for batch in batches:

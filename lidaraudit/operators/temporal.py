@@ -1,9 +1,9 @@
 """The same thing seen in several frames: ego motion from tracked boxes, stationary clusters, spatial groups.
 
-Each scene is one group of a grouped map: later frames depend on the matches of earlier ones. A
-scene's candidates and landmarks are a few rows per frame; its points are not carried along. Within a
-scene the work is done on arrays: a table of where each track is in each frame, all hypotheses of
-a fit at once, all candidates of a frame against all that have been seen.
+Frames are registered pair by pair, one group for each two frames that share tracks; a scene's own task walks the
+graph of its frames. Later frames depend on the matches of earlier ones, but only among candidates that can ever
+meet: these parts of a scene are groups of a grouped map. Within a group the work is done on arrays: all
+hypotheses of a fit at once, all candidates of a frame against all that have been seen.
 """
 
 from __future__ import annotations
@@ -12,9 +12,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lidaraudit.operators.components import touching_cells
+
 
 @dataclass(frozen=True)
 class Registration:
@@ -112,41 +114,93 @@ def motion_between(p: np.ndarray, q: np.ndarray, c: Registration) -> Motion | No
     return Motion(angle, (float(shift[0]), float(shift[1]), float(np.median(q[chosen, 2] - p[chosen, 2]))))
 
 
-class Scene:
-    """Where each track is in each frame of a scene: places[frame, track], NaN where it isn't seen."""
-
-    def __init__(self, landmarks: pd.DataFrame) -> None:
-        marks = landmarks[landmarks["track_id"].notna() & (landmarks["track_id"] != "") & landmarks[["x", "y", "z"]].notna().all(axis=1)]
-        self.frames, f = np.unique(marks["frame_index"].to_numpy(np.int64), return_inverse=True)
-        _, t = np.unique(marks["track_id"].to_numpy(str), return_inverse=True)
-        self.places = np.full((len(self.frames), t.max(initial=-1) + 1, 3), np.nan)
-        self.places[f, t] = marks[["x", "y", "z"]].to_numpy(float)  # a later row of the same frame and track counts
-
-    def motions(self, c: Registration) -> dict[int, Motion]:
-        """Each frame's way into the first frame's coordinates, by way of the frame reached before that shares most tracks with it.
-
-        Frames that can't be reached are tried again as long as others are.
-        """
-        if not len(self.frames):
-            return {}
-        seen = ~np.isnan(self.places[..., 0])
-        shared = seen.astype(np.int64) @ seen.T
-        ways, open_frames = {0: Motion()}, list(range(1, len(self.frames)))
-        while True:
-            left = []
-            for f in open_frames:
-                reached = np.array(list(ways))
-                near = reached[np.argsort(-shared[f, reached], kind="stable")]
-                for g in near[shared[f, near] >= c.min_tracks].tolist():
-                    both = seen[f] & seen[g]
-                    if (own := motion_between(self.places[f, both], self.places[g, both], c)) is not None:
-                        ways[f] = own.then(ways[g])
-                        break
-                else:
-                    left.append(f)
-            if len(left) == len(open_frames):
-                return {int(self.frames[f]): way for f, way in ways.items()}
-            open_frames = left
+def places(landmarks: DataFrame) -> DataFrame:
+    """One row per scene, frame and track, where it is: of several the greatest (x, y, z)."""
+    whole = landmarks.where("track_id is not null and track_id <> '' and x is not null and y is not null and z is not null")
+    return whole.groupBy("scene_id", "frame_index", "track_id").agg(F.max(F.struct("x", "y", "z")).alias("p")).select("scene_id", "frame_index", "track_id", "p.*")
+
+
+PAIR = "scene_id string, frame_index int, anchor int, shared int, angle double, shift_x double, shift_y double, shift_z double"
+
+
+def pair_motions(placed: DataFrame, c: Registration = Registration()) -> DataFrame:  # noqa: B008
+    """PAIR rows: of each two frames that share min_tracks tracks, both ways round, the motion from frame to anchor; null where there is none.
+
+    Frames meet by the tracks that they share; each pair is one group.
+    """
+    anchor = placed.select("scene_id", "track_id", F.col("frame_index").alias("anchor"), *[F.col(a).alias(f"q{a}") for a in "xyz"])
+    both = placed.join(anchor, ["scene_id", "track_id"]).where("frame_index <> anchor")
+    enough = both.groupBy("scene_id", "frame_index", "anchor").count().where(F.col("count") >= max(2, c.min_tracks)).drop("count")
+
+    def work(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("track_id")
+        way = motion_between(rows[list("xyz")].to_numpy(float), rows[["qx", "qy", "qz"]].to_numpy(float), c)
+        told = (None,) * 4 if way is None else (way.angle, *way.shift)
+        return pd.DataFrame([(*key, len(rows), *told)], columns=[x.split()[0] for x in PAIR.split(", ")])
+
+    return both.join(enough, ["scene_id", "frame_index", "anchor"]).groupBy("scene_id", "frame_index", "anchor").applyInPandas(work, PAIR)
+
+
+def forest(pairs: pd.DataFrame, frames: list[int]) -> dict[int, Motion]:
+    """Each frame's way into the first frame's coordinates, by way of the frame reached before that shares most tracks with it.
+
+    Frames that can't be reached are tried again as long as others are. pairs: PAIR rows of one scene.
+    """
+    found: dict[int, dict[int, tuple[int, Motion]]] = {}
+    for f, g, shared, angle, *shift in pairs[["frame_index", "anchor", "shared", "angle", "shift_x", "shift_y", "shift_z"]].itertuples(index=False):
+        if angle == angle and angle is not None:
+            found.setdefault(f, {})[g] = int(shared), Motion(float(angle), tuple(map(float, shift)))
+    ways, open_ = {frames[0]: Motion()} if frames else {}, frames[1:]
+    while open_:
+        left = []
+        for f in open_:
+            own = found.get(f, {})
+            g = max((g for g in ways if g in own), key=lambda g: own[g][0], default=None)  # of equals the one reached first
+            if g is None:
+                left.append(f)
+            else:
+                ways[f] = own[g][1].then(ways[g])
+        if len(left) == len(open_):
+            break
+        open_ = left
+    return ways
+
+
+WAY = "scene_id string, frame_index int, angle double, shift_x double, shift_y double, shift_z double"
+
+
+def registered_frames(landmarks: DataFrame, registration: Registration = Registration()) -> DataFrame:  # noqa: B008
+    """WAY rows: each frame that can be brought into its scene's first frame with landmarks.
+
+    Motions are found pair by pair; a scene's own task only walks the graph of its frames.
+    """
+    placed = places(landmarks)
+    frames = placed.select("scene_id", "frame_index").distinct()
+    nothing = [F.lit(None).cast(x.split()[1]).alias(x.split()[0]) for x in PAIR.split(", ")[2:]]
+    rows = pair_motions(placed, registration).where("angle is not null").unionByName(frames.select("scene_id", "frame_index", *nothing))
+
+    def work(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        alone = own["anchor"].isna()
+        ways = forest(own[~alone], sorted(own["frame_index"][alone].tolist()))
+        return pd.DataFrame([(key[0], f, w.angle, *w.shift) for f, w in ways.items()], columns=[x.split()[0] for x in WAY.split(", ")])
+
+    return rows.groupBy("scene_id").applyInPandas(work, WAY)
+
+
+def in_parts(rows: DataFrame, columns: list[str], side: float) -> DataFrame:
+    """rows with part: rows of a scene that could ever meet, being no farther than side apart one after the other, share it.
+
+    Cells of that side which touch make a part. A scene's own task holds its cells, not its rows.
+    """
+    cells = [F.floor(F.col(c) / side).alias(f"cell_{k}") for k, c in enumerate(columns)]
+    names = [f"cell_{k}" for k in range(len(columns))]
+
+    def work(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        return own.assign(part=touching_cells(own[names].to_numpy(np.int64)))[["scene_id", *names, "part"]]
+
+    kinds = f"scene_id string, {', '.join(f'{n} long' for n in names)}, part long"
+    parts = rows.select("scene_id", *cells).distinct().groupBy("scene_id").applyInPandas(work, kinds)
+    return rows.select("*", *cells).join(parts, ["scene_id", *names]).drop(*names)
 
 
 def size_ratios(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -155,25 +209,13 @@ def size_ratios(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(x / y, y / x).max(-1)
 
 
-def match_scene(candidates: pd.DataFrame, landmarks: pd.DataFrame, registration: Registration, m: Matching) -> pd.DataFrame:
-    """candidates with registered (their frame is), and group (None: seen once or too seldom, or in a frame that can't be registered).
-
-    A candidate without a position is kept at the origin; one without a size matches nothing.
-    """
-    ways = Scene(landmarks).motions(registration)
-    rows = candidates.sort_values(["frame_index", "candidate_id"], ignore_index=True)
+def match_rows(rows: pd.DataFrame, m: Matching) -> np.ndarray:
+    """The track of each row (px, py, pz: its place in the scene; in order of frame and candidate), numbered as tracks begin."""
     frame_of = rows["frame_index"].to_numpy(np.int64)
-    raw, size, shape = (rows[list(c)].to_numpy(float) for c in (("x", "y", "z"), ("size_x", "size_y", "size_z"), ("f1", "f2", "f3")))
-    nowhere = np.isnan(raw).any(1)
-    place, registered = np.zeros_like(raw), np.zeros(len(rows), bool)
+    place, size, shape = (rows[list(c)].to_numpy(float) for c in (("px", "py", "pz"), ("size_x", "size_y", "size_z"), ("f1", "f2", "f3")))
     members: list[list[int]] = []  # rows of each track, in the order in which tracks began
     for frame in np.unique(frame_of).tolist():
-        if frame not in ways:
-            continue
-        own = np.flatnonzero(frame_of == frame)
-        registered[own] = True
-        here = own[~nowhere[own]]
-        place[here] = ways[frame].of(raw[here])
+        here = np.flatnonzero(frame_of == frame)
         last = np.array([t[-1] for t in members], np.int64)
         step = np.hypot(*np.moveaxis(place[here][:, None, :2] - place[last][None, :, :2], -1, 0))
         a, b = np.nonzero(step <= m.max_step)
@@ -191,12 +233,11 @@ def match_scene(candidates: pd.DataFrame, landmarks: pd.DataFrame, registration:
                 members[y].append(int(here[x]))
                 taken.add(x)
                 grown.add(y)
-        members += [[int(r)] for x, r in enumerate(here.tolist()) if x not in taken] + [[int(r)] for r in own[nowhere[own]].tolist()]
-    group: list[int | None] = [None] * len(rows)
-    for k, track in enumerate(t for t in members if len(t) >= max(2, m.min_observations)):
-        for r in track:
-            group[r] = k
-    return rows.assign(group=pd.array(group, "Int64"), registered=registered)
+        members += [[int(r)] for x, r in enumerate(here.tolist()) if x not in taken]
+    track = np.zeros(len(rows), np.int64)
+    for k, own in enumerate(members):
+        track[own] = k
+    return track
 
 
 def stationary_clusters(candidates: DataFrame, landmarks: DataFrame, registration: Registration = Registration(), matching: Matching = Matching()) -> DataFrame:  # noqa: B008
@@ -204,31 +245,40 @@ def stationary_clusters(candidates: DataFrame, landmarks: DataFrame, registratio
 
     candidates: scene_id, frame_index, candidate_id (may recur in other frames), x, y, z, size_x, size_y, size_z, f1, f2, f3 (shape
     features) and any of RANKS. landmarks: scene_id, frame_index, track_id, x, y, z. One member represents a group:
-    that of the greatest RANKS, the earlier one on ties. Candidates without a group represent themselves.
+    that of the greatest RANKS, the earlier one on ties; it has the group's observed_frames and candidate_ids, in order.
+    Candidates without a group represent themselves. A candidate without a position, or in a frame that can't be
+    registered, matches nothing, nor does one without a size.
+
+    Candidates match within parts of a scene that no step of a track can leave; each part is one task's work.
     """
     ranks = [c for c in RANKS if c in candidates.columns]
     kept = ["scene_id", "frame_index", "candidate_id", *ranks]
     kinds = dict(candidates.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in kept) + ", group long, registered boolean"
-
-    def work(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return match_scene(left, right, registration, matching)[[*kept, "group", "registered"]]
-
-    grouped = candidates.groupBy("scene_id").cogroup(landmarks.groupBy("scene_id")).applyInPandas(work, schema)
-    order = F.struct(*[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ranks], (-F.col("frame_index")).alias("earlier"))
-    best = grouped.where("group is not null").groupBy("scene_id", "group").agg(F.max_by(F.struct("frame_index", "candidate_id"), order).alias("best"), F.count("group").alias("observations"))
-    own = F.struct("frame_index", "candidate_id") == F.col("best")
-    return grouped.join(best, ["scene_id", "group"], "left").withColumn("represents", F.col("group").isNull() | own).drop("best")
-
-
-def registered_frames(landmarks: DataFrame, registration: Registration = Registration()) -> DataFrame:  # noqa: B008
-    """scene_id, frame_index, angle, shift_x, shift_y, shift_z of each frame that can be brought into its scene's first frame."""
+    ways = registered_frames(landmarks, registration)
+    c, s = F.cos("angle"), F.sin("angle")
+    placed = candidates.join(ways, ["scene_id", "frame_index"], "left").withColumns({
+        "registered": F.col("angle").isNotNull(), "px": c * F.col("x") - s * F.col("y") + F.col("shift_x"), "py": s * F.col("x") + c * F.col("y") + F.col("shift_y"), "pz": F.col("z") + F.col("shift_z")})
+    somewhere = F.col("px").isNotNull() & F.col("py").isNotNull() & F.col("pz").isNotNull()
+    own = [*kept, "size_x", "size_y", "size_z", "f1", "f2", "f3", "px", "py", "pz"]
+    parts = in_parts(placed.where(somewhere).select(*own), ["px", "py"], max(matching.max_step, 1e-9))
 
     def work(rows: pd.DataFrame) -> pd.DataFrame:
-        ways = Scene(rows).motions(registration)
-        return pd.DataFrame([(rows["scene_id"].iloc[0], f, w.angle, *w.shift) for f, w in ways.items()], columns=["scene_id", "frame_index", "angle", "shift_x", "shift_y", "shift_z"])
+        rows = rows.sort_values(["frame_index", "candidate_id"], ignore_index=True)
+        return rows.assign(track=match_rows(rows, matching))[[*kept, "part", "track"]]
 
-    return landmarks.groupBy("scene_id").applyInPandas(work, "scene_id string, frame_index int, angle double, shift_x double, shift_y double, shift_z double")
+    tracks = parts.groupBy("scene_id", "part").applyInPandas(work, ", ".join(f"{c} {kinds[c]}" for c in kept) + ", part long, track long")
+    order = F.struct(*[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ranks], (-F.col("frame_index")).alias("earlier"))
+    seen = F.array_sort(F.collect_list(F.struct("frame_index", "candidate_id")))
+    groups = tracks.groupBy("scene_id", "part", "track").agg(F.max_by(F.struct("frame_index", "candidate_id"), order).alias("best"), seen.alias("seen"))
+    groups = groups.where(F.size("seen") >= max(2, matching.min_observations))
+    groups = groups.withColumn("group", F.row_number().over(Window.partitionBy("scene_id").orderBy(F.col("seen")[0])).cast("long") - 1)
+    matched = groups.select("scene_id", "group", "best", "seen", F.explode("seen").alias("one")).select("scene_id", F.col("one.frame_index").alias("frame_index"), F.col("one.candidate_id").alias("candidate_id"), "group", "best", "seen")
+    found = placed.select(*kept, "registered").join(matched, ["scene_id", "frame_index", "candidate_id"], "left")
+    represents = F.col("group").isNull() | (F.struct("frame_index", "candidate_id") == F.col("best"))
+    told = represents & F.col("group").isNotNull()
+    return found.select(
+        *kept, "group", "registered", F.when(F.col("group").isNotNull(), F.size("seen")).cast("long").alias("observations"), represents.alias("represents"),
+        F.when(told, F.transform("seen", lambda x: x["frame_index"])).alias("observed_frames"), F.when(told, F.transform("seen", lambda x: x["candidate_id"])).alias("candidate_ids"))
 
 
 def dedup_statistics(matched: DataFrame, landmarks: DataFrame, registered: DataFrame) -> DataFrame:
@@ -266,5 +316,20 @@ def nearest_groups(rows: pd.DataFrame, distance: float) -> pd.DataFrame:
 
 
 def spatial_groups(candidates: DataFrame, distance: float = 1.0) -> DataFrame:
-    schema = "scene_id string, frame_index int, candidate_id string, group long"
-    return candidates.groupBy("scene_id").applyInPandas(lambda rows: nearest_groups(rows, distance)[["scene_id", "frame_index", "candidate_id", "group"]], schema)
+    """scene_id, frame_index, candidate_id, group of nearest_groups() over each scene.
+
+    The last member of a group is within distance of its mean, so a group's next member is within twice that of it: parts of
+    a scene that are farther apart never meet, and each is one task's work. Groups are numbered as they begin.
+    """
+    number = ["candidate_no"] if "candidate_no" in candidates.columns else []
+    rows = candidates.select("scene_id", "frame_index", *number, F.col("candidate_id").cast("string").alias("candidate_id"), *[F.col(a).cast("double").alias(a) for a in "xyz"])
+    nowhere = F.col("x").isNull() | F.col("y").isNull() | F.col("z").isNull() | F.isnan("x") | F.isnan("y") | F.isnan("z")
+    alone = rows.where(nowhere).withColumn("part", -1 - F.monotonically_increasing_id())  # each a group of its own
+    parts = in_parts(rows.where(~nowhere), list("xyz"), 2 * max(distance, 1e-9)).unionByName(alone)
+    order = ["frame_index", *number, "candidate_id"]
+    kinds = dict(rows.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in ("scene_id", *order)) + ", part long, group long"
+    found = parts.groupBy("scene_id", "part").applyInPandas(lambda own: nearest_groups(own, distance)[["scene_id", *order, "part", "group"]], schema)
+    first = found.groupBy("scene_id", "part", "group").agg(F.min(F.struct(*order)).alias("first"))
+    first = first.withColumn("no", F.row_number().over(Window.partitionBy("scene_id").orderBy("first", "part")).cast("long") - 1)
+    return found.join(first, ["scene_id", "part", "group"]).select("scene_id", "frame_index", "candidate_id", F.col("no").alias("group"))
