@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lidaraudit.functions.storage import stored
 from lidaraudit.operators.components import touching_cells
 
 
@@ -126,19 +127,22 @@ PAIR = "scene_id string, frame_index int, anchor int, shared int, angle double,
 def pair_motions(placed: DataFrame, c: Registration = Registration()) -> DataFrame:  # noqa: B008
     """PAIR rows: of each two frames that share min_tracks tracks, both ways round, the motion from frame to anchor; null where there is none.
 
-    Frames meet by the tracks that they share; each pair is one group.
+    Frames meet by the tracks that they share; a frame with all its anchors is one group.
     """
     anchor = placed.select("scene_id", "track_id", F.col("frame_index").alias("anchor"), *[F.col(a).alias(f"q{a}") for a in "xyz"])
     both = placed.join(anchor, ["scene_id", "track_id"]).where("frame_index <> anchor")
     enough = both.groupBy("scene_id", "frame_index", "anchor").count().where(F.col("count") >= max(2, c.min_tracks)).drop("count")
 
     def work(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("track_id")
-        way = motion_between(rows[list("xyz")].to_numpy(float), rows[["qx", "qy", "qz"]].to_numpy(float), c)
-        told = (None,) * 4 if way is None else (way.angle, *way.shift)
-        return pd.DataFrame([(*key, len(rows), *told)], columns=[x.split()[0] for x in PAIR.split(", ")])
+        rows = rows.sort_values(["anchor", "track_id"])
+        anchors, first = np.unique(rows["anchor"].to_numpy(), return_index=True)
+        p, q, found = rows[list("xyz")].to_numpy(float), rows[["qx", "qy", "qz"]].to_numpy(float), []
+        for anchor, a, b in zip(anchors.tolist(), first.tolist(), [*first[1:].tolist(), len(rows)], strict=True):
+            way = motion_between(p[a:b], q[a:b], c)
+            found.append((*key, anchor, b - a, *((None,) * 4 if way is None else (way.angle, *way.shift))))
+        return pd.DataFrame(found, columns=[x.split()[0] for x in PAIR.split(", ")])
 
-    return both.join(enough, ["scene_id", "frame_index", "anchor"]).groupBy("scene_id", "frame_index", "anchor").applyInPandas(work, PAIR)
+    return both.join(enough, ["scene_id", "frame_index", "anchor"]).groupBy("scene_id", "frame_index").applyInPandas(work, PAIR)
 
 
 def forest(pairs: pd.DataFrame, frames: list[int]) -> dict[int, Motion]:
@@ -209,6 +213,12 @@ def size_ratios(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(x / y, y / x).max(-1)
 
 
+def bundled(parts: DataFrame) -> DataFrame:
+    """parts with bundle: several parts of a scene that one task works on, as they don't disturb each other; as many for a scene as there are shuffle partitions."""
+    n = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return parts.withColumn("bundle", F.pmod(F.xxhash64("part"), F.lit(n)))
+
+
 def match_rows(rows: pd.DataFrame, m: Matching) -> np.ndarray:
     """The track of each row (px, py, pz: its place in the scene; in order of frame and candidate), numbered as tracks begin."""
     frame_of = rows["frame_index"].to_numpy(np.int64)
@@ -240,7 +250,7 @@ def match_rows(rows: pd.DataFrame, m: Matching) -> np.ndarray:
     return track
 
 
-def stationary_clusters(candidates: DataFrame, landmarks: DataFrame, registration: Registration = Registration(), matching: Matching = Matching()) -> DataFrame:  # noqa: B008
+def stationary_clusters(candidates: DataFrame, landmarks: DataFrame, registration: Registration = Registration(), matching: Matching = Matching(), ways: DataFrame | None = None) -> DataFrame:  # noqa: B008
     """One row per candidate (scene_id, frame_index, candidate_id, RANKS) with its group, whether its frame is registered, and whether it represents its group.
 
     candidates: scene_id, frame_index, candidate_id (may recur in other frames), x, y, z, size_x, size_y, size_z, f1, f2, f3 (shape
@@ -249,24 +259,25 @@ def stationary_clusters(candidates: DataFrame, landmarks: DataFrame, registratio
     Candidates without a group represent themselves. A candidate without a position, or in a frame that can't be
     registered, matches nothing, nor does one without a size.
 
-    Candidates match within parts of a scene that no step of a track can leave; each part is one task's work.
+    ways: registered_frames(landmarks), if it has been found before. Candidates match within parts of a scene that no step of a track can leave; a task works on some of them.
     """
     ranks = [c for c in RANKS if c in candidates.columns]
     kept = ["scene_id", "frame_index", "candidate_id", *ranks]
     kinds = dict(candidates.dtypes)
-    ways = registered_frames(landmarks, registration)
+    ways = registered_frames(landmarks, registration) if ways is None else ways
     c, s = F.cos("angle"), F.sin("angle")
     placed = candidates.join(ways, ["scene_id", "frame_index"], "left").withColumns({
         "registered": F.col("angle").isNotNull(), "px": c * F.col("x") - s * F.col("y") + F.col("shift_x"), "py": s * F.col("x") + c * F.col("y") + F.col("shift_y"), "pz": F.col("z") + F.col("shift_z")})
     somewhere = F.col("px").isNotNull() & F.col("py").isNotNull() & F.col("pz").isNotNull()
     own = [*kept, "size_x", "size_y", "size_z", "f1", "f2", "f3", "px", "py", "pz"]
+    placed = stored(placed.select(*own, "registered"), "placed")  # read three times; the registration is worked out once
     parts = in_parts(placed.where(somewhere).select(*own), ["px", "py"], max(matching.max_step, 1e-9))
 
     def work(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["frame_index", "candidate_id"], ignore_index=True)
         return rows.assign(track=match_rows(rows, matching))[[*kept, "part", "track"]]
 
-    tracks = parts.groupBy("scene_id", "part").applyInPandas(work, ", ".join(f"{c} {kinds[c]}" for c in kept) + ", part long, track long")
+    tracks = bundled(parts).groupBy("scene_id", "bundle").applyInPandas(work, ", ".join(f"{c} {kinds[c]}" for c in kept) + ", part long, track long")
     order = F.struct(*[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ranks], (-F.col("frame_index")).alias("earlier"))
     seen = F.array_sort(F.collect_list(F.struct("frame_index", "candidate_id")))
     groups = tracks.groupBy("scene_id", "part", "track").agg(F.max_by(F.struct("frame_index", "candidate_id"), order).alias("best"), seen.alias("seen"))
@@ -319,7 +330,7 @@ def spatial_groups(candidates: DataFrame, distance: float = 1.0) -> DataFrame:
     """scene_id, frame_index, candidate_id, group of nearest_groups() over each scene.
 
     The last member of a group is within distance of its mean, so a group's next member is within twice that of it: parts of
-    a scene that are farther apart never meet, and each is one task's work. Groups are numbered as they begin.
+    a scene that are farther apart never meet, and a task works on some of them. Groups are numbered as they begin.
     """
     number = ["candidate_no"] if "candidate_no" in candidates.columns else []
     rows = candidates.select("scene_id", "frame_index", *number, F.col("candidate_id").cast("string").alias("candidate_id"), *[F.col(a).cast("double").alias(a) for a in "xyz"])
@@ -329,7 +340,7 @@ def spatial_groups(candidates: DataFrame, distance: float = 1.0) -> DataFrame:
     order = ["frame_index", *number, "candidate_id"]
     kinds = dict(rows.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in ("scene_id", *order)) + ", part long, group long"
-    found = parts.groupBy("scene_id", "part").applyInPandas(lambda own: nearest_groups(own, distance)[["scene_id", *order, "part", "group"]], schema)
+    found = bundled(parts).groupBy("scene_id", "bundle").applyInPandas(lambda own: nearest_groups(own, distance)[["scene_id", *order, "part", "group"]], schema)
     first = found.groupBy("scene_id", "part", "group").agg(F.min(F.struct(*order)).alias("first"))
     first = first.withColumn("no", F.row_number().over(Window.partitionBy("scene_id").orderBy("first", "part")).cast("long") - 1)
     return found.join(first, ["scene_id", "part", "group"]).select("scene_id", "frame_index", "candidate_id", F.col("no").alias("group"))
