@@ -7,7 +7,8 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lidaraudit.operators import cloud, cluster, projection
+from lidaraudit.functions.storage import stored
+from lidaraudit.operators import cloud, cluster, inspection, projection
 from lidaraudit.operators.tracks import keyed
 from lidaraudit.sources import fixtures as X
 
@@ -195,7 +196,53 @@ def _detected(s: SparkSession, d: str) -> DataFrame:
     return cluster.detect_clusters(X.points(s, d), _boxes(s, d), {"side": SIDE}, {"method": "hdbscan", "min_cluster_size": 6, "min_samples": 3}, merge={"most": 1.0}, weak={"min_points": 6, "min_flatness": 0.05}, min_points=6, max_low_area=None, max_volume=1e9, max_extent=200.0)
 
 
+def _pictures(s: SparkSession, d: str) -> DataFrame:
+    """pictures of half the calibrated size for frames with boxes: three places, the left one only in odd frames, none in every third frame."""
+    frames = X.boxes(s, d).select("scene_id", "frame_index").distinct().where("frame_index % 3 <> 0")
+    name = F.explode(F.array(F.lit("CAM_front"), F.lit("cam_back"), F.when(F.col("frame_index") % 2 == 1, F.lit("cam_LEFT"))))
+    named = frames.withColumn("asset_name", name).where("asset_name is not null")
+    path = F.concat(F.lit("scene_"), "scene_id", F.lit("/frame_"), "frame_index", F.lit("/"), "asset_name", F.lit(".jpg"))
+    return named.select("scene_id", "frame_index", "asset_name", path.alias("path"), F.lit(X.WIDTH // 2).alias("width"), F.lit(X.HEIGHT // 2).alias("height"))
+
+
+def _box_views(s: SparkSession, d: str) -> DataFrame:
+    found = inspection.candidates(s.createDataFrame([], "scene_id string, frame_index int, cluster_id string, members array<array<double>>"), X.boxes(s, d), _pictures(s, d), X.cameras(s))
+    v = found.select("scene_id", "frame_index", "candidate_id", F.explode("views").alias("v")).select("scene_id", "frame_index", "candidate_id", "v.*")
+    return v.select("scene_id", "frame_index", "candidate_id", "camera_id", "path", "x1", "y1", "x2", "y2", "visible_points", "reasons")
+
+
+def _frame_projection(s: SparkSession, d: str) -> DataFrame:
+    """All frames with boxes or points: clusters and boxes in pictures."""
+    points, boxes, pictures = X.points(s, d), _boxes(s, d), _pictures(s, d)
+    clusters = inspection.clusters_with_points(points, boxes, {"side": SIDE}, {"method": "hdbscan", "min_cluster_size": 6, "min_samples": 3}, merge={"most": 1.0}, min_points=6, max_low_area=None, max_volume=1e9, max_extent=1e9)
+    found = stored(inspection.candidates(clusters, boxes, pictures, X.cameras(s)), "candidates")
+    frames = boxes.select("scene_id", "frame_index").unionByName(points.select("scene_id", "frame_index"))
+    return inspection.frame_results(frames, clusters, boxes, points, pictures, found)
+
+
+def _chains(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """F4 as chains: each user's events are a block of points, four blocks of a scene follow one another a short gap apart."""
+    e = X.table(s, d, "events").select("event_id", (F.col("user_id") % 5).cast("string").alias("scene_id"), F.lit(1).alias("frame_index"), F.floor(F.col("user_id") / 5).alias("label"))
+    digit = lambda k: (F.floor(F.col("event_id") / 10**k) % 10) * F.lit(0.1)
+    x = F.col("label") * F.lit(1.1) + F.floor(F.col("label") / 4) * F.lit(5.0) + digit(0)
+    points = e.select("scene_id", "frame_index", F.col("event_id").alias("point_idx"), x.alias("x"), digit(1).alias("y"), digit(2).alias("z"))
+    return points, e.select("scene_id", "frame_index", F.col("event_id").alias("point_idx"), "label")
+
+
+def _weak_chains(s: SparkSession, d: str) -> DataFrame:
+    points, labels = _chains(s, d)
+    found = cluster.fragments(points, labels)
+    few = found.agg(F.percentile("points", 0.3)).first()[0] or 0  # what counts as few grows with the tables
+    groups = cluster.merged_fragments(found, cluster.fragment_gaps(found, CHAIN_GAP))
+    return cluster.weak_groups(found, groups, CHAIN_GAP, min_points=int(few), min_flatness=0.0)
+
+
+CHAIN_GAP = 0.35
 QUERIES = {
+    "weak_chains": _weak_chains,
+    "picture_cameras": lambda s, d: projection.cameras_of_images(_pictures(s, d), X.cameras(s)).select("scene_id", "frame_index", "path", "camera_id"),
+    "box_views": _box_views,
+    "frame_projection": _frame_projection,
     "weak_groups": _weak,
     "hdbscan_labels": lambda s, d: cluster.hdbscan(X.dense_points(s, d), 6, 3, "eom"),
     "detect_clusters": _detected,
@@ -216,7 +263,31 @@ QUERIES = {
     "crop_bounds": lambda s, d: _regions(s, d).withColumns(projection.crop_bounds()).select("candidate_id", "camera_id", "crop_x1", "crop_y1", "crop_x2", "crop_y2"),
     "best_view_of_track": lambda s, d: _best(s, d).select("scene_id", "track_id", "frame_index", "candidate_id", "good_views", "good_points", "all_points"),
 }
+PICTURES_SQL = """pictures AS (
+  SELECT scene_id, frame_index, 'scene_' || scene_id || '/frame_' || frame_index || '/' || name || '.jpg' AS path, camera_id
+  FROM (SELECT DISTINCT scene_id, frame_index FROM boxes WHERE frame_index % 3 <> 0), (VALUES ('CAM_front', 'cam_front_1'), ('cam_back', 'cam_back_1'), ('cam_LEFT', 'cam_left_1')) t(name, camera_id)
+  WHERE name <> 'cam_LEFT' OR frame_index % 2 = 1)"""
+HALF_SQL = JUDGED.replace("GROUP BY ALL HAVING", "GROUP BY ALL HAVING", 1)
+for _c, _x in (("min(u)", "floor"), ("min(v)", "floor"), ("max(u)", "ceil"), ("max(v)", "ceil")):
+    HALF_SQL = HALF_SQL.replace(f"{_x}({_c})", f"{_x}({_c} * 0.5e0)")
+HALF_SQL = HALF_SQL.replace(str(X.WIDTH - 1), str(X.WIDTH // 2 - 1)).replace(str(X.HEIGHT - 1), str(X.HEIGHT // 2 - 1)).replace(f"CAST({X.WIDTH} AS INTEGER)", f"CAST({X.WIDTH // 2} AS INTEGER)").replace(f"CAST({X.HEIGHT} AS INTEGER)", f"CAST({X.HEIGHT // 2} AS INTEGER)")
+CHAINS_SQL = f"""WITH RECURSIVE pts AS (
+  SELECT CAST(user_id % 5 AS VARCHAR) AS scene_id, user_id // 5 AS label, (user_id // 5) * 1.1e0 + ((user_id // 5) // 4) * 5e0 + (event_id % 10) * 0.1e0 AS x, ((event_id // 10) % 10) * 0.1e0 AS y, ((event_id // 100) % 10) * 0.1e0 AS z FROM events),
+f AS (SELECT scene_id, label, count(*) AS points, min(x) AS ax, max(x) AS bx, min(y) AS ay, max(y) AS by_, min(z) AS az, max(z) AS bz FROM pts GROUP BY ALL),
+few AS (SELECT CAST(floor(quantile_cont(points, 0.3)) AS BIGINT) AS least FROM f),
+near AS (
+  SELECT a.scene_id, a.label AS a, b.label AS b, NOT (a.points < least OR b.points < least) OR (least(a.bx, b.bx) - greatest(a.ax, b.ax) >= 0.05e0 AND least(a.by_, b.by_) - greatest(a.ay, b.ay) >= 0.05e0) AS firm
+  FROM f a JOIN f b ON a.scene_id = b.scene_id AND a.label <> b.label, few
+  WHERE sqrt(greatest(0, a.ax - b.bx, b.ax - a.bx)**2 + greatest(0, a.ay - b.by_, b.ay - a.by_)**2) <= {CHAIN_GAP}e0 AND greatest(0, a.az - b.bz, b.az - a.bz) <= 1),
+tied AS (SELECT scene_id, a, b FROM near UNION SELECT t.scene_id, t.a, n.b FROM tied t JOIN near n ON n.scene_id = t.scene_id AND n.a = t.b),
+held AS (SELECT scene_id, a, b FROM near WHERE firm UNION SELECT t.scene_id, t.a, n.b FROM held t JOIN near n ON n.scene_id = t.scene_id AND n.a = t.b AND n.firm),
+grouped AS (SELECT f.scene_id, f.label, least(f.label, coalesce(min(t.b), f.label)) AS g FROM f LEFT JOIN tied t ON t.scene_id = f.scene_id AND t.a = f.label GROUP BY f.scene_id, f.label),
+parts AS (SELECT g.scene_id, g.g, least(g.label, coalesce(min(h.b), g.label)) AS root FROM grouped g LEFT JOIN held h ON h.scene_id = g.scene_id AND h.a = g.label GROUP BY g.scene_id, g.g, g.label)
+SELECT scene_id, 1::INTEGER AS frame_index, g AS "group" FROM parts GROUP BY scene_id, g HAVING count(DISTINCT root) > 1"""
 ORACLE = {
+    "weak_chains": CHAINS_SQL,
+    "picture_cameras": f"WITH {X.BOXES_SQL}, {PICTURES_SQL} SELECT scene_id, frame_index, path, camera_id FROM pictures",
+    "box_views": f"{HALF_SQL}, {PICTURES_SQL} SELECT j.scene_id, j.frame_index, j.candidate_id, j.camera_id, path, x1, y1, x2, y2, visible_points, reasons FROM judged j JOIN pictures p ON p.scene_id = j.scene_id AND p.frame_index = j.frame_index AND p.camera_id = j.camera_id",
     "weak_groups": WEAK,
     "residual_points": f"{OUTSIDE} SELECT scene_id, frame_index, point_idx FROM outside",
     "voxel_means": f"{MEANS} SELECT scene_id, frame_index, vx, vy, vz, points, round(x, 8) AS x, round(y, 8) AS y, round(z, 8) AS z FROM means",
