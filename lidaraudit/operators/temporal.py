@@ -129,9 +129,13 @@ def pair_motions(placed: DataFrame, c: Registration = Registration()) -> DataFra
 
     Frames meet by the tracks that they share; a frame with all its anchors is one group.
     """
+    # A frame with fewer tracks shares too few with any other.
+    rich = placed.groupBy("scene_id", "frame_index").count().where(F.col("count") >= max(2, c.min_tracks)).drop("count")
+    placed = placed.join(rich, ["scene_id", "frame_index"], "left_semi")
     anchor = placed.select("scene_id", "track_id", F.col("frame_index").alias("anchor"), *[F.col(a).alias(f"q{a}") for a in "xyz"])
     both = placed.join(anchor, ["scene_id", "track_id"]).where("frame_index <> anchor")
-    enough = both.groupBy("scene_id", "frame_index", "anchor").count().where(F.col("count") >= max(2, c.min_tracks)).drop("count")
+    # Gathered pair by pair first: most pairs share too few tracks and go no further.
+    tracks = both.groupBy("scene_id", "frame_index", "anchor").agg(F.collect_list(F.struct("track_id", "x", "y", "z", "qx", "qy", "qz")).alias("tracks")).where(F.size("tracks") >= max(2, c.min_tracks))
 
     def work(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["anchor", "track_id"])
@@ -142,7 +146,7 @@ def pair_motions(placed: DataFrame, c: Registration = Registration()) -> DataFra
             found.append((*key, anchor, b - a, *((None,) * 4 if way is None else (way.angle, *way.shift))))
         return pd.DataFrame(found, columns=[x.split()[0] for x in PAIR.split(", ")])
 
-    return both.join(enough, ["scene_id", "frame_index", "anchor"]).groupBy("scene_id", "frame_index").applyInPandas(work, PAIR)
+    return tracks.select("scene_id", "frame_index", "anchor", F.explode("tracks").alias("t")).select("scene_id", "frame_index", "anchor", "t.*").groupBy("scene_id", "frame_index").applyInPandas(work, PAIR)
 
 
 def forest(pairs: pd.DataFrame, frames: list[int]) -> dict[int, Motion]:
