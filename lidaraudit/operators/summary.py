@@ -24,11 +24,11 @@ def rule_summary(found: DataFrame, boxes: DataFrame, expected: DataFrame) -> Dat
 
 
 def summary_document(found: DataFrame, boxes: DataFrame, expected: DataFrame) -> DataFrame:
-    """The summary of each scene as JSON text, with sorted lists of frames and objects."""
+    """The summary of each scene as JSON text, with sorted lists of frames and objects; rules with most findings first, ties by name."""
     lists = found.groupBy("scene_id").agg(
         F.sort_array(F.collect_set("frame_index")).alias("frames_with_issues"),
         F.sort_array(F.collect_set(F.nullif("track_id", F.lit("")))).alias("tracks_with_issues"))
-    rules = found.groupBy("scene_id", "rule_id").count().groupBy("scene_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("rule_id", "count")))).alias("warnings_by_rule"))
+    rules = found.groupBy("scene_id", "rule_id").count().groupBy("scene_id").agg(F.map_from_entries(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("count")).alias("order"), "rule_id", "count"))), lambda x: F.struct(x["rule_id"], x["count"]))).alias("warnings_by_rule"))
     missing = expected.where("not read_ok").groupBy("scene_id").agg(F.sort_array(F.collect_set("frame_index")).alias("missing_bbox_frames"))
     totals = rule_summary(found, boxes, expected).drop("frames_with_issues", "tracks_with_issues")
     whole = totals.join(lists, "scene_id", "left").join(rules, "scene_id", "left").join(missing, "scene_id", "left")

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of a file's beginning that are looked at; sizes stand there, behind comments of any usual length.
+#: Bytes of a file's beginning that are looked at first; where the size stands behind more, the whole file is.
 HEAD = 1 << 18
 
 
@@ -36,7 +36,7 @@ def _place(path: str = "path") -> list[F.Column]:
     return [F.regexp_extract(path, "scene_([^/]+)/", 1).alias("scene_id"), F.regexp_extract(path, "frame_([0-9]+)/", 1).try_cast("int").alias("frame_index")]
 
 
-def images(spark: SparkSession, path: str) -> DataFrame:
+def images(spark: SparkSession, path: str, head: int = HEAD) -> DataFrame:
     """scene_id, frame_index, asset_name, path, width, height of all pictures scene_<id>/frame_<n>/*.jpg, .jpeg or .png; unreadable ones have null sizes."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{jpg,jpeg,png}").option("recursiveFileLookup", "true").load(path)
 
@@ -45,7 +45,12 @@ def images(spark: SparkSession, path: str) -> DataFrame:
             sizes = [size_of(c) or (None, None) for c in batch["head"]]
             yield pd.DataFrame({"path": batch["path"], "width": pd.array([w for w, _ in sizes], "Int32"), "height": pd.array([h for _, h in sizes], "Int32")})
 
-    rows = files.select("path", F.substring("content", 1, HEAD).alias("head")).mapInPandas(work, "path string, width int, height int")
+    shape = "path string, width int, height int"
+    first = files.select("path", F.substring("content", 1, head).alias("head")).mapInPandas(work, shape)
+    longer = files.where(F.col("length") > head).select("path", F.col("content").alias("head"))
+    unknown = first.where("width is null").select("path")
+    whole = longer.join(unknown, "path", "left_semi").mapInPandas(work, shape)
+    rows = first.join(whole.select("path", F.col("width").alias("w"), F.col("height").alias("h")), "path", "left").select("path", F.coalesce("width", "w").alias("width"), F.coalesce("height", "h").alias("height"))
     return rows.select(*_place(), F.regexp_extract("path", r"([^/]+)\.[A-Za-z]+$", 1).alias("asset_name"), "path", "width", "height")
 
 

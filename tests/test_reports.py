@@ -33,6 +33,8 @@ def test_calibration(spark):
 @pytest.mark.parametrize(("change", "words"), [
     ({"camera_labels": ["cam_z"]}, "no such entry"), ({"camera_labels": "cam_a"}, "must be a list"), ({"cameras": []}, "mapping"),
     ({"cameras": {"c": {"intrinsic": [1]}}, "camera_labels": []}, "9 values, got 1"), ({"lidars": {"l": {"extrinct_matrix": [1] * 5}}}, "12 or 16"),
+    ({"camera_labels": ["cam_a", "cam_a"]}, "unique"), ({"cameras": {1: {}, "1": {}}, "camera_labels": []}, "unique"),
+    ({"cameras": {"c": {"extrinsic_old": [1]}}, "camera_labels": []}, "16 values, got 1"), ({"cameras": {"c": 5}, "camera_labels": []}, "mapping"),
 ])
 def test_wrong_calibrations(spark, change, words):
     with pytest.raises(calibration.CalibrationError, match=words):
@@ -67,6 +69,10 @@ def test_pictures_and_clouds(spark, tmp_path):
     (folder / "x.pcd").write_bytes(b"#")
     got = sorted(tuple(r[c] for c in ("scene_id", "frame_index", "asset_name", "width", "height")) for r in images.images(spark, str(tmp_path)).collect())
     assert got == [("5", 2, "cam_a", 640, 480), ("5", 2, "cam_b", 200, 300), ("5", 2, "cam_c", None, None)]
+    (folder / "cam_d.jpg").write_bytes(b"\xff\xd8" + (b"\xff\xe1\xff\xff" + bytes(65533)) * 5 + b"\xff\xc0\x00\x0b\x08" + struct.pack(">HH", 30, 20) + b"\x01\x01\x11\x00")
+    for head in (10, images.HEAD):  # the size stands behind what is looked at first
+        again = {r["asset_name"]: (r["width"], r["height"]) for r in images.images(spark, str(tmp_path), head).collect()}
+        assert again == {"cam_a": (640, 480), "cam_b": (200, 300), "cam_c": (None, None), "cam_d": (20, 30)}
     frames = spark.createDataFrame([("5", 1), ("5", 2)], "scene_id string, frame_index int")
     assert [r["frame_index"] for r in images.frames_with_cloud(spark, frames, str(tmp_path)).collect()] == [2]
 
@@ -197,3 +203,10 @@ def test_stored_keys(spark, tmp_path):
     tables.write_boxes(boxes, str(tmp_path / "b"))
     again = tables.read_boxes(spark, str(tmp_path / "b")).orderBy("bbox_index").collect()
     assert [(r["resolved_target_field"], r["resolved_target_key"]) for r in again] == [("", "K"), ("track_id", "t2"), ("bbox_index", "3")]
+
+
+def test_rules_of_a_summary_are_ordered_by_count(spark):
+    found = spark.createDataFrame([("s", 1, "t", r, "Warning") for r in ("A", "C", "C", "B")], "scene_id string, frame_index int, track_id string, rule_id string, severity string")
+    boxes = spark.createDataFrame([("s", 1)], "scene_id string, bbox_index long")
+    expected = spark.createDataFrame([("s", 1, True)], "scene_id string, frame_index int, read_ok boolean")
+    assert '"warnings_by_rule":{"C":2,"A":1,"B":1}' in summary.summary_document(found, boxes, expected).first()["document"]
