@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -44,3 +45,39 @@ def touching_cells(cells: np.ndarray) -> np.ndarray:
             b.append(at[there])
     _, root = roots(np.concatenate(a), np.concatenate(b))
     return root[number]
+
+
+class Cells:
+    """Points (rows of coordinates) by grid cell of a side, to be met by others."""
+
+    #: Pairs that pairs() gives at once, as long as one point has no more.
+    MOST = 2_000_000
+
+    def __init__(self, points: np.ndarray, side: float) -> None:
+        self.side = side
+        code = self._code(self._cell(points))
+        self.order = np.argsort(code, kind="stable")
+        self.codes = code[self.order]
+
+    def _cell(self, points: np.ndarray) -> np.ndarray:
+        return np.floor(points / self.side).astype(np.int64)
+
+    def _code(self, cells: np.ndarray) -> np.ndarray:
+        return (cells.view(np.uint64) * SPREAD[: cells.shape[1]]).sum(1, dtype=np.uint64)
+
+    def pairs(self, points: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Numbers of points and of own points in the same cell or in one that touches it, in chunks that end with a point."""
+        if not len(points) or not len(self.codes):
+            return
+        cells = self._cell(points)
+        steps = [self._code(cells + np.array(s)) for s in itertools.product((-1, 0, 1), repeat=cells.shape[1])]
+        low = np.stack([np.searchsorted(self.codes, c, "left") for c in steps], 1)
+        many = np.stack([np.searchsorted(self.codes, c, "right") for c in steps], 1) - low
+        ends = np.cumsum(many.sum(1))
+        at = 0
+        while at < len(points):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + self.MOST, "right")))
+            n, first = many[at:to].ravel(), low[at:to].ravel()
+            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+            yield np.repeat(np.arange(at, to), many[at:to].sum(1)), self.order[place]
+            at = to

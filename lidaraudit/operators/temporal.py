@@ -1,13 +1,14 @@
 """The same thing seen in several frames: ego motion from tracked boxes, stationary clusters, spatial groups.
 
-Frames are registered pair by pair, one group for each two frames that share tracks; a scene's own task walks the
-graph of its frames. Later frames depend on the matches of earlier ones, but only among candidates that can ever
+Frames are told apart by blocks of a scene, two in a group, by what tracks they share; a scene's own task walks the
+graph of its frames, and motions are looked for where it goes. Later frames depend on the matches of earlier ones, but only among candidates that can ever
 meet: these parts of a scene are groups of a grouped map. Within a group the work is done on arrays: all
 hypotheses of a fit at once, all candidates of a frame against all that have been seen.
 """
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lidaraudit.functions.storage import stored
-from lidaraudit.operators.components import touching_cells
+from lidaraudit.operators.components import Cells, touching_cells
 
 
 @dataclass(frozen=True)
@@ -81,38 +82,126 @@ class Motion:
         return Motion(self.angle + other.angle, tuple(other.of(np.array(self.shift)).tolist()))
 
 
+#: Tracks up to which all pairs of them are listed, and numbers that one step of a fit holds at once.
+LISTED, HELD = 1_000, 2_000_000
+
+
+def hypotheses(p: np.ndarray, q: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs i < j of tracks at least 1 m apart in both frames, in order, thinned evenly to at most `most`.
+
+    Of many tracks only the pairs that are too near are looked up, by cells, and counted: the k-th of the others follows from
+    the counts, and pairs are listed for the tracks i that are chosen.
+    """
+    n = len(p)
+    if n <= LISTED or not (np.isfinite(p).all() and np.isfinite(q).all()):
+        i, j = np.triu_indices(n, 1)
+        pick = np.flatnonzero((np.hypot(*(p[j, :2] - p[i, :2]).T) >= 1.0) & (np.hypot(*(q[j, :2] - q[i, :2]).T) >= 1.0))
+        if len(pick) > most:
+            pick = pick[(np.arange(most) * (len(pick) / most)).astype(np.int64)]
+        return i[pick], j[pick]
+
+    def too_near(rows: np.ndarray):
+        """Pairs rows[a] < j too near in p, and those too near in q only."""
+        for own, other in ((p, None), (q, p)):
+            for a, j in Cells(own[:, :2], 1.0).pairs(own[rows, :2]):
+                i = rows[a]
+                near = (i < j) & (np.hypot(*(own[j, :2] - own[i, :2]).T) < 1.0)
+                i, j = i[near], j[near]
+                if other is not None:
+                    far = np.hypot(*(other[j, :2] - other[i, :2]).T) >= 1.0
+                    i, j = i[far], j[far]
+                yield i, j
+
+    usable = np.arange(n - 1, -1, -1)
+    for i, _ in too_near(np.arange(n)):
+        usable -= np.bincount(i, minlength=n)
+    ends = np.cumsum(usable)
+    total = int(ends[-1])
+    rank = np.arange(total) if total <= most else (np.arange(most) * (total / most)).astype(np.int64)
+    i = np.searchsorted(ends, rank, "right")
+    rank = rank - (ends - usable)[i]
+    skipped = [x * n + y for x, y in too_near(np.unique(i))]
+    skipped = np.sort(np.concatenate([*skipped, np.zeros(0, np.int64)]))
+    row, j = skipped // n, skipped % n
+    first = np.searchsorted(row, np.arange(n))  # of each track's own list
+    before = j - row - 1 - (np.arange(len(row)) - first[row])  # pairs of the row that are usable and come before it
+    return i, i + 1 + rank + np.searchsorted(row * n + before, i * n + rank, "right") - first[i]
+
+
+def least_inliers(n: int, c: Registration) -> int:
+    """How many of n tracks have to agree with a motion."""
+    least = max(int(np.floor(c.min_ratio * n)) - 1, 0)
+    while least / n < c.min_ratio:
+        least += 1
+    return max(least, c.min_inliers, 1)
+
+
+def may_agree(p: np.ndarray, q: np.ndarray, c: Registration) -> bool:
+    """Whether motion_between() may find a motion; False is exact.
+
+    Tracks that agree with one motion are all as far apart in both frames, but for twice the residual. Of n tracks any
+    n - least + 1 hold one that agrees, if there are any, and it has that distance to at least as many others. With very many tracks, and
+    where it is so, the answer is True.
+    """
+    n = len(p)
+    least = least_inliers(n, c)
+    if n < max(2, c.min_tracks) or least > n:
+        return False
+    rows = n - least + 1
+    if rows > 4 * LISTED or not (np.isfinite(p).all() and np.isfinite(q).all()):
+        return True
+    if np.hypot(*np.ptp(p[:, :2], 0)) < 1.0 or np.hypot(*np.ptp(q[:, :2], 0)) < 1.0:  # no line of 1 m
+        return False
+    slack = 2 * c.max_residual + 1e-9 * (1 + np.abs(p[:, :2]).max() + np.abs(q[:, :2]).max())
+    at, step = 0, 16 if n > 64 else rows
+    while at < rows:
+        to = min(rows, at + step)
+        far = lambda x, at=at, to=to: np.sqrt(np.square(x[at:to, None, 0] - x[None, :, 0]) + np.square(x[at:to, None, 1] - x[None, :, 1]))
+        if ((np.abs(far(p) - far(q)) <= slack).sum(1) >= least).any():
+            return True
+        at, step = to, max(1, HELD // n)
+    return False
+
+
 def motion_between(p: np.ndarray, q: np.ndarray, c: Registration) -> Motion | None:
     """The motion from places p to places q (rows x, y, z of the same tracks) that most tracks agree with, or None.
 
     Two tracks at least 1 m apart in both frames make a hypothesis: the turn between their connecting lines,
     with the first of the two kept in place. If there are too many they are thinned evenly. All
-    are scored at once by their inliers, then by the median distance of these; the first best one is
+    are scored, some at a time, by their inliers, the best then by the median distance of these; the first best one is
     fitted to its inliers and once more to the inliers of that.
     """
-    i, j = np.triu_indices(len(p), 1)
-    lines = p[j, :2] - p[i, :2], q[j, :2] - q[i, :2]
-    usable = (np.hypot(*lines[0].T) >= 1.0) & (np.hypot(*lines[1].T) >= 1.0)
-    pick = np.flatnonzero(usable)
-    if len(pick) > c.max_hypotheses:
-        pick = pick[(np.arange(c.max_hypotheses) * (len(pick) / c.max_hypotheses)).astype(np.int64)]
-    if len(p) < c.min_tracks or not len(pick):
+    n = len(p)
+    if n < max(2, c.min_tracks):
+        return None
+    i, j = hypotheses(p, q, c.max_hypotheses)
+    if not len(i):
         return None
-    angle = np.arctan2(lines[1][pick, 1], lines[1][pick, 0]) - np.arctan2(lines[0][pick, 1], lines[0][pick, 0])
-    cos, sin = np.cos(angle)[:, None], np.sin(angle)[:, None]
-    from_first = p[None, :, :2] - p[i[pick], None, :2]
-    to_first = q[None, :, :2] - q[i[pick], None, :2]
-    off = np.hypot(cos * from_first[..., 0] - sin * from_first[..., 1] - to_first[..., 0], sin * from_first[..., 0] + cos * from_first[..., 1] - to_first[..., 1])
-    inside = off <= c.max_residual
-    many = inside.sum(1)
-    median = np.nanmedian(np.where(inside, off, np.nan), 1)  # the first point of a hypothesis is always inside
-    chosen = inside[np.lexsort((np.arange(len(pick)), median, -many))[0]]
+    angle = np.arctan2(*(q[j, :2] - q[i, :2]).T[::-1]) - np.arctan2(*(p[j, :2] - p[i, :2]).T[::-1])
+
+    def off(k: np.ndarray) -> np.ndarray:
+        """Distance of each track from where hypotheses k take it."""
+        cos, sin = np.cos(angle[k])[:, None], np.sin(angle[k])[:, None]
+        from_x, from_y = p[None, :, 0] - p[i[k], None, 0], p[None, :, 1] - p[i[k], None, 1]
+        to_x, to_y = q[None, :, 0] - q[i[k], None, 0], q[None, :, 1] - q[i[k], None, 1]
+        return np.hypot(cos * from_x - sin * from_y - to_x, sin * from_x + cos * from_y - to_y)
+
+    step = max(1, HELD // n)
+    some = lambda k: (k[at : at + step] for at in range(0, len(k), step))
+    many = np.concatenate([(off(k) <= c.max_residual).sum(1) for k in some(np.arange(len(i)))])
+    if many.max() < least_inliers(n, c):
+        return None
+    best = np.flatnonzero(many == many.max())
+    # The first point of a hypothesis is always inside.
+    median = np.concatenate([np.nanmedian(np.where((d := off(k)) <= c.max_residual, d, np.nan), 1) for k in some(best)]) if len(best) > 1 else np.zeros(1)
+    chosen = off(best[[int(np.argmin(median))]])[0] <= c.max_residual
     for again in (True, False):
         if chosen.sum() < c.min_inliers or chosen.mean() < c.min_ratio:
             return None
-        angle, shift = rigid_xy(p[chosen], q[chosen])
+        angle_of, shift = rigid_xy(p[chosen], q[chosen])
         if again:
-            chosen = np.hypot(*(turned(angle, p) + shift - q[:, :2]).T) <= c.max_residual
-    return Motion(angle, (float(shift[0]), float(shift[1]), float(np.median(q[chosen, 2] - p[chosen, 2]))))
+            chosen = np.hypot(*(turned(angle_of, p) + shift - q[:, :2]).T) <= c.max_residual
+    return Motion(angle_of, (float(shift[0]), float(shift[1]), float(np.median(q[chosen, 2] - p[chosen, 2]))))
 
 
 def places(landmarks: DataFrame) -> DataFrame:
@@ -121,78 +210,164 @@ def places(landmarks: DataFrame) -> DataFrame:
     return whole.groupBy("scene_id", "frame_index", "track_id").agg(F.max(F.struct("x", "y", "z")).alias("p")).select("scene_id", "frame_index", "track_id", "p.*")
 
 
-PAIR = "scene_id string, frame_index int, anchor int, shared int, angle double, shift_x double, shift_y double, shift_z double"
+#: Rows of a block of frames, as long as a scene has more than LEAST_BLOCKS of them; smaller scenes have that many blocks, but for small ones.
+BLOCK_ROWS, LEAST_BLOCKS, SMALL_BLOCK = 1_000_000, 8, 20_000
+
+
+def numbered_places(landmarks: DataFrame, c: Registration) -> tuple[DataFrame, DataFrame]:
+    """Frames (scene_id, scene_no, frame_index, block, blocks) and places in them (scene_no, frame_index, no, x, y, z), written; tracks are numbered in order of their names.
+
+    block is null for a frame with too few tracks to share enough with any other; its places are left out.
+    """
+    placed = stored(places(landmarks), "places")
+    counts = placed.groupBy("scene_id", "frame_index").count().withColumn("rich", F.when(F.col("count") >= max(2, c.min_tracks), F.col("count")))
+    scene = Window.partitionBy("scene_id")
+    total, before = F.sum("rich").over(scene), F.sum("rich").over(scene.orderBy("frame_index")) - F.col("rich")
+    blocks = F.greatest(F.ceil(total / BLOCK_ROWS), F.least(F.lit(LEAST_BLOCKS), F.ceil(total / SMALL_BLOCK))).cast("int")
+    scenes = counts.select("scene_id").distinct().orderBy("scene_id").withColumn("scene_no", F.monotonically_increasing_id())
+    frames = counts.select("scene_id", "frame_index", F.floor(before * blocks / total).cast("int").alias("block"), F.when(F.col("rich").isNotNull(), blocks).alias("blocks")).join(stored(scenes, "scenes"), "scene_id")
+    frames = stored(frames, "frames")
+    tracks = stored(placed.select("track_id").distinct().orderBy("track_id").withColumn("no", F.monotonically_increasing_id()), "tracks")
+    rich = placed.join(frames.where("block is not null"), ["scene_id", "frame_index"]).join(tracks, "track_id")
+    return frames, stored(rich.select("scene_no", "frame_index", "block", "blocks", "no", "x", "y", "z"), "landmarks")
+
 
+PAIR = "scene_no long, frame_index int, anchor int, shared int"
 
-def pair_motions(placed: DataFrame, c: Registration = Registration()) -> DataFrame:  # noqa: B008
-    """PAIR rows: of each two frames that share min_tracks tracks, both ways round, the motion from frame to anchor; null where there is none.
 
-    Frames meet by the tracks that they share; a frame with all its anchors is one group.
+def frame_pairs(placed: DataFrame, c: Registration = Registration()) -> DataFrame:  # noqa: B008
+    """PAIR rows: each two frames, frame_index < anchor, that share min_tracks tracks and may have a motion.
+
+    Blocks of frames meet block by block: a group holds two of them, never the pairs of rows of their tracks.
     """
-    # A frame with fewer tracks shares too few with any other.
-    rich = placed.groupBy("scene_id", "frame_index").count().where(F.col("count") >= max(2, c.min_tracks)).drop("count")
-    placed = placed.join(rich, ["scene_id", "frame_index"], "left_semi")
-    anchor = placed.select("scene_id", "track_id", F.col("frame_index").alias("anchor"), *[F.col(a).alias(f"q{a}") for a in "xyz"])
-    both = placed.join(anchor, ["scene_id", "track_id"]).where("frame_index <> anchor")
-    # Gathered pair by pair first: most pairs share too few tracks and go no further.
-    tracks = both.groupBy("scene_id", "frame_index", "anchor").agg(F.collect_list(F.struct("track_id", "x", "y", "z", "qx", "qy", "qz")).alias("tracks")).where(F.size("tracks") >= max(2, c.min_tracks))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = placed.withColumn("other", other).select("scene_no", "frame_index", "no", "x", "y", "z", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
 
     def work(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["anchor", "track_id"])
-        anchors, first = np.unique(rows["anchor"].to_numpy(), return_index=True)
-        p, q, found = rows[list("xyz")].to_numpy(float), rows[["qx", "qy", "qz"]].to_numpy(float), []
-        for anchor, a, b in zip(anchors.tolist(), first.tolist(), [*first[1:].tolist(), len(rows)], strict=True):
-            way = motion_between(p[a:b], q[a:b], c)
-            found.append((*key, anchor, b - a, *((None,) * 4 if way is None else (way.angle, *way.shift))))
+        scene, low, high = key
+        block, frame, no = (rows[n].to_numpy() for n in ("block", "frame_index", "no"))
+        order = np.lexsort((no, frame))
+        block, frame, xyz = block[order], frame[order], rows[["x", "y", "z"]].to_numpy(float)[order]
+        _, track = np.unique(no[order], return_inverse=True)
+        frames, first = np.unique(frame, return_index=True)
+        ends = np.append(first, len(frame))
+        place, found = np.full(track.max(initial=-1) + 1, -1), []
+        for k, f in enumerate(frames.tolist()):
+            if block[first[k]] != low:
+                continue
+            own = slice(ends[k], ends[k + 1])
+            place[track[own]] = np.arange(own.start, own.stop)
+            # Frames of one block are in order; those of two are too, as blocks are.
+            start = ends[k + 1] if low == high else int(np.searchsorted(block, high))
+            there = np.flatnonzero(place[track[start:]] >= 0) + start
+            here = place[track[there]]
+            cuts = np.searchsorted(there, ends[k + 1 :])
+            for g, a, b in zip(frames[k + 1 :].tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if b - a >= max(2, c.min_tracks) and may_agree(xyz[here[a:b]], xyz[there[a:b]], c):
+                    found.append((scene, f, g, b - a))
+            place[track[own]] = -1
         return pd.DataFrame(found, columns=[x.split()[0] for x in PAIR.split(", ")])
 
-    return tracks.select("scene_id", "frame_index", "anchor", F.explode("tracks").alias("t")).select("scene_id", "frame_index", "anchor", "t.*").groupBy("scene_id", "frame_index").applyInPandas(work, PAIR)
+    return dealt.groupBy("scene_no", "low", "high").applyInPandas(work, PAIR)
 
 
-def forest(pairs: pd.DataFrame, frames: list[int]) -> dict[int, Motion]:
-    """Each frame's way into the first frame's coordinates, by way of the frame reached before that shares most tracks with it.
+def anchors(frames: list[int], options: dict[int, dict[int, tuple[int, int]]], width: int) -> tuple[dict[int, int], list[tuple[int, int]]]:
+    """Each frame's anchor, the frame reached before that shares most tracks with it and has a motion to it; in the order in which frames are reached.
 
-    Frames that can't be reached are tried again as long as others are. pairs: PAIR rows of one scene.
+    Frames that can't be reached are tried again as long as others are. options: of each frame, of each other one, the number of
+    shared tracks and 1: has a motion, 0: has none, -1: not known. What isn't known counts as a motion; such pairs come second, with up to width
+    of those that a frame would turn to next. Without any the first is final.
     """
-    found: dict[int, dict[int, tuple[int, Motion]]] = {}
-    for f, g, shared, angle, *shift in pairs[["frame_index", "anchor", "shared", "angle", "shift_x", "shift_y", "shift_z"]].itertuples(index=False):
-        if angle == angle and angle is not None:
-            found.setdefault(f, {})[g] = int(shared), Motion(float(angle), tuple(map(float, shift)))
-    ways, open_ = {frames[0]: Motion()} if frames else {}, frames[1:]
+    reached, anchor, open_ = {f: 0 for f in frames[:1]}, {}, frames[1:]
+    wanted: list[tuple[int, int]] = []
     while open_:
         left = []
         for f in open_:
-            own = found.get(f, {})
-            g = max((g for g in ways if g in own), key=lambda g: own[g][0], default=None)  # of equals the one reached first
-            if g is None:
+            own = sorted((-shared, reached[g], g, known) for g, (shared, known) in options.get(f, {}).items() if known and g in reached)
+            if not own:
                 left.append(f)
-            else:
-                ways[f] = own[g][1].then(ways[g])
+                continue
+            anchor[f] = own[0][2]
+            reached[f] = len(reached)
+            needed = [*itertools.takewhile(lambda x: x[3] < 0, own)]
+            wanted += [(f, x[2]) for x in needed[:width]]
         if len(left) == len(open_):
             break
         open_ = left
-    return ways
+    return anchor, wanted
 
 
-WAY = "scene_id string, frame_index int, angle double, shift_x double, shift_y double, shift_z double"
+MOTION = "angle double, shift_x double, shift_y double, shift_z double"
+WAY = f"scene_id string, frame_index int, {MOTION}"
 
 
-def registered_frames(landmarks: DataFrame, registration: Registration = Registration()) -> DataFrame:  # noqa: B008
-    """WAY rows: each frame that can be brought into its scene's first frame with landmarks.
+def motions(wanted: DataFrame, placed: DataFrame, c: Registration) -> DataFrame:
+    """The motion from frame to anchor for each of wanted (scene_no, frame_index, anchor); null where there is none."""
+    anchor = placed.select("scene_no", "no", F.col("frame_index").alias("anchor"), *[F.col(a).alias(f"q{a}") for a in "xyz"])
+    both = placed.drop("block", "blocks").join(wanted, ["scene_no", "frame_index"]).join(anchor, ["scene_no", "anchor", "no"])
 
-    Motions are found pair by pair; a scene's own task only walks the graph of its frames.
-    """
-    placed = places(landmarks)
-    frames = placed.select("scene_id", "frame_index").distinct()
-    nothing = [F.lit(None).cast(x.split()[1]).alias(x.split()[0]) for x in PAIR.split(", ")[2:]]
-    rows = pair_motions(placed, registration).where("angle is not null").unionByName(frames.select("scene_id", "frame_index", *nothing))
+    def work(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("no")
+        way = motion_between(rows[list("xyz")].to_numpy(float), rows[["qx", "qy", "qz"]].to_numpy(float), c)
+        return pd.DataFrame([(*key, *((None,) * 4 if way is None else (way.angle, *way.shift)))], columns=["scene_no", "frame_index", "anchor", *MOTION.split()[::2]])
+
+    n = int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few rows, much work: as many tasks as there are partitions
+    return both.repartition(n, "scene_no", "frame_index", "anchor").groupBy("scene_no", "frame_index", "anchor").applyInPandas(work, f"scene_no long, frame_index int, anchor int, {MOTION}")
+
+
+TESTED = ["scene_no", "frame_index", "anchor", *MOTION.split()[::2]]
+
+
+def walk(width: int):
+    """The work of a scene: pairs still to be looked for, or each frame's way."""
 
     def work(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
         alone = own["anchor"].isna()
-        ways = forest(own[~alone], sorted(own["frame_index"][alone].tolist()))
-        return pd.DataFrame([(key[0], f, w.angle, *w.shift) for f, w in ways.items()], columns=[x.split()[0] for x in WAY.split(", ")])
+        options: dict[int, dict[int, tuple[int, int]]] = {}
+        found: dict[tuple[int, int], Motion] = {}
+        for f, g, shared, tested, angle, *shift in own.loc[~alone, ["frame_index", "anchor", "shared", "tested", *MOTION.split()[::2]]].itertuples(index=False):
+            f, g, has = int(f), int(g), angle == angle and angle is not None
+            options.setdefault(f, {})[g] = int(shared), -1 if not tested else int(has)
+            if has:
+                found[f, g] = Motion(float(angle), tuple(map(float, shift)))
+        listed = sorted(own["frame_index"][alone].tolist())
+        anchor, wanted = anchors(listed, options, width)
+        if wanted:
+            return pd.DataFrame([(key[0], f, g, None, None, None, None) for f, g in wanted], columns=TESTED)
+        ways = {listed[0]: Motion()}
+        for f, g in anchor.items():
+            ways[f] = found[f, g].then(ways[g])
+        return pd.DataFrame([(key[0], f, None, w.angle, *w.shift) for f, w in ways.items()], columns=TESTED)
+
+    return work
 
-    return rows.groupBy("scene_id").applyInPandas(work, WAY)
+
+def registered_frames(landmarks: DataFrame, registration: Registration = Registration()) -> DataFrame:  # noqa: B008
+    """WAY rows: each frame that can be brought into its scene's first frame with landmarks.
+
+    A scene's own task walks the graph of its frames; it takes a motion for granted until it has been looked for. Those
+    on its way are then looked for, a group for each, and it walks again: each time with twice as many of a
+    frame's next choices, so that there are few rounds.
+    """
+    frames, placed = numbered_places(landmarks, registration)
+    pairs = stored(frame_pairs(placed, registration), "pairs")
+    both = pairs.unionByName(pairs.select("scene_no", F.col("anchor").alias("frame_index"), F.col("frame_index").alias("anchor"), "shared"))
+    known = None
+    names = TESTED
+    for turn in itertools.count():
+        nothing = [F.lit(None).cast("int").alias(x) for x in ("anchor", "shared")] + [F.lit(False).alias("tested")] + [F.lit(None).cast("double").alias(x) for x in names[3:]]
+        if known is None:
+            told = both.select("*", *nothing[2:])
+        else:
+            told = both.join(known.withColumn("tested", F.lit(True)), names[:3], "left").withColumn("tested", F.coalesce("tested", F.lit(False)))
+        rows = told.unionByName(frames.select("scene_no", "frame_index", *nothing))
+        walked = stored(rows.groupBy("scene_no").applyInPandas(walk(2**turn), f"scene_no long, frame_index int, anchor int, {MOTION}"), "walked")
+        wanted = walked.where("anchor is not null").select(*names[:3])
+        if wanted.isEmpty():
+            return walked.join(frames.select("scene_no", "frame_index", "scene_id"), ["scene_no", "frame_index"]).select(*[x.split()[0] for x in WAY.split(", ")])
+        tested = stored(motions(wanted, placed, registration), "motions")
+        known = tested if known is None else known.unionByName(tested)
+    raise AssertionError
 
 
 def in_parts(rows: DataFrame, columns: list[str], side: float) -> DataFrame:
@@ -224,33 +399,53 @@ def bundled(parts: DataFrame) -> DataFrame:
 
 
 def match_rows(rows: pd.DataFrame, m: Matching) -> np.ndarray:
-    """The track of each row (px, py, pz: its place in the scene; in order of frame and candidate), numbered as tracks begin."""
+    """The track of each row (px, py, pz: its place in the scene; in order of frame and candidate), numbered as tracks begin.
+
+    Candidates meet the last members of tracks by cells of a step's side, so that memory follows those that are near.
+    """
     frame_of = rows["frame_index"].to_numpy(np.int64)
     place, size, shape = (rows[list(c)].to_numpy(float) for c in (("px", "py", "pz"), ("size_x", "size_y", "size_z"), ("f1", "f2", "f3")))
-    members: list[list[int]] = []  # rows of each track, in the order in which tracks began
-    for frame in np.unique(frame_of).tolist():
-        here = np.flatnonzero(frame_of == frame)
-        last = np.array([t[-1] for t in members], np.int64)
-        step = np.hypot(*np.moveaxis(place[here][:, None, :2] - place[last][None, :, :2], -1, 0))
-        a, b = np.nonzero(step <= m.max_step)
-        ratio, apart = size_ratios(size[here[a]], size[last[b]]), np.linalg.norm(shape[here[a]] - shape[last[b]], axis=-1)
-        fits = (ratio <= m.max_size_ratio) & (apart <= m.max_pca)
+    n = len(rows)
+    cells = Cells(place[:, :2], max(m.max_step, 1e-9) * (1 + 1e-9))
+    track, before, last = np.full(n, -1), np.full(n, -1), np.zeros(n, bool)  # of each row: its track, the member before it, whether there is none after it
+    low, high, tracks = place.copy(), place.copy(), 0  # of each last member: the bounds of its track
+    cuts = [*np.flatnonzero(np.diff(frame_of, prepend=frame_of[:1] - 1)).tolist(), n]
+    for start, stop in zip(cuts[:-1], cuts[1:], strict=True):
         offers = []
-        for x, y, r, d in zip(a[fits].tolist(), b[fits].tolist(), ratio[fits].tolist(), apart[fits].tolist(), strict=True):
-            away = np.abs(place[members[y]] - place[here[x]])
-            if np.hypot(away[:, 0], away[:, 1]).max() <= m.max_diameter and away[:, 2].max() <= m.max_z:
-                offers.append((float(step[x, y]), r, d, x, y))
-        taken: set[int] = set()
+        for a, y in cells.pairs(place[start:stop, :2]):
+            a, y = a[last[y]] + start, y[last[y]]
+            step = np.hypot(*(place[a, :2] - place[y, :2]).T)
+            near = step <= m.max_step
+            a, y, step = a[near], y[near], step[near]
+            # What the bounds of a track already tell, then its members.
+            reach = np.maximum(np.abs(low[y] - place[a]), np.abs(high[y] - place[a]))
+            fits = (reach[:, 2] <= m.max_z) & (reach[:, :2].max(1, initial=0) <= m.max_diameter)
+            a, y, step, reach = a[fits], y[fits], step[fits], reach[fits]
+            ratio, apart = size_ratios(size[a], size[y]), np.linalg.norm(shape[a] - shape[y], axis=-1)
+            fits = (ratio <= m.max_size_ratio) & (apart <= m.max_pca)
+            a, y, step, reach, ratio, apart = a[fits], y[fits], step[fits], reach[fits], ratio[fits], apart[fits]
+            open_ = np.flatnonzero(np.hypot(reach[:, 0], reach[:, 1]) > m.max_diameter * (1 - 1e-9))
+            fits, member = np.ones(len(a), bool), y[open_]
+            while len(open_):
+                far = np.hypot(*(place[member, :2] - place[a[open_], :2]).T) > m.max_diameter
+                fits[open_[far]] = False
+                open_, member = open_[~far], before[member[~far]]
+                open_, member = open_[member >= 0], member[member >= 0]
+            offers.append([c[fits] for c in (step, ratio, apart, a, track[y], y)])
+        step, ratio, apart, a, number, y = (np.concatenate(c) for c in zip(*offers, strict=True)) if offers else [np.zeros(0, np.int64)] * 6
+        order = np.lexsort((number, a, apart, ratio, step))
+        joins: dict[int, int] = {}
         grown: set[int] = set()
-        for *_, x, y in sorted(offers):
-            if x not in taken and y not in grown:
-                members[y].append(int(here[x]))
-                taken.add(x)
-                grown.add(y)
-        members += [[int(r)] for x, r in enumerate(here.tolist()) if x not in taken]
-    track = np.zeros(len(rows), np.int64)
-    for k, own in enumerate(members):
-        track[own] = k
+        for x, t in zip(a[order].tolist(), y[order].tolist(), strict=True):
+            if x not in joins and t not in grown:
+                joins[x] = t
+                grown.add(t)
+        x, t = np.array([*joins], np.int64), np.array([*joins.values()], np.int64)
+        last[start:stop], last[t] = True, False
+        track[x], before[x], low[x], high[x] = track[t], t, np.minimum(low[t], place[x]), np.maximum(high[t], place[x])
+        new = np.flatnonzero(track[start:stop] < 0) + start
+        track[new] = tracks + np.arange(len(new))
+        tracks += len(new)
     return track
 
 
