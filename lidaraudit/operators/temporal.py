@@ -507,21 +507,43 @@ def dedup_statistics(matched: DataFrame, landmarks: DataFrame, registered: DataF
 
 
 def nearest_groups(rows: pd.DataFrame, distance: float) -> pd.DataFrame:
-    """Greedy groups in order of frame: each observation joins the nearest running mean within distance, one of a frame per group."""
+    """Greedy groups in order of frame: each observation joins the nearest running mean within distance, one of a frame per group.
+
+    A group takes nothing more of a frame once it has one of it, so the means of all that are open stand still within a frame:
+    its observations meet them by cells at once, and choose one after the other.
+    """
     order = ["frame_index", *(c for c in ("candidate_no",) if c in rows), "candidate_id"]
     rows = rows.sort_values(order, ignore_index=True)
     places, frames = rows[["x", "y", "z"]].to_numpy(float), rows["frame_index"].to_numpy()
-    sums, sizes, last = np.zeros((len(rows), 3)), np.zeros(len(rows)), np.zeros(len(rows), frames.dtype)
+    if not distance > 0:
+        return rows.assign(group=np.arange(len(rows)))
+    sums, sizes = np.zeros((len(rows), 3)), np.zeros(len(rows))
     group, n = np.zeros(len(rows), np.int64), 0
-    for k, (p, frame) in enumerate(zip(places, frames, strict=True)):
-        far = np.linalg.norm(p - sums[:n] / sizes[:n, None], axis=1)
-        far[(last[:n] == frame) | ~(far <= distance)] = np.inf
-        at = int(far.argmin()) if distance > 0 and n and np.isfinite(far).any() else n
-        n = max(n, at + 1)
-        sums[at] += p
-        sizes[at] += 1
-        last[at] = frame
-        group[k] = at
+    whole = np.isfinite(places).all(1)
+    cuts = [*np.flatnonzero(np.concatenate([[True], frames[1:] != frames[:-1]])[: len(rows)]).tolist(), len(rows)]
+    for start, stop in zip(cuts[:-1], cuts[1:], strict=True):
+        means, own = sums[:n] / sizes[:n, None], np.flatnonzero(whole[start:stop]) + start
+        joins: dict[int, int] = {}
+        grown: set[int] = set()
+        fine = np.flatnonzero(np.isfinite(means).all(1))
+        for a, g in Cells(means[fine], distance * (1 + 1e-9)).pairs(places[own]):
+            a, g = own[a], fine[g]
+            far = np.linalg.norm(places[a] - means[g], axis=1)
+            near = far <= distance
+            a, g, far = a[near], g[near], far[near]
+            turn = np.lexsort((g, far, a))
+            for x, y in zip(a[turn].tolist(), g[turn].tolist(), strict=True):
+                if x not in joins and y not in grown:
+                    joins[x] = y
+                    grown.add(y)
+        here = np.full(stop - start, -1)
+        here[np.array([*joins], np.int64) - start] = [*joins.values()]
+        new = here < 0
+        here[new] = n + np.arange(new.sum())
+        n += int(new.sum())
+        group[start:stop] = here
+        sums[here] += places[start:stop]
+        sizes[here] += 1
     return rows.assign(group=group)
 
 
