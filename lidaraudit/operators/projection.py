@@ -84,22 +84,25 @@ def seen_by(candidates: DataFrame, cameras: DataFrame) -> DataFrame:
 
 
 def _pixels(points: np.ndarray, owner: np.ndarray, camera: dict[str, np.ndarray], n: int, min_depth: float) -> list[np.ndarray]:
-    """Of the points of n pairs of candidate and camera: how many are in the picture, and their bounds."""
-    m = camera["to_camera"][owner]
-    row = lambda i: (m[:, 4 * i : 4 * i + 3] * points).sum(1) + m[:, 4 * i + 3]
+    """Of the points of n pairs of candidate and camera, in order of pairs: how many are in the picture, and their bounds."""
+    many = np.bincount(owner, minlength=n)
+    each = lambda x: np.repeat(x, many)
+    m = camera["to_camera"]
+    xyz = [np.ascontiguousarray(points[:, k]) for k in range(3)]
+    row = lambda i: each(m[:, 4 * i]) * xyz[0] + each(m[:, 4 * i + 1]) * xyz[1] + each(m[:, 4 * i + 2]) * xyz[2] + each(m[:, 4 * i + 3])
     depth = row(2)
-    front = np.flatnonzero(depth > min_depth)
-    owner, depth = owner[front], depth[front]
-    u = camera["fx"][owner] * row(0)[front] / depth + camera["cx"][owner]
-    v = camera["fy"][owner] * row(1)[front] / depth + camera["cy"][owner]
-    inside = (u >= 0) & (u < camera["width"][owner]) & (v >= 0) & (v < camera["height"][owner])
-    owner, u, v = owner[inside], u[inside], v[inside]
-    out = [np.bincount(owner, minlength=n)]
+    front = depth > min_depth
+    depth[~front] = 1.0
+    u = each(camera["fx"]) * row(0) / depth + each(camera["cx"])
+    v = each(camera["fy"]) * row(1) / depth + each(camera["cy"])
+    inside = front & (u >= 0) & (u < each(camera["width"])) & (v >= 0) & (v < each(camera["height"]))
+    out = [np.bincount(owner[inside], minlength=n)]
+    starts, some = (np.cumsum(many) - many)[many > 0], many > 0
     for value in (u, v):
-        low, high = np.full(n, np.inf), np.full(n, -np.inf)
-        np.minimum.at(low, owner, value)
-        np.maximum.at(high, owner, value)
-        out += [low, high]
+        for bound, best in ((np.inf, np.minimum), (-np.inf, np.maximum)):
+            whole = np.full(n, bound)
+            whole[some] = best.reduceat(np.where(inside, value, bound), starts) if len(starts) else bound
+            out.append(whole)
     return out
 
 
