@@ -47,6 +47,20 @@ def touching_cells(cells: np.ndarray) -> np.ndarray:
     return root[number]
 
 
+def cells_of(points: np.ndarray, side: float) -> np.ndarray:
+    """The grid cell of each point (rows of coordinates)."""
+    return np.floor(points / side).astype(np.int64)
+
+
+def cell_codes(cells: np.ndarray) -> np.ndarray:
+    return (cells.view(np.uint64) * SPREAD[: cells.shape[1]]).sum(1, dtype=np.uint64)
+
+
+def neighbours(cells: np.ndarray) -> np.ndarray:
+    """Codes of each cell and of those that touch it, a column for each step."""
+    return np.stack([cell_codes(cells + np.array(s)) for s in itertools.product((-1, 0, 1), repeat=cells.shape[1])], 1)
+
+
 class Cells:
     """Points (rows of coordinates) by grid cell of a side, to be met by others."""
 
@@ -55,24 +69,17 @@ class Cells:
 
     def __init__(self, points: np.ndarray, side: float) -> None:
         self.side = side
-        code = self._code(self._cell(points))
+        code = cell_codes(cells_of(points, side))
         self.order = np.argsort(code, kind="stable")
         self.codes = code[self.order]
 
-    def _cell(self, points: np.ndarray) -> np.ndarray:
-        return np.floor(points / self.side).astype(np.int64)
-
-    def _code(self, cells: np.ndarray) -> np.ndarray:
-        return (cells.view(np.uint64) * SPREAD[: cells.shape[1]]).sum(1, dtype=np.uint64)
-
     def pairs(self, points: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Numbers of points and of own points in the same cell or in one that touches it, in chunks that end with a point."""
         if not len(points) or not len(self.codes):
             return
-        cells = self._cell(points)
-        steps = [self._code(cells + np.array(s)) for s in itertools.product((-1, 0, 1), repeat=cells.shape[1])]
-        low = np.stack([np.searchsorted(self.codes, c, "left") for c in steps], 1)
-        many = np.stack([np.searchsorted(self.codes, c, "right") for c in steps], 1) - low
+        steps = neighbours(cells_of(points, self.side))
+        low = np.searchsorted(self.codes, steps, "left")
+        many = np.searchsorted(self.codes, steps, "right") - low
         ends = np.cumsum(many.sum(1))
         at = 0
         while at < len(points):

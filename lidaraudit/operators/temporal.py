@@ -9,15 +9,17 @@ hypotheses of a fit at once, all candidates of a frame against all that have bee
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lidaraudit.functions.storage import stored
-from lidaraudit.operators.components import Cells, touching_cells
+from lidaraudit.operators.components import Cells, cell_codes, cells_of, neighbours, touching_cells
 
 
 @dataclass(frozen=True)
@@ -506,62 +508,194 @@ def dedup_statistics(matched: DataFrame, landmarks: DataFrame, registered: DataF
     ).join(counted, "scene_id").withColumn("saved_calls", F.col("duplicate_observations") - F.col("duplicate_groups"))
 
 
-def nearest_groups(rows: pd.DataFrame, distance: float) -> pd.DataFrame:
-    """Greedy groups in order of frame: each observation joins the nearest running mean within distance, one of a frame per group.
+def distinct(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of one of each kind of equal rows, and the kind of each row."""
+    order = np.lexsort(points.T)
+    new = np.concatenate([np.ones(len(points[:1]), bool), (points[order[1:]] != points[order[:-1]]).any(1)])
+    kind = np.empty(len(points), np.int64)
+    kind[order] = np.cumsum(new) - 1
+    return order[new], kind
+
+
+class OpenGroups:
+    """Greedy groups of observations that come in order of frame: each joins the nearest running mean within distance, one of a frame per group.
 
-    A group takes nothing more of a frame once it has one of it, so the means of all that are open stand still within a frame:
-    its observations meet them by cells at once, and choose one after the other.
+    What is held is one row for each group, not its members. A group takes nothing more of a frame once it has one of it, so the
+    means of all that are open stand still within a frame, and a frame may come in several lots. Means are found by cells:
+    sorted ones, and loose ones of groups that are new or have left their cell since. Observations in one place see the
+    same groups in the same order, and groups with one mean are one for them, so places meet means once, not copy by copy.
     """
+
+    #: Groups that are loose before all are sorted again: so many, and a share of all.
+    LOOSE, SHARE = 1_000, 8
+
+    def __init__(self, distance: float) -> None:
+        self.distance, self.side = distance, distance * (1 + 1e-9)
+        self.n, self.frame, self.turn = 0, None, 0
+        # Of each group: sums of its places, their number, the turn of its last frame, the code of its mean's cell, whether it isn't among the sorted ones.
+        self.sums, self.sizes, self.last, self.code, self.moved = np.zeros((0, 3)), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
+        self.order, self.codes, self.loose = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def take(self, frame: float, places: np.ndarray) -> np.ndarray:
+        """The group of each of the frame's next observations (x, y, z), in order; those that are nowhere have one of their own."""
+        if frame != self.frame:
+            self.frame, self.turn = frame, self.turn + 1
+        groups, at, step = np.empty(len(places), np.int64), 0, len(places)
+        while at < len(places):
+            lot = places[at : at + step]
+            found = self._nearest(lot)
+            if found is None:
+                step = (len(lot) + 1) // 2
+                continue
+            self._join(lot, found)
+            groups[at : at + len(lot)] = found
+            at += len(lot)
+        return groups
+
+    def _near(self, places: np.ndarray) -> np.ndarray:
+        """Open groups in the cells of places and those that touch them, in order."""
+        wanted = np.unique(neighbours(np.unique(cells_of(places, self.side), axis=0)))
+        low = np.searchsorted(self.codes, wanted, "left")
+        many = np.searchsorted(self.codes, wanted, "right") - low
+        near = self.order[np.arange(many.sum()) + np.repeat(low - np.cumsum(many) + many, many)]
+        code = self.code[self.loose]
+        there = wanted[np.minimum(np.searchsorted(wanted, code), len(wanted) - 1)] == code
+        near = np.concatenate([near[~self.moved[near]], self.loose[there]])
+        return np.sort(near[self.last[near] != self.turn])
+
+    def _nearest(self, lot: np.ndarray) -> np.ndarray | None:
+        """The group that each of the lot joins, -1 for a new one; None if the lot meets too many at once."""
+        found, own = np.full(len(lot), -1), np.flatnonzero(np.isfinite(lot).all(1))
+        if not self.distance > 0 or not self.n or not len(own):
+            return found
+        one, place_of = distinct(lot[own])
+        places = lot[own[one]]
+        near = self._near(places)
+        means = self.sums[near] / self.sizes[near, None]
+        one, mean_of = distinct(means)
+        means = means[one]
+        chunks = Cells(means, self.side).pairs(places)
+        place, mean = next(chunks, (np.zeros(0, np.int64),) * 2)
+        if next(chunks, None) is not None:
+            return None
+        far = np.linalg.norm(places[place] - means[mean], axis=1)
+        fits = far <= self.distance
+        place, mean, far = place[fits], mean[fits], far[fits]
+        turn = np.lexsort((far, place))
+        ends = np.searchsorted(place, np.arange(len(places) + 1))
+        at, stop, mean, far = ends[:-1].tolist(), ends[1:].tolist(), mean[turn].tolist(), far[turn].tolist()
+        order = np.argsort(mean_of, kind="stable")
+        ends = np.searchsorted(mean_of[order], np.arange(len(means) + 1))
+        head, tail, members = ends[:-1].tolist(), ends[1:].tolist(), near[order].tolist()
+        joined = []
+        for p in place_of.tolist():
+            k, end = at[p], stop[p]
+            while k < end and head[mean[k]] == tail[mean[k]]:
+                k += 1
+            at[p] = k
+            if k == end:
+                joined.append(-1)
+                continue
+            best, other = mean[k], k + 1
+            while other < end and far[other] == far[k]:  # as near: the group that began first
+                m = mean[other]
+                if head[m] < tail[m] and members[head[m]] < members[head[best]]:
+                    best = m
+                other += 1
+            joined.append(members[head[best]])
+            head[best] += 1
+        found[own] = joined
+        return found
+
+    def _join(self, lot: np.ndarray, found: np.ndarray) -> None:
+        """The lot joins the groups found, which gets the numbers of new ones."""
+        new = np.flatnonzero(found < 0)
+        found[new] = self.n + np.arange(len(new))
+        self.n += len(new)
+        if self.n > len(self.sizes):
+            longer = lambda a: np.concatenate([a, np.zeros((self.n + len(a) // 2 - len(a), *a.shape[1:]), a.dtype)])
+            self.sums, self.sizes, self.last, self.code, self.moved = map(longer, (self.sums, self.sizes, self.last, self.code, self.moved))
+        self.sums[found] += lot
+        self.sizes[found] += 1
+        self.last[found] = self.turn
+        means = self.sums[found] / self.sizes[found, None]
+        begun = np.zeros(len(found), bool)
+        begun[new] = True
+        fine = np.isfinite(means).all(1)
+        found, means, begun = found[fine], means[fine], begun[fine]
+        code = cell_codes(cells_of(means, self.side)) if self.distance > 0 else self.code[found]
+        left = begun | (code != self.code[found])
+        self.code[found] = code
+        self.loose = np.concatenate([self.loose, found[left & ~self.moved[found]]])
+        self.moved[found[left]] = True
+        if len(self.loose) > self.LOOSE + self.n // self.SHARE:
+            order = np.concatenate([self.order[~self.moved[self.order]], self.loose])
+            self.order = order[np.argsort(self.code[order], kind="stable")]
+            self.codes = self.code[self.order]
+            self.moved[self.loose] = False
+            self.loose = self.loose[:0]
+
+
+def runs(*columns: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Where runs of rows that are equal in all columns begin and end."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return itertools.pairwise([*np.flatnonzero(new).tolist(), len(new)])
+
+
+def nearest_groups(rows: pd.DataFrame, distance: float) -> pd.DataFrame:
+    """rows in order of frame and candidate, with the group of each by OpenGroups."""
     order = ["frame_index", *(c for c in ("candidate_no",) if c in rows), "candidate_id"]
     rows = rows.sort_values(order, ignore_index=True)
-    places, frames = rows[["x", "y", "z"]].to_numpy(float), rows["frame_index"].to_numpy()
-    if not distance > 0:
-        return rows.assign(group=np.arange(len(rows)))
-    sums, sizes = np.zeros((len(rows), 3)), np.zeros(len(rows))
-    group, n = np.zeros(len(rows), np.int64), 0
-    whole = np.isfinite(places).all(1)
-    cuts = [*np.flatnonzero(np.concatenate([[True], frames[1:] != frames[:-1]])[: len(rows)]).tolist(), len(rows)]
-    for start, stop in zip(cuts[:-1], cuts[1:], strict=True):
-        means, own = sums[:n] / sizes[:n, None], np.flatnonzero(whole[start:stop]) + start
-        joins: dict[int, int] = {}
-        grown: set[int] = set()
-        fine = np.flatnonzero(np.isfinite(means).all(1))
-        for a, g in Cells(means[fine], distance * (1 + 1e-9)).pairs(places[own]):
-            a, g = own[a], fine[g]
-            far = np.linalg.norm(places[a] - means[g], axis=1)
-            near = far <= distance
-            a, g, far = a[near], g[near], far[near]
-            turn = np.lexsort((g, far, a))
-            for x, y in zip(a[turn].tolist(), g[turn].tolist(), strict=True):
-                if x not in joins and y not in grown:
-                    joins[x] = y
-                    grown.add(y)
-        here = np.full(stop - start, -1)
-        here[np.array([*joins], np.int64) - start] = [*joins.values()]
-        new = here < 0
-        here[new] = n + np.arange(new.sum())
-        n += int(new.sum())
-        group[start:stop] = here
-        sums[here] += places[start:stop]
-        sizes[here] += 1
-    return rows.assign(group=group)
+    places, frames, groups = rows[["x", "y", "z"]].to_numpy(float), rows["frame_index"].to_numpy(), OpenGroups(distance)
+    own = [groups.take(frames[a], places[a:b]) for a, b in runs(frames)]
+    return rows.assign(group=np.concatenate([np.zeros(0, np.int64), *own]))
+
+
+def _grouped(distance: float):
+    """A function for mapInArrow: to rows sorted by scene, bundle and frame the group of each within its bundle, and whether it begins it.
+
+    A batch and the open groups of one bundle are held.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, groups = None, OpenGroups(distance)
+        for rows in batches:
+            scene, bundle, frame, *axes = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("scene_id", "bundle", "frame_index", "x", "y", "z"))
+            places, group, begins = np.column_stack(axes).astype(float), np.empty(len(scene), np.int64), np.empty(len(scene), bool)
+            for a, b in runs(scene, bundle, frame):
+                if (scene[a], bundle[a]) != now:
+                    now, groups = (scene[a], bundle[a]), OpenGroups(distance)
+                n = groups.n
+                group[a:b] = groups.take(frame[a], places[a:b])
+                begins[a:b] = group[a:b] >= n
+            yield rows.drop_columns(["bundle", "x", "y", "z"]).append_column("group", pa.array(group)).append_column("begins", pa.array(begins))
+
+    return work
 
 
 def spatial_groups(candidates: DataFrame, distance: float = 1.0) -> DataFrame:
-    """scene_id, frame_index, candidate_id, group of nearest_groups() over each scene.
+    """scene_id, frame_index, candidate_id, group of OpenGroups over each scene.
 
     The last member of a group is within distance of its mean, so a group's next member is within twice that of it: parts of
-    a scene that are farther apart never meet, and a task works on some of them. Groups are numbered as they begin.
+    a scene that are farther apart never meet, and a task works on some of them. Its rows come sorted, and it
+    holds the groups, not the rows. Groups are numbered as they begin.
     """
     number = ["candidate_no"] if "candidate_no" in candidates.columns else []
     rows = candidates.select("scene_id", "frame_index", *number, F.col("candidate_id").cast("string").alias("candidate_id"), *[F.col(a).cast("double").alias(a) for a in "xyz"])
     nowhere = F.col("x").isNull() | F.col("y").isNull() | F.col("z").isNull() | F.isnan("x") | F.isnan("y") | F.isnan("z")
-    alone = rows.where(nowhere).withColumn("part", -1 - F.monotonically_increasing_id())  # each a group of its own
-    parts = in_parts(rows.where(~nowhere), list("xyz"), 2 * max(distance, 1e-9)).unionByName(alone)
     order = ["frame_index", *number, "candidate_id"]
+    last = [F.col(c).asc_nulls_last() for c in order]
+    alone = rows.where(nowhere).select("scene_id", *order, (-1 - F.monotonically_increasing_id()).alias("part"), F.lit(0).cast("long").alias("group"), F.lit(True).alias("begins"))  # each a group of its own
+    parts = bundled(in_parts(rows.where(~nowhere), list("xyz"), 2 * max(distance, 1e-9)))
+    parts = stored(parts.select("scene_id", *order, *"xyz", "part", "bundle"), "parts")  # ranges are found by a look at the rows
     kinds = dict(rows.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in ("scene_id", *order)) + ", part long, group long"
-    found = bundled(parts).groupBy("scene_id", "bundle").applyInPandas(lambda own: nearest_groups(own, distance)[["scene_id", *order, "part", "group"]], schema)
-    first = found.groupBy("scene_id", "part", "group").agg(F.min(F.struct(*order)).alias("first"))
-    first = first.withColumn("no", F.row_number().over(Window.partitionBy("scene_id").orderBy("first", "part")).cast("long") - 1)
-    return found.join(first, ["scene_id", "part", "group"]).select("scene_id", "frame_index", "candidate_id", F.col("no").alias("group"))
+    schema = ", ".join(f"{c} {kinds[c]}" for c in ("scene_id", *order)) + ", part long, group long, begins boolean"
+    # By ranges a bundle of many rows has a task of its own.
+    n = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = parts.repartitionByRange(n, "scene_id", "bundle").sortWithinPartitions("scene_id", "bundle", *last)
+    found = stored(dealt.mapInArrow(_grouped(distance), schema).unionByName(alone), "groups")  # read twice; the groups are worked out once
+    first = found.where("begins").select("scene_id", "part", "group", F.row_number().over(Window.partitionBy("scene_id").orderBy(*last, "part", "group")).cast("long").alias("no"))
+    return found.join(first, ["scene_id", "part", "group"]).select("scene_id", "frame_index", "candidate_id", (F.col("no") - 1).alias("group"))
