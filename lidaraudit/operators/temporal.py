@@ -578,7 +578,13 @@ class OpenGroups:
         place, mean = next(chunks, (np.zeros(0, np.int64),) * 2)
         if next(chunks, None) is not None:
             return None
-        far = np.linalg.norm(places[place] - means[mean], axis=1)
+        square = np.zeros(len(place))
+        for p, m in zip(places.T.copy(), means.T.copy(), strict=True):  # axis by axis, the sum in the order of a norm
+            off = p[place] - m[mean]
+            square += off * off
+            fits = square <= self.distance * self.side * (1 + 1e-9)
+            place, mean, square = place[fits], mean[fits], square[fits]
+        far = np.sqrt(square)
         fits = far <= self.distance
         place, mean, far = place[fits], mean[fits], far[fits]
         turn = np.lexsort((far, place))
